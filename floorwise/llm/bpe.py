@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from floorwise.llm.shared import slices
 
 #: Pre-tokens that a worker keeps; beyond that it forgets all and starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Text that is encoded in one go: the longer, the more positions an active rank has.
-STRETCH = 16 << 20
+STRETCH = 3 << 20
 #: A rank with fewer positions is applied one by one, without array operations.
 FEW = 24
 
@@ -57,15 +57,12 @@ class PairIndexBPE:
         if before["add_prefix_space"] or not before["use_regex"] or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError("prefix spaces, own patterns, ignore_merges and dropout are not supported")
         vocab, stand_in = model["vocab"], byte_alphabet()
-        back = {c: b for b, c in stand_in.items()}
         self.byte_id = np.array([vocab[stand_in[b]] for b in range(256)], dtype=np.int64)
-        self.bytes_of = {i: bytes(back[c] for c in token) if all(c in back for c in token) else token.encode() for token, i in vocab.items()}
         self.special = {}
         for added in spec["added_tokens"] or ():
             if added["lstrip"] or added["rstrip"] or added["single_word"] or added["normalized"]:
                 raise ValueError("added tokens with options are not supported")
             self.special[added["content"]] = np.array([added["id"]], dtype="<u4").tobytes()
-            self.bytes_of[added["id"]] = added["content"].encode()
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.left, self.right, self.made, self.rank = [], [], [], {}
         for r, merge in enumerate(model["merges"]):
@@ -190,21 +187,33 @@ class PairIndexBPE:
             return list(words)
         return list(missing)
 
+
+class Decoder:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+
+    def __init__(self, source: str):
+        spec, back = json.loads(source), {c: b for b, c in byte_alphabet().items()}
+        tokens = {i: token for token, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"] or ()}
+        self.bytes_of = {i: bytes(back[c] for c in token) if all(c in back for c in token) else token.encode() for i, token in tokens.items()}
+
     def decode(self, ids: bytes | None) -> str:
         """The text of ids in the form that ``encode`` gives."""
-        numbers = np.frombuffer(ids or b"", dtype="<u4").tolist()
-        return b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
+        known, out = self.bytes_of.__getitem__, []
+        numbers = np.frombuffer(ids or b"", dtype="<u4")
+        for start in range(0, len(numbers), 1 << 18):
+            out.append(b"".join(map(known, numbers[start : start + (1 << 18)].tolist())))
+        return b"".join(out).decode("utf-8", "replace")
 
 
-_loaded: dict[int, PairIndexBPE] = {}
+_loaded: dict[tuple, object] = {}
 
 
-def load(source: str) -> PairIndexBPE:
-    """The vocabulary, built once in a worker; its cache serves all tasks there."""
-    key = hash(source)
+def load(kind: type, source: str):
+    """``kind(source)``, built once in a worker; its cache serves all tasks there."""
+    key = (kind, hash(source))
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = PairIndexBPE(source)
+        _loaded[key] = kind(source)
     return _loaded[key]
 
 
@@ -224,10 +233,10 @@ def _mapped(df: DataFrame, column: str, made: str, kind: T.DataType, arrow: pa.D
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(shared.value)
+        bpe = load(PairIndexBPE if how == "encode" else Decoder, shared.value)
         for batch in batches:
             values = batch.column(column).to_pylist()
-            for start, end in slices(values, STRETCH if how == "encode" else STRETCH // 2):
+            for start, end in slices(values, STRETCH):
                 part = values[start:end]
                 out = bpe.encode(part) if how == "encode" else [bpe.decode(x) for x in part]
                 few = batch.slice(start, end - start)

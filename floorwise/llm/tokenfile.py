@@ -115,8 +115,11 @@ class LibraryBPE(bpe.PairIndexBPE):
 
     def __init__(self, source: str):
         super().__init__(source)
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
@@ -125,20 +128,6 @@ class LibraryBPE(bpe.PairIndexBPE):
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
 
-_loaded: dict[int, LibraryBPE] = {}
-
-
-def _library(source: str) -> LibraryBPE:
-    key = hash(source)
-    if key not in _loaded:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _loaded.clear()
-        _loaded[key] = LibraryBPE(source)
-    return _loaded[key]
-
-
 FILES = "part int, file long, first_id long, documents long, ids long, payload binary"
 
 
@@ -157,10 +146,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, kind
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["part", "file", "first_id", "documents", "ids", "payload"])
 
-        library = _library(shared.value)
+        library = bpe.load(LibraryBPE, shared.value)
         for batch in batches:
             texts, of = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for start, stop in slices(texts, bpe.STRETCH // 2):
+            for start, stop in slices(texts, bpe.STRETCH):
                 for doc, found in zip(of[start:stop], library.encode(texts[start:stop])):
                     ids.append(doc)
                     documents.append(found + end)
