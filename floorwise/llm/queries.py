@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwise.llm import bpe, decontam, quality, simhash, tokenfile
+from floorwise.llm import bpe, chat, decontam, linededup, oracles, quality, simhash, tokenfile, urlfilter
 from floorwise.llm.shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +50,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
-@query("op5_decontamination")
+HOST_RULES = [
+    urlfilter.host_rule("block", "com", "/en/"),
+    urlfilter.host_rule("allow", "example.com", "/en/7"),
+    urlfilter.host_rule("allow", "net", "/de/"),
+    urlfilter.host_rule("block", "example.net", "/de/8"),
+    urlfilter.host_rule("block", "org", "/es/"),
+]
+
+
+@query("op4_url_filter", oracles.url_filter(HOST_RULES, urlfilter.WORDS))
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, [*HOST_RULES, *urlfilter.PATTERNS]).drop("url")
+
+
+@query("op5_decontamination", oracles.DECONTAMINATION)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -64,3 +81,33 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenfile.write(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=0)
     return tokenfile.documents(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_line_dedup", oracles.LINE_DEDUP)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cleaned = linededup.without_boilerplate(docs)
+    return cleaned.select("doc_id", "removed_lines", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def _digests(text: str, spans: list) -> tuple:
+    """What a formatted conversation gives when it is read back."""
+    turns = chat.parsed(text)
+    under = "".join(chat.unescape(text[s:e]) for s, e in spans)
+    digest = lambda s: sha256(s.encode()).hexdigest()
+    return len(turns), digest("".join(f"{role}\n{body}\n" for role, body in turns)), len(under), digest(under), len(text)
+
+
+@query("op10_chat_formatting", oracles.chat_formatting(chat))
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    done = chat.conversations(chat.linear(rows))
+
+    def run(batches):
+        for batch in batches:
+            back = [_digests(t, s) for t, s in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist())]
+            columns = [pa.array([b[i] for b in back], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("conversation"), *columns], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return done.select("conversation", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
