@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwise.llm import bpe, chat, decontam, linededup, oracles, quality, simhash, tokenfile, urlfilter
+from floorwise.llm import bpe, chat, decontam, licenses, linededup, oracles, pii, quality, simhash, tokenfile, urlfilter
 from floorwise.llm.shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"))
+
+
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -90,6 +96,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "removed_lines", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+#: A key for the synthetic tables; a real one comes from the caller's secret store.
+PII_KEY = "synthetic-tables"
+
+
+@query("op9_pii_surrogates")
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def _digests(text: str, spans: list) -> tuple:
     """What a formatted conversation gives when it is read back."""
     turns = chat.parsed(text)
