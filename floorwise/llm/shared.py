@@ -1,60 +1,12 @@
-"""Scratch tables in the cluster's shared folder and small helpers of several operators."""
+"""Small helpers of several operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
-
-    Where the setting is absent, a local session takes a temporary folder and any
-    other takes the warehouse, never a folder of one machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        return _local_root()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def _local_root(made: list[str] = []) -> str:  # noqa: B006  one folder for the process
-    if not made:
-        made.append("file://" + tempfile.mkdtemp(prefix="floorwise-"))
-    return made[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; it goes when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that no later plan reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-class Written:
-    """A DataFrame written once as Parquet and read again, which cuts its lineage."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = scratch_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def discard(self) -> None:
-        discard(self.spark, self.path)
+from floorwise.sources.scratch import Written, discard, scratch_path, scratch_root  # noqa: F401
 
 
 def fresh(df: DataFrame, name: str) -> str:

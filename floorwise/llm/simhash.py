@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorwise.llm.shared import Written, fresh, slices
+from floorwise.operators.graph import components
 
 SEED = 42
 MOST_BITS = 3
@@ -157,36 +158,6 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return upper.join(lower, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, label) of every node in ``pairs`` of (a, b); the label is the smallest node reachable.
-
-    Large-star and small-star steps alternate until the edges stay the same. Each minimum
-    is taken by a partial aggregate and joined back, so a node of very many edges is
-    neither gathered nor windowed in one task.
-    """
-    now = Written(pairs.select("a", "b").where("a <> b").distinct(), "edges")
-    state = _state(now.df)
-    while state[0]:
-        both = now.df.union(now.df.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", "m")).distinct()
-        following = Written(small, "edges")
-        now.discard()
-        now, before = following, state
-        state = _state(now.df)
-        if state == before:
-            break
-    star = now.df.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return star.union(star.select("label", "label").distinct())
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
-
-
 def classes(rows: DataFrame, most_bits: int = MOST_BITS, id_column: str = "doc_id") -> DataFrame:
     """(fingerprint, component_id) for the distinct fingerprints of ``rows``, a written table."""
     nodes = Written(rows.groupBy("fingerprint").agg(F.min(id_column).alias("first_id")), "fingerprints").df
@@ -200,7 +171,7 @@ def classes(rows: DataFrame, most_bits: int = MOST_BITS, id_column: str = "doc_i
 def near_duplicate_classes(docs: DataFrame, words: int = 3, most_bits: int = MOST_BITS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, ``fingerprint`` (16 hex digits) and ``component_id``."""
     rows = Written(with_fingerprints(docs.select(id_column, text), words, text), "rows").df
-    found = rows.join(classes(rows, most_bits, id_column), "fingerprint")
+    found = rows.join(Written(classes(rows, most_bits, id_column), "classes").df, "fingerprint")
     return found.select(id_column, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -211,7 +182,9 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, most_bits: int = MOST_BITS
         raise ValueError("documents already have a column named fingerprint")
     table = Written(with_fingerprints(docs, words, text, fp, keep_text=True).withColumn(row, F.monotonically_increasing_id()), "documents").df
     rows = table.select(F.col(id_column).alias("id"), F.col(fp), F.col(row).alias("row"))
-    found = rows.join(classes(rows, most_bits, "id").withColumnRenamed("component_id", component), fp)
+    of_fp = Written(classes(rows, most_bits, "id").withColumnRenamed("component_id", component), "classes").df
+    found = Written(rows.join(of_fp, fp), "members").df  # a hot fingerprint's rows are split where the join is written
     first = found.groupBy(component).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("kept"))
-    extra = found.join(first, found[component].eqNullSafe(first[component])).where("row <> kept").select(F.col("row").alias(row))
+    first = Written(first.withColumnRenamed(component, "_component"), "kept").df
+    extra = found.join(first, found[component].eqNullSafe(first["_component"])).where("row <> kept").select(F.col("row").alias(row))
     return table.join(extra, row, "left_anti").select(docs.columns)
