@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from floorwise.llm.shared import slices
 
-#: Pre-tokens that a worker keeps; beyond that it forgets all and starts anew.
-CACHE_ENTRIES = 150_000
+#: Pre-tokens in each of the two generations of a worker's cache. A full generation becomes
+#: the older one, of which only what is used again moves on.
+CACHE_ENTRIES = 120_000
 #: Text that is encoded in one go: the longer, the more positions an active rank has.
 STRETCH = 3 << 20
 #: A rank with fewer positions is applied one by one, without array operations.
@@ -75,6 +76,8 @@ class PairIndexBPE:
         self.ranks = np.array([self.rank[k] for k in self.keys.tolist()], dtype=np.int64)
         self.pre_tokenizer = Tokenizer.from_str(source).pre_tokenizer
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most = CACHE_ENTRIES
 
     def pre_tokens(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens.
@@ -173,19 +176,26 @@ class PairIndexBPE:
             if self.special_pattern and any(s in parts[0] for s in self.special):
                 parts = self.special_pattern.split(parts[0])
             rows.append([self.special[p] if p in self.special else self.pre_tokens(p) for p in parts if p])
-        missing = self.learn({w for row in rows for part in row if type(part) is list for w in part})
+        used: set[str] = set()
+        for row in rows:
+            for part in row:
+                if type(part) is list:
+                    used.update(part)
+        missing = self.unknown(used)
         if missing:
             self.words.update(zip(missing, self.encode_words(missing)))
         known = self.words.__getitem__
         return [b"".join([b"".join(map(known, part)) if type(part) is list else part for part in row]) for row in rows]
 
-    def learn(self, words: set[str]) -> list[str]:
-        """Those pre-tokens that the cache lacks; it forgets all when it would grow too large."""
-        missing = words - self.words.keys()
-        if len(self.words) + len(missing) > CACHE_ENTRIES:
-            self.words.clear()
-            return list(words)
-        return list(missing)
+    def unknown(self, used: set[str]) -> list[str]:
+        """Those pre-tokens that the cache lacks; what its older generation has moves on."""
+        missing = used - self.words.keys()
+        if len(self.words) + len(missing) > self.most:
+            self.older, self.words = self.words, {}
+            missing = used
+        again = missing & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        return list(missing - again)
 
 
 class Decoder:

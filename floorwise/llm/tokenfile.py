@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import struct
-from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -117,15 +116,24 @@ class LibraryBPE(bpe.PairIndexBPE):
         super().__init__(source)
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.most = 300_000  # no second Python stage shares the executor's memory here
         self.library = Tokenizer.from_str(source)
+        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # words are split already
         self.library.no_truncation()
         self.library.no_padding()
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[bytes] = []
+        for start in range(0, len(words), 5000):
+            some = words[start : start + 5000]
+            found = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(some)), side="right") * 4).tolist()
+            out += [raw[s:e] for s, e in zip([0, *ends], ends)]
+        return out
 
 
 FILES = "part int, file long, first_id long, documents long, ids long, payload binary"
