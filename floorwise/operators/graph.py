@@ -38,3 +38,265 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
+
+
+def with_lengths(edges: DataFrame) -> DataFrame:
+    """Component labels on edges (map_id, edge_id, a, b, length); node ids are made unique by map."""
+    key = lambda c: F.concat_ws("|", "map_id", F.col(c).cast("string"))
+    labels = components(edges.select(key("a").alias("a"), key("b").alias("b")))
+    return edges.withColumn("_n", key("a")).join(labels.select(F.col("node").alias("_n"), F.col("label").alias("component")), "_n").drop("_n")
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The edges of each map's component with the greatest total length."""
+    labelled = Written(with_lengths(edges), "labelled").df
+    totals = labelled.groupBy("map_id", "component").agg(F.sum("length").alias("l"))
+    best = totals.groupBy("map_id").agg(F.max_by("component", F.struct("l", "component")).alias("component"))
+    return labelled.join(best, ["map_id", "component"], "left_semi").drop("component")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(map_id, node, degree): incident edge ends; a loop counts twice."""
+    return edges.select("map_id", F.explode(F.array("a", "b")).alias("node")).groupBy("map_id", "node").agg(F.count("*").alias("degree"))
+
+
+def dead_ends(edges: DataFrame) -> DataFrame:
+    """Edges with ``dead_end``: whether an end has no other edge, or the edge is a ray (length under 0)."""
+    d = degrees(edges)
+    of = lambda c: d.select("map_id", F.col("node").alias(c), F.col("degree").alias(f"_{c}"))
+    joined = edges.join(of("a"), ["map_id", "a"]).join(of("b"), ["map_id", "b"])
+    return joined.withColumn("dead_end", (F.col("length") < 0) | (F.col("_a") < 2) | (F.col("_b") < 2)).select(*edges.columns, "dead_end")
+
+
+def without_dead_ends(edges: DataFrame, shorter_than: float) -> DataFrame:
+    """Edges without dead ends under a length; what becomes a dead end by that stays."""
+    return dead_ends(edges).where(~(F.col("dead_end") & (F.col("length") < shorter_than))).select(edges.columns)
+
+
+def without_rays(edges: DataFrame) -> DataFrame:
+    return edges.where("length >= 0")
+
+
+def without_loops(edges: DataFrame) -> DataFrame:
+    """Edges without those of no length between equal ends."""
+    return edges.where("not (length = 0 or a = b)")
+
+
+def twins(half_edges: DataFrame) -> DataFrame:
+    """Half edges (map_id, half_id, source, target, path_key) with the half edge the other way."""
+    other = half_edges.select("map_id", F.col("half_id").alias("twin"), F.col("source").alias("target"), F.col("target").alias("source"), "path_key")
+    return half_edges.join(other, ["map_id", "source", "target", "path_key"], "left").where("twin is null or twin <> half_id")
+
+
+def obstacle_statistics(legs: DataFrame) -> DataFrame:
+    """Length and least and mean obstacle distance of paths, from their legs
+    (map_id, edge_id, length, obstacle); the mean is weighted by length."""
+    weighted = F.sum(F.col("length") * F.col("obstacle")) / F.nullif(F.sum("length"), F.lit(0.0))
+    return legs.groupBy("map_id", "edge_id").agg(F.sum("length").alias("length"), F.min("obstacle").alias("obstacle_minimum"), F.coalesce(weighted, F.avg("obstacle")).alias("obstacle_average"))
+
+
+def vertex_obstacles(edges: DataFrame) -> DataFrame:
+    """The least obstacle distance of each vertex over its edges."""
+    return edges.select("map_id", F.explode(F.array("a", "b")).alias("node"), "obstacle_minimum").groupBy("map_id", "node").agg(F.min("obstacle_minimum").alias("obstacle"))
+
+
+def joined_chains(edges: DataFrame) -> DataFrame:
+    """Paths of edges whose inner vertices have two edges, as one edge each.
+
+    Inner edges meet in components of chains; the ends of a chain are its vertices with
+    another number of edges. A closed chain without such a vertex begins and ends at its
+    smallest one. Lengths add up.
+    """
+    edges = Written(edges.select("map_id", "edge_id", "a", "b", "length"), "chains").df
+    inner = degrees(edges).where("degree = 2").select("map_id", "node")
+    ends = edges.select("map_id", "edge_id", F.explode(F.array("a", "b")).alias("node"))
+    at = ends.join(inner, ["map_id", "node"])
+    key = F.concat_ws("|", "map_id", F.col("edge_id").cast("string"))
+    pairs = at.groupBy("map_id", "node").agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    labels = components(pairs.select("a", "b"))
+    chained = edges.withColumn("_k", key).join(labels.select(F.col("node").alias("_k"), "label"), "_k", "left").withColumn("chain", F.coalesce("label", "_k"))
+    chained = Written(chained.select("map_id", "edge_id", "a", "b", "length", "chain"), "chained").df
+    outer = chained.select("map_id", "chain", F.explode(F.array("a", "b")).alias("node")).join(inner, ["map_id", "node"], "left_anti")
+    tips = outer.groupBy("map_id", "chain").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    whole = chained.groupBy("map_id", "chain").agg(F.sum("length").alias("length"), F.count("*").alias("edges"), F.min(F.least("a", "b")).alias("first"))
+    return whole.join(tips, ["map_id", "chain"], "left").select("map_id", F.col("chain").alias("edge_id"), F.coalesce("a", "first").alias("a"), F.coalesce("b", "first").alias("b"), "length", "edges")
+
+
+def path_rooms(edges: DataFrame, areas: DataFrame) -> DataFrame:
+    """The room of each edge (map_id, edge_id, room_a, room_b): the common one, the known one,
+    else that of the larger area (map_id, room_id, area)."""
+    of = lambda c: areas.select("map_id", F.col("room_id").alias(f"room_{c}"), F.col("area").alias(f"_{c}"))
+    joined = edges.join(of("a"), ["map_id", "room_a"], "left").join(of("b"), ["map_id", "room_b"], "left")
+    larger = F.when(F.coalesce("_a", F.lit(0.0)) >= F.coalesce("_b", F.lit(0.0)), F.col("room_a")).otherwise(F.col("room_b"))
+    return joined.withColumn("room_id", F.when(F.col("room_a").isNull(), F.col("room_b")).when(F.col("room_b").isNull(), F.col("room_a")).otherwise(larger)).select(*edges.columns, "room_id")
+
+
+def passage_vertices(edges: DataFrame) -> DataFrame:
+    """Vertices that join rooms: two edges of different rooms, or more than two and no room in common."""
+    at = edges.select("map_id", F.explode(F.array("a", "b")).alias("node"), "room_id")
+    counted = at.groupBy("map_id", "node").agg(F.count("*").alias("n"), F.count_distinct("room_id").alias("rooms"), F.count("room_id").alias("known"))
+    return counted.where("(n = 2 and rooms = 2) or (n > 2 and (rooms > 1 or known = 0))").select("map_id", "node", (F.col("n") > 2).alias("junction"))
+
+
+def area_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rooms (map_id, room_id, edges, length) and the bridge of passages to rooms."""
+    rooms = edges.where("room_id is not null").groupBy("map_id", "room_id").agg(F.count("*").alias("edges"), F.sum("length").alias("length"))
+    at = edges.where("room_id is not null").select("map_id", F.explode(F.array("a", "b")).alias("node"), "room_id").distinct()
+    bridge = at.join(passage_vertices(edges).select("map_id", "node"), ["map_id", "node"]).select("map_id", F.col("node").alias("passage_id"), "room_id")
+    return rooms, bridge
+
+
+def line_graph(edges: DataFrame) -> DataFrame:
+    """(map_id, e, f) of edges that share an end."""
+    at = edges.select("map_id", "edge_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    other = at.select("map_id", F.col("edge_id").alias("f"), "node")
+    return at.withColumnRenamed("edge_id", "e").join(other, ["map_id", "node"]).where("e < f").select("map_id", "e", "f").distinct()
+
+
+def contracted(edges: DataFrame, vertices: DataFrame, shorter_than: float) -> tuple[DataFrame, DataFrame]:
+    """The graph with the ends of short edges joined: vertices (map_id, node, x, y) are averaged."""
+    short = edges.where(F.col("length") <= shorter_than)
+    key = lambda c: F.concat_ws("|", "map_id", F.col(c).cast("string"))
+    labels = components(short.select(key("a").alias("a"), key("b").alias("b")))
+    named = Written(vertices.withColumn("_k", key("node")).join(labels.select(F.col("node").alias("_k"), "label"), "_k", "left").withColumn("group", F.coalesce("label", "_k")), "groups").df
+    groups = named.groupBy("map_id", "group").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("joined"))
+    of = lambda c: named.select("map_id", F.col("node").alias(c), F.col("group").alias(f"g{c}"))
+    left = edges.where(F.col("length") > shorter_than).join(of("a"), ["map_id", "a"]).join(of("b"), ["map_id", "b"])
+    return left.select("map_id", "edge_id", F.col("ga").alias("a"), F.col("gb").alias("b"), "length"), groups.withColumnRenamed("group", "node")
+
+
+def distances_from(edges: DataFrame, starts: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(map_id, start, node, distance, hops) of shortest paths from ``starts`` (map_id, start).
+
+    Bellman-Ford: each round relaxes the edges of the vertices that got nearer in the last
+    one, until none does.
+    """
+    both = edges.select("map_id", "a", "b", "length").union(edges.select("map_id", "b", "a", "length")).where("length >= 0")
+    both = Written(both.select("map_id", F.col("a").alias("node"), F.col("b").alias("to"), F.col("length").cast("double").alias("length")), "arcs").df
+    known = Written(starts.select("map_id", "start", F.col("start").alias("node"), F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.lit(True).alias("new")), "known")
+    for _ in range(most_rounds):
+        fresh = known.df.where("new")
+        if fresh.isEmpty():
+            break
+        reached = fresh.join(both, ["map_id", "node"]).select("map_id", "start", F.col("to").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("new"))
+        all_known = known.df.withColumn("new", F.lit(False)).unionByName(reached)
+        best = all_known.groupBy("map_id", "start", "node").agg(F.min(F.struct("distance", "hops", "new")).alias("b"))  # of equal ways the known one
+        following = Written(best.select("map_id", "start", "node", "b.distance", "b.hops", "b.new"), "known")
+        known.discard()
+        known = following
+    return known.df.drop("new")
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, through: DataFrame | None = None) -> DataFrame:
+    """Nodes that a flag reaches from ``seeds`` (map_id, node) along edges; with ``through``
+    it goes on only from those nodes."""
+    both = edges.select("map_id", F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("map_id", F.col("b"), F.col("a")))
+    now = Written(seeds.select("map_id", "node").distinct(), "flags")
+    n = now.df.count()
+    while n:
+        going = now.df if through is None else now.df.join(through.select("map_id", "node"), ["map_id", "node"], "left_semi")
+        more = going.join(both, ["map_id", "node"]).select("map_id", F.col("to").alias("node"))
+        following = Written(now.df.union(more).distinct(), "flags")
+        now.discard()
+        now, before = following, n
+        n = now.df.count()
+        if n == before:
+            break
+    return now.df
+
+
+def numbered_vertices(vertices: DataFrame) -> DataFrame:
+    """Vertices (map_id, node, x, y) numbered from 0 by position."""
+    from pyspark.sql import Window
+
+    return vertices.withColumn("vertex_id", F.row_number().over(Window.partitionBy("map_id").orderBy("x", "y", "node")) - 1)
+
+
+def exit_angles(exits: DataFrame) -> DataFrame:
+    """Exits (map_id, node, exit_id, angle) with the next one clockwise and the gap to it."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("map_id", "node").orderBy(F.desc("angle"), "exit_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
+    return exits.withColumns({"next_exit": nxt("exit_id"), "gap": F.pmod(F.col("angle") - nxt("angle"), F.lit(6.283185307179586))})
+
+
+def inconsistencies(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edge ends without a vertex, and vertices without an edge."""
+    ends = edges.select("map_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = vertices.select("map_id", "node")
+    lost, idle = ends.join(known, ["map_id", "node"], "left_anti"), known.join(ends, ["map_id", "node"], "left_anti")
+    return lost.withColumn("problem", F.lit("no vertex")).unionByName(idle.withColumn("problem", F.lit("no edge")))
+
+
+def clipped(edges: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Edges (with ``path``) whose ends both lie in the map's ring (map_id, ring); an edge with
+    one end outside becomes a ray."""
+    from floorwise.functions import rings
+
+    joined = edges.join(boundary.select("map_id", "ring"), "map_id")
+    inside = lambda i: rings.contains(F.col("ring"), F.element_at("path", i))
+    marked = joined.withColumns({"_s": inside(1), "_t": inside(-1)}).where("_s or _t")
+    return marked.withColumn("length", F.when(F.col("_s") & F.col("_t"), F.col("length")).otherwise(-1.0)).select(edges.columns)
+
+
+def voronoi(sites: DataFrame) -> DataFrame:
+    """Voronoi edges (map_id, a, b, path, length, obstacle) of sites (map_id, x, y).
+
+    The edges join the circumcentres of Delaunay triangles that share a side; ``obstacle``
+    is the distance to the nearest site at the middle. Triangulation takes a map as one
+    group and suits some thousand sites a map; thin obstacle pixels out before.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from floorwise.functions import kernels
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        points = np.unique(group[["x", "y"]].to_numpy(dtype=float), axis=0)
+        triangles = kernels.delaunay(points)
+        a, b, c = (points[triangles[:, i]] for i in range(3)) if len(triangles) else (np.zeros((0, 2)),) * 3
+        d = 2 * (a[:, 0] * (b - c)[:, 1] + b[:, 0] * (c - a)[:, 1] + c[:, 0] * (a - b)[:, 1])
+        sq = lambda p: (p**2).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            centres = np.stack([(sq(a) * (b - c)[:, 1] + sq(b) * (c - a)[:, 1] + sq(c) * (a - b)[:, 1]) / d, (sq(a) * (c - b)[:, 0] + sq(b) * (a - c)[:, 0] + sq(c) * (b - a)[:, 0]) / d], axis=1)
+        sides: dict = {}
+        for t, corners in enumerate(triangles.tolist()):
+            for k in range(3):
+                sides.setdefault(tuple(sorted((corners[k], corners[(k + 1) % 3]))), []).append(t)
+        rows = []
+        for (p, _), ts in sides.items():
+            if len(ts) == 2 and np.isfinite(centres[ts]).all():
+                s, e = centres[ts[0]], centres[ts[1]]
+                rows.append((group.map_id.iloc[0], int(min(ts)), int(max(ts)), kernels.to_ring(np.stack([s, e])), float(np.hypot(*(e - s))), float(np.hypot(*((s + e) / 2 - points[p])))))
+        return pd.DataFrame(rows, columns=["map_id", "a", "b", "path", "length", "obstacle"])
+
+    return sites.select("map_id", "x", "y").groupBy("map_id").applyInPandas(run, "map_id string, a long, b long, path array<struct<x:double,y:double>>, length double, obstacle double")
+
+
+def away_from_obstacles(edges: DataFrame, least: float) -> DataFrame:
+    return edges.where(F.col("obstacle") > least)
+
+
+def cut_by_rooms(edges: DataFrame, room_rings: DataFrame) -> DataFrame:
+    """Edges (map_id, edge_id, a, b, path) cut where they cross rooms (map_id, room_id, ring).
+
+    Each piece (map_id, edge_id, piece, path, length, room_id) lies in one room or none.
+    Pairs of an edge and a room meet by bounding box over grid cells.
+    """
+    from floorwise.functions import kernels, rings
+    from floorwise.operators.spatial import points_by_rings
+
+    paths = Written(edges.select("map_id", "edge_id", "path"), "paths").df
+    vertices = paths.select("map_id", "edge_id", F.explode("path").alias("p"))
+    size = room_rings.select(F.avg(F.sqrt(rings.area(F.col("ring"))))).first()[0] or 1.0
+    near = points_by_rings(vertices, room_rings.select("map_id", "room_id", "ring"), size, 4 * size, ["map_id"]).select("map_id", "edge_id", "room_id", "ring").dropDuplicates(["map_id", "edge_id", "room_id"])
+    pairs = near.join(paths, ["map_id", "edge_id"])
+    marks = pairs.withColumn("cuts", kernels.crossings(F.col("path"), F.col("ring"))).groupBy("map_id", "edge_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
+    cut = paths.join(marks, ["map_id", "edge_id"], "left").withColumn("total", rings.length(F.col("path")))
+    stops = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array("total"))
+    spans = cut.withColumn("stops", stops).select("map_id", "edge_id", "path", F.posexplode(F.zip_with(F.slice("stops", F.lit(1), F.size("stops") - 1), F.slice("stops", F.lit(2), F.size("stops")), lambda s, e: F.struct(s.alias("s"), e.alias("e")))).alias("piece", "span"))
+    placed = spans.withColumn("p", rings.point_at(F.col("path"), (F.col("span.s") + F.col("span.e")) / 2)).withColumn("ends", F.array(rings.point_at(F.col("path"), F.col("span.s")), rings.point_at(F.col("path"), F.col("span.e"))))
+    held = placed.select("map_id", "edge_id", "piece", "p").join(near, ["map_id", "edge_id"]).where(rings.contains(F.col("ring"), F.col("p"))).groupBy("map_id", "edge_id", "piece").agg(F.min("room_id").alias("room_id"))
+    return placed.join(held, ["map_id", "edge_id", "piece"], "left").select("map_id", "edge_id", "piece", F.col("ends").alias("path"), (F.col("span.e") - F.col("span.s")).alias("length"), "room_id")
