@@ -11,8 +11,8 @@ so no text can close or open a turn and escaping can be undone. The loss mask co
 assistant text, without its markers.
 
 Defined results: a null text or role is empty; a parent that is not there makes its node a
-root; messages of one conversation that share a node id raise an error in no case, but
-``linear`` numbers rows itself: by turn, then role, then text; cycles raise an error.
+root; cycles raise an error. Node ids are unique in a conversation; ``linear`` numbers the
+rows of a table itself, by turn, then role, then text, so ties and repeated rows all stay.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ CONTROLS = (START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|
 _ESCAPE = re.compile(r"\\|(?=" + "|".join(map(re.escape, CONTROLS)) + ").", re.DOTALL)
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(re.escape(START) + "(.*?)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
-MOST_ROUNDS = 48
 
 
 def escape(text: str) -> str:
@@ -81,8 +80,9 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     jumps = [Written(first.select("conversation", "node", F.col("n").alias("above"), "total", F.lit(1).cast("long").alias("depth")), "jumps")]
     parents = jumps[0].df.where("above is not null").select(F.col("conversation").alias("c"), F.col("above").alias("n")).distinct()
     leaves = jumps[0].df.join(parents, same("conversation", "c") & (F.col("node") == F.col("n")), "left_anti").select("conversation", "node")
+    most = jumps[0].df.count().bit_length() + 1  # reach doubles, and no path has more nodes than there are
     while not jumps[-1].df.where("above is not null").isEmpty():
-        if len(jumps) > MOST_ROUNDS:
+        if len(jumps) > most:
             raise ValueError("replies form a cycle")
         now = jumps[-1].df
         far = now.select(F.col("conversation").alias("c"), F.col("node").alias("n"), F.col("above").alias("farther"), F.col("total").alias("more"), F.col("depth").alias("deeper"))

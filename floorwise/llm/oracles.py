@@ -78,3 +78,43 @@ def chat_formatting(chat) -> str:
            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
            CAST(sum({fixed} + length(role) + length(text) + {escapes('role')} + {escapes('text')}) AS BIGINT) AS formatted_chars
     FROM turns GROUP BY conv_id"""
+
+
+def quality_rules(quality) -> str:
+    """Features, votes and every step of expectation-maximisation, from the module's constants."""
+    space = "'[^\\x20\\x09-\\x0D]"
+    count = lambda characters: f"length(t) - length(translate(t, {_text(characters)}, ''))"
+    n = len(quality.RULES)
+    votes = ", ".join(f"CASE WHEN {against} THEN -1 WHEN {in_favour} THEN 1 ELSE 0 END AS v{i}" for i, (_, against, in_favour) in enumerate(quality.RULES))
+    names = ", ".join(f"v{i}" for i in range(n))
+    odds = lambda table: f"{table}.lp + " + " + ".join(f"CASE v{i} WHEN -1 THEN {table}.a{i} WHEN 1 THEN {table}.f{i} ELSE 0 END" for i in range(n))
+    share = {"g": quality.PRIOR, "b": 1 - quality.PRIOR}
+    start = {"a": quality.AGAINST, "f": quality.FOR}
+    sign = {"a": -1, "f": 1}
+    steps = []
+    for k in range(1, quality.ITERATIONS + 1):
+        sums = [f"{quality.STRENGTH * share[c]} * sum(n) + sum(n * {p}) AS {c}" for c, p in (("g", "p"), ("b", "(1 - p)"))]
+        sums += [f"{quality.STRENGTH * share[c] * start[w][j]} * sum(n) + coalesce(sum(n * {p}) FILTER (WHERE v{i} = {sign[w]}), 0) AS {c}{w}{i}" for i in range(n) for w in "af" for j, (c, p) in enumerate((("g", "p"), ("b", "(1 - p)")))]
+        ratios = ", ".join(f"ln((g{w}{i} / g) / (b{w}{i} / b)) AS {w}{i}" for i in range(n) for w in "af")
+        steps.append(f"o{k} AS MATERIALIZED (SELECT ln(g / b) AS lp, {ratios} FROM (SELECT {', '.join(sums)} FROM (SELECT c.*, 1 / (1 + exp(-({odds('o')}))) AS p FROM c, o{k - 1} o)))")
+    first = ", ".join(f"ln({start[w][0]} / {start[w][1]}) AS {w}{i}" for i in range(n) for w in "af")
+    words = "|".join(quality.FUNCTION_WORDS)
+    return f"""
+    WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS MATERIALIZED (SELECT r, regexp_extract_all(t, {space}+') AS w FROM t),
+    windows AS (SELECT r, i, w[i:i + 7] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+    repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+    covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM repeated) GROUP BY r),
+    lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, {space}')) AS l FROM t),
+    f AS MATERIALIZED (
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {count(quality.SYMBOLS)} AS n_symbols,
+               CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines,
+               {count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")} AS n_upper, {count("!")} AS n_marks, {count(".?")} AS n_stops,
+               len(list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{Nd}}_]+'), lambda x: regexp_full_match(x, '{words}'))) AS n_function_words
+        FROM t JOIN w USING (r) JOIN lines USING (r) LEFT JOIN covered USING (r)),
+    v AS MATERIALIZED (SELECT *, {votes} FROM f),
+    c AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY {names}),
+    o0 AS MATERIALIZED (SELECT ln({quality.PRIOR} / (1 - {quality.PRIOR})) AS lp, {first}),
+    {", ".join(steps)},
+    b AS (SELECT v.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed, 1 / (1 + exp(-({odds('o')}))) AS p FROM v, o{quality.ITERATIONS} o)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {quality.THRESHOLD} AS kept FROM b"""

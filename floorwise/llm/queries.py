@@ -50,10 +50,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"))
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", oracles.quality_rules(quality))
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 HOST_RULES = [
