@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from floorwise.functions import rings
 from floorwise.functions.scalars import passage_suffix
 from floorwise.functions.tags import has_tag, tag, upserted
+from floorwise.operators.ids import numbered
 from floorwise.sources.osm_xml import Maps, elements_of
+from floorwise.sources.scratch import Written
 
 #: Weights of anchors by type.
 WEIGHTS = {"elevator": 2.0, "stairs": 1.5}
@@ -69,50 +71,54 @@ def lowest_ids(elements: DataFrame) -> DataFrame:
     return elements.groupBy("map_id", "kind").agg(F.least(F.lit(0), F.min(F.col("id").try_cast("long"))).alias("lowest"))
 
 
+def renumbered(elements: DataFrame, low: DataFrame | None = None) -> DataFrame:
+    """Elements with ids that count down by kind, from the ``lowest`` of ``low`` (kind, lowest),
+    and references to nodes that follow. Numbers are given without gathering a kind in one task."""
+    rows = numbered(elements.select("kind", "map_id", "ord", "id"), ["kind", "map_id", "ord"], "n")
+    firsts = rows.groupBy("kind").agg(F.min("n").alias("first"))
+    if low is not None:
+        firsts = firsts.join(low, "kind", "left")
+    base = F.coalesce("lowest", F.lit(0)) if low is not None else F.lit(0)
+    ids = rows.join(firsts, "kind").select("kind", "map_id", "ord", "id", (base - (F.col("n") - F.col("first") + 1)).cast("string").alias("new_id"))
+    ids = Written(ids, "ids").df
+    node_ids = ids.where("kind = 'node'").groupBy("map_id", F.col("id").alias("ref")).agg(F.max_by("new_id", "ord").alias("new_ref"))
+    refs = elements.where("kind = 'way'").select("map_id", "kind", "ord", F.posexplode("nds").alias("pos", "ref")).join(node_ids, ["map_id", "ref"], "left")
+    nds = refs.groupBy("map_id", "kind", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new_ref", "ref").alias("r")))), lambda s: s["r"]).alias("new_nds"))
+    joined = elements.join(ids.drop("id"), ["map_id", "kind", "ord"]).join(nds, ["map_id", "kind", "ord"], "left")
+    return joined.withColumns({"id": F.col("new_id"), "nds": F.coalesce("new_nds", "nds")}).drop("new_id", "new_nds")
+
+
 def merge_floors(maps: Maps, reference: str, merged_id: str = "merged", keep_roots: bool = False, min_matches: int = 1) -> Maps:
     """One map of the reference floor and all others, aligned by shared lifts and stairs.
 
     New ids of every kind go down from the reference's lowest. Floors with fewer than
     ``min_matches`` shared names stay out; root nodes of other floors do unless kept.
     """
-    found = anchors(maps)
+    found = Written(anchors(maps), "anchors").df
     by = offsets(offset_details(found.where(F.col("map_id") == reference), found.where(F.col("map_id") != reference))).where(F.col("n_names") >= min_matches)
-    good = by.select("map_id").withColumn("_target", F.lit(True))
+    by = Written(by.select("map_id", "lat_offset", "lon_offset"), "offsets").df
     elements = maps.elements.where("kind <> 'document'")
-    own, rest = elements.where(F.col("map_id") == reference), elements.where(F.col("map_id") != reference).join(good.select("map_id"), "map_id", "left_semi")
+    own, rest = elements.where(F.col("map_id") == reference), elements.where(F.col("map_id") != reference)
     if not keep_roots:
         rest = rest.where(~((F.col("kind") == "node") & (tag("name") == "root")))
-    joined = rest.join(by.select("map_id", "lat_offset", "lon_offset"), "map_id")
+    joined = rest.join(by, "map_id")
     moved = lambda c: F.format_string("%.12f", F.col(c).try_cast("double") + F.col(f"{c}_offset"))
     rest = joined.withColumns({c: F.when(F.col("kind") == "node", moved(c)) for c in ("lat", "lon")}).drop("lat_offset", "lon_offset")
-    low = own.groupBy("kind").agg(F.least(F.lit(0), F.min(F.col("id").try_cast("long"))).alias("low"))
-    order = Window.partitionBy("kind").orderBy("map_id", "ord")
-    ids = rest.select("map_id", "kind", "ord", "id").withColumn("n", F.row_number().over(order)).join(low, "kind", "left")
-    ids = ids.select("map_id", "kind", "ord", "id", (F.coalesce("low", F.lit(0)) - F.col("n")).cast("string").alias("new_id"))
-    node_ids = ids.where("kind = 'node'").groupBy("map_id", "id").agg(F.max_by("new_id", "ord").alias("new_ref"))
-    refs = rest.where("kind = 'way'").select("map_id", "kind", "ord", F.posexplode("nds").alias("pos", "ref")).join(node_ids.withColumnRenamed("id", "ref"), ["map_id", "ref"], "left")
-    nds = refs.groupBy("map_id", "kind", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new_ref", "ref").alias("r")))), lambda s: s["r"]).alias("new_nds"))
-    renamed = rest.join(ids.drop("id"), ["map_id", "kind", "ord"]).join(nds, ["map_id", "kind", "ord"], "left")
-    renamed = renamed.withColumns({"id": F.col("new_id"), "nds": F.coalesce("new_nds", "nds"), "ord": (F.col("ord") - F.col("new_id").cast("int") * 0)}).drop("new_id", "new_nds")
+    low = own.groupBy("kind").agg(F.least(F.lit(0), F.min(F.col("id").try_cast("long"))).alias("lowest"))
+    both = own.unionByName(renumbered(rest.select(own.columns), low)).withColumn("_later", F.col("map_id") != reference)
+    placed = numbered(both.withColumnRenamed("ord", "_ord"), ["_later", "map_id", "_ord"], "ord").withColumn("ord", F.col("ord").cast("int")).drop("_later", "_ord")
     document = maps.documents.where(F.col("map_id") == reference).withColumns({"kind": F.lit("document"), "ord": F.lit(0)})
-    both = own.unionByName(renamed)
-    placed = both.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(merged_id)).orderBy((F.col("map_id") != reference), "map_id", "ord")))
     merged = placed.unionByName(document, allowMissingColumns=True).withColumn("map_id", F.lit(merged_id))
-    return with_vertical_passages(Maps(merged.select(maps.elements.columns)))
+    whole = with_vertical_passages(Maps(Written(merged.select(maps.elements.columns), "merged").df))
+    return Maps(Written(whole.elements, "merged").df)
 
 
 def concat_maps(maps: Maps, merged_id: str = "merged") -> Maps:
-    """All maps in one, without alignment; ids are numbered down from the lowest of all."""
-    elements = maps.elements.where("kind <> 'document'")
-    order = Window.partitionBy("kind").orderBy("map_id", "ord")
-    ids = elements.select("map_id", "kind", "ord", "id").withColumn("new_id", (-F.row_number().over(order)).cast("string"))
-    node_ids = ids.where("kind = 'node'").groupBy("map_id", "id").agg(F.max_by("new_id", "ord").alias("new_ref")).withColumnRenamed("id", "ref")
-    refs = elements.where("kind = 'way'").select("map_id", "kind", "ord", F.posexplode("nds").alias("pos", "ref")).join(node_ids, ["map_id", "ref"], "left")
-    nds = refs.groupBy("map_id", "kind", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new_ref", "ref").alias("r")))), lambda s: s["r"]).alias("new_nds"))
-    joined = elements.join(ids.drop("id"), ["map_id", "kind", "ord"]).join(nds, ["map_id", "kind", "ord"], "left")
-    merged = joined.withColumns({"id": F.col("new_id"), "nds": F.coalesce("new_nds", "nds")}).drop("new_id", "new_nds").withColumn("map_id", F.lit(merged_id))
+    """All maps in one, without alignment; ids are numbered down from -1."""
+    merged = renumbered(maps.elements.where("kind <> 'document'"))
+    placed = numbered(merged.withColumnRenamed("ord", "_ord"), ["map_id", "_ord"], "ord").withColumn("ord", F.col("ord").cast("int")).drop("_ord").withColumn("map_id", F.lit(merged_id))
     document = maps.documents.limit(1).withColumns({"map_id": F.lit(merged_id), "kind": F.lit("document"), "ord": F.lit(0)})
-    return Maps(merged.unionByName(document, allowMissingColumns=True).select(maps.elements.columns))
+    return Maps(Written(placed.unionByName(document, allowMissingColumns=True).select(maps.elements.columns), "merged").df)
 
 
 def vertical_passages(maps: Maps) -> tuple[DataFrame, DataFrame]:
@@ -121,24 +127,24 @@ def vertical_passages(maps: Maps) -> tuple[DataFrame, DataFrame]:
     Levels sort as numbers, or as text where one of a facility's levels is no number. Both
     nodes lie at the centre of the lower area's bounding box; the name is deterministic.
     """
-    found = anchors(maps).where(F.size("ring") > 0)
+    found = Written(anchors(maps).where(F.size("ring") > 0), "anchors").df
     numbers = found.groupBy("map_id", "type", "name").agg(F.bool_and(F.col("level").try_cast("double").isNotNull()).alias("_numeric"))
     ordered = found.join(numbers, ["map_id", "type", "name"]).withColumn("_n", F.when(F.col("_numeric"), F.col("level").try_cast("double")))
     up = Window.partitionBy("map_id", "type", "name").orderBy("_n", "level", "ord")
     pairs = ordered.select("map_id", "type", "name", "level", "ring", F.lead("level").over(up).alias("upper")).where("upper is not null")
     suffix = passage_suffix(F.col("type"), F.col("name"), F.col("level"), F.col("upper"))
     pairs = pairs.select("map_id", "type", "name", "level", "upper", rings.bbox_centre(F.col("ring")).alias("c"), F.concat("type", F.lit("_passage_"), suffix).alias("passage"))
-    lows = lowest_ids(maps.elements)
+    lows = Written(lowest_ids(maps.elements), "lows").df
     low = lambda kind: lows.where(F.col("kind") == kind).select("map_id", F.col("lowest").alias(f"_{kind}"))
     last = maps.elements.groupBy("map_id").agg(F.max("ord").alias("_ord"))
-    numbered = pairs.withColumn("n", F.row_number().over(Window.partitionBy("map_id").orderBy("type", "name", "level", "upper")))
-    numbered = numbered.join(low("node"), "map_id", "left").join(low("way"), "map_id", "left").join(last, "map_id").na.fill(0, ["_node", "_way"])
+    counted = pairs.withColumn("n", F.row_number().over(Window.partitionBy("map_id").orderBy("type", "name", "level", "upper")))
+    counted = counted.join(low("node"), "map_id", "left").join(low("way"), "map_id", "left").join(last, "map_id").na.fill(0, ["_node", "_way"])
     ids = F.array(*((F.col("_node") - 2 * F.col("n") + k).cast("string") for k in (1, 0)))
-    numbered = numbered.withColumn("nds", ids)
-    nodes = numbered.select("map_id", (F.col("_ord") + 3 * F.col("n") - 2).cast("int").alias("ord"), F.col("c"), F.posexplode("nds").alias("k", "id"))
+    counted = Written(counted.withColumn("nds", ids), "passages").df
+    nodes = counted.select("map_id", (F.col("_ord") + 3 * F.col("n") - 2).cast("int").alias("ord"), F.col("c"), F.posexplode("nds").alias("k", "id"))
     nodes = nodes.select("map_id", (F.col("ord") + F.col("k")).cast("int").alias("ord"), "id", F.format_string("%.12f", F.col("c.y")).alias("lat"), F.format_string("%.12f", F.col("c.x")).alias("lon"), F.lit("modify").alias("action"), F.lit("true").alias("visible"), F.create_map().cast("map<string,string>").alias("tags"))
     tags = F.create_map(*(x for k, v in {"name": F.col("passage"), "osmAG:type": F.lit("passage"), "osmAG:from": F.col("name"), "osmAG:to": F.col("name"), "level": F.col("level"), "indoor": F.lit("yes"), "osmAG:areaType": F.col("type")}.items() for x in (F.lit(k), v)))
-    ways = numbered.select("map_id", (F.col("_ord") + 3 * F.col("n")).cast("int").alias("ord"), (F.col("_way") - F.col("n")).cast("string").alias("id"), F.lit("modify").alias("action"), F.lit("true").alias("visible"), "nds", tags.alias("tags"))
+    ways = counted.select("map_id", (F.col("_ord") + 3 * F.col("n")).cast("int").alias("ord"), (F.col("_way") - F.col("n")).cast("string").alias("id"), F.lit("modify").alias("action"), F.lit("true").alias("visible"), "nds", tags.alias("tags"))
     return nodes, ways
 
 
