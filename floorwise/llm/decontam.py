@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorwise.llm.shared import slices
+from floorwise.llm.shared import shielded, slices
 
 WINDOW = 10
 #: Limits of the items sent to executors and of the windows in one automaton.
@@ -159,5 +159,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0, **options) -> DataFrame:
     """Documents of which at most ``most_share`` of the words lie in benchmark windows."""
-    found = scan(docs, benchmark, keep_text=True, **options)
-    return found.where(F.col("n_hit") <= F.col("n_words") * F.lit(most_share)).select(docs.columns)
+    plain, back = shielded(docs, [options.get("text", "text")])
+    found = scan(plain, benchmark, keep_text=True, **options)
+    return back(found.where(F.col("n_hit") <= F.col("n_words") * F.lit(most_share)))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorwise.llm.shared import Written
+from floorwise.llm.shared import Written, shielded
 
 WINDOW = 8
 MIN_WORDS, MOST_REPEATED_PERCENT = 20, 30
@@ -148,8 +148,6 @@ def scored(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, keep
 
 
 def good_documents(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    clashing = {*FEATURES, "base_failed", "posterior", "kept"} & {c.lower() for c in docs.columns}
-    if clashing:
-        raise ValueError(f"rename the columns {sorted(clashing)}")
-    return scored(docs, text, threshold, keep_text=True).where("kept").select(docs.columns)
+    """The documents that are kept, with their own columns whatever their names."""
+    plain, back = shielded(docs, [text])
+    return back(scored(plain, text, threshold, keep_text=True).where("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +17,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but the needed ones under names that nothing else takes, and the
+    way back to its own columns."""
+    names = {c: c if c.lower() in {n.lower() for n in needed} else f"_shielded_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), lambda out: out.select(*(out[n].alias(c) for c, n in names.items()))
+
+
 def slices(texts: list, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most_bytes`` of text each, so that long rows bound a batch."""
     start = size = 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorwise.llm.shared import Written, fresh, slices
+from floorwise.llm.shared import Written, shielded, slices
 from floorwise.operators.graph import components
 
 SEED = 42
@@ -177,14 +177,13 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, most_bits: int = MOS
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, most_bits: int = MOST_BITS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest id, and of equal ids any one."""
-    fp, row, component = "fingerprint", fresh(docs, "row_number"), fresh(docs, "component_id")
-    if fp in {c.lower() for c in docs.columns}:
-        raise ValueError("documents already have a column named fingerprint")
-    table = Written(with_fingerprints(docs, words, text, fp, keep_text=True).withColumn(row, F.monotonically_increasing_id()), "documents").df
+    plain, back = shielded(docs, [id_column, text])
+    fp, row, component = "fingerprint", "row_number", "component_id"
+    table = Written(with_fingerprints(plain, words, text, fp, keep_text=True).withColumn(row, F.monotonically_increasing_id()), "documents").df
     rows = table.select(F.col(id_column).alias("id"), F.col(fp), F.col(row).alias("row"))
     of_fp = Written(classes(rows, most_bits, "id").withColumnRenamed("component_id", component), "classes").df
     found = Written(rows.join(of_fp, fp), "members").df  # a hot fingerprint's rows are split where the join is written
     first = found.groupBy(component).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("kept"))
     first = Written(first.withColumnRenamed(component, "_component"), "kept").df
     extra = found.join(first, found[component].eqNullSafe(first["_component"])).where("row <> kept").select(F.col("row").alias(row))
-    return table.join(extra, row, "left_anti").select(docs.columns)
+    return back(table.join(extra, row, "left_anti"))

@@ -418,6 +418,20 @@ def test_helpers(spark):
     assert fresh(spark.range(1).withColumnRenamed("id", "X"), "x") == "_x"
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"The word {i} of the text is here and there." for i in range(30))
+    df = documents(spark, [good, good, None, "", LONG]).selectExpr("*", "'a' kept", "'b' fingerprint", "'c' n_hit", "'d' removed_lines", "'e' component_id", "'f' row_number", "'g' posterior", "'h' T1")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns and out.count() >= 1
+        assert tuple(out.select(df.columns[5:]).first()) == tuple("abcdefgh")
+    assert linededup.without_boilerplate(df).columns == [*df.columns, "_removed_lines"]
+    with_mentions = pii.replaced(df.withColumn("n_mentions", F.lit(1)), "k")
+    assert with_mentions.columns[-1] == "_n_mentions"
+
+
 def test_pipeline_stages(spark, small, library):
     import corpus_pipeline
 
