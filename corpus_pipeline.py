@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorwise.llm import bpe, decontam, linededup, quality, simhash
-from floorwise.llm.shared import Written
+from floorwise.llm.shared import Written, fresh
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,8 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; every document stays."""
+    removed = fresh(docs, "removed_lines")
     cleaned = linededup.without_boilerplate(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return cleaned.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
