@@ -131,7 +131,7 @@ def test_graphs(spark):
     far = {r.node: (r.distance, r.hops) for r in graph.distances_from(e, spark.createDataFrame([("m", "a")], "map_id string, start string")).collect()}
     assert far["g"] == (8.0, 4) and far["e"] == (2.5, 3) and "x" not in far
     assert {r.node for r in graph.propagated(e, spark.createDataFrame([("m", "x")], "map_id string, node string")).collect()} == {"x", "y"}
-    assert graph.line_graph(e).count() == 6
+    assert graph.line_graph(e).count() == 7
     left, groups = graph.contracted(e, spark.createDataFrame([("m", n, 0.0, float(i)) for i, n in enumerate("abcdefgxy")], "map_id string, node string, x double, y double"), 0.6)
     assert left.count() == 6 and groups.count() == 8
     sites = spark.createDataFrame([("m", float(x), float(y)) for x in range(4) for y in range(3)], "map_id string, x double, y double").withColumn("x", F.col("x") + F.col("y") * 0.01)
