@@ -421,7 +421,7 @@ def test_helpers(spark):
 def test_stages_keep_columns_of_any_name(spark):
     import corpus_pipeline
 
-    good = " ".join(f"The word {i} of the text is here and there." for i in range(30))
+    good = " ".join(f"The item{i} and thing{i * 7} of place{i * 3} in year{i}." for i in range(30))
     df = documents(spark, [good, good, None, "", LONG]).selectExpr("*", "'a' kept", "'b' fingerprint", "'c' n_hit", "'d' removed_lines", "'e' component_id", "'f' row_number", "'g' posterior", "'h' T1")
     for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
         out = stage(spark, df, SMALL)
