@@ -68,11 +68,14 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words:
     of_text = docs.where(F.col(text).isNotNull()).select(*keys, F.explode(_hashes(F.col(text), min_words)).alias("h")).select(t1, t2, "h.h1", "h.h2")
     hit = of_text.join(found, ["h1", "h2"]).groupBy(t1, t2).agg(F.collect_set(F.struct("h1", "h2")).alias(lines))
     hits = Written(hit, "lines").df  # one row for each distinct text with boilerplate
-    joined = docs.withColumns({t1: keys[0], t2: keys[1]}).join(hits, [t1, t2], "left")
+    joined = docs.withColumns({t1: keys[0], t2: keys[1]}).join(hits.hint("merge"), [t1, t2], "left")
     stays = lambda line: ~(_counts(_trimmed(line), min_words) & F.array_contains(F.col(lines), _hash(_trimmed(line))))
-    kept = joined.withColumn(left, F.when(F.col(lines).isNotNull(), F.filter(F.split(F.col(text), "\n"), stays)))
-    short = F.length(F.array_join(left, "\n")) < (1 - most_removed) * F.length(text)
-    cleaned = F.col(left).isNotNull() & ~short
-    n_removed = F.size(F.split(F.col(text), "\n")) - F.size(left)
-    columns = [F.when(cleaned, F.array_join(left, "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns]
+    # one expression holds all that is made from the lines, so they are filtered once for a row
+    both = lambda of: F.struct(F.array_join(of, "\n").alias("text"), F.size(of).alias("lines"))
+    part = F.get(F.transform(F.array(F.filter(F.split(F.col(text), "\n"), stays)), both), F.lit(0))
+    kept = joined.withColumn(left, F.when(F.col(lines).isNotNull(), part))
+    long = F.length(F.col(left)["text"]) >= (1 - most_removed) * F.length(text)
+    cleaned = F.coalesce(long, F.lit(False))
+    n_removed = F.size(F.split(F.col(text), "\n")) - F.col(left)["lines"]
+    columns = [F.when(cleaned, F.col(left)["text"]).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns]
     return kept.select(*columns, F.when(cleaned, n_removed).otherwise(0).cast("long").alias(removed))
