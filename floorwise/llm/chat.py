@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -84,12 +85,15 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while not jumps[-1].df.where("above is not null").isEmpty():
         if len(jumps) > most:
             raise ValueError("replies form a cycle")
-        now = jumps[-1].df
-        far = now.select(F.col("conversation").alias("c"), F.col("node").alias("n"), F.col("above").alias("farther"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        step = now.join(far, same("conversation", "c") & (F.col("above") == F.col("n")), "left")
-        step = step.select("conversation", "node", F.col("farther").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"))
+        now = jumps[-1].df.where("above is not null")
+        ended = [j.df.where("above is null") for j in jumps]
+        far = reduce(DataFrame.unionByName, ended, now)
+        far = far.select(F.col("conversation").alias("c"), F.col("node").alias("n"), F.col("above").alias("farther"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
+        step = now.join(far, same("conversation", "c") & (F.col("above") == F.col("n")))  # only nodes that have not passed their root
+        step = step.select("conversation", "node", F.col("farther").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
         jumps.append(Written(step, "jumps"))
-    scores = jumps[-1].df.select(F.col("conversation").alias("c"), F.col("node").alias("n"), (F.col("total") / F.col("depth")).alias("branch_score"))
+    scores = reduce(DataFrame.unionByName, [j.df.where("above is null") for j in jumps])
+    scores = scores.select(F.col("conversation").alias("c"), F.col("node").alias("n"), (F.col("total") / F.col("depth")).alias("branch_score"))
     scored = leaves.join(scores, same("conversation", "c") & same("node", "n"))
     ranks = Window.partitionBy("conversation").orderBy(F.desc("branch_score"), "node")
     chosen = scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= branches)
