@@ -448,3 +448,28 @@ def test_pipeline_stages(spark, small, library):
     assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, SMALL).collect()} == small.keys() - hit
     done = corpus_pipeline.run(spark, SMALL).collect()
     assert done and all(r.round_trip and r.n_tokens == len(r.ids) // 4 for r in done)
+
+
+def test_near_dedup_finds_every_pair_of_four_fifths(spark):
+    import corpus_pipeline
+    from floorwise.llm import neardup
+
+    rng, texts = random.Random(5), []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(120)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6):
+            copy = list(base)
+            for i in rng.sample(range(120), edits):
+                copy[i] = f"new{group}x{edits}x{i}"
+            texts.append(" ".join(copy))
+    texts += [" ".join([*(f"passage{i}" for i in range(60)), *(f"own{k}w{i}" for i in range(60))]) for k in range(30)] + [None, "", " \n", "One two", "one TWO"]
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), SMALL).collect()}
+    assert kept == set(group) and {d for d in kept if d >= 72} == {*range(72, 103), 105}
