@@ -473,3 +473,9 @@ def test_near_dedup_finds_every_pair_of_four_fifths(spark):
                 group = [low if g == high else g for g in group]
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), SMALL).collect()}
     assert kept == set(group) and {d for d in kept if d >= 72} == {*range(72, 103), 105}
+
+
+def test_mentions_with_few_digits_are_found(spark):
+    secret = "ab1cd2ef" * 5
+    rows = [r for r in pii.replaced(documents(spark, ["at 10.0.0.1 now", f"key {secret} end", "no 10 mention 1.5 here"]), "key").orderBy("doc_id").collect()]
+    assert [r.n_mentions for r in rows] == [1, 1, 0] and "10.0.0.1" not in rows[0].text and secret not in rows[1].text
