@@ -8,7 +8,7 @@ gender, and separators stay. The same entity has the same surrogate everywhere.
 
 Surrogates are checked for collisions over all distinct entities: where two of a type share
 one, or one is itself an entity of the corpus, all but the first are drawn again with the
-next attempt, until none collide. Mentions in upper case get surrogates in upper case.
+next attempt, which also has longer names and addresses to draw from, until none collide. Mentions in upper case get surrogates in upper case.
 
 Defined results: a null text stays null, a text without mentions stays as it is; repeated
 rows are treated alike; an empty table stays empty.
@@ -108,10 +108,12 @@ def _surrogate(key: str, attempt: Column) -> Column:
     octets = F.concat_ws(".", *(( _number(d, 1 + 8 * i, 254) + 1).cast("string") for i in range(4)))
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.regexp_extract(domain, r"\.[^.]*$", 0)
-    address = F.concat(_like(local, d, "all"), F.lit("@"), _like(F.substr(domain, F.lit(1), F.length(domain) - F.length(top)), F.reverse(d), "all"), top)
+    longer = F.translate(F.substr(d, F.lit(200), attempt), "0123456789", "ghijklmnop")  # as many letters as attempts
+    address = F.concat(_like(local, d, "all"), longer, F.lit("@"), _like(F.substr(domain, F.lit(1), F.length(domain) - F.length(top)), F.reverse(d), "all"), top)
     code = F.regexp_extract(entity, r"^\+[0-9]{1,3}?(?=[ .(-]|[0-9]{9,})", 0)
-    family = lambda script: F.concat(*(_pick(SYLLABLES[script], _number(d, 1 + 8 * i, len(SYLLABLES[script]))) for i in range(4)))
-    given = lambda sex, script: F.concat(F.lower(_pick(GIVEN[sex][script], _number(d, 1, len(GIVEN[sex][script])))), F.when(attempt > 0, F.concat(F.lit("-"), F.lower(_pick(GIVEN[sex][script], _number(d, 9, len(GIVEN[sex][script])))), F.when(attempt > 3, F.concat(F.lit("-"), _pick(SYLLABLES[script], _number(d, 17, 16)), _pick(SYLLABLES[script], _number(d, 25, 16)))).otherwise(""))).otherwise(""))
+    syllables = lambda script, at, n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pick(SYLLABLES[script], _number(d, at + 7 * i, len(SYLLABLES[script])))), "")
+    family = lambda script: syllables(script, 1, attempt + 4)
+    given = lambda sex, script: F.concat(F.lower(_pick(GIVEN[sex][script], _number(d, 1, len(GIVEN[sex][script])))), F.when(attempt > 0, F.concat(F.lit("-"), F.lower(_pick(GIVEN[sex][script], _number(d, 9, len(GIVEN[sex][script])))), F.when(attempt > 3, F.concat(F.lit("-"), syllables(script, 17, F.greatest(attempt - 2, F.lit(1))))).otherwise(""))).otherwise(""))
     out = F.when(kind == "email", address).when(kind == "secret", _like(entity, d, "hex")).when(kind == "ip", octets)
     out = out.when(kind == "phone", F.concat(code, _like(F.substr(entity, F.length(code) + 1, F.length(entity)), d, "all")))
     out = out.when(kind == "family", F.when(cyrillic, family("cyrillic")).otherwise(family("latin")))

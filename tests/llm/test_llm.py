@@ -479,3 +479,13 @@ def test_mentions_with_few_digits_are_found(spark):
     secret = "ab1cd2ef" * 5
     rows = [r for r in pii.replaced(documents(spark, ["at 10.0.0.1 now", f"key {secret} end", "no 10 mention 1.5 here"]), "key").orderBy("doc_id").collect()]
     assert [r.n_mentions for r in rows] == [1, 1, 0] and "10.0.0.1" not in rows[0].text and secret not in rows[1].text
+
+
+def test_surrogates_outnumber_the_first_alphabet(spark, monkeypatch):
+    few = {script: some[:2] for script, some in pii.SYLLABLES.items()}
+    monkeypatch.setattr(pii, "SYLLABLES", few)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    entities = [("family", f"name{i}") for i in range(60)] + [("email", f"{x}@{y}.zz") for x in letters for y in letters]
+    rows = pii.surrogates(spark.createDataFrame(entities, "type string, entity string"), "key").collect()
+    assert len({(r.type, r.surrogate) for r in rows}) == len(rows) == len(entities)
+    assert not {r.surrogate for r in rows} & {r.entity for r in rows}
