@@ -3,9 +3,8 @@
 A HyperLogLog sketch of the sites of each line hash is built by a partial aggregate and
 merged across tasks. Lines whose estimate lies within the sketch's error of the threshold
 get an exact distinct count; the others are decided by the estimate. Lines of at least
-``min_sites`` sites are boilerplate and are removed. A document of which boilerplate makes
-up more than ``most_removed`` of the characters is a syndicated copy rather than a page
-with boilerplate; it stays whole and is left to near-duplicate removal.
+``min_sites`` sites are boilerplate and are removed. A document without any other line is a
+syndicated copy; it stays whole and is left to near-duplicate removal.
 
 Lines compare by a 128-bit hash of their trimmed text; lines under ``min_words`` words are
 no evidence and stay.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from floorwise.llm.shared import Written, fresh
 
-MIN_SITES, MIN_WORDS, MOST_REMOVED, LG_K = 5, 3, 0.5, 12
+MIN_SITES, MIN_WORDS, LG_K = 5, 3, 12
 SPACE = "\t\n\x0b\x0c\r "
 
 
@@ -60,7 +59,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_removed: float = MOST_REMOVED, lg_k: int = LG_K, site: str = "source", text: str = "text") -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K, site: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with cleaned texts, and ``removed_lines``: how many lines went from each."""
     found = Written(boilerplate(docs, min_sites, min_words, lg_k, site, text), "boilerplate").df
     t1, t2, lines, removed, left = (fresh(docs, n) for n in ("t1", "t2", "boilerplate_lines", "removed_lines", "left_lines"))
@@ -74,8 +73,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words:
     both = lambda of: F.struct(F.array_join(of, "\n").alias("text"), F.size(of).alias("lines"))
     part = F.get(F.transform(F.array(F.filter(F.split(F.col(text), "\n"), stays)), both), F.lit(0))
     kept = joined.withColumn(left, F.when(F.col(lines).isNotNull(), part))
-    long = F.length(F.col(left)["text"]) >= (1 - most_removed) * F.length(text)
-    cleaned = F.coalesce(long, F.lit(False))
+    cleaned = F.coalesce(F.length(_trimmed(F.col(left)["text"])) > 0, F.lit(False))
     n_removed = F.size(F.split(F.col(text), "\n")) - F.col(left)["lines"]
     columns = [F.when(cleaned, F.col(left)["text"]).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns]
     return kept.select(*columns, F.when(cleaned, n_removed).otherwise(0).cast("long").alias(removed))

@@ -489,3 +489,9 @@ def test_surrogates_outnumber_the_first_alphabet(spark, monkeypatch):
     rows = pii.surrogates(spark.createDataFrame(entities, "type string, entity string"), "key").collect()
     assert len({(r.type, r.surrogate) for r in rows}) == len(rows) == len(entities)
     assert not {r.surrogate for r in rows} & {r.entity for r in rows}
+
+
+def test_line_dedup_of_mostly_boilerplate(spark):
+    banner = "Subscribe to our newsletter today " * 20
+    rows = linededup.without_boilerplate(documents(spark, [f"{banner}\nown {i}" for i in range(8)], {i: f"s{i}" for i in range(8)})).collect()
+    assert {(r.text, r.removed_lines) for r in rows} == {(f"own {i}", 1) for i in range(8)}
