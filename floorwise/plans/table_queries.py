@@ -455,7 +455,7 @@ def running_length(spark: SparkSession, d: str) -> DataFrame:
 def components(spark: SparkSession, d: str) -> DataFrame:
     from floorwise.operators.graph import components as labelled
 
-    edges = table(spark, d, "lineitem").where("l_orderkey <= 400 and l_linenumber = 1").select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 7 * (F.col("l_suppkey") % 3)).alias("b")).distinct()
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 7 * (F.col("l_suppkey") % 3)).alias("b")).distinct()
     return labelled(edges).select("node", "label")
 
 
