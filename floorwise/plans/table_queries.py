@@ -294,9 +294,10 @@ def spatial_threshold_join(spark: SparkSession, d: str) -> DataFrame:
        SELECT a.label, round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 4) AS width FROM p a JOIN p b ON a.label = b.label GROUP BY 1""",
 )
 def farthest_pair(spark: SparkSession, d: str) -> DataFrame:
-    point = F.struct(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    few = table(spark, d, "embeddings").where("vec_id < 200").groupBy("label").agg(F.collect_list(point).alias("points"))  # bounded by the filter, which is the feature
-    return few.select("label", F.round(rings.farthest_distance(F.col("points")), 4).alias("width"))
+    from floorwise.operators.spatial import widths
+
+    points = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return widths(points, "label").select("label", F.round("width", 4).alias("width"))
 
 
 @query(

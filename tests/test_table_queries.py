@@ -21,3 +21,13 @@ def test_components_of_all_lines(spark):
         low, high = sorted((find(r[0]), find(r[0] + 7 * (r[1] % 3))))
         root[high] = low
     assert {(r.node, r.label) for r in table_queries.components(spark, SMALL).collect()} == {(n, find(n)) for n in root}
+
+
+def test_farthest_pair_of_all_points(spark, tmp_path):
+    rows = [(i, i % 3, [float(i * i % 101), float(i * 37 % 89)]) for i in range(600)] + [(900, 0, [500.0, 0.0]), (901, 7, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    points = defaultdict(list)
+    for _, label, point in rows:
+        points[label].append(point)
+    want = {label: round(max(math.dist(p, q) for p in some for q in some), 4) for label, some in points.items()}
+    assert {r.label: r.width for r in table_queries.farthest_pair(spark, str(tmp_path)).collect()} == want
