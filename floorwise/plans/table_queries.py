@@ -249,8 +249,8 @@ def signed_winding(spark: SparkSession, d: str) -> DataFrame:
     "SELECT min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY length(text), lower(substr(text, 1, 40)), lower(right(text, 40))",
 )
 def polygon_similarity_dedup(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), F.lower(F.substring("text", 1, 40)).alias("head"), F.lower(F.right("text", F.lit(40))).alias("tail"))
-    return docs.groupBy("n", "head", "tail").agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")).select("kept", "copies")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower("text").cast("binary"), 256).alias("signature"))
+    return docs.groupBy("signature").agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")).select("kept", "copies")
 
 
 @query(

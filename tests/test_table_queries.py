@@ -31,3 +31,10 @@ def test_farthest_pair_of_all_points(spark, tmp_path):
         points[label].append(point)
     want = {label: round(max(math.dist(p, q) for p in some for q in some), 4) for label, some in points.items()}
     assert {r.label: r.width for r in table_queries.farthest_pair(spark, str(tmp_path)).collect()} == want
+
+
+def test_copies_differ_in_the_middle(spark, tmp_path):
+    edge = "x" * 40
+    rows = [(1, edge + " one " + edge), (2, edge + " two " + edge), (3, edge + " ONE " + edge)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.kept, r.copies) for r in table_queries.polygon_similarity_dedup(spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
