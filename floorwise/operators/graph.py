@@ -169,7 +169,7 @@ def distances_from(edges: DataFrame, starts: DataFrame, most_rounds: int = 10_00
     """(map_id, start, node, distance, hops) of shortest paths from ``starts`` (map_id, start).
 
     Bellman-Ford: each round relaxes the edges of the vertices that got nearer in the last
-    one, until none does.
+    one, until none does. It is an error if some still do after ``most_rounds``.
     """
     both = edges.select("map_id", "a", "b", "length").union(edges.select("map_id", "b", "a", "length")).where("length >= 0")
     both = Written(both.select("map_id", F.col("a").alias("node"), F.col("b").alias("to"), F.col("length").cast("double").alias("length")), "arcs").df
@@ -184,6 +184,9 @@ def distances_from(edges: DataFrame, starts: DataFrame, most_rounds: int = 10_00
         following = Written(best.select("map_id", "start", "node", "b.distance", "b.hops", "b.new"), "known")
         known.discard()
         known = following
+    else:
+        if not known.df.where("new").isEmpty():
+            raise ValueError(f"distances still change after {most_rounds} rounds")
     return known.df.drop("new")
 
 

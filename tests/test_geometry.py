@@ -210,3 +210,11 @@ def test_drawings(spark):
     svg = dxf.svg(drawn, bounds).first().svg
     assert svg.count("<polyline") == 2 and svg.count("<circle") == 1 and svg.count("<polygon") == 1
     assert labels.pixel_texts(texts, bounds).count() == 1
+
+
+def test_distances_do_not_stop_silently(spark):
+    e = spark.createDataFrame([("m", i, f"n{i}", f"n{i + 1}", 1.0) for i in range(4)], "map_id string, edge_id long, a string, b string, length double")
+    start = spark.createDataFrame([("m", "n0")], "map_id string, start string")
+    assert graph.distances_from(e, start, most_rounds=5).count() == 5
+    with pytest.raises(ValueError):
+        graph.distances_from(e, start, most_rounds=2)
