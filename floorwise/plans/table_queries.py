@@ -246,7 +246,7 @@ def signed_winding(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "polygon_similarity_dedup",
-    "SELECT min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY length(text), lower(substr(text, 1, 40)), lower(right(text, 40))",
+    "SELECT min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY lower(text)",
 )
 def polygon_similarity_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower("text").cast("binary"), 256).alias("signature"))
@@ -290,7 +290,7 @@ def spatial_threshold_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "farthest_pair",
-    """WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id < 200)
+    """WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
        SELECT a.label, round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 4) AS width FROM p a JOIN p b ON a.label = b.label GROUP BY 1""",
 )
 def farthest_pair(spark: SparkSession, d: str) -> DataFrame:
@@ -449,9 +449,12 @@ def running_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 7 * (l_suppkey % 3) AS b FROM lineitem WHERE l_orderkey <= 400 AND l_linenumber = 1),
-       n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS label FROM n UNION SELECT n.b, r.label FROM r JOIN n ON n.a = r.node)
-       SELECT node, min(label) AS label FROM r GROUP BY 1""",
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS a, l_orderkey + 7 * (l_suppkey % 3) AS b FROM lineitem),
+       n AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+       r(node, label) USING KEY (node) AS (
+           SELECT a, min(a) FROM n GROUP BY a
+           UNION (SELECT n.b, min(x.label) FROM r x JOIN n ON n.a = x.node JOIN recurring.r y ON y.node = n.b WHERE x.label < y.label GROUP BY n.b))
+       SELECT node, label FROM r""",
 )
 def components(spark: SparkSession, d: str) -> DataFrame:
     from floorwise.operators.graph import components as labelled

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,15 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Where the setting is absent, a local session takes a temporary folder and any
-    other takes the warehouse, never a folder of one machine.
+    Where the setting is absent, a local session takes a temporary folder and any other
+    takes the warehouse if that is shared; a folder of one machine is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local["):
         return _local_root()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if ":" not in warehouse or warehouse.startswith("file:"):
+        raise ValueError("spark.checkpoint.dir is unset and the warehouse is a folder of one machine; name a shared folder")
+    return warehouse + "/_scratch"
 
 
 def _local_root(made: list[str] = []) -> str:  # noqa: B006  one folder for the process
@@ -47,14 +53,39 @@ def discard(spark: SparkSession, path: str) -> None:
     files.delete(hadoop, True)
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def tidy() -> Iterator[None]:
+    """Tables written in this block go when it ends, but for those that are kept for the block around it."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for table in stack.pop():
+            if not table.kept:
+                table.discard()
+            elif stack:
+                table.kept = False
+                stack[-1].append(table)
+
+
 class Written:
-    """A DataFrame written once as Parquet and read again, which cuts its lineage."""
+    """A DataFrame written once as Parquet and read again, which cuts its lineage.
+
+    ``keep`` leaves the table to the block around the innermost ``tidy``, or to the caller's plan.
+    """
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
+    def __init__(self, df: DataFrame, name: str, keep: bool = False):
+        self.spark, self.kept = df.sparkSession, keep
         self.path = scratch_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        stack = getattr(_scopes, "stack", None)
+        if stack:
+            stack[-1].append(self)
 
     def discard(self) -> None:
         discard(self.spark, self.path)
