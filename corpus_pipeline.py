@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Stages
 are written as Parquet in the shared folder and read again. Near-duplicates are texts of a
-Jaccard index of at least 0.8 on five-word shingles, verified exactly.
+Jaccard index of at least 0.8 on five-word shingles: SimHash gives the closest pairs, the
+others are completed, and every link is verified exactly.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwise.llm import bpe, decontam, linededup, neardup, quality
+from floorwise.llm import bpe, decontam, linededup, quality, simhash
 from floorwise.llm.shared import Written, fresh
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays, the one with the smallest id."""
-    return neardup.keep_one_of_each(docs, words=5, similarity=0.8)
+    return simhash.keep_one_of_each(docs, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ get an exact distinct count; the others are decided by the estimate. Lines of at
 ``min_sites`` sites are boilerplate and are removed. A document without any other line is a
 syndicated copy; it stays whole and is left to near-duplicate removal.
 
-Lines compare by a 128-bit hash of their trimmed text; lines under ``min_words`` words are
-no evidence and stay.
+Lines compare by a 128-bit hash of their trimmed text; lines under ``min_words`` words and
+under ``min_chars`` characters are no evidence and stay. The second measure holds where a
+language writes without spaces.
 
 Defined results: a null text stays null and has no lines; a null site counts as one site of
 its own; repeated rows are cleaned alike; an empty table stays empty.
@@ -18,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorwise.llm.shared import Written, fresh
+from floorwise.llm.shared import Written, fresh, tidy
 
-MIN_SITES, MIN_WORDS, LG_K = 5, 3, 12
+MIN_SITES, MIN_WORDS, MIN_CHARS, LG_K = 5, 3, 16, 12
 SPACE = "\t\n\x0b\x0c\r "
 
 
@@ -32,13 +33,13 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE))
 
 
-def _counts(line: Column, min_words: int) -> Column:
-    return line.rlike(rf"^[^\t-\r ]+(?:[\t-\r ]+[^\t-\r ]+){{{min_words - 1}}}")
+def _counts(line: Column, min_words: int, min_chars: int) -> Column:
+    return (F.length(line) >= min_chars) | line.rlike(rf"^[^\t-\r ]+(?:[\t-\r ]+[^\t-\r ]+){{{min_words - 1}}}")
 
 
-def _hashes(text: Column, min_words: int) -> Column:
+def _hashes(text: Column, min_words: int, min_chars: int) -> Column:
     """Distinct hashes of a text's lines that count."""
-    lines = F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda line: _counts(line, min_words))
+    lines = F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda line: _counts(line, min_words, min_chars))
     return F.array_distinct(F.transform(lines, _hash))
 
 
@@ -47,9 +48,9 @@ def margin(min_sites: int, lg_k: int) -> int:
     return 1 + int(3 * 1.04 / 2 ** (lg_k / 2) * min_sites + 0.999)
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K, site: str = "source", text: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, lg_k: int = LG_K, site: str = "source", text: str = "text") -> DataFrame:
     """(h1, h2) of the lines that occur on at least ``min_sites`` sites."""
-    lines = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(_hashes(F.col(text), min_words)).alias("h")).select("site", "h.h1", "h.h2")
+    lines = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(_hashes(F.col(text), min_words, min_chars)).alias("h")).select("site", "h.h1", "h.h2")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     around = margin(min_sites, lg_k)
     likely = Written(spread.where(F.col("sites") >= min_sites - around), "spread").df
@@ -59,16 +60,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K, site: str = "source", text: str = "text") -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, lg_k: int = LG_K, site: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with cleaned texts, and ``removed_lines``: how many lines went from each."""
-    found = Written(boilerplate(docs, min_sites, min_words, lg_k, site, text), "boilerplate").df
     t1, t2, lines, removed, left = (fresh(docs, n) for n in ("t1", "t2", "boilerplate_lines", "removed_lines", "left_lines"))
     keys = [F.xxhash64(text).alias(t1), F.xxhash64(F.lit("text"), F.col(text)).alias(t2)]
-    of_text = docs.where(F.col(text).isNotNull()).select(*keys, F.explode(_hashes(F.col(text), min_words)).alias("h")).select(t1, t2, "h.h1", "h.h2")
-    hit = of_text.join(found, ["h1", "h2"]).groupBy(t1, t2).agg(F.collect_set(F.struct("h1", "h2")).alias(lines))
-    hits = Written(hit, "lines").df  # one row for each distinct text with boilerplate
+    of_text = docs.where(F.col(text).isNotNull()).select(*keys, F.explode(_hashes(F.col(text), min_words, min_chars)).alias("h")).select(t1, t2, "h.h1", "h.h2")
+    with tidy():
+        found = Written(boilerplate(docs, min_sites, min_words, min_chars, lg_k, site, text), "boilerplate").df
+        hit = of_text.join(found, ["h1", "h2"]).groupBy(t1, t2).agg(F.collect_set(F.struct("h1", "h2")).alias(lines))
+        hits = Written(hit, "lines", keep=True).df  # one row for each distinct text with boilerplate
     joined = docs.withColumns({t1: keys[0], t2: keys[1]}).join(hits.hint("merge"), [t1, t2], "left")
-    stays = lambda line: ~(_counts(_trimmed(line), min_words) & F.array_contains(F.col(lines), _hash(_trimmed(line))))
+    stays = lambda line: ~(_counts(_trimmed(line), min_words, min_chars) & F.array_contains(F.col(lines), _hash(_trimmed(line))))
     # one expression holds all that is made from the lines, so they are filtered once for a row
     both = lambda of: F.struct(F.array_join(of, "\n").alias("text"), F.size(of).alias("lines"))
     part = F.get(F.transform(F.array(F.filter(F.split(F.col(text), "\n"), stays)), both), F.lit(0))

@@ -1,15 +1,20 @@
 """Near copies by word shingles: all pairs of a Jaccard index of at least 0.8, none missed.
 
 A text is its set of distinct five-word shingles, each a 64-bit hash; equal sets are one
-node. Shingles have one order everywhere: those that are frequent in a sample come last,
-the others go by hash. Of sets x and y with a Jaccard index of t or more, the first
-|x| - ceil(t |x|) + 1 and |y| - ceil(t |y|) + 1 shingles in that order have one in common,
-whatever the order is, so these are the keys. Frequent ones last only keeps groups small.
-
-Nodes of a key are compared with its smallest node first. What these links join need not be
-compared again, so a large group of near copies costs no square; all other pairs of a key
-are compared, unless sizes, positions or the parities of 256 buckets of hashes rule out the similarity. Every link is verified by
-an exact count of the common hashes, and components of links are the groups.
+node. The caller's candidate pairs (SimHash's, in ``simhash.keep_one_of_each``) are verified
+first, together with those of each key's smallest node. Keys are prefixes: shingles have one
+order everywhere, those that are frequent in a sample last, the others by hash. Of sets x and
+y with a Jaccard index of t or more, the first |x| - ceil(t |x|) + 1 and |y| - ceil(t |y|) + 1
+shingles in that order have one in common, whatever the order is. Frequent ones last only
+keeps groups small.
+
+What the first links join need not be compared again, so a large group of near copies costs
+no square. All other pairs of a key are candidates, unless sizes, positions or sketches rule
+out the similarity: a sketch tells of each bucket of hashes whether it holds an odd number,
+and has as many buckets as its text has shingles, or more. Of the candidates between two
+groups one is verified, by an exact count of the common hashes; where that joins the groups
+the others are settled, and where it does not, four times as many are verified next, until
+none is left. Components of links are the groups.
 
 Defined results: texts compare in lower case (A-Z) by words between ASCII white space; a null
 text is an empty one, and empty texts are copies of each other; fewer words than a shingle are
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorwise.llm.shared import Written, shielded, slices
+from floorwise.llm.shared import Written, slices, tidy
 from floorwise.operators.graph import components
 
 SEED, WORDS, SIMILARITY = 42, 5, 0.8
@@ -36,7 +41,9 @@ SEED, WORDS, SIMILARITY = 42, 5, 0.8
 SAMPLE, FREQUENT = 8192, 4
 #: Bits of the map that tells which texts are needed for comparison; false hits do no harm.
 BITS = 1 << 24
-PARITY = ["p0", "p1", "p2", "p3"]
+LEAST_BUCKETS = 64
+#: Up to so many rows an anti join's right side of row numbers is sent to all tasks (8 bytes each).
+MOST_SENT = 4_000_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -48,29 +55,42 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), dtype=np.uint64).view(np.int64))
 
 
-def _parities(found: np.ndarray) -> np.ndarray:
-    """256 bits in four words: of each bucket of hashes, whether it holds an odd number."""
-    odd = np.bincount(found & 255, minlength=256).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64)
+def sketch(found: np.ndarray) -> bytes:
+    """For each bucket of hashes a bit: whether it holds an odd number of them."""
+    buckets = max(LEAST_BUCKETS, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & (buckets - 1), minlength=buckets).astype(np.uint8) & 1).tobytes()
 
 
-def _with_nodes(df: DataFrame, words: int, text: str, node: str, size: str, parity: list[str]) -> DataFrame:
-    from xxhash import xxh64_intdigest
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number of hashes that at least differ between the sets of two sketches."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):  # the larger one's halves fall together
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def with_nodes(df: DataFrame, words: int, text: str, node: str, size: str, parity: str, fingerprint: str) -> DataFrame:
+    """Add each text's node, number of shingles, sketch, and SimHash of its set of shingles."""
+    from floorwise.llm.simhash import majority
 
-    added = [node, size, *parity]
+    added = [T.StructField(node, T.LongType(), False), T.StructField(size, T.LongType(), False), T.StructField(parity, T.BinaryType(), False), T.StructField(fingerprint, T.LongType(), False)]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for start, end in slices(texts):
                 rows = []
                 for t in texts[start:end]:
                     found = shingles(t, words)
-                    rows.append([np.uint64(xxh64_intdigest(found.tobytes(), SEED)).view(np.int64), len(found), *_parities(found)])
+                    rows.append((int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)), len(found), sketch(found), int(majority(found))))
                 few = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*few.columns, *(pa.array(c) for c in np.array(rows, dtype=np.int64).T)], [*few.schema.names, *added])
+                yield pa.RecordBatch.from_arrays([*few.columns, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*few.schema.names, *(f.name for f in added)])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType(), False) for c in added)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def _frequent(texts: DataFrame, words: int) -> np.ndarray:
@@ -157,53 +177,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b) of ``texts`` (node, text, size, p0 to p3) that join all nodes which similar pairs join."""
+def _near(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs, with their other columns, whose sketches allow the similarity; and ``differ``."""
+    others = [c for c in pairs.columns if c not in ("a", "b")]
+    p, q = least.numerator, least.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            differ = np.array([least_difference(x, y) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist())], dtype=np.int64)
+            out = batch.select(["a", "b", *others]).append_column("differ", pa.array(differ))
+            yield out.filter(pa.array(differ * (p + q) <= both * (q - p)))  # of the union at most 1 - t differ
+
+    of = lambda end: sketches.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("parity").alias(f"of_{end}"))
+    kinds = dict(pairs.dtypes)
+    found = pairs.join(of("a"), "a").join(of("b"), "b")
+    return found.mapInArrow(run, "a long, b long, " + "".join(f"{c} {kinds[c]}, " for c in others) + "differ long")
+
+
+def links(texts: DataFrame, candidates: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified pairs (a, b) of ``texts`` (node, text, size, parity) that join all nodes which similar pairs join.
+
+    ``candidates`` are pairs (a, b) of nodes to begin with; they may be none.
+    """
     least = Fraction(str(similarity))
     if not 0 < least <= 1:
         raise ValueError("a similarity is above 0 and at most 1")
-    sketches = texts.select("node", "size", *PARITY).distinct()
+    sketches = texts.select("node", "size", "parity").groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"))
     texts = texts.select("node", "text")
-    keys = _keys(texts, words, least, _frequent(texts, words))
-    of_key = Window.partitionBy("key")
-    groups = keys.select("key", F.struct("node", "n", "at").alias("m")).withColumns({"r": F.min("m").over(of_key), "last": F.max("m.node").over(of_key)})
-    members = Written(groups.where("r.node <> last").select("key", "m", "r").distinct(), "groups").df
+
+    def verified(near: DataFrame) -> DataFrame:
+        with tidy():
+            sets = Written(_sets(texts, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "sets").df
+            return Written(_verified(near.select("a", "b"), sets, least), "links", keep=True).df
+
     # the common part is at least t / (1 + t) of both sizes; before the first common shingle there is none
     p, q = least.numerator, least.denominator
     may = lambda x, y: F.least(x["n"] - x["at"], y["n"] - y["at"]).cast("long") * (p + q) >= (x["n"] + y["n"]).cast("long") * p
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # differing parities are at most the shingles that only one of the two has
-        of = lambda end: sketches.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("size", *PARITY)))
-        differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in PARITY)
-        near = pairs.join(of("a"), "a").join(of("b"), "b").where(f"({differ}) * {p + q}L <= (size_a + size_b) * {q - p}L")
-        near = Written(near.select("a", "b"), "pairs").df
-        sets = Written(_sets(texts, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "sets").df
-        return Written(_verified(near, sets, least), "links").df
-
-    stars = members.where((F.col("m.node") != F.col("r.node")) & may(F.col("r"), F.col("m")))
-    stars = Written(stars.select(F.col("r.node").alias("a"), F.col("m.node").alias("b")).distinct(), "stars").df
-    first = verified(stars)
-    labels = Written(components(first), "labels").df
-    flat = members.select("key", "m", F.col("m.node").alias("node")).join(labels, "node", "left")
-    flat = Written(flat.select("key", "m", F.coalesce("label", "node").alias("label")), "members").df
-    mixed = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = flat.join(mixed, "key", "left_semi")
-    x, y = left.select("key", F.col("m").alias("x"), F.col("label").alias("lx")), left.select("key", F.col("m").alias("y"), F.col("label").alias("ly"))
-    cross = x.join(y, "key").where((F.col("lx") != F.col("ly")) & (F.col("x.node") < F.col("y.node")) & may(F.col("x"), F.col("y")))
-    return first.union(verified(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")))
-
-
-def keep_one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest id, and of equal ids any one."""
-    plain, back = shielded(docs, [id_column, text])
-    node, row = "node", "row_number"
-    table = Written(_with_nodes(plain, words, text, node, "size", PARITY).withColumn(row, F.monotonically_increasing_id()), "documents").df
-    linked = components(links(table.select(node, F.col(text).alias("text"), "size", *PARITY), words, similarity))
-    rows = table.select(F.col(id_column).alias("id"), node, F.col(row).alias("row"))
-    best = F.min(F.struct(F.col("id").isNull(), "id", "row"))
-    of_node = Written(rows.groupBy(node).agg(best.alias("best")).join(linked, node, "left").select(node, "best", F.coalesce("label", node).alias("label")), "classes").df
-    first = of_node.groupBy("label").agg(F.min("best").getField("row").alias("kept"))
-    kept = Written(of_node.join(first, "label").select(node, "kept"), "kept").df
-    extra = rows.join(kept, node).where("row <> kept").select(F.col("row").alias(row))
-    return back(table.join(extra, row, "left_anti"))
+    with tidy():
+        keys = _keys(texts, words, least, _frequent(texts, words))
+        of_key = Window.partitionBy("key")
+        groups = keys.select("key", F.struct("node", "n", "at").alias("m")).withColumns({"r": F.min("m").over(of_key), "last": F.max("m.node").over(of_key)})
+        members = Written(groups.where("r.node <> last").select("key", "m", "r").distinct(), "groups")
+        stars = members.df.where((F.col("m.node") != F.col("r.node")) & may(F.col("r"), F.col("m"))).select(F.col("r.node").alias("a"), F.col("m.node").alias("b"))
+        tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").union(stars).distinct()
+        found = verified(Written(_near(tried, sketches, least), "near").df)
+        labels = Written(components(found), "labels").df
+        flat = members.df.select("key", "m", F.col("m.node").alias("node")).join(labels, "node", "left")
+        flat = Written(flat.select("key", "m", F.coalesce("label", "node").alias("label")), "members").df
+        members.discard()
+        mixed = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        left = flat.join(mixed, "key", "left_semi")
+        x, y = (left.select("key", F.col("m").alias(m), F.col("label").alias(f"l{m}")) for m in "xy")
+        cross = x.join(y, "key").where((F.col("lx") < F.col("ly")) & may(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "lx", "ly").distinct()
+        open_pairs, share = Written(_near(cross, sketches, least), "near"), 1
+        while not open_pairs.df.isEmpty():
+            # of the candidates between two groups those that differ least, one of each of ``share`` parts
+            part = F.pmod(F.xxhash64("a", "b"), F.lit(share)).alias("part")
+            some = open_pairs.df.groupBy("lx", "ly", part).agg(F.min(F.struct("differ", "a", "b")).alias("m"))
+            some = Written(some.select("m.a", "m.b"), "some")
+            now = verified(some.df)
+            found = found.union(now)
+            joined = components(now.join(open_pairs.df.select("a", "b", "lx", "ly"), ["a", "b"]).select(F.col("lx").alias("a"), F.col("ly").alias("b")))
+            joined = Written(joined, "labels")
+            of = lambda end: joined.df.select(F.col("node").alias(end), F.col("label").alias(f"n_{end}"))  # noqa: E731, B023
+            rest = open_pairs.df.join(some.df, ["a", "b"], "left_anti").join(of("lx"), "lx", "left").join(of("ly"), "ly", "left")
+            rest = rest.select("a", "b", F.coalesce("n_lx", "lx").alias("lx"), F.coalesce("n_ly", "ly").alias("ly"), "differ").where("lx <> ly")
+            following = Written(rest.select("a", "b", F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly"), "differ"), "near")
+            for table in (open_pairs, some, joined):
+                table.discard()
+            open_pairs, share = following, 4 * share
+        return Written(found, "links", keep=True).df

@@ -52,16 +52,15 @@ WITH lines AS (
     SELECT doc_id, source, pos, line, trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS kept
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
 boilerplate AS (
-    SELECT kept FROM lines WHERE regexp_matches(kept, '^[^\t-\r ]+([\t-\r ]+[^\t-\r ]+){2}')
+    SELECT kept FROM lines WHERE length(kept) >= 16 OR regexp_matches(kept, '^[^\t-\r ]+([\t-\r ]+[^\t-\r ]+){2}')
     GROUP BY kept HAVING count(DISTINCT coalesce(source, '')) >= 5),
 cut AS (
-    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE b.kept IS NOT NULL) AS removed,
-           string_agg(line, chr(10) ORDER BY pos) AS whole, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.kept IS NULL), '') AS part
+    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE b.kept IS NOT NULL) AS removed, count(*) FILTER (WHERE b.kept IS NULL AND kept <> '') AS own,
+           string_agg(line, chr(10) ORDER BY pos) AS whole, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.kept IS NULL) AS part
     FROM lines LEFT JOIN boilerplate b USING (kept) GROUP BY doc_id)
-SELECT doc_id, CASE WHEN length(part) < 0.5 * length(whole) THEN 0 ELSE removed END AS removed_lines,
-       CASE WHEN length(part) < 0.5 * length(whole) THEN n ELSE n - removed + CAST(n = removed AS BIGINT) END AS n_lines,
-       sha256(CASE WHEN length(part) < 0.5 * length(whole) THEN whole ELSE part END) AS text_sha256
-FROM cut"""
+SELECT d.doc_id, CASE WHEN own > 0 THEN removed ELSE 0 END AS removed_lines, CASE WHEN own > 0 THEN n - removed ELSE n END AS n_lines,
+       sha256(CASE WHEN own > 0 THEN part ELSE whole END) AS text_sha256
+FROM documents d LEFT JOIN cut USING (doc_id)"""
 
 
 def chat_formatting(chat) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
-from floorwise.sources.scratch import Written, discard, scratch_path, scratch_root  # noqa: F401
+from floorwise.sources.scratch import Written, discard, scratch_path, scratch_root, tidy  # noqa: F401
 
 
 def fresh(df: DataFrame, name: str) -> str:

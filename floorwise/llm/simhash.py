@@ -15,7 +15,13 @@ families of keys, of 30 bits and more, one of which any linked pair shares:
     c >= 1, a = 0    A whole and several codewords of B (b <= 2)
 
 Equal keys join, the exact distance verifies, and alternating large-star and small-star
-steps give the components. Everything stays distributed; each round is a written table.
+steps give the components. A key's nodes are compared with its smallest one first; only where
+that leaves several components under a key are its other pairs compared. Everything stays
+distributed; each round is a written table.
+
+``keep_one_of_each`` removes copies by similarity. Of texts of a Jaccard index of 0.8 the
+fingerprints differ in 10 bits on average, beyond any radius that keys can cover, so the pairs
+that the fingerprints give are verified first and ``neardup`` completes them.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; fewer
 words than a shingle are one shingle; repeated rows fall together; null ids are passed over
@@ -29,11 +35,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorwise.llm.shared import Written, shielded, slices
+from floorwise.llm import neardup
+from floorwise.llm.shared import Written, shielded, slices, tidy
 from floorwise.operators.graph import components
 
 SEED = 42
@@ -96,6 +103,15 @@ def fingerprint(text: str | None, words: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def majority(hashes: np.ndarray) -> np.int64:
+    """The SimHash of 64-bit hashes, as a signed integer."""
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), STEP):
+        some = hashes[start : start + STEP].astype("<i8")
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0]
+
+
 def with_fingerprints(df: DataFrame, words: int = 3, text: str = "text", out: str = "fingerprint", keep_text: bool = False) -> DataFrame:
     """Add the fingerprint as a signed BIGINT; the text goes unless it is to be kept."""
     kept = [f for f in df.schema.fields if f.name.lower() != out.lower() and (keep_text or f.name != text)]
@@ -150,40 +166,93 @@ def _keys(nodes: DataFrame, side: int, key: str, node: str) -> DataFrame:
 
 
 def links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (the one column of ``nodes``) that link."""
-    if not 0 <= most_bits <= MOST_BITS:
-        raise ValueError(f"the key families cover 0 to {MOST_BITS} bits")
+    """All pairs a < b of distinct fingerprints (the one column of ``nodes``) that link."""
+    _covered(most_bits)
     upper, lower = _keys(nodes, 0, "key", "a"), _keys(nodes, 1, "key_b", "b")
     near = F.expr(f"bit_count(a ^ b) <= {most_bits}")
     return upper.join(lower, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def _covered(most_bits: int) -> None:
+    if not 0 <= most_bits <= MOST_BITS:
+        raise ValueError(f"the key families cover 0 to {MOST_BITS} bits")
+
+
+def joining_links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """Linked pairs (a, b) that join all fingerprints which links join, without all pairs of a dense group."""
+    _covered(most_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            keys, which, *_ = keys_of(fps)
+            order = np.lexsort((keys, which))
+            keys, which = keys[order], which[order]
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (which[1:] != which[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(fps[which[new]])], ["key", "node"])
+
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most_bits
+    of_key = Window.partitionBy("key")
+    with tidy():
+        grouped = nodes.mapInArrow(run, "key long, node long").withColumns({"r": F.min("node").over(of_key), "last": F.max("node").over(of_key)})
+        members = Written(grouped.where("r <> last").drop("last"), "groups").df
+        stars = Written(members.where((F.col("node") != F.col("r")) & near("node", "r")).select(F.col("r").alias("a"), F.col("node").alias("b")).distinct(), "stars").df
+        labels = Written(components(stars), "labels").df
+        flat = Written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members").df
+        mixed = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        left = flat.join(mixed, "key", "left_semi")
+        x, y = (left.select("key", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
+        cross = x.join(y, "key").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near("a", "b"))
+        return Written(stars.union(cross.select("a", "b").distinct()), "links", keep=True).df
+
+
 def classes(rows: DataFrame, most_bits: int = MOST_BITS, id_column: str = "doc_id") -> DataFrame:
     """(fingerprint, component_id) for the distinct fingerprints of ``rows``, a written table."""
-    nodes = Written(rows.groupBy("fingerprint").agg(F.min(id_column).alias("first_id")), "fingerprints").df
-    linked = components(links(nodes.select("fingerprint"), most_bits)).withColumnRenamed("node", "fingerprint")
-    firsts = nodes.join(linked, "fingerprint")
-    smallest = firsts.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_linked = firsts.join(smallest, "label").select("fingerprint", "component_id", F.lit(True).alias("linked"))
-    return nodes.join(of_linked, "fingerprint", "left").select("fingerprint", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
+    with tidy():
+        nodes = Written(rows.groupBy("fingerprint").agg(F.min(id_column).alias("first_id")), "fingerprints").df
+        linked = components(joining_links(nodes.select("fingerprint"), most_bits)).withColumnRenamed("node", "fingerprint")
+        firsts = Written(nodes.join(linked, "fingerprint", "left"), "firsts").df
+        smallest = firsts.where("label is not null").groupBy("label").agg(F.min("first_id").alias("component_id"))
+        found = firsts.join(smallest, "label", "left")
+        return Written(found.select("fingerprint", F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")), "classes", keep=True).df
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = 3, most_bits: int = MOST_BITS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, ``fingerprint`` (16 hex digits) and ``component_id``."""
-    rows = Written(with_fingerprints(docs.select(id_column, text), words, text), "rows").df
-    found = rows.join(Written(classes(rows, most_bits, id_column), "classes").df, "fingerprint")
+    rows = Written(with_fingerprints(docs.select(id_column, text), words, text), "rows", keep=True).df
+    found = rows.join(classes(rows, most_bits, id_column), "fingerprint")
     return found.select(id_column, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, most_bits: int = MOST_BITS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest id, and of equal ids any one."""
+def candidate_pairs(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """Pairs (a, b) of nodes, from (node, fingerprint): every node with the smallest of its fingerprint, and those of linked ones."""
+    first = Written(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "fingerprints").df
+    equal = nodes.join(first, "fingerprint").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda end: first.select(F.col("fingerprint").alias(end), F.col("first").alias(f"first_{end}"))
+    linked = joining_links(first.select("fingerprint"), most_bits).join(of("a"), "a").join(of("b"), "b")
+    return equal.union(linked.select("first_a", "first_b"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = neardup.WORDS, similarity: float = neardup.SIMILARITY, most_bits: int = MOST_BITS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of copies and near copies: the smallest id, and of equal ids any one.
+
+    Groups join texts of a Jaccard index of at least ``similarity``; pairs of fingerprints at
+    ``most_bits`` or fewer bits are verified first, ``neardup.links`` finds the others.
+    """
     plain, back = shielded(docs, [id_column, text])
-    fp, row, component = "fingerprint", "row_number", "component_id"
-    table = Written(with_fingerprints(plain, words, text, fp, keep_text=True).withColumn(row, F.monotonically_increasing_id()), "documents").df
-    rows = table.select(F.col(id_column).alias("id"), F.col(fp), F.col(row).alias("row"))
-    of_fp = Written(classes(rows, most_bits, "id").withColumnRenamed("component_id", component), "classes").df
-    found = Written(rows.join(of_fp, fp), "members").df  # a hot fingerprint's rows are split where the join is written
-    first = found.groupBy(component).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("kept"))
-    first = Written(first.withColumnRenamed(component, "_component"), "kept").df
-    extra = found.join(first, found[component].eqNullSafe(first["_component"])).where("row <> kept").select(F.col("row").alias(row))
-    return back(table.join(extra, row, "left_anti"))
+    node, row = "node", "row_number"
+    with tidy():
+        table = neardup.with_nodes(plain, words, text, node, "size", "parity", "fingerprint").withColumn(row, F.monotonically_increasing_id())
+        table = Written(table, "documents", keep=True).df
+        nodes = table.select(node, "fingerprint").distinct()
+        found = neardup.links(table.select(node, F.col(text).alias("text"), "size", "parity"), candidate_pairs(nodes, most_bits), words, similarity)
+        rows = table.select(F.col(id_column).alias("id"), node, F.col(row).alias("row"))
+        best = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+        of_node = rows.groupBy(node).agg(best.alias("best")).join(components(found), node, "left").select(node, "best", F.coalesce("label", node).alias("label"))
+        of_node = Written(of_node, "classes").df
+        first = of_node.groupBy("label").agg(F.min("best").getField("row").alias("kept"))
+        kept = Written(of_node.join(first, "label").select(node, "kept"), "kept").df
+        extra = Written(rows.join(kept, node).where("row <> kept").select(F.col("row").alias(row)), "extra", keep=True).df
+    few = extra.count() <= neardup.MOST_SENT
+    return back(table.join(F.broadcast(extra) if few else extra, row, "left_anti"))
