@@ -5,12 +5,14 @@ are patterns of word numbers in one automaton. A text is normalised to words, th
 numbers (0 where no pattern has the word), and the numbers are scanned once. Hits are spans
 of words; ``spans`` maps them to byte offsets of the original text.
 
-Items are few and do not grow with the corpus. Their size is checked before they are sent
-to the executors; items of more windows than one automaton may hold are scanned block by
-block over the same batch of texts.
+Items are counted before any is sent to the executors. Items of more windows than one
+automaton may hold are dealt to several by a hash, and the texts are scanned once for each,
+with the hits written in between; so only one automaton's items are ever in a process.
 
 Defined results: a null text has no words; a null item id counts as the string ``null``;
-items of no words match nothing; equal items and repeated rows all count.
+items of no words match nothing; equal items and repeated rows all count; texts of any length
+are scanned whole, a batch of them piece by piece; empty documents give an empty table and an
+empty benchmark no hits; documents' own columns with the names of ``FOUND`` give way to these.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorwise.llm.shared import shielded, slices
+from floorwise.llm.shared import Written, fresh, shielded, slices
 
 WINDOW = 10
-#: Limits of the items sent to executors and of the windows in one automaton.
-MOST_BYTES, MOST_WINDOWS = 128 << 20, 400_000
+#: Windows that one automaton may hold; further items get automata of their own.
+MOST_WINDOWS = 400_000
 
 _DIGITS, _UPPER, _LOWER = range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B)
 _TABLE = bytes(b + 32 if b in _UPPER else b if b in _DIGITS or b in _LOWER or b >= 0x80 else 0x20 for b in range(256))
@@ -72,23 +74,12 @@ class Automaton:
 _built: dict[tuple, Automaton] = {}
 
 
-def _automaton(key: tuple, items: list, window: int) -> Automaton:
-    if key not in _built:
+def _automaton(digest: str, items: list[tuple[str, str]], window: int) -> Automaton:
+    """The items' automaton, built once in a process as long as it scans for the same items."""
+    if (digest, window) not in _built:
         _built.clear()
-        _built[key] = Automaton(items, window)
-    return _built[key]
-
-
-def _blocks(items: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
-    blocks, windows = [[]], 0
-    for item, text in items:
-        n = len(words_of(text))
-        if windows and windows + n > MOST_WINDOWS:
-            blocks.append([])
-            windows = 0
-        blocks[-1].append((item, text))
-        windows += n
-    return blocks
+        _built[digest, window] = Automaton(items, window)
+    return _built[digest, window]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,41 +111,62 @@ FOUND = T.StructType([
 _ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items": pa.list_(pa.string()), "items_sha256": pa.string(), "contaminated": pa.bool_(), "hit_spans": pa.list_(pa.list_(pa.int64()))}
 
 
+_HIT = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("item", T.StringType())]))
+_HIT_ARROW = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("item", pa.string())]))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
     """Add ``FOUND`` to each document: counts, items and hit spans as byte offsets of its text."""
-    known = benchmark.where(F.col(item_text).isNotNull())
-    size = known.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"the benchmark's texts have {size} bytes; at most {MOST_BYTES} are sent to executors, so pass it in parts")
-    items = [(str(i), t) for i, t in known.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), item_text).toLocalIterator()]
-    blocks = _blocks(sorted(items))
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    known = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text"))
+    windows = F.greatest(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) - (window - 1), F.lit(1))
+    total = known.agg(F.sum(windows)).first()[0] or 0
+    parts = max(1, -(-total // MOST_WINDOWS))
     made = {f.name for f in FOUND.fields}
-    kept = [f for f in docs.schema.fields if f.name.lower() not in made and (keep_text or f.name != text)]
-    names = [f.name for f in kept]
-
-    def one(value: str | None, hits: list, n: int) -> tuple:
-        spans = merged([(s, e) for s, e, _ in hits])
-        owners = sorted({o for *_, several in hits for o in several})
-        return n, sum(e - s for s, e in spans), len(owners), owners, sha256(",".join(owners).encode()).hexdigest(), bool(spans), [list(x) for x in original_offsets(value or "", spans)]
+    plain = docs.select(*(c for c in docs.columns if c.lower() not in made))
+    names = [c for c in plain.columns if keep_text or c != text]
+    hits = fresh(plain, "hits")
+    for part in range(parts):
+        items = known if parts == 1 else known.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        plain = _scanned(plain, sorted(map(tuple, items.toLocalIterator())), window, text, hits, names, part == parts - 1)
+        if part < parts - 1:
+            plain = Written(plain, "hits").df
+    return plain
+
+
+def _scanned(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str, hits: str, names: list[str], last: bool) -> DataFrame:
+    """One automaton's hits: added to the column ``hits``, or at last summed up with it as ``FOUND``."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    digest = sha256(repr(items).encode()).hexdigest()
+    before = hits in docs.columns
+    passed = names if last else [c for c in docs.columns if c != hits]
+    kinds = {f.name: f for f in docs.schema.fields}
+
+    def found(value: str | None, spans: list[dict], n: int) -> tuple:
+        joined = merged([(x["s"], x["e"]) for x in spans])
+        owners = sorted({x["item"] for x in spans})
+        return n, sum(e - s for s, e in joined), len(owners), owners, sha256(",".join(owners).encode()).hexdigest(), bool(joined), [list(x) for x in original_offsets(value or "", joined)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(digest, shared.value, window)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for start, end in slices(texts):
-                part = texts[start:end]
-                words = [words_of(t) for t in part]
-                hits: list[list] = [[] for _ in part]
-                for i, block in enumerate(shared.value):
-                    automaton = _automaton((id(shared.value), i, window), block, window)
-                    for found, ws in zip(hits, words):
-                        found += automaton.scan(ws)
-                rows = [one(t, h, len(w)) for t, h, w in zip(part, hits, words)]
                 few = batch.slice(start, end - start)
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_ARROW.values())]
-                yield pa.RecordBatch.from_arrays([*(few.column(n) for n in names), *columns], [*names, *_ARROW])
-
-    return docs.mapInArrow(run, T.StructType([*kept, *FOUND.fields]))
+                earlier = few.column(hits).to_pylist() if before else repeat([])
+                rows, counts = [], []
+                for value, own in zip(texts[start:end], earlier):
+                    words = words_of(value)
+                    counts.append(len(words))
+                    rows.append([*own, *({"s": s, "e": e, "item": o} for s, e, several in automaton.scan(words) for o in several)])
+                if last:
+                    rows = [found(*x) for x in zip(texts[start:end], rows, counts)]
+                    columns = {k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(_ARROW.items())}
+                else:
+                    columns = {hits: pa.array(rows, _HIT_ARROW)}
+                yield pa.RecordBatch.from_arrays([*(few.column(n) for n in passed), *columns.values()], [*passed, *columns])
+
+    added = FOUND.fields if last else [T.StructField(hits, _HIT)]
+    return docs.mapInArrow(run, T.StructType([*(kinds[n] for n in passed), *added]))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0, **options) -> DataFrame:

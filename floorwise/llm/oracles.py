@@ -9,13 +9,14 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def url_filter(rules: list, words: list[str]) -> str:
+def url_filter(rules: list, phrases: list[str]) -> str:
     cases = []
     for rule in sorted(rules, key=lambda r: (-len(r.name), r.name)):
         cases.append((f"regexp_matches(host || path, {_text(rule.pattern)})", rule.name, rule.action))
     rule = " ".join(f"WHEN {c} THEN {_text(n)}" for c, n, _ in cases)
     verdict = " ".join(f"WHEN {c} THEN {_text(a)}" for c, _, a in cases)
-    blocked = r"(?i)(^|[^0-9a-z])(" + "|".join(words) + r")($|[^0-9a-z])"
+    blocked = "(^|[^0-9a-z])(" + "|".join("[^0-9a-z]".join(p.split()) for p in phrases) + ")($|[^0-9a-z])"
+    folded = "translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
     WITH rest AS (
         SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages),
@@ -23,7 +24,7 @@ def url_filter(rules: list, words: list[str]) -> str:
         SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
     SELECT page_id, host, path, CASE {rule} END AS rule,
-           CASE {verdict} WHEN regexp_matches(host || path, {_text(blocked)}) THEN 'block' ELSE 'allow' END AS verdict
+           CASE {verdict} WHEN regexp_matches({folded}, {_text(blocked)}) THEN 'block' ELSE 'allow' END AS verdict
     FROM parts"""
 
 

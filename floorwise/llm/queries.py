@@ -65,7 +65,7 @@ HOST_RULES = [
 ]
 
 
-@query("op4_url_filter", oracles.url_filter(HOST_RULES, urlfilter.WORDS))
+@query("op4_url_filter", oracles.url_filter(HOST_RULES, urlfilter.PHRASES))
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, [*HOST_RULES, *urlfilter.PATTERNS]).drop("url")

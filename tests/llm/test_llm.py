@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("floorwise.llm")
 from floorwise.llm import bpe, chat, decontam, licenses, linededup, neardup, pii, quality, queries, simhash, tokenfile, urlfilter  # noqa: E402
 from floorwise.llm.shared import fresh, slices  # noqa: E402
-from floorwise.sources.scratch import scratch_path  # noqa: E402
+from floorwise.sources.scratch import Written, scratch_path  # noqa: E402
 from tests.conftest import SMALL  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -151,6 +151,16 @@ def test_urls(spark):
     assert urlfilter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_number_of_rules(spark):
+    rules = [*queries.HOST_RULES, *urlfilter.PATTERNS, urlfilter.Rule("block", "[^0-9]{9}$", ()), urlfilter.host_rule("block", "example.com", "/en/7"), urlfilter.host_rule("block", "xn--k.com", "/é")]
+    urls = ["http://a.b/po\u212aer/1", "http://a.b/POKER/1", "http://a.b/tor\u212aent9", "http://a.b/WP-login.php", "http://a.b/wp/x/admin.php5", "http://a.b/add_to.cart?1", "http://a.b/add--to-cart7", "http://XN--K.com/é/" + "x" * 9000, "http://XN--\u212a.com/é1", "http://a.b/ſignin1", "http://example.com/en/7"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    few, many = ([tuple(r) for r in urlfilter.judge(pages, rules, most_rules=n).orderBy("page_id").collect()] for n in (10_000, 0))
+    table = spark.createDataFrame([(r.action, r.pattern, list(r.tokens), r.name, r.folded) for r in rules], urlfilter.RULES_SCHEMA)
+    assert few == many == [tuple(r) for r in urlfilter.judge(pages, table).orderBy("page_id").collect()]
+    assert [r[-1] for r in few] == ["block" if i in (1, 3, 5, 7) else "allow" for i in range(11)]
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rules = [urlfilter.host_rule("block", "example.com", "/en/7"), urlfilter.Rule("block", "x+", ())]
     assert rules[0].tokens == ("com", "en", "example")
@@ -178,9 +188,14 @@ def test_decontamination(spark):
 def test_decontamination_in_blocks(spark, monkeypatch):
     texts = [" ".join(f"t{j}x{i}" for i in range(15)) for j in range(8)]
     monkeypatch.setattr(decontam, "MOST_WINDOWS", 20)
-    assert len(decontam._blocks([(str(i), t) for i, t in enumerate(texts)])) > 1
     benchmark = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
-    assert [r.items for r in decontam.scan(documents(spark, texts), benchmark).orderBy("doc_id").collect()] == [[str(i)] for i in range(8)]
+    built = []
+    monkeypatch.setattr(decontam, "Written", lambda df, name: built.append(name) or Written(df, name))
+    df = documents(spark, [*texts, None, " ".join(texts)]).selectExpr("*", "'x' hits")
+    rows = decontam.scan(df, benchmark, keep_text=True).orderBy("doc_id").collect()
+    assert [r["items"] for r in rows] == [*([str(i)] for i in range(8)), [], [str(i) for i in range(8)]] and len(built) == 2
+    assert [r.n_hit for r in rows] == [15] * 8 + [0, 120] and {r.hits for r in rows} == {"x"} and rows[9].text == " ".join(texts)
+    assert decontam.scan(df.limit(0), benchmark).count() == 0
 
 
 # op 6
