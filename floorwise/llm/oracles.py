@@ -87,17 +87,17 @@ def quality_rules(quality) -> str:
     n = len(quality.RULES)
     votes = ", ".join(f"CASE WHEN {against} THEN -1 WHEN {in_favour} THEN 1 ELSE 0 END AS v{i}" for i, (_, against, in_favour) in enumerate(quality.RULES))
     names = ", ".join(f"v{i}" for i in range(n))
-    odds = lambda table: f"{table}.lp + " + " + ".join(f"CASE v{i} WHEN -1 THEN {table}.a{i} WHEN 1 THEN {table}.f{i} ELSE 0 END" for i in range(n))
-    share = {"g": quality.PRIOR, "b": 1 - quality.PRIOR}
-    start = {"a": quality.AGAINST, "f": quality.FOR}
-    sign = {"a": -1, "f": 1}
+    sign = {"a": -1, "z": 0, "f": 1}
+    odds = lambda table: f"{table}.lp + " + " + ".join(f"CASE v{i} WHEN -1 THEN {table}.a{i} WHEN 1 THEN {table}.f{i} ELSE {table}.z{i} END" for i in range(n))
+    first = {"g": quality.PRIOR_DOCUMENTS * quality.PRIOR, "b": quality.PRIOR_DOCUMENTS * (1 - quality.PRIOR)}
+    start = {"g": quality.ON_GOOD, "b": quality.ON_BAD}
     steps = []
     for k in range(1, quality.ITERATIONS + 1):
-        sums = [f"{quality.STRENGTH * share[c]} * sum(n) + sum(n * {p}) AS {c}" for c, p in (("g", "p"), ("b", "(1 - p)"))]
-        sums += [f"{quality.STRENGTH * share[c] * start[w][j]} * sum(n) + coalesce(sum(n * {p}) FILTER (WHERE v{i} = {sign[w]}), 0) AS {c}{w}{i}" for i in range(n) for w in "af" for j, (c, p) in enumerate((("g", "p"), ("b", "(1 - p)")))]
-        ratios = ", ".join(f"ln((g{w}{i} / g) / (b{w}{i} / b)) AS {w}{i}" for i in range(n) for w in "af")
+        sums = [f"{first[c]} + sum(n * {p}) AS {c}" for c, p in (("g", "p"), ("b", "(1 - p)"))]
+        sums += [f"{first[c] * start[c][v]} + coalesce(sum(n * {p}) FILTER (WHERE v{i} = {v}), 0) AS {c}{w}{i}" for i in range(n) for w, v in sign.items() for c, p in (("g", "p"), ("b", "(1 - p)"))]
+        ratios = ", ".join(f"ln((g{w}{i} / g) / (b{w}{i} / b)) AS {w}{i}" for i in range(n) for w in sign)
         steps.append(f"o{k} AS MATERIALIZED (SELECT ln(g / b) AS lp, {ratios} FROM (SELECT {', '.join(sums)} FROM (SELECT c.*, 1 / (1 + exp(-({odds('o')}))) AS p FROM c, o{k - 1} o)))")
-    first = ", ".join(f"ln({start[w][0]} / {start[w][1]}) AS {w}{i}" for i in range(n) for w in "af")
+    begin = ", ".join(f"ln({start['g'][v]} / {start['b'][v]}) AS {w}{i}" for i in range(n) for w, v in sign.items())
     words = "|".join(quality.FUNCTION_WORDS)
     return f"""
     WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -114,7 +114,7 @@ def quality_rules(quality) -> str:
         FROM t JOIN w USING (r) JOIN lines USING (r) LEFT JOIN covered USING (r)),
     v AS MATERIALIZED (SELECT *, {votes} FROM f),
     c AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY {names}),
-    o0 AS MATERIALIZED (SELECT ln({quality.PRIOR} / (1 - {quality.PRIOR})) AS lp, {first}),
+    o0 AS MATERIALIZED (SELECT ln({quality.PRIOR} / (1 - {quality.PRIOR})) AS lp, {begin}),
     {", ".join(steps)},
     b AS (SELECT v.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed, 1 / (1 + exp(-({odds('o')}))) AS p FROM v, o{quality.ITERATIONS} o)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {quality.THRESHOLD} AS kept FROM b"""

@@ -2,13 +2,16 @@
 
 Each rule votes for a document, against it, or abstains. Documents are counted by their
 pattern of votes (at most 3 to the power of the number of rules), expectation-maximisation
-over these counts estimates how each rule votes on good and on bad documents (an abstention
-says nothing), and a
-document is kept if its posterior probability of being good is at least ``threshold``.
+over these counts estimates how often each rule votes for, votes against and abstains on good
+and on bad documents, and a document is kept if its posterior probability of being good is at
+least ``threshold``. Where estimation begins weighs as much as ``PRIOR_DOCUMENTS`` documents
+whatever the table's size, so a corpus soon outweighs it.
 A base check fails documents of too few or mostly repeated words whatever the rules say.
 
 Defined results: a null text has no words and fails the base check, as does an empty one;
-an empty table gives an empty table; repeated rows each count and get the same verdict.
+an empty table gives an empty table; repeated rows each count and get the same verdict; texts
+of any length are counted whole. ``scored`` takes the place of columns that have its own
+columns' names; ``good_documents`` keeps all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from floorwise.llm.shared import Written, shielded
 WINDOW = 8
 MIN_WORDS, MOST_REPEATED_PERCENT = 20, 30
 ITERATIONS, THRESHOLD = 20, 0.5
-#: Where estimation begins: the share of good documents, and how often good and bad ones
-#: get a vote against and a vote for. These stay in as ``STRENGTH`` documents for each one
-#: counted, which keeps the two classes from changing places.
-PRIOR, AGAINST, FOR, STRENGTH = 0.8, (0.02, 0.3), (0.6, 0.4), 0.5
+#: Where estimation begins: the share of good documents, how often a rule votes against,
+#: abstains and votes for on good and on bad ones, and how many documents all this weighs.
+PRIOR, PRIOR_DOCUMENTS = 0.8, 100
+ON_GOOD, ON_BAD = {-1: 0.02, 0: 0.38, 1: 0.6}, {-1: 0.3, 0: 0.3, 1: 0.4}
 
 #: The white space that separates words, and the symbols that are counted.
 SPACE = "\t\n\x0b\x0c\r "
@@ -111,22 +114,21 @@ def base_failed() -> Column:
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
     """The prior log-odds and each rule's log-odds by vote, from counts by pattern of votes."""
     log_prior = math.log(PRIOR / (1 - PRIOR))
-    odds = [{-1: math.log(AGAINST[0] / AGAINST[1]), 0: 0.0, 1: math.log(FOR[0] / FOR[1])} for _ in range(rules)]
-    prior_good, prior_bad = (STRENGTH * share * sum(n for _, n in patterns) for share in (PRIOR, 1 - PRIOR))
+    odds = [{v: math.log(ON_GOOD[v] / ON_BAD[v]) for v in ON_GOOD} for _ in range(rules)]
+    first_good, first_bad = PRIOR_DOCUMENTS * PRIOR, PRIOR_DOCUMENTS * (1 - PRIOR)
     for _ in range(iterations if patterns else 0):
-        good = [{-1: prior_good * AGAINST[0], 1: prior_good * FOR[0]} for _ in range(rules)]
-        bad = [{-1: prior_bad * AGAINST[1], 1: prior_bad * FOR[1]} for _ in range(rules)]
-        all_good, all_bad = prior_good, prior_bad
+        good = [{v: first_good * x for v, x in ON_GOOD.items()} for _ in range(rules)]
+        bad = [{v: first_bad * x for v, x in ON_BAD.items()} for _ in range(rules)]
+        all_good, all_bad = first_good, first_bad
         for votes, n in patterns:
             p = 1 / (1 + math.exp(-(log_prior + sum(o[v] for o, v in zip(odds, votes)))))
             all_good += n * p
             all_bad += n * (1 - p)
             for g, b, v in zip(good, bad, votes):
-                if v:
-                    g[v] += n * p
-                    b[v] += n * (1 - p)
+                g[v] += n * p
+                b[v] += n * (1 - p)
         log_prior = math.log(all_good / all_bad)
-        odds = [{0: 0.0} | {v: math.log((g[v] / all_good) / (b[v] / all_bad)) for v in (-1, 1)} for g, b in zip(good, bad)]
+        odds = [{v: math.log((g[v] / all_good) / (b[v] / all_bad)) for v in g} for g, b in zip(good, bad)]
     return log_prior, odds
 
 
