@@ -10,9 +10,12 @@ backslash follows the first character of every control string, and backslashes a
 so no text can close or open a turn and escaping can be undone. The loss mask covers each
 assistant text, without its markers.
 
-Defined results: a null text or role is empty; a parent that is not there makes its node a
-root; cycles raise an error. Node ids are unique in a conversation; ``linear`` numbers the
-rows of a table itself, by turn, then role, then text, so ties and repeated rows all stay.
+Defined results: a null text or role is empty, a null score is 0, and a null conversation is
+one of its own; a parent that is not there makes its node a root, and so does the smallest
+node of a cycle; of rows with the same node id in a conversation the first by parent, role,
+text and score is the node. ``linear`` numbers the rows of a table itself, by turn, then role,
+then text, so ties and repeated rows all stay. Texts of any length stay whole; other columns
+are not passed on; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -68,11 +71,31 @@ def linear(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", r
     return numbered.select("conversation", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def unique_nodes(rows: DataFrame) -> DataFrame:
+    """One row for each node id of a conversation: the first by parent, role, text and score."""
+    first = F.min(F.struct(F.col("parent").isNull(), "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")).alias("first")
+    return rows.groupBy("conversation", "node").agg(first).select("conversation", "node", "first.parent", "first.role", "first.text", "first.score")
+
+
+def _roots_of_cycles(nodes: DataFrame, on_cycles: DataFrame) -> DataFrame:
+    """(c, n): the smallest node of each cycle; ``on_cycles`` are the nodes (c, n) that cycles are made of."""
+    own = nodes.join(on_cycles, F.col("conversation").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_semi")
+    now = Written(own.select(F.col("conversation").alias("c"), F.col("node").alias("n"), F.col("parent").alias("above"), F.col("node").alias("least")), "cycles")
+    for _ in range(now.df.count().bit_length()):  # reach doubles
+        far = now.df.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("above").alias("farther"), F.col("least").alias("other"))
+        step = now.df.join(far, F.col("c").eqNullSafe(F.col("d")) & (F.col("above") == F.col("m")))
+        following = Written(step.select("c", "n", F.col("farther").alias("above"), F.least("least", "other").alias("least")), "cycles")
+        now.discard()
+        now = following
+    return now.df.where("n = least").select("c", "n")
+
+
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(conversation, leaf, rank, node, back) of the ``branches`` best root-to-leaf paths.
 
-    ``nodes``: conversation, node, parent, score. A branch scores the mean of its nodes;
-    of equal branches the one with the smaller leaf comes first. ``back`` counts from the leaf.
+    ``nodes``: conversation, node, parent, score, ids unique in a conversation. A branch
+    scores the mean of its nodes; of equal branches the one with the smaller leaf comes first.
+    ``back`` counts from the leaf.
     """
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     known = nodes.select(F.col("conversation").alias("c"), F.col("node").alias("n"))
@@ -83,8 +106,11 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     leaves = jumps[0].df.join(parents, same("conversation", "c") & (F.col("node") == F.col("n")), "left_anti").select("conversation", "node")
     most = jumps[0].df.count().bit_length() + 1  # reach doubles, and no path has more nodes than there are
     while not jumps[-1].df.where("above is not null").isEmpty():
-        if len(jumps) > most:
-            raise ValueError("replies form a cycle")
+        if len(jumps) > most:  # what has not passed a root by now points to nodes of cycles, and to all of them
+            on_cycles = jumps[-1].df.where("above is not null").select(F.col("conversation").alias("c"), F.col("above").alias("n")).distinct()
+            roots = Written(_roots_of_cycles(nodes, on_cycles), "roots").df.withColumn("cut", F.lit(True))
+            cut = nodes.join(roots, same("conversation", "c") & (F.col("node") == F.col("n")), "left")
+            return paths(cut.select("conversation", "node", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), "score"), branches)
         now = jumps[-1].df.where("above is not null")
         ended = [j.df.where("above is null") for j in jumps]
         far = reduce(DataFrame.unionByName, ended, now)
@@ -105,8 +131,13 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return found
 
 
-def conversations(nodes: DataFrame, branches: int = 1, learned: str = "assistant") -> DataFrame:
-    """One row per chosen path: conversation, leaf, rank, formatted text and loss spans."""
+def conversations(nodes: DataFrame, branches: int = 1, learned: str = "assistant", unique: bool = False) -> DataFrame:
+    """One row per chosen path: conversation, leaf, rank, formatted text and loss spans.
+
+    ``unique`` says that no node id repeats in a conversation, as in what ``linear`` gives.
+    """
+    if not unique:
+        nodes = Written(unique_nodes(nodes), "nodes").df
     of_path = paths(nodes, branches)
     texts = nodes.select(F.col("conversation").alias("c"), F.col("node").alias("n"), "role", "text")
     turns = of_path.join(texts, F.col("conversation").eqNullSafe(F.col("c")) & F.col("node").eqNullSafe(F.col("n")))

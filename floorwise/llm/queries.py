@@ -117,7 +117,7 @@ def _digests(text: str, spans: list) -> tuple:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    done = chat.conversations(chat.linear(rows))
+    done = chat.conversations(chat.linear(rows), unique=True)
 
     def run(batches):
         for batch in batches:

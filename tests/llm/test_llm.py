@@ -432,9 +432,19 @@ def test_reply_trees(spark):
     assert got[7, 1, 1] == {0: 1} and got[8, 1, 5] == {0: 5}
     one = {r.conversation: r for r in chat.conversations(df).collect()}
     assert len(one) == 8 and chat.parsed(one[7].formatted) == [("", "")]
-    cycle = spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "conversation long, node long, parent long").selectExpr("*", "'user' role", "'x' text", "0.0 score")
-    assert chat.paths(df.limit(0)).count() == 0
-    assert pytest.raises(ValueError, chat.paths, cycle)
+    assert chat.paths(df.limit(0)).count() == 0 and chat.conversations(df.limit(0)).count() == 0
+
+
+def test_reply_trees_with_cycles_and_repeated_ids(spark):
+    parents = {1: 3, 2: 1, 3: 2, 4: 2, 5: 4, 6: 6, 10: None, 11: 10, 20: 21, 21: 20}
+    rows = [(c, n, p, "user", f"n{n}", 0.0) for c in (1, None) for n, p in parents.items()] + [(1, 11, 10, "user", "n11", 0.0), (1, 11, 12, "user", "n11", 0.0)]
+    df = spark.createDataFrame(rows, "conversation long, node long, parent long, role string, text string, score double")
+    got = defaultdict(list)
+    for r in chat.conversations(df, branches=9).collect():
+        got[r.conversation].append([t for _, t in chat.parsed(r.formatted)])
+    # 1-2-3 is a cycle that becomes a tree under 1; 6 answers itself
+    expected = [["n1", "n2", "n3"], ["n1", "n2", "n4", "n5"], ["n10", "n11"], ["n20", "n21"], ["n6"]]
+    assert sorted(got[1]) == sorted(got[None]) == expected
 
 
 def test_op10(spark):
