@@ -1,27 +1,36 @@
 """Surrogates for personal data, with DataFrame functions alone.
 
 One expression finds mentions: e-mail addresses, IP addresses, telephone, card and social
-security numbers, hexadecimal secrets, and names behind a title. A mention's canonical form
-(lower case; a name is its given and its family name by themselves) gets a surrogate from a
-keyed hash: digits become digits, letters letters of the same script, a title keeps its
-gender, and separators stay. The same entity has the same surrogate everywhere.
+security numbers, hexadecimal secrets, and names behind a title. In a text with such a name its
+parts are also found where they stand without a title. A mention's canonical form (lower case;
+a name is its given and its family name by themselves) gets a surrogate from a keyed hash
+(HMAC with SHA-512): digits become digits, letters letters of the same script, a title keeps its
+gender, separators stay, and a card number that passes its check digit does so again. The same
+entity has the same surrogate everywhere. The key is no literal of the plan.
 
 Surrogates are checked for collisions over all distinct entities: where two of a type share
 one, or one is itself an entity of the corpus, all but the first are drawn again with the
-next attempt, which also has longer names and addresses to draw from, until none collide. Mentions in upper case get surrogates in upper case.
+next attempt, until none collide. Every attempt has more to draw from (longer names and
+addresses, and after some attempts longer numbers), so no number of entities is too large.
+Mentions in upper case get surrogates in upper case.
 
-Defined results: a null text stays null, a text without mentions stays as it is; repeated
-rows are treated alike; an empty table stays empty.
+Defined results: a null text stays null, a text without mentions stays as it is; texts of any
+length are searched whole; repeated rows are treated alike; columns of any name stay; an empty
+table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from hashlib import sha512
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwise.llm.shared import Written, fresh
+from floorwise.llm.shared import Written, fresh, tidy
 
-MOST_ROUNDS = 30
+#: After so many attempts numbers, which keep their format until then, grow by a digit each.
+KEPT_FORMAT = 8
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Госпожа"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]}
@@ -32,6 +41,12 @@ GIVEN = {
 #: Syllables of family names by script, two or more to a name.
 SYLLABLES = {"latin": "ber dan fel gor hal ker lin mar nor pel ros sten tor val wes zan".split(), "cyrillic": "бор вал гор дан зан кер лин мар нор пел рос сан тор фел хал шен".split()}
 
+#: Alphabets that letters are drawn from, and first and last letters of other scripts
+#: (Greek, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Han, Hangul).
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àâçèéêëîïôùûüäößñóíáúì", "абвгдежзиклмнопрстуфхцчшэюя"]
+CLASSES = ["[0-9]", "[a-z]", "[à-öø-ÿ]", "[а-яё]"]
+SCRIPTS = [("ά", "ώ"), ("ա", "ֆ"), ("א", "ת"), ("ب", "غ"), ("क", "ह"), ("ก", "ฮ"), ("ა", "ჰ"), ("あ", "ん"), ("ア", "ン"), ("一", "龥"), ("가", "힣")]
+
 _TITLE = "(?:" + "|".join(t for several in TITLES.values() for t in several) + ")"
 _NAME = rf"(?!{_TITLE}(?![\p{{L}}]))\p{{Lu}}[\p{{L}}'’-]+"
 _TITLED = rf"{_TITLE}\.? {_NAME}(?: {_NAME})?"
@@ -47,6 +62,7 @@ TYPES = {
 }
 #: A superset of what holds a mention, cheap to search for: every alternative of _ANY needs one of these.
 _MAYBE = r"@|[0-9a-fA-F]{32}|[0-9]\.[0-9]|[0-9]{3}|\p{Lu}\p{L}+\.? \p{Lu}"
+_WORD = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]*\p{L}(?![\p{L}\p{N}])"
 _ANY = "|".join(x.replace("([ -]?)", "(?<separator>[ -]?)").replace(r"\1", r"\k<separator>") for x in TYPES.values())
 
 
@@ -70,8 +86,20 @@ def _parts(mention: Column) -> Column:
     return F.when(_type(mention) == "name", named).otherwise(F.array(F.struct(_type(mention).alias("type"), F.lower(mention).alias("entity"))))
 
 
-def _digest(key: str, attempt: Column) -> Column:
-    of = lambda n: F.sha2(F.concat_ws("|", F.lit(key), F.lit(n), "type", "entity", attempt.cast("string")).cast("binary"), 512)
+def keyed(spark: SparkSession, key: str) -> Column:
+    """The two blocks of HMAC-SHA-512, as a value that no plan shows."""
+    block = key.encode() if len(key.encode()) <= 128 else sha512(key.encode()).digest()
+    inner, outer = (bytes(b ^ pad for b in block.ljust(128, b"\0")) for pad in (0x36, 0x5C))
+    return spark.createDataFrame([((inner, outer),)], "key struct<inner: binary, outer: binary>").scalar()
+
+
+def _digest(attempt: Column) -> Column:
+    """256 hexadecimal digits for the row's ``type`` and ``entity``, from its ``key``."""
+
+    def of(n: str) -> Column:
+        said = F.concat_ws("|", F.lit(n), "type", "entity", attempt.cast("string")).cast("binary")
+        return F.sha2(F.concat(F.col("key.outer"), F.unhex(F.sha2(F.concat(F.col("key.inner"), said), 512))), 512)
+
     return F.concat(of("1"), of("2"))
 
 
@@ -80,67 +108,88 @@ def _number(digest: Column, at: int | Column, below: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, at, 7) if isinstance(at, int) else F.substr(digest, at, F.lit(7)), 16, 10).cast("long"), F.lit(below))
 
 
-def _like(entity: Column, digest: Column, characters: str) -> Column:
-    """``entity`` with digits, Latin and Cyrillic letters drawn anew; ``characters`` of these change."""
-    classes = [("0123456789", "[0-9]"), ("abcdefghijklmnopqrstuvwxyz", "[a-z]"), ("àâçèéêëîïôùûüäößñóíáúì", "[à-öø-ÿ]"), ("абвгдежзиклмнопрстуфхцчшэюя", "[а-яё]")]
+def _like(entity: Column, digest: Column) -> Column:
+    """``entity`` with digits and letters drawn anew, each from its own script; letters of other scripts than those listed become Latin."""
 
     def one(c: Column, i: Column) -> Column:
         n = F.pmod(F.conv(F.substr(digest, F.pmod(i * 3, F.lit(240)) + 1, F.lit(7)), 16, 10).cast("long") + i, F.lit(1 << 30))
-        out = None
-        for alphabet, pattern in classes:
-            drawn = F.substr(F.lit(alphabet), (F.pmod(n, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
-            out = F.when(c.rlike(pattern), drawn) if out is None else out.when(c.rlike(pattern), drawn)
-        return out.otherwise(c)
-
-    if characters == "hex":
-        return F.substr(digest, F.lit(1), F.length(entity))
+        of = lambda alphabet: F.substr(F.lit(alphabet), (F.pmod(n, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+        out = F.when(c == "", c)
+        for alphabet, letters in zip(ALPHABETS, CLASSES):
+            out = out.when(c.rlike(letters), of(alphabet))
+        for first, last in SCRIPTS:
+            drawn = F.pmod(n, F.lit(ord(last) - ord(first) + 1)) + ord(first)
+            out = out.when(F.ascii(c).between(ord(first), ord(last)), F.decode(F.unhex(F.lpad(F.hex(drawn), 4, "0")), "UTF-16BE"))
+        return out.when(c.rlike(r"\p{L}"), of(ALPHABETS[1])).otherwise(c)
+
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
+def _checksum(digits: Column) -> Column:
+    """The sum of a card number's digits by Luhn's rule, of 15 or 16 of them."""
+    each = F.transform(F.split(digits, ""), lambda c, i: c.cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
+
+
+def _card(entity: Column, digest: Column) -> Column:
+    drawn, digits = _like(entity, digest), lambda c: F.regexp_replace(c, "[^0-9]", "")
+    check = F.pmod(-_checksum(F.substring(digits(drawn), 1, 15)), F.lit(10)).cast("string")
+    valid = (F.length(digits(entity)) == 16) & (F.pmod(_checksum(digits(entity)), F.lit(10)) == 0)
+    return F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+
+
 def _pick(values: list[str], n: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), n.cast("int"))
 
 
-def _surrogate(key: str, attempt: Column) -> Column:
-    """A surrogate for the row's ``type`` and ``entity``, all in lower case."""
-    d, entity, kind = _digest(key, attempt), F.col("entity"), F.col("type")
-    cyrillic = entity.rlike("[а-яё]")
-    octets = F.concat_ws(".", *(( _number(d, 1 + 8 * i, 254) + 1).cast("string") for i in range(4)))
+def _surrogate(attempt: Column) -> Column:
+    """A surrogate for the row's ``type`` and ``entity`` by its ``key``, all in lower case."""
+    d, entity, kind = F.col("digest"), F.col("entity"), F.col("type")
+    extra = F.greatest(attempt - KEPT_FORMAT, F.lit(0))
+    cyrillic, latin = entity.rlike("[а-яё]"), entity.rlike("[a-zà-öø-ÿ]")
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), extra + 3), lambda i: (_number(d, 1 + 8 * i, 254) + 1).cast("string")), ".")
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.regexp_extract(domain, r"\.[^.]*$", 0)
     longer = F.translate(F.substr(d, F.lit(200), attempt), "0123456789", "ghijklmnop")  # as many letters as attempts
-    address = F.concat(_like(local, d, "all"), longer, F.lit("@"), _like(F.substr(domain, F.lit(1), F.length(domain) - F.length(top)), F.reverse(d), "all"), top)
+    address = F.concat(_like(local, d), longer, F.lit("@"), _like(F.substr(domain, F.lit(1), F.length(domain) - F.length(top)), F.reverse(d)), top)
     code = F.regexp_extract(entity, r"^\+[0-9]{1,3}?(?=[ .(-]|[0-9]{9,})", 0)
+    number = F.concat(entity, F.repeat(F.lit("0"), extra))
+    own_script = _like(F.concat(entity, F.repeat(F.regexp_extract(entity, r"\p{L}", 0), attempt)), d)
     syllables = lambda script, at, n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pick(SYLLABLES[script], _number(d, at + 7 * i, len(SYLLABLES[script])))), "")
     family = lambda script: syllables(script, 1, attempt + 4)
     given = lambda sex, script: F.concat(F.lower(_pick(GIVEN[sex][script], _number(d, 1, len(GIVEN[sex][script])))), F.when(attempt > 0, F.concat(F.lit("-"), F.lower(_pick(GIVEN[sex][script], _number(d, 9, len(GIVEN[sex][script])))), F.when(attempt > 3, F.concat(F.lit("-"), syllables(script, 17, F.greatest(attempt - 2, F.lit(1))))).otherwise(""))).otherwise(""))
-    out = F.when(kind == "email", address).when(kind == "secret", _like(entity, d, "hex")).when(kind == "ip", octets)
-    out = out.when(kind == "phone", F.concat(code, _like(F.substr(entity, F.length(code) + 1, F.length(entity)), d, "all")))
-    out = out.when(kind == "family", F.when(cyrillic, family("cyrillic")).otherwise(family("latin")))
+    by_script = lambda make: F.when(cyrillic, make("cyrillic")).when(latin, make("latin")).otherwise(own_script)
+    out = F.when(kind == "email", address).when(kind == "secret", F.substr(d, F.lit(1), F.length(entity))).when(kind == "ip", octets)
+    out = out.when(kind == "phone", F.concat(code, _like(F.substr(number, F.length(code) + 1, F.length(number)), d)))
+    out = out.when(kind == "card", _card(number, d)).when(kind == "family", by_script(family))
     for sex in ("f", "m"):
-        out = out.when(kind == f"given_{sex}", F.when(cyrillic, given(sex, "cyrillic")).otherwise(given(sex, "latin")))
-    return out.otherwise(_like(entity, d, "all"))
+        out = out.when(kind == f"given_{sex}", by_script(lambda script, sex=sex: given(sex, script)))
+    return out.otherwise(_like(number, d))
+
+
+def _drawn(entities: DataFrame, key: Column) -> DataFrame:
+    """``entities`` (type, entity, attempt) with their surrogates."""
+    return entities.withColumn("key", key).withColumn("digest", _digest(F.col("attempt"))).withColumn("surrogate", _surrogate(F.col("attempt"))).drop("key", "digest")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(type, entity, surrogate) of distinct entities, no two of a type with one surrogate."""
-    drawn = entities.select("type", "entity", F.lit(0).alias("attempt")).withColumn("surrogate", _surrogate(key, F.lit(0)))
-    now = Written(drawn, "surrogates")
-    for _ in range(MOST_ROUNDS):
+    secret = keyed(entities.sparkSession, key)
+    now = Written(_drawn(entities.select("type", "entity", F.lit(0).alias("attempt")), secret), "surrogates", keep=True)
+    for attempt in count(1):
         first = now.df.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
         real = now.df.select("type", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         clashes = first.join(real, ["type", "surrogate"], "left").where("n > 1 or real")
-        clashes = Written(clashes.select("type", "surrogate", F.when(F.col("real").isNull(), F.col("first.entity")).alias("keeps")), "clashes")
+        clashes = Written(clashes.select("type", "surrogate", F.when(F.col("real").isNull(), F.col("first.entity")).alias("keeps"), F.lit(True).alias("clash")), "clashes")
         if clashes.df.isEmpty():
             return now.df.select("type", "entity", "surrogate")
-        again = now.df.join(clashes.df.withColumn("clash", F.lit(True)), ["type", "surrogate"], "left")
-        again = again.select("type", "entity", (F.col("attempt") + F.when(F.col("clash") & ~F.col("entity").eqNullSafe(F.col("keeps")), 1).otherwise(0)).alias("attempt"), F.col("surrogate").alias("old"), F.col("attempt").alias("was"))
-        again = again.withColumn("surrogate", F.when(F.col("attempt") == F.col("was"), F.col("old")).otherwise(_surrogate(key, F.col("attempt"))))
-        following = Written(again.select("type", "entity", "attempt", "surrogate"), "surrogates")
+        joined = now.df.join(clashes.df, ["type", "surrogate"], "left").withColumn("again", F.col("clash").isNotNull() & ~F.col("entity").eqNullSafe(F.col("keeps")))
+        again = _drawn(joined.where("again").select("type", "entity", F.lit(attempt).alias("attempt")), secret)
+        columns = ["type", "entity", "attempt", "surrogate"]
+        following = Written(joined.where("not again").select(columns).unionByName(again.select(columns)), "surrogates", keep=True)
         now.discard()
         clashes.discard()
         now = following
-    raise ValueError("surrogates still collide; a type's alphabet is too small for its entities")
 
 
 def _written_like(mention: Column, surrogate: Column) -> Column:
@@ -151,22 +200,36 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in their texts, and ``n_mentions``: how many were replaced."""
     t1, t2, known, n_mentions = (fresh(docs, n) for n in ("t1", "t2", "replacements", "n_mentions"))
     keys = {t1: F.xxhash64(text), t2: F.xxhash64(F.lit("text"), F.col(text))}
-    mentions_of = F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))
-    found = Written(docs.where(F.col(text).rlike(_MAYBE)).select(*(c.alias(n) for n, c in keys.items()), F.explode(F.array_distinct(mentions_of)).alias("mention")).withColumn("parts", _parts(F.col("mention"))), "mentions").df
-    parts = found.select(t1, t2, "mention", F.posexplode("parts").alias("at", "part")).select(t1, t2, "mention", "at", "part.type", "part.entity")
-    drawn = surrogates(parts.select("type", "entity").distinct(), key)
-    joined = parts.join(drawn, ["type", "entity"])
-    gathered = joined.groupBy(t1, t2, "mention").agg(F.array_sort(F.collect_set(F.struct("at", "type", "surrogate"))).alias("s"))
-    words = F.split("mention", " ")
-    titled = F.concat_ws(" ", F.get(words, F.lit(0)), F.array_join(F.transform("s", lambda x: F.initcap(x["surrogate"])), " "))
-    is_name = F.get("s", F.lit(0))["type"].isin("family", "given_f", "given_m")
-    new = F.when(is_name, titled).otherwise(_written_like(F.col("mention"), F.get("s", F.lit(0))["surrogate"]))
-    by_text = Written(gathered.select(t1, t2, F.struct("mention", new.alias("new")).alias("r")).groupBy(t1, t2).agg(F.map_from_entries(F.collect_list("r")).alias(known)), "replacements").df
+    mentions_of = lambda pattern: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    with tidy():
+        mentions = docs.where(F.col(text).rlike(_MAYBE)).select(*(c.alias(n) for n, c in keys.items()), F.explode(F.array_distinct(mentions_of(_ANY))).alias("mention"))
+        found = Written(mentions.withColumn("parts", _parts(F.col("mention"))), "mentions").df
+        parts = found.select(t1, t2, "mention", F.posexplode("parts").alias("at", "part")).select(t1, t2, "mention", "at", "part.type", "part.entity")
+        drawn = surrogates(parts.select("type", "entity").distinct(), key)
+        gathered = parts.join(drawn, ["type", "entity"]).groupBy(t1, t2, "mention").agg(F.array_sort(F.collect_set(F.struct("at", "type", "entity", "surrogate"))).alias("s"))
+        titled = F.concat_ws(" ", F.get(F.split("mention", " "), F.lit(0)), F.array_join(F.transform("s", lambda x: F.initcap(x["surrogate"])), " "))
+        is_name = F.get("s", F.lit(0))["type"].isin("family", "given_f", "given_m")
+        whole = F.struct("mention", F.when(is_name, titled).otherwise(_written_like(F.col("mention"), F.get("s", F.lit(0))["surrogate"])).alias("new"))
+        # the parts of a name are also known by themselves, under their lower-case form behind a line break
+        bare = F.when(is_name, F.transform("s", lambda x: F.struct(F.concat(F.lit("\n"), x["entity"]).alias("mention"), x["surrogate"].alias("new"))))
+        entries = gathered.select(t1, t2, F.explode(F.concat(F.array(whole), F.coalesce(bare, F.array()))).alias("r")).groupBy(t1, t2, "r.mention").agg(F.min("r.new").alias("new"))
+        by_text = Written(entries.groupBy(t1, t2).agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias(known)), "replacements", keep=True).df
     # a merge join at every size: texts are shuffled once, and hot ones are split
-    whole = docs.withColumns(keys).join(by_text.hint("merge"), [t1, t2], "left")
-    gaps, mentions = F.split(F.col(text), _ANY, -1), F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))
-    filled = F.transform(mentions, lambda m: F.element_at(F.col(known), m))
-    pieces = F.zip_with(gaps, filled, lambda g, f: F.concat(g, F.coalesce(f, F.lit(""))))
-    has = F.col(known).isNotNull()
-    columns = [F.when(has, F.array_join(pieces, "")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return whole.select(*columns, F.when(has, F.size(mentions)).otherwise(0).cast("long").alias(n_mentions))
+    joined = docs.withColumns(keys).join(by_text.hint("merge"), [t1, t2], "left")
+    has, names = F.col(known).isNotNull(), F.exists(F.map_keys(known), lambda k: k.startswith("\n"))
+
+    def filled(pattern: str) -> Column:
+        """The text with surrogates, and their number."""
+
+        def one(m: Column) -> Column:
+            bare = F.element_at(F.col(known), F.concat(F.lit("\n"), F.lower(m)))
+            return F.coalesce(F.element_at(F.col(known), m), F.when((F.upper(m) == m) & (F.length(m) > 1), F.upper(bare)).otherwise(F.initcap(bare)))
+
+        new = F.transform(mentions_of(pattern), lambda m: F.struct(m.alias("old"), one(m).alias("new")))
+        pieces = F.zip_with(F.split(F.col(text), pattern, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m["new"], m["old"], F.lit(""))))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(new, lambda m: m["new"].isNotNull())).alias("n"))
+
+    done = fresh(docs, "filled")
+    joined = joined.withColumn(done, F.when(has & names, filled(f"{_ANY}|{_WORD}")).when(has, filled(_ANY)))
+    columns = [F.when(has, F.col(done)["text"]).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns]
+    return joined.select(*columns, F.when(has, F.col(done)["n"]).otherwise(0).cast("long").alias(n_mentions))

@@ -382,6 +382,37 @@ def test_surrogates_do_not_collide(spark):
     assert not {r.surrogate for r in rows} & {r.entity for r in rows}
 
 
+def test_names_without_titles_and_cards_that_check(spark):
+    texts = ["John Smith met Mr Smith; Smiths, SMITH and John. Mr John Smith paid with 4111 1111 1111 1111 and 4111-1111-1111-1112.", "John Smith is nobody here.", "γιώργος@παράδειγμα.gr Mr Παπαδόπουλος 山田@例え.jp"]
+    rows = [r.text for r in pii.replaced(documents(spark, texts), "key").orderBy("doc_id").collect()]
+    name = re.search("Mr ([A-Z][a-z-]+) ([A-Z][a-z]+) paid with (.{19}) and (.{19})[.]", rows[0])
+    given, family, valid, invalid = name.groups()
+    assert rows[0] == f"{given} {family} met Mr {family}; Smiths, {family.upper()} and {given}. Mr {given} {family} paid with {valid} and {invalid}."
+    check = lambda card: sum((2 * d - 9 * (d > 4)) if i % 2 == 0 else d for i, d in enumerate(map(int, re.sub("[^0-9]", "", card)))) % 10
+    assert check(valid) == 0 and valid != "4111 1111 1111 1111" and re.fullmatch("(....-){3}....", invalid)
+    assert rows[1] == texts[1]
+    assert re.fullmatch("[ά-ώ]{7}@[ά-ώ]{10}[.]gr Mr [^a-z ]{12,} [一-龥]{2}@[一-龥あ-ん]{2}[.]jp", rows[2]) and "γιώργος" not in rows[2]
+
+
+def test_a_full_format_grows(spark, monkeypatch):
+    monkeypatch.setattr(pii, "KEPT_FORMAT", 1)
+    entities = [("ssn", f"{i}-0") for i in range(10)] + [("email", "a@b.c"), ("card", "1"), ("card", "2")]
+    rows = pii.surrogates(spark.createDataFrame(entities, "type string, entity string"), "key").collect()
+    assert len({(r.type, r.surrogate) for r in rows}) == 13 and not {(r.type, r.surrogate) for r in rows} & set(entities)
+    assert all(re.fullmatch("[0-9]+-[0-9]+", r.surrogate) for r in rows if r.type == "ssn")
+
+
+def test_the_key_is_in_no_plan(spark):
+    import hmac
+
+    entities = spark.createDataFrame([("family", "smith")], "type string, entity string").withColumn("attempt", F.lit(0))
+    drawn = entities.withColumn("key", pii.keyed(spark, "my secret key")).withColumn("digest", pii._digest(F.col("attempt")))
+    expected = "".join(hmac.new(b"my secret key", f"{n}|family|smith|0".encode(), "sha512").hexdigest() for n in "12")
+    assert drawn.first().digest == expected
+    plan = drawn._jdf.queryExecution().toString()
+    assert "my secret" not in plan and bytes(b ^ 0x36 for b in b"my sec").decode() not in plan
+
+
 def test_op9_leaves_nothing(spark, small):
     patterns = [r"\S+@mail\d+\.example\.com", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"\+1 \(\d{3}\) 555-\d{4}", r"\b\d{16}\b", r"\b[0-9a-fA-F]{40}\b"]
     for r in queries.QUERIES["op9_pii_surrogates"](spark, SMALL).collect():
