@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding gives the text back."""
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER), TOKENIZER)
+    decoded = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return decoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -5,8 +5,10 @@ each adjacent pair that has a merge rank to all its positions; active ranks are
 ascending order, each to all its positions from left to right, and the lists of the pairs
 that a merge makes are updated. A pre-token is encoded once while a bounded cache holds it.
 
-Defined results: a null text encodes as an empty one; null ids decode to an empty text; all
-other columns pass through unchanged (an existing column of an output's name is replaced).
+Defined results: a null text encodes as an empty one; null ids decode to an empty text; texts
+of any length are encoded whole; repeated rows and ties are encoded alike; an empty table stays
+empty; all other columns pass through unchanged (an existing column of an output's name is
+replaced).
 """
 
 from __future__ import annotations
@@ -219,10 +221,11 @@ _loaded: dict[tuple, object] = {}
 
 
 def load(kind: type, source: str):
-    """``kind(source)``, built once in a worker; its cache serves all tasks there."""
+    """``kind(source)``, built once in a worker and kept until another vocabulary comes; its cache serves all tasks there."""
     key = (kind, hash(source))
     if key not in _loaded:
-        _loaded.clear()
+        for other in [k for k in _loaded if k[1] != key[1]]:
+            del _loaded[other]
         _loaded[key] = kind(source)
     return _loaded[key]
 
@@ -236,30 +239,40 @@ def vocabulary(path: str, most_bytes: int = 64 << 20) -> str:
     return source
 
 
-def _mapped(df: DataFrame, column: str, made: str, kind: T.DataType, arrow: pa.DataType, source: str, how: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(source)  # a fixed file of checked size
-    kept = [f for f in df.schema.fields if f.name.lower() != made.lower()]
-    schema = T.StructType([*kept, T.StructField(made, kind, False)])
+def _mapped(df: DataFrame, column: str, tokenizer_path: str, ids: str | None, text: str | None) -> DataFrame:
+    """Add what is named: ``ids`` of a text column, the ``text`` of these or else of an id column."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(tokenizer_path))  # a fixed file of checked size
+    made = [T.StructField(n, k, False) for n, k in ((ids, T.BinaryType()), (text, T.StringType())) if n is not None]
+    kept = [f for f in df.schema.fields if f.name.lower() not in {m.name.lower() for m in made}]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(PairIndexBPE if how == "encode" else Decoder, shared.value)
         for batch in batches:
             values = batch.column(column).to_pylist()
             for start, end in slices(values, STRETCH):
-                part = values[start:end]
-                out = bpe.encode(part) if how == "encode" else [bpe.decode(x) for x in part]
+                found = values[start:end]
+                columns = []
+                if ids is not None:
+                    found = load(PairIndexBPE, shared.value).encode(found)
+                    columns.append(pa.array(found, pa.binary()))
+                if text is not None:
+                    columns.append(pa.array(map(load(Decoder, shared.value).decode, found), pa.string()))
                 few = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(few.column(n) for n in names), pa.array(out, arrow)], [*names, made])
+                yield pa.RecordBatch.from_arrays([*(few.column(n) for n in names), *columns], [*names, *(m.name for m in made)])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*kept, *made]))
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the text's ids as little-endian unsigned 32-bit integers, in one BINARY."""
-    return _mapped(df, text, ids, T.BinaryType(), pa.binary(), vocabulary(tokenizer_path), "encode")
+    return _mapped(df, text, tokenizer_path, ids, None)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``: what the ids stand for; bytes that are no UTF-8 become U+FFFD."""
-    return _mapped(df, ids, text, T.StringType(), pa.string(), vocabulary(tokenizer_path), "decode")
+    return _mapped(df, ids, tokenizer_path, None, text)
+
+
+def encode_and_decode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode`` in one pass, so that a task has one worker."""
+    return _mapped(df, text, tokenizer_path, ids, decoded)

@@ -13,7 +13,7 @@ no square. All other pairs of a key are candidates, unless sizes, positions or s
 out the similarity: a sketch tells of each bucket of hashes whether it holds an odd number,
 and has as many buckets as its text has shingles, or more. Of the candidates between two
 groups one is verified, by an exact count of the common hashes; where that joins the groups
-the others are settled, and where it does not, four times as many are verified next, until
+the others are settled, and where it does not, ``MORE`` times as many are verified next, until
 none is left. Components of links are the groups.
 
 Defined results: texts compare in lower case (A-Z) by words between ASCII white space; a null
@@ -42,6 +42,8 @@ SAMPLE, FREQUENT = 8192, 4
 #: Bits of the map that tells which texts are needed for comparison; false hits do no harm.
 BITS = 1 << 24
 LEAST_BUCKETS = 64
+#: Candidates between two groups that are verified next, for each one verified before.
+MORE = 64
 #: Up to so many rows an anti join's right side of row numbers is sent to all tasks (8 bytes each).
 MOST_SENT = 4_000_000
 
@@ -238,6 +240,11 @@ def links(texts: DataFrame, candidates: DataFrame, words: int = WORDS, similarit
             some = Written(some.select("m.a", "m.b"), "some")
             now = verified(some.df)
             found = found.union(now)
+            if now.isEmpty():
+                rest = Written(open_pairs.df.join(some.df, ["a", "b"], "left_anti"), "near")
+                open_pairs.discard()
+                open_pairs, share = rest, MORE * share
+                continue
             joined = components(now.join(open_pairs.df.select("a", "b", "lx", "ly"), ["a", "b"]).select(F.col("lx").alias("a"), F.col("ly").alias("b")))
             joined = Written(joined, "labels")
             of = lambda end: joined.df.select(F.col("node").alias(end), F.col("label").alias(f"n_{end}"))  # noqa: E731, B023
@@ -246,5 +253,5 @@ def links(texts: DataFrame, candidates: DataFrame, words: int = WORDS, similarit
             following = Written(rest.select("a", "b", F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly"), "differ"), "near")
             for table in (open_pairs, some, joined):
                 table.discard()
-            open_pairs, share = following, 4 * share
+            open_pairs, share = following, MORE * share
         return Written(found, "links", keep=True).df

@@ -35,8 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
-    return bpe.decode(encoded, TOKENIZER).select(
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

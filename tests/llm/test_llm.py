@@ -66,6 +66,8 @@ def test_bpe_on_odd_documents(spark):
     df = documents(spark, ODD).withColumn("IDS", F.lit("clash"))
     rows = bpe.decode(bpe.encode(df, queries.TOKENIZER), queries.TOKENIZER).orderBy("doc_id").collect()
     assert [r.decoded for r in rows] == [t or "" for t in ODD]
+    once = bpe.encode_and_decode(df, queries.TOKENIZER).orderBy("doc_id").collect()
+    assert [(r.ids, r.decoded) for r in once] == [(r.ids, r.decoded) for r in rows]
     assert bpe.encode(df.limit(0), queries.TOKENIZER).count() == 0
 
 
