@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floorwise.functions import kernels
 from floorwise.sources.scratch import Written
 
 
@@ -105,9 +106,11 @@ def joined_chains(edges: DataFrame) -> DataFrame:
 
     Inner edges meet in components of chains; the ends of a chain are its vertices with
     another number of edges. A closed chain without such a vertex begins and ends at its
-    smallest one. Lengths add up.
+    smallest one. Lengths add up, and paths, where edges have them, are put together from the
+    chain's first end to its last. A chain is one row, so it lies in one task as its path does.
     """
-    edges = Written(edges.select("map_id", "edge_id", "a", "b", "length"), "chains").df
+    paths = [c for c in ("path",) if c in edges.columns]
+    edges = Written(edges.select("map_id", "edge_id", "a", "b", "length", *paths), "chains").df
     inner = degrees(edges).where("degree = 2").select("map_id", "node")
     ends = edges.select("map_id", "edge_id", F.explode(F.array("a", "b")).alias("node"))
     at = ends.join(inner, ["map_id", "node"])
@@ -115,11 +118,14 @@ def joined_chains(edges: DataFrame) -> DataFrame:
     pairs = at.groupBy("map_id", "node").agg(F.min(key).alias("a"), F.max(key).alias("b"))
     labels = components(pairs.select("a", "b"))
     chained = edges.withColumn("_k", key).join(labels.select(F.col("node").alias("_k"), "label"), "_k", "left").withColumn("chain", F.coalesce("label", "_k"))
-    chained = Written(chained.select("map_id", "edge_id", "a", "b", "length", "chain"), "chained").df
+    chained = Written(chained.select("map_id", "edge_id", "a", "b", "length", "chain", *paths), "chained").df
     outer = chained.select("map_id", "chain", F.explode(F.array("a", "b")).alias("node")).join(inner, ["map_id", "node"], "left_anti")
     tips = outer.groupBy("map_id", "chain").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    whole = chained.groupBy("map_id", "chain").agg(F.sum("length").alias("length"), F.count("*").alias("edges"), F.min(F.least("a", "b")).alias("first"))
-    return whole.join(tips, ["map_id", "chain"], "left").select("map_id", F.col("chain").alias("edge_id"), F.coalesce("a", "first").alias("a"), F.coalesce("b", "first").alias("b"), "length", "edges")
+    legs = [F.collect_list(F.struct(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "path")).alias("legs")] if paths else []
+    whole = chained.groupBy("map_id", "chain").agg(F.sum("length").alias("length"), F.count("*").alias("edges"), F.min(F.least("a", "b")).alias("first"), *legs)
+    joined = whole.join(tips, ["map_id", "chain"], "left").withColumns({"a": F.coalesce("a", "first"), "b": F.coalesce("b", "first")})
+    path = [kernels.chained_path(F.col("legs"), F.col("a").cast("string")).alias("path")] if paths else []
+    return joined.select("map_id", F.col("chain").alias("edge_id"), "a", "b", "length", "edges", *path)
 
 
 def path_rooms(edges: DataFrame, areas: DataFrame) -> DataFrame:
@@ -248,22 +254,16 @@ def voronoi(sites: DataFrame) -> DataFrame:
     """Voronoi edges (map_id, a, b, path, length, obstacle) of sites (map_id, x, y).
 
     The edges join the circumcentres of Delaunay triangles that share a side; ``obstacle``
-    is the distance to the nearest site at the middle. Triangulation takes a map as one
-    group and suits some thousand sites a map; thin obstacle pixels out before.
+    is the distance to the nearest site at the middle. Triangulation takes a map as one group,
+    in time about proportional to its sites.
     """
     import numpy as np
     import pandas as pd
 
-    from floorwise.functions import kernels
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
         points = np.unique(group[["x", "y"]].to_numpy(dtype=float), axis=0)
         triangles = kernels.delaunay(points)
-        a, b, c = (points[triangles[:, i]] for i in range(3)) if len(triangles) else (np.zeros((0, 2)),) * 3
-        d = 2 * (a[:, 0] * (b - c)[:, 1] + b[:, 0] * (c - a)[:, 1] + c[:, 0] * (a - b)[:, 1])
-        sq = lambda p: (p**2).sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            centres = np.stack([(sq(a) * (b - c)[:, 1] + sq(b) * (c - a)[:, 1] + sq(c) * (a - b)[:, 1]) / d, (sq(a) * (c - b)[:, 0] + sq(b) * (a - c)[:, 0] + sq(c) * (b - a)[:, 0]) / d], axis=1)
+        centres, _ = kernels.circumcentres(points, triangles)
         sides: dict = {}
         for t, corners in enumerate(triangles.tolist()):
             for k in range(3):
@@ -288,7 +288,7 @@ def cut_by_rooms(edges: DataFrame, room_rings: DataFrame) -> DataFrame:
     Each piece (map_id, edge_id, piece, path, length, room_id) lies in one room or none.
     Pairs of an edge and a room meet by bounding box over grid cells.
     """
-    from floorwise.functions import kernels, rings
+    from floorwise.functions import rings
     from floorwise.operators.spatial import points_by_rings
 
     paths = Written(edges.select("map_id", "edge_id", "path"), "paths").df

@@ -73,7 +73,8 @@ def lowest_ids(elements: DataFrame) -> DataFrame:
 
 def renumbered(elements: DataFrame, low: DataFrame | None = None) -> DataFrame:
     """Elements with ids that count down by kind, from the ``lowest`` of ``low`` (kind, lowest),
-    and references to nodes that follow. Numbers are given without gathering a kind in one task."""
+    and references of ways and relations that follow; of a repeated id the last is meant.
+    Numbers are given without gathering a kind in one task."""
     rows = numbered(elements.select("kind", "map_id", "ord", "id"), ["kind", "map_id", "ord"], "n")
     firsts = rows.groupBy("kind").agg(F.min("n").alias("first"))
     if low is not None:
@@ -81,11 +82,17 @@ def renumbered(elements: DataFrame, low: DataFrame | None = None) -> DataFrame:
     base = F.coalesce("lowest", F.lit(0)) if low is not None else F.lit(0)
     ids = rows.join(firsts, "kind").select("kind", "map_id", "ord", "id", (base - (F.col("n") - F.col("first") + 1)).cast("string").alias("new_id"))
     ids = Written(ids, "ids").df
-    node_ids = ids.where("kind = 'node'").groupBy("map_id", F.col("id").alias("ref")).agg(F.max_by("new_id", "ord").alias("new_ref"))
+    known = ids.groupBy("map_id", "kind", F.col("id").alias("ref")).agg(F.max_by("new_id", "ord").alias("new_ref"))
+    node_ids = known.where("kind = 'node'").drop("kind")
     refs = elements.where("kind = 'way'").select("map_id", "kind", "ord", F.posexplode("nds").alias("pos", "ref")).join(node_ids, ["map_id", "ref"], "left")
     nds = refs.groupBy("map_id", "kind", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new_ref", "ref").alias("r")))), lambda s: s["r"]).alias("new_nds"))
-    joined = elements.join(ids.drop("id"), ["map_id", "kind", "ord"]).join(nds, ["map_id", "kind", "ord"], "left")
-    return joined.withColumns({"id": F.col("new_id"), "nds": F.coalesce("new_nds", "nds")}).drop("new_id", "new_nds")
+    listed = elements.where("kind = 'relation'").select("map_id", "kind", "ord", F.posexplode("members").alias("pos", "m"))
+    parts = listed.select("map_id", "kind", "ord", "pos", "m.type", "m.ref", "m.role").join(known.withColumnRenamed("kind", "type"), ["map_id", "type", "ref"], "left")
+    member = F.struct("type", F.coalesce("new_ref", "ref").alias("ref"), "role")
+    members = parts.groupBy("map_id", "kind", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", member.alias("m")))), lambda s: s["m"]).alias("new_members"))
+    joined = elements.join(ids.drop("id"), ["map_id", "kind", "ord"])
+    joined = joined.join(nds, ["map_id", "kind", "ord"], "left").join(members, ["map_id", "kind", "ord"], "left")
+    return joined.withColumns({"id": F.col("new_id"), "nds": F.coalesce("new_nds", "nds"), "members": F.coalesce("new_members", "members")}).drop("new_id", "new_nds", "new_members")
 
 
 def merge_floors(maps: Maps, reference: str, merged_id: str = "merged", keep_roots: bool = False, min_matches: int = 1) -> Maps:
@@ -114,10 +121,12 @@ def merge_floors(maps: Maps, reference: str, merged_id: str = "merged", keep_roo
 
 
 def concat_maps(maps: Maps, merged_id: str = "merged") -> Maps:
-    """All maps in one, without alignment; ids are numbered down from -1."""
+    """All maps in one, without alignment; ids are numbered down from -1. The document is the first map's by id."""
     merged = renumbered(maps.elements.where("kind <> 'document'"))
     placed = numbered(merged.withColumnRenamed("ord", "_ord"), ["map_id", "_ord"], "ord").withColumn("ord", F.col("ord").cast("int")).drop("_ord").withColumn("map_id", F.lit(merged_id))
-    document = maps.documents.limit(1).withColumns({"map_id": F.lit(merged_id), "kind": F.lit("document"), "ord": F.lit(0)})
+    own = [c for c in maps.documents.columns if c != "map_id"]
+    document = maps.documents.groupBy().agg(F.min_by(F.struct(*own), "map_id").alias("d")).where("d is not null").select("d.*")
+    document = document.withColumns({"map_id": F.lit(merged_id), "kind": F.lit("document"), "ord": F.lit(0)})
     return Maps(Written(placed.unionByName(document, allowMissingColumns=True).select(maps.elements.columns), "merged").df)
 
 
@@ -150,7 +159,7 @@ def vertical_passages(maps: Maps) -> tuple[DataFrame, DataFrame]:
 
 def with_vertical_passages(maps: Maps) -> Maps:
     nodes, ways = vertical_passages(maps)
-    return Maps(elements_of(maps.nodes.unionByName(nodes), maps.ways.unionByName(ways), maps.documents, maps.relations))
+    return Maps(elements_of(maps.nodes.unionByName(nodes, allowMissingColumns=True), maps.ways.unionByName(ways, allowMissingColumns=True), maps.documents, maps.relations))
 
 
 def passage_errors(ways: DataFrame) -> DataFrame:

@@ -54,11 +54,22 @@ def without_furniture(points: DataFrame, squared_radius: float, most_perimeter:
 
 
 def cleaned(edges: DataFrame, dead_ends: tuple[float, ...] = DEAD_ENDS) -> DataFrame:
-    """The graph's largest component without loops, rays and short dead ends, chains joined."""
-    now = graph.without_rays(graph.without_loops(edges)).select("map_id", "edge_id", "a", "b", "length", "path")
-    for shorter_than in dead_ends:
-        now = Written(graph.without_dead_ends(now, shorter_than), "graph").df
-    return graph.largest_component(now)
+    """The graph's largest component without loops, rays and short dead ends, chains joined.
+
+    A dead end is measured as a whole chain, so chains are joined before the first removal and
+    again after each. The first two removals come before the largest component is chosen.
+    """
+
+    def joined(df: DataFrame) -> DataFrame:
+        return Written(graph.joined_chains(df).drop("edges"), "graph").df
+
+    now = joined(graph.without_rays(graph.without_loops(edges)).select("map_id", "edge_id", "a", "b", "length", "path"))
+    for shorter_than in dead_ends[:2]:
+        now = joined(graph.without_dead_ends(now, shorter_than))
+    now = graph.largest_component(now)
+    for shorter_than in dead_ends[2:]:
+        now = joined(graph.without_dead_ends(now, shorter_than))
+    return now
 
 
 def segment(points: DataFrame, clear_of_walls: float = 3.0, alpha: float = 3600.0, dead_ends: tuple[float, ...] = DEAD_ENDS) -> tuple[DataFrame, DataFrame, DataFrame]:

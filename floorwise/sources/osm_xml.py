@@ -3,7 +3,8 @@
 A map is one file. Files are read whole and parsed where they lie, in Arrow batches; one
 pass gives nodes, ways, relations and the document row with its parse error, and keeps the
 document's order, which first-match and last-match rules need. Attributes stay strings;
-typed meaning is the validators' business. Of repeated tag keys the last wins.
+typed meaning is the validators' business. Attributes that no rule reads (user, timestamp and
+the like) are kept in a map and written again. Of repeated tag keys the last wins.
 """
 
 from __future__ import annotations
@@ -16,20 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floorwise.sources.scratch import Written
+
+#: Attributes with columns of their own.
+READ = ("id", "version", "lat", "lon", "action", "visible")
 ELEMENTS = """map_id string, kind string, ord int, id string, version string, generator string, root_tag string, parse_error string,
-    lat string, lon string, action string, visible string, tags map<string,string>, nds array<string>, members array<struct<type:string,ref:string,role:string>>"""
+    lat string, lon string, action string, visible string, attributes map<string,string>, tags map<string,string>, nds array<string>, members array<struct<type:string,ref:string,role:string>>"""
 
 _ARROW = pa.schema(
     [(n, pa.string() if n != "ord" else pa.int32()) for n in ("map_id", "kind", "ord", "id", "version", "generator", "root_tag", "parse_error", "lat", "lon", "action", "visible")]
-    + [("tags", pa.map_(pa.string(), pa.string())), ("nds", pa.list_(pa.string())), ("members", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("role", pa.string())])))]
+    + [("attributes", pa.map_(pa.string(), pa.string())), ("tags", pa.map_(pa.string(), pa.string())), ("nds", pa.list_(pa.string())), ("members", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("role", pa.string())])))]
 )
 
 
 def discover(spark: SparkSession, paths: str | list[str], pattern: str = "*.osm", recursive: bool = True) -> DataFrame:
-    """(map_id, content) of each distinct file under the paths."""
-    several = sorted({paths} if isinstance(paths, str) else set(paths))
+    """(map_id, content) of each distinct file under the paths.
+
+    Paths that lie under another one are left out before anything is read; only where paths
+    are patterns that may overlap are files told apart by their names afterwards.
+    """
+    several = sorted({p.rstrip("/") for p in ([paths] if isinstance(paths, str) else paths)})
+    under = lambda p: any(p.startswith(q + "/") for q in several) if recursive else False
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(several).select(F.col("path").alias("map_id"), "content").dropDuplicates(["map_id"])
+    files = reader.load([p for p in several if not under(p)]).select(F.col("path").alias("map_id"), "content")
+    return files.dropDuplicates(["map_id"]) if len(several) > 1 and any(c in p for p in several for c in "*?[{") else files
 
 
 def _rows(map_id: str, content: bytes) -> Iterator[dict]:
@@ -41,7 +52,8 @@ def _rows(map_id: str, content: bytes) -> Iterator[dict]:
     yield {"map_id": map_id, "kind": "document", "ord": 0, "root_tag": root.tag, "version": root.get("version"), "generator": root.get("generator")}
     for n, element in enumerate(root, 1):
         if element.tag in ("node", "way", "relation"):
-            row = {"map_id": map_id, "kind": element.tag, "ord": n, **{a: element.get(a) for a in ("id", "version", "lat", "lon", "action", "visible")}}
+            row = {"map_id": map_id, "kind": element.tag, "ord": n, **{a: element.get(a) for a in READ}}
+            row["attributes"] = [(k, v) for k, v in element.items() if k not in READ]
             row["tags"] = list({t.get("k", ""): t.get("v", "") for t in element.findall("tag")}.items())
             row["nds"] = [nd.get("ref") for nd in element.findall("nd")]
             row["members"] = [{k: m.get(k) for k in ("type", "ref", "role")} for m in element.findall("member")]
@@ -60,14 +72,14 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 class Maps:
-    """Views over parsed elements; keep the elements as Parquet before many reads."""
+    """Views over parsed elements; ``read`` parses once and lands them as Parquet."""
 
     def __init__(self, elements: DataFrame):
         self.elements = elements
 
     @classmethod
     def read(cls, spark: SparkSession, paths: str | list[str], pattern: str = "*.osm") -> Maps:
-        return cls(parse(discover(spark, paths, pattern)))
+        return cls(Written(parse(discover(spark, paths, pattern)), "elements", keep=True).df)
 
     @property
     def documents(self) -> DataFrame:
@@ -75,15 +87,15 @@ class Maps:
 
     @property
     def nodes(self) -> DataFrame:
-        return self.elements.where("kind = 'node'").select("map_id", "ord", "id", "lat", "lon", "action", "visible", "tags")
+        return self.elements.where("kind = 'node'").select("map_id", "ord", "id", "lat", "lon", "action", "visible", "tags", "version", "attributes")
 
     @property
     def ways(self) -> DataFrame:
-        return self.elements.where("kind = 'way'").select("map_id", "ord", "id", "action", "visible", "nds", "tags")
+        return self.elements.where("kind = 'way'").select("map_id", "ord", "id", "action", "visible", "nds", "tags", "version", "attributes")
 
     @property
     def relations(self) -> DataFrame:
-        return self.elements.where("kind = 'relation'").select("map_id", "ord", "id", "members", "tags")
+        return self.elements.where("kind = 'relation'").select("map_id", "ord", "id", "members", "tags", "version", "attributes")
 
     @property
     def way_nodes(self) -> DataFrame:
@@ -106,7 +118,7 @@ def elements_of(nodes: DataFrame, ways: DataFrame, documents: DataFrame | None =
 
 def element_text(row: dict, indent: str = "  ") -> str:
     """One element as XML; attributes in a fixed order, nds before tags."""
-    attributes = [(a, row.get(a)) for a in ("id", "action", "visible", "lat", "lon")] + [("version", row.get("version") or "1")]
+    attributes = [(a, row.get(a)) for a in ("id", "action", "visible", "lat", "lon")] + [("version", row.get("version") or "1"), *dict(row.get("attributes") or {}).items()]
     head = " ".join(f"{a}={quoteattr(str(v))}" for a, v in attributes if v is not None)
     inner = [f"<nd ref={quoteattr(r)} />" for r in row.get("nds") or ()]
     inner += ["<member " + " ".join(f"{k}={quoteattr(m[k] or '')}" for k in ("type", "ref", "role")) + " />" for m in row.get("members") or ()]
@@ -122,10 +134,10 @@ def to_xml(elements: DataFrame, generator: str = "floorwise") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [element_text(dict(r, tags=dict(r["tags"] or ()))) for r in batch.to_pylist()]
+            texts = [element_text(dict(r, tags=dict(r["tags"] or ()), attributes=dict(r["attributes"] or ()))) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("map_id"), batch.column("kind"), batch.column("ord"), pa.array(texts, pa.string())], ["map_id", "kind", "ord", "text"])
 
-    columns = ["map_id", "kind", "ord", "id", "lat", "lon", "action", "visible", "tags", "nds", "members"]
+    columns = ["map_id", "kind", "ord", "id", "version", "lat", "lon", "action", "visible", "attributes", "tags", "nds", "members"]
     lines = elements.where("kind <> 'document'").select(*columns).mapInArrow(run, "map_id string, kind string, ord int, text string")
     rank = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.col("kind")]
     body = lines.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), "ord", "text"))).alias("l"))  # one map's elements
@@ -134,6 +146,6 @@ def to_xml(elements: DataFrame, generator: str = "floorwise") -> DataFrame:
 
 
 def write(elements: DataFrame, path: str, generator: str = "floorwise") -> None:
-    """One folder of text for each map, partitioned by map."""
-    documents = to_xml(elements, generator).withColumn("map", F.regexp_replace(F.regexp_extract("map_id", "([^/]*)$", 1), r"\.osm$", ""))
-    documents.select("map", F.col("xml").alias("value")).write.mode("overwrite").partitionBy("map").option("lineSep", "\n").text(path)
+    """One folder of text for each map, partitioned by its whole ``map_id``, so maps of one file name stay apart."""
+    documents = to_xml(elements, generator).select(F.col("map_id").alias("map"), F.col("xml").alias("value"))
+    documents.write.mode("overwrite").partitionBy("map").option("lineSep", "\n").text(path)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from floorwise.functions import kernels, projection, rings, scalars
-from floorwise.operators import graph, ids, layers, raster, rooms, spatial, statistics, sweep
+from floorwise.operators import graph, ids, layers, raster, rooms, segment, spatial, statistics, sweep
 from floorwise.sources import dxf
 
 SQUARE = [(0, 0), (4, 0), (4, 4), (0, 4)]
@@ -53,8 +53,10 @@ def test_hull_and_triangles(points):
     if len(h) < 3 or kernels.polygon_area(h) == 0:
         return
     t = kernels.delaunay(p)
+    centre, radius = kernels.circumcentres(p, t)
+    assert (np.hypot(*(p[None] - centre[:, None]).transpose(2, 0, 1)) >= radius[:, None] * (1 - 1e-9)).all()
     areas = np.abs(np.cross(np.c_[p[t[:, 1]] - p[t[:, 0]], np.zeros(len(t))], np.c_[p[t[:, 2]] - p[t[:, 0]], np.zeros(len(t))])[:, 2]) / 2
-    assert areas.sum() == pytest.approx(kernels.polygon_area(h), rel=0.02)
+    assert areas.sum() == pytest.approx(kernels.polygon_area(h), rel=1e-9)
 
 
 def test_kernels():
@@ -138,6 +140,24 @@ def test_graphs(spark):
     assert graph.voronoi(sites).where("length > 0.5").count() >= 5
 
 
+def test_a_spur_of_many_segments_goes_as_one(spark):
+    """A square of two-leg sides, a spur of six legs of length 1 at one corner, and a longer arm at another."""
+    path = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    line = lambda *xy: [(f"{p}", f"{q}", path(p, q), math.dist(p, q)) for p, q in zip(xy, xy[1:])]
+    square = line((0, 0), (5, 0), (10, 0), (10, 5), (10, 10), (5, 10), (0, 10), (0, 5), (0, 0))
+    spur, arm, far = line(*((-k, -1 * (k > 0)) for k in range(7))), line((10, 10), (14, 14), (30, 14)), line((50, 50), (51, 50))
+    rows = [("m", i, *e) for i, e in enumerate([*square, *spur, *arm, *far, ("(5, 0)", "(5, 0)", path((5, 0)), 0.0)])]
+    edges = spark.createDataFrame(rows, "map_id string, edge_id long, a string, b string, path array<struct<x:double,y:double>>, length double")
+    chains = {frozenset((r.a, r.b)): r for r in graph.joined_chains(edges.where("length > 0")).collect()}
+    assert round(chains[frozenset(("(-6, -1)", "(0, 0)"))].length, 3) == round(math.sqrt(2) + 5, 3)
+    walked = [(p.x, p.y) for p in chains[frozenset(("(-6, -1)", "(0, 0)"))].path]
+    assert walked in ([(-k, -1.0 * (k > 0)) for k in range(7)], [(-k, -1.0 * (k > 0)) for k in range(6, -1, -1)])
+    left = {round(r.length, 6): len(r.path) for r in segment.cleaned(edges, (3.0, 7.0, 20.0)).collect()}
+    assert left == {40.0: 9, round(math.hypot(4, 4) + 16, 6): 3}
+    ring, = segment.cleaned(edges, (3.0, 7.0, 50.0)).collect()
+    assert ring.length == 40.0 and ring.a == ring.b and len(ring.path) == 9
+
+
 def test_numbers_and_neighbours(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = sorted((r.n, r.k) for r in ids.numbered(df, ["k"], "n").collect())

@@ -133,6 +133,44 @@ def test_xml_round_trip(spark, tmp_path):
     assert again.nodes.count() == 6
 
 
+def test_a_map_is_parsed_once(spark, tmp_path):
+    (tmp_path / "m.osm").write_bytes(M.BAD)
+    maps = Maps.read(spark, [str(tmp_path), str(tmp_path / "m.osm"), f"{tmp_path}/"])
+    assert maps.documents.count() == 1
+    plan = validate.findings(maps)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "binaryFile" not in plan
+    assert named(validate.findings(maps)) == named(validate.findings(read(spark, tmp_path)))
+
+
+RELATION = b"""<osm version='0.6'><node id='-1' version='7' user='me &amp; you' timestamp='2020' lat='1' lon='2' /><way id='-1' version='3'><nd ref='-1'/></way>
+<way id='-2'><nd ref='-1'/><nd ref='-9'/></way><relation id='-4' version='2'><member type='way' ref='-2' role='outer'/><member type='node' ref='-1' role=''/>
+<member type='relation' ref='-4' role='self'/><member type='way' ref='-77' role='gone'/><tag k='type' v='site'/></relation></osm>"""
+
+
+def test_files_of_one_name_stay_apart_and_attributes_stay(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "F1.osm").write_bytes(RELATION)
+    maps = Maps.read(spark, str(tmp_path))
+    osm_xml.write(maps.elements, f"{tmp_path}/out")
+    texts = [r.value for r in spark.read.text(f"{tmp_path}/out", wholetext=True).collect()]
+    assert len(texts) == 2 and all(t.count("<osm ") == 1 for t in texts)
+    again = Maps(osm_xml.parse(spark.createDataFrame([("again", texts[0].encode())], "map_id string, content binary")))
+    node, relation = again.nodes.first(), again.relations.first()
+    assert (node.version, node.attributes) == ("7", {"user": "me & you", "timestamp": "2020"}) and relation.version == "2"
+    assert relation.members == maps.relations.first().members
+
+
+def test_members_follow_new_ids(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.osm").write_bytes(RELATION)
+    both = merge.concat_maps(Maps.read(spark, str(tmp_path)))
+    ways, relations = both.ways.orderBy("ord").collect(), both.relations.orderBy("ord").collect()
+    assert [w.id for w in ways] == ["-1", "-2", "-3", "-4"] and [w.nds for w in ways] == [["-1"], ["-1", "-9"], ["-2"], ["-2", "-9"]]
+    assert [[tuple(m) for m in r.members] for r in relations] == [[("way", w, "outer"), ("node", n, ""), ("relation", r, "self"), ("way", "-77", "gone")] for w, n, r in (("-2", "-1", "-1"), ("-4", "-2", "-2"))]
+    assert both.documents.count() == 1
+
+
 def floors(n=3, step=0.001):
     out = {}
     for k in range(n):
