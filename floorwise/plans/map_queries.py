@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwise.operators import labels, merge, repair, validate
+from floorwise.operators import merge, repair, validate
 from floorwise.plans.registry import query, table
 from floorwise.sources.osm_xml import Maps, elements_of
 from floorwise.sources.scratch import Written
@@ -192,3 +192,175 @@ def map_summary(spark: SparkSession, d: str) -> DataFrame:
 def map_report_lines(spark: SparkSession, d: str) -> DataFrame:
     found = validate.report_lines(validate.findings(made_maps(spark, d)))
     return found.select("map_id", "level", "category", "message", "element_id", F.col("n").cast("long").alias("n"))
+
+
+def _entries(column: str, value: str = "v") -> F.Column:
+    shown = {"v": lambda e: e["value"].cast("string"), "mean": lambda e: F.format_string("%.4f", e["value"])}[value]
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), shown(e))), ",").alias(column)
+
+
+def _by(key: str, value: str, source: str, name: str) -> str:
+    return f"{name} AS (SELECT map_id, string_agg(k || '=' || v, ',' ORDER BY k) AS {name} FROM (SELECT map_id, {key} AS k, {value} AS v FROM {source} GROUP BY 1, 2) GROUP BY 1)"
+
+
+_LEVEL = "CASE WHEN lvl = '' THEN 'unknown' ELSE lvl END"
+_PATTERN = r"""CASE WHEN kind = 'passage' AND nm LIKE '%\_to\_%' ESCAPE '\' THEN 'passage' WHEN type = 'elevator' AND regexp_matches(nm, '^[A-Z]\d+-P\d+$') THEN 'elevator'
+    WHEN type = 'stairs' AND regexp_matches(nm, '^[A-Z]\d+-ST-\d+$') THEN 'stairs' WHEN type = 'structure' AND regexp_matches(nm, '^[A-Z]\d+[a-z]?-F\d+$') THEN 'structure'
+    WHEN kind = 'area' AND regexp_matches(nm, '^[A-Z]\d+[a-z]?-F\d+-.*$') THEN 'area' ELSE 'unknown' END"""
+_TOTALS = {"total_nodes": "nodes", "total_ways": "ways", "total_areas": "ways WHERE kind = 'area'", "total_passages": "ways WHERE kind = 'passage'", "total_vertical_transport": "ways WHERE kind = 'area' AND type IN ('elevator', 'stairs')", "total_cross_level_passages": "ways WHERE kind = 'passage' AND f <> '' AND f = t"}
+
+
+@query(
+    "map_statistics",
+    f"""{maps_sql()}, areas AS (SELECT * FROM ways WHERE kind = 'area'), vertical AS (SELECT * FROM areas WHERE type IN ('elevator', 'stairs')),
+    linked AS (SELECT map_id, f AS a, t AS b FROM ways WHERE kind = 'passage' AND f <> '' AND t <> '' UNION SELECT map_id, t, f FROM ways WHERE kind = 'passage' AND f <> '' AND t <> ''),
+    named AS (SELECT * FROM ways WHERE kind IN ('area', 'passage') AND nm <> ''), crossing AS (SELECT * FROM ways WHERE kind = 'passage' AND f <> '' AND f = t),
+    {_by(_LEVEL, "count(*)", "areas", "areas_by_level")}, {_by(_LEVEL, "count(*)", "vertical", "vertical_transport_by_level")}, {_by(_PATTERN, "count(*)", "named", "semantic_name_patterns")},
+    {_by(_LEVEL, "printf('%.4f', avg(len(nds)))", "areas", "avg_nodes_per_area_by_level")}, {_by("CASE WHEN f LIKE 'E1-P%' THEN 'elevator' ELSE 'unknown' END", "count(*)", "crossing", "cross_level_passages_by_type")},
+    {_by("a", "count(DISTINCT b)", "linked", "area_connections")},
+    mean AS (SELECT map_id, round(avg(n), 6) AS avg_connections_per_area FROM (SELECT map_id, a, count(DISTINCT b) AS n FROM linked GROUP BY ALL) GROUP BY 1)
+    SELECT * FROM (SELECT map_id, {", ".join(f"(SELECT count(*) FROM (SELECT map_id AS m FROM {t}) WHERE m = map_id) AS {n}" for n, t in _TOTALS.items())} FROM docs)
+    LEFT JOIN areas_by_level USING (map_id) LEFT JOIN vertical_transport_by_level USING (map_id) LEFT JOIN semantic_name_patterns USING (map_id) LEFT JOIN avg_nodes_per_area_by_level USING (map_id)
+    LEFT JOIN cross_level_passages_by_type USING (map_id) LEFT JOIN area_connections USING (map_id) LEFT JOIN mean USING (map_id)""",
+)
+def map_statistics(spark: SparkSession, d: str) -> DataFrame:
+    maps = ["areas_by_level", "vertical_transport_by_level", "semantic_name_patterns", "cross_level_passages_by_type", "area_connections"]
+    found = validate.statistics(made_maps(spark, d))
+    return found.select("map_id", *_TOTALS, *map(_entries, maps), _entries("avg_nodes_per_area_by_level", "mean"), F.round("avg_connections_per_area", 6).alias("avg_connections_per_area"))
+
+
+_FIXES = rf"""{maps_sql()},
+    typed AS (SELECT * EXCLUDE (visible), visible AS vis, coalesce("osmAG:type", '') AS k0, coalesce("osmAG:areaType", '') AS t0, coalesce("level", '') AS l0, coalesce("name", '') AS n0,
+        coalesce("osmAG:parent", '') AS p0, coalesce("osmAG:from", '') AS f0, coalesce("osmAG:to", '') AS e0 FROM ways_raw),
+    one AS (SELECT *, CASE WHEN k0 = 'area' AND t0 = '' THEN CASE WHEN regexp_matches(lower(n0), 'p\d+') THEN 'elevator' WHEN contains(lower(n0), 'st-') THEN 'stairs' ELSE 'room' END ELSE t0 END AS t1,
+        CASE WHEN k0 = 'area' AND l0 = '' AND regexp_matches(n0, '-F\d+-') THEN regexp_extract(n0, '-F(\d+)-', 1) ELSE l0 END AS l1 FROM typed),
+    two AS (SELECT *, CASE WHEN k0 = 'area' AND t1 = 'hall' THEN 'corridor' ELSE t1 END AS t2,
+        CASE WHEN k0 = 'area' AND l1 = 'first' THEN '1' WHEN k0 = 'area' AND l1 = '99' THEN '1' ELSE l1 END AS l2 FROM one),
+    three AS (SELECT *, CASE WHEN k0 = 'area' AND t2 = 'elevator' AND regexp_matches(n0, '^[A-Z]\d+[_\-\s]*[Pp]\d+$') THEN regexp_replace(n0, '^([A-Z]\d+)[_\-\s]*[Pp](\d+)$', '\1-P\2')
+        WHEN k0 = 'area' AND t2 = 'stairs' AND regexp_matches(n0, '^E1-ST-\d$') THEN replace(n0, 'ST-', 'ST-0')
+        WHEN k0 = 'passage' AND n0 = '' AND f0 <> '' AND e0 <> '' THEN f0 || '_to_' || e0 WHEN k0 = 'passage' AND n0 = 'R1 to R2' THEN 'r1_to_r2' ELSE n0 END AS n2 FROM two),
+    facility AS (SELECT map_id, n2 AS f0, arg_min(l2, ord) AS fl FROM three WHERE k0 = 'area' AND n2 <> '' AND t2 IN ('elevator', 'stairs') AND l2 <> '' GROUP BY ALL),
+    last AS (SELECT map_id, n2 AS p0, arg_max(l2, ord) AS pl FROM three WHERE k0 = 'area' AND n2 <> '' GROUP BY ALL),
+    four AS (SELECT * FROM three LEFT JOIN facility USING (map_id, f0) LEFT JOIN last USING (map_id, p0)),
+    fixes AS (
+        SELECT map_id, 'SAFE' AS level, 'ROOT' AS category, 'set the version' AS description, CAST(NULL AS VARCHAR) AS element_id, version AS old_value, '0.6' AS new_value FROM docs WHERE parse_error IS NULL AND version IS DISTINCT FROM '0.6'
+        UNION ALL SELECT map_id, 'SAFE', 'ROOT', 'add a generator', NULL, NULL, 'floorwise' FROM docs WHERE parse_error IS NULL AND generator IS NULL
+        UNION ALL SELECT map_id, 'SAFE', 'NODE', 'set the action', id, action, 'modify' FROM nodes_raw WHERE action IS NULL OR action = 'foo'
+        UNION ALL SELECT map_id, 'SAFE', 'NODE', 'add visible', id, NULL, 'true' FROM nodes_raw WHERE visible IS NULL
+        UNION ALL SELECT map_id, 'MODERATE', 'NODE', 'clamp lat', id, lat, CASE WHEN TRY_CAST(lat AS INT) < 0 THEN '-90.0' ELSE '90.0' END FROM nodes_raw WHERE abs(TRY_CAST(lat AS INT)) > 90
+        UNION ALL SELECT map_id, 'MODERATE', 'NODE', 'clamp lon', id, lon, CASE WHEN TRY_CAST(lon AS INT) < 0 THEN '-180.0' ELSE '180.0' END FROM nodes_raw WHERE abs(TRY_CAST(lon AS INT)) > 180
+        UNION ALL SELECT map_id, 'SAFE', 'WAY', 'add an action', id, NULL, 'modify' FROM four WHERE action IS NULL
+        UNION ALL SELECT map_id, 'SAFE', 'WAY', 'add visible', id, NULL, 'true' FROM four WHERE vis IS NULL
+        UNION ALL SELECT map_id, 'SAFE', 'AREA', 'close the ring', id, array_to_string(nds, ','), array_to_string(list_concat(nds, nds[1:1]), ',') FROM four WHERE k0 = 'area' AND len(nds) >= 3 AND nds[1] <> nds[-1]
+        UNION ALL SELECT map_id, 'MODERATE', 'AREA', 'infer the type from the name', id, "osmAG:areaType", t1 FROM four WHERE t1 <> t0
+        UNION ALL SELECT map_id, 'MODERATE', 'AREA', 'infer the level from the name', id, "level", l1 FROM four WHERE l1 <> l0
+        UNION ALL SELECT map_id, 'SAFE', 'AREA', 'standardise the type', id, t1, t2 FROM four WHERE t2 <> t1
+        UNION ALL SELECT map_id, 'MODERATE', 'SEMANTIC_NAMING', 'standardise the name', id, n0, n2 FROM four WHERE k0 = 'area' AND n2 <> n0
+        UNION ALL SELECT map_id, 'MODERATE', 'AREA', 'repair the level', id, l1, l2 FROM four WHERE l2 <> l1
+        UNION ALL SELECT map_id, 'MODERATE', 'PASSAGE', CASE WHEN n0 = '' THEN 'name the passage by its ends' ELSE 'format the name' END, id, "name", n2 FROM four WHERE k0 = 'passage' AND n2 <> n0
+        UNION ALL SELECT map_id, 'MODERATE', 'CROSS_LEVEL_PASSAGE', 'take the facility''s level', id, "level", fl FROM four WHERE k0 = 'passage' AND f0 <> '' AND f0 = e0 AND l2 = '' AND fl IS NOT NULL
+        UNION ALL SELECT map_id, 'MODERATE', 'LEVEL_CONSISTENCY', 'take the parent''s level', id, l2, pl FROM four WHERE k0 = 'area' AND pl <> '' AND l2 <> '' AND l2 <> pl)"""
+
+
+@query("map_fixes", f"{_FIXES} SELECT *, count(*) AS n FROM fixes GROUP BY ALL")
+def map_fixes(spark: SparkSession, d: str) -> DataFrame:
+    fixes = repair.repair(made_maps(spark, d), moderate=True).fixes
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\[|\]$", ""), ", ", ",").alias(c)  # noqa: E731  rings as lists
+    return fixes.select("map_id", "level", "category", "description", "element_id", plain("old_value"), plain("new_value")).groupBy("map_id", "level", "category", "description", "element_id", "old_value", "new_value").agg(F.count("*").alias("n"))
+
+
+@query(
+    "map_fix_counts",
+    f"{_FIXES} SELECT map_id, count(*) AS total, count(*) FILTER (WHERE level = 'SAFE') AS safe, count(*) FILTER (WHERE level = 'MODERATE') AS moderate, count(*) FILTER (WHERE level = 'RISKY') AS risky FROM fixes GROUP BY 1",
+)
+def map_fix_counts(spark: SparkSession, d: str) -> DataFrame:
+    return repair.fix_counts(repair.repair(made_maps(spark, d), moderate=True).fixes)
+
+
+_RINGS = f"""{maps_sql()},
+    places AS (SELECT w.map_id, w.ord, w.pos, TRY_CAST(n.lon AS DOUBLE) AS x, TRY_CAST(n.lat AS DOUBLE) AS y FROM (SELECT map_id, ord, unnest(nds) AS ref, generate_subscripts(nds, 1) AS pos FROM ways_raw) w JOIN nodes_raw n ON n.map_id = w.map_id AND n.id = w.ref),
+    rings AS (SELECT map_id, ord, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys FROM places GROUP BY ALL),
+    anchors AS (SELECT w.map_id, w.ord, w.id, w."name" AS name, w."level" AS level, CASE WHEN w."osmAG:areaType" = 'elevator' THEN 'elevator' ELSE 'stairs' END AS type, coalesce(xs, []) AS xs, coalesce(ys, []) AS ys
+        FROM ways_raw w LEFT JOIN rings USING (map_id, ord) WHERE w."osmAG:type" = 'area' AND w."osmAG:areaType" IN ('elevator', 'stairs') AND w."name" <> '' AND w."level" <> ''),
+    details AS (SELECT map_id, name, type, ref_level, target_level, n AS vertex_count,
+            CASE WHEN len(list_filter(ry[:n], lambda v: v IS NULL)) + len(list_filter(ty[:n], lambda v: v IS NULL)) = 0 THEN (list_sum(ry[:n]) - list_sum(ty[:n])) / n END AS lat_offset,
+            CASE WHEN len(list_filter(rx[:n], lambda v: v IS NULL)) + len(list_filter(tx[:n], lambda v: v IS NULL)) = 0 THEN (list_sum(rx[:n]) - list_sum(tx[:n])) / n END AS lon_offset
+        FROM (SELECT t.map_id, t.name, r.type, r.level AS ref_level, t.level AS target_level, r.xs AS rx, r.ys AS ry, t.xs AS tx, t.ys AS ty, least(len(r.xs), len(t.xs)) AS n
+            FROM anchors r JOIN anchors t ON t.name = r.name AND r.map_id = 'm1' AND t.map_id <> 'm1' AND r.level <> t.level) WHERE n > 0)"""
+
+
+def _details(spark: SparkSession, d: str) -> DataFrame:
+    found = Written(merge.anchors(made_maps(spark, d)), "anchors").df
+    return merge.offset_details(found.where("map_id = 'm1'"), found.where("map_id <> 'm1'"))
+
+
+@query("map_offset_details", f"{_RINGS} SELECT map_id, name, type, ref_level, target_level, vertex_count, round(lat_offset, 6) AS lat_offset, round(lon_offset, 6) AS lon_offset, count(*) AS n FROM details GROUP BY ALL")
+def map_offset_details(spark: SparkSession, d: str) -> DataFrame:
+    rounded = _details(spark, d).withColumns({c: F.round(c, 6) for c in ("lat_offset", "lon_offset")}).withColumn("vertex_count", F.col("vertex_count").cast("long"))
+    return rounded.groupBy(*rounded.columns).agg(F.count("*").alias("n"))
+
+
+@query(
+    "map_offsets",
+    f"""{_RINGS}, marked AS (SELECT *, abs(lat_offset - avg(lat_offset) OVER w) < 2 * stddev_pop(lat_offset) OVER w AND abs(lon_offset - avg(lon_offset) OVER w) < 2 * stddev_pop(lon_offset) OVER w AS inside FROM details WINDOW w AS (PARTITION BY map_id)),
+    used AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE inside) OVER (PARTITION BY map_id) AS kept, count(*) OVER (PARTITION BY map_id) AS n FROM marked) WHERE inside OR kept * 2 < n),
+    named AS (SELECT map_id, name, type, avg(lat_offset) AS lat, avg(lon_offset) AS lon, CASE type WHEN 'elevator' THEN 2.0 ELSE 1.5 END AS weight FROM used GROUP BY ALL)
+    SELECT map_id, round(sum(lat * weight) / sum(weight), 6) AS lat_offset, round(sum(lon * weight) / sum(weight), 6) AS lon_offset, count(*) AS n_names FROM named GROUP BY 1""",
+)
+def map_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return merge.offsets(_details(spark, d)).select("map_id", F.round("lat_offset", 6).alias("lat_offset"), F.round("lon_offset", 6).alias("lon_offset"), "n_names")
+
+
+@query(
+    "map_vertical_passages",
+    f"""{_RINGS}, ordered AS (SELECT *, CASE WHEN bool_and(TRY_CAST(level AS DOUBLE) IS NOT NULL) OVER (PARTITION BY map_id, type, name) THEN TRY_CAST(level AS DOUBLE) END AS number FROM anchors WHERE len(xs) > 0),
+    pairs AS (SELECT * FROM (SELECT *, lead(level) OVER (PARTITION BY map_id, type, name ORDER BY number NULLS FIRST, level, ord) AS upper FROM ordered) WHERE upper IS NOT NULL),
+    lows AS (SELECT map_id, least(0, min(TRY_CAST(id AS BIGINT)) FILTER (WHERE node)) AS ln, least(0, min(TRY_CAST(id AS BIGINT)) FILTER (WHERE NOT node)) AS lw FROM (SELECT map_id, id, true AS node FROM nodes_raw UNION ALL SELECT map_id, id, false FROM ways_raw) GROUP BY 1),
+    counted AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY type, name, level, upper) AS n FROM pairs)
+    SELECT map_id, CAST(lw - n AS VARCHAR) AS id, name, level, type, CAST(ln - 2 * n + 1 AS VARCHAR) || ',' || CAST(ln - 2 * n AS VARCHAR) AS nds FROM counted JOIN lows USING (map_id)""",
+)
+def map_vertical_passages(spark: SparkSession, d: str) -> DataFrame:
+    _, ways = merge.vertical_passages(made_maps(spark, d))
+    return ways.select("map_id", "id", F.col("tags")["osmAG:from"].alias("name"), F.col("tags")["level"].alias("level"), F.col("tags")["osmAG:areaType"].alias("type"), F.array_join("nds", ",").alias("nds"))
+
+
+@query(
+    "map_renumbered",
+    f"""{maps_sql()}, rows AS (SELECT 'node' AS kind, map_id, ord, id, CAST([] AS VARCHAR[]) AS nds FROM nodes_raw UNION ALL SELECT 'way', map_id, ord, id, nds FROM ways_raw),
+    ids AS (SELECT *, CAST(-row_number() OVER (PARTITION BY kind ORDER BY map_id, ord) AS VARCHAR) AS new_id FROM rows),
+    known AS (SELECT map_id, id AS ref, arg_max(new_id, ord) AS new_ref FROM ids WHERE kind = 'node' AND id IS NOT NULL GROUP BY ALL),
+    refs AS (SELECT map_id, ord, string_agg(coalesce(new_ref, ref), ',' ORDER BY pos) AS nds FROM (SELECT map_id, ord, unnest(nds) AS ref, generate_subscripts(nds, 1) AS pos FROM ways_raw) LEFT JOIN known USING (map_id, ref) GROUP BY ALL)
+    SELECT kind, map_id, ord, new_id AS id, CASE WHEN kind = 'way' THEN coalesce(refs.nds, '') END AS nds FROM ids LEFT JOIN refs USING (map_id, ord)""",
+)
+def map_renumbered(spark: SparkSession, d: str) -> DataFrame:
+    out = merge.renumbered(made_maps(spark, d).elements.where("kind <> 'document'"))
+    return out.select("kind", "map_id", "ord", "id", F.when(F.col("kind") == "way", F.array_join("nds", ",")).alias("nds"))
+
+
+@query(
+    "map_winding",
+    f"""{_RINGS}, turns AS (SELECT map_id, ord, CASE WHEN len(list_filter(xs, lambda v: v IS NULL)) + len(list_filter(ys, lambda v: v IS NULL)) = 0 THEN list_sum([xs[i] * ys[i + 1] - xs[i + 1] * ys[i] for i in range(1, len(xs))]) END AS turn, len(xs) AS n FROM rings)
+    SELECT w.map_id, w.ord, array_to_string(CASE WHEN len(nds) >= 4 AND nds[1] = nds[-1] AND n = len(nds) AND ("osmAG:areaType" = 'structure' AND turn > 0 OR "osmAG:areaType" = 'room' AND turn < 0) THEN list_reverse(nds) ELSE nds END, ',') AS nds
+    FROM ways_raw w LEFT JOIN turns USING (map_id, ord)""",
+)
+def map_winding(spark: SparkSession, d: str) -> DataFrame:
+    return merge.winding(made_maps(spark, d)).select("map_id", "ord", F.array_join("nds", ",").alias("nds"))
+
+
+@query(
+    "map_renderer_tags",
+    f"""{maps_sql()} SELECT map_id, ord, CASE WHEN kind = 'passage' AND NOT (f <> '' AND f = t) THEN 'door' END AS indoor, CASE WHEN kind = 'passage' AND NOT (f <> '' AND f = t) THEN 'yes' END AS door,
+    CASE WHEN kind = 'area' AND type IN ('elevator', 'stairs') THEN type END AS room
+    FROM (SELECT map_id, ord, coalesce("osmAG:type", '') AS kind, coalesce("osmAG:areaType", '') AS type, coalesce("osmAG:from", '') AS f, coalesce("osmAG:to", '') AS t FROM ways_raw)""",
+)
+def map_renderer_tags(spark: SparkSession, d: str) -> DataFrame:
+    return merge.renderer_tags(made_maps(spark, d).ways).select("map_id", "ord", *(F.try_element_at("tags", F.lit(t)).alias(t) for t in ("indoor", "door", "room")))
+
+
+@query(
+    "map_passage_errors",
+    f"""{maps_sql()} SELECT map_id, CAST(sum(CAST(lvl = '' AS INT) + CAST(nm = '' AS INT) + CAST(n <> 2 AS INT)) AS BIGINT) AS errors
+    FROM (SELECT map_id, coalesce("level", '') AS lvl, coalesce("name", '') AS nm, len(nds) AS n FROM ways_raw WHERE "osmAG:type" = 'passage' AND "osmAG:from" <> '' AND "osmAG:from" = "osmAG:to") GROUP BY 1""",
+)
+def map_passage_errors(spark: SparkSession, d: str) -> DataFrame:
+    return merge.passage_errors(made_maps(spark, d).ways)
