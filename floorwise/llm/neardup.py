@@ -1,15 +1,17 @@
 """Near copies by word shingles: all pairs of a Jaccard index of at least 0.8, none missed.
 
 A text is its set of distinct five-word shingles, each a 64-bit hash; equal sets are one
-node. The caller's candidate pairs (SimHash's, in ``simhash.keep_one_of_each``) are verified
-first, together with those of each key's smallest node. Keys are prefixes: shingles have one
-order everywhere, those that are frequent in a sample last, the others by hash. Of sets x and
-y with a Jaccard index of t or more, the first |x| - ceil(t |x|) + 1 and |y| - ceil(t |y|) + 1
-shingles in that order have one in common, whatever the order is. Frequent ones last only
-keeps groups small.
-
-What the first links join need not be compared again, so a large group of near copies costs
-no square. All other pairs of a key are candidates, unless sizes, positions or sketches rule
+node. One candidate of each node is verified first: the smallest of the caller's (SimHash's, in
+``simhash.keep_one_of_each``) and the smallest that leads one of its keys. What these join is
+left out of what follows: pairs with another leader of each key, then all pairs. So a large group
+of near copies costs no square.
+
+Keys are prefixes: shingles have one order everywhere, those that are frequent in a sample
+last, the others by hash. Of sets x and y with a Jaccard index of t or more, the first
+|x| - ceil(t |x|) + 1 and |y| - ceil(t |y|) + 1 shingles in that order have one in common,
+whatever the order is. Frequent ones last only keeps groups small.
+
+All pairs of a key in different groups are candidates, unless sizes, positions or sketches rule
 out the similarity: a sketch tells of each bucket of hashes whether it holds an odd number,
 and has as many buckets as its text has shingles, or more. Of the candidates between two
 groups one is verified, by an exact count of the common hashes; where that joins the groups
@@ -41,9 +43,11 @@ SEED, WORDS, SIMILARITY = 42, 5, 0.8
 SAMPLE, FREQUENT = 8192, 4
 #: Bits of the map that tells which texts are needed for comparison; false hits do no harm.
 BITS = 1 << 24
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 256
 #: Candidates between two groups that are verified next, for each one verified before.
 MORE = 64
+#: The sketch folded to 256 buckets, as four integers.
+PARITY = ["p0", "p1", "p2", "p3"]
 #: Up to so many rows an anti join's right side of row numbers is sent to all tasks (8 bytes each).
 MOST_SENT = 4_000_000
 
@@ -65,19 +69,24 @@ def sketch(found: np.ndarray) -> bytes:
 
 def least_difference(x: bytes, y: bytes) -> int:
     """A number of hashes that at least differ between the sets of two sketches."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) != len(b):  # the larger one's halves fall together
-        a, b = (a, b) if len(a) > len(b) else (b, a)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+
+
+def folded(x: bytes, size: int) -> np.ndarray:
+    """A sketch with fewer buckets, of ``size`` bytes: halves fall together."""
+    a = np.frombuffer(x, np.uint8)
+    while len(a) > size:
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    return a
 
 
 def with_nodes(df: DataFrame, words: int, text: str, node: str, size: str, parity: str, fingerprint: str) -> DataFrame:
     """Add each text's node, number of shingles, sketch, and SimHash of its set of shingles."""
     from floorwise.llm.simhash import majority
 
-    added = [T.StructField(node, T.LongType(), False), T.StructField(size, T.LongType(), False), T.StructField(parity, T.BinaryType(), False), T.StructField(fingerprint, T.LongType(), False)]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    added = [T.StructField(node, T.LongType(), False), T.StructField(size, T.LongType(), False), T.StructField(parity, T.BinaryType(), False), T.StructField(fingerprint, T.LongType(), False), *(T.StructField(c, T.LongType(), False) for c in PARITY)]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), *(pa.int64() for _ in PARITY)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -88,7 +97,8 @@ def with_nodes(df: DataFrame, words: int, text: str, node: str, size: str, parit
                 rows = []
                 for t in texts[start:end]:
                     found = shingles(t, words)
-                    rows.append((int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)), len(found), sketch(found), int(majority(found))))
+                    odd = sketch(found)
+                    rows.append((int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)), len(found), odd, int(majority(found)), *folded(odd, LEAST_BUCKETS // 8).view("<i8").tolist()))
                 few = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*few.columns, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*few.schema.names, *(f.name for f in added)])
 
@@ -198,14 +208,14 @@ def _near(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
 
 
 def links(texts: DataFrame, candidates: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b) of ``texts`` (node, text, size, parity) that join all nodes which similar pairs join.
+    """Verified pairs (a, b) of ``texts`` (node, text, size, parity, p0 to p3) that join all nodes which similar pairs join.
 
     ``candidates`` are pairs (a, b) of nodes to begin with; they may be none.
     """
     least = Fraction(str(similarity))
     if not 0 < least <= 1:
         raise ValueError("a similarity is above 0 and at most 1")
-    sketches = texts.select("node", "size", "parity").groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"))
+    sketches = texts.select("node", "size", "parity", *PARITY).groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), *(F.first(c).alias(c) for c in PARITY))
     texts = texts.select("node", "text")
 
     def verified(near: DataFrame) -> DataFrame:
@@ -213,45 +223,67 @@ def links(texts: DataFrame, candidates: DataFrame, words: int = WORDS, similarit
             sets = Written(_sets(texts, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "sets").df
             return Written(_verified(near.select("a", "b"), sets, least), "links", keep=True).df
 
+    def settled(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """``found`` and what links pairs (a, b, lx, ly) of nodes in different groups verify to join."""
+        open_pairs, share = Written(_near(pairs, sketches, least), "near"), 1
+        while not open_pairs.df.isEmpty():
+            # of the candidates between two groups those that differ least, one of each of ``share`` parts
+            part = F.pmod(F.xxhash64("a", "b"), F.lit(share)).alias("part")
+            some = open_pairs.df.groupBy("lx", "ly", part).agg(F.min(F.struct("differ", "a", "b")).alias("m"))
+            some = Written(some.select("m.a", "m.b", "lx", "ly"), "some")
+            now = verified(some.df)
+            found = found.union(now)
+            rest = open_pairs.df.join(some.df, ["a", "b"], "left_anti")
+            if not now.isEmpty():
+                joined = components(now.join(some.df, ["a", "b"]).select(F.col("lx").alias("a"), F.col("ly").alias("b")))
+                joined = Written(joined, "labels").df
+                of = lambda end: joined.select(F.col("node").alias(end), F.col("label").alias(f"n_{end}"))  # noqa: E731, B023
+                rest = rest.join(of("lx"), "lx", "left").join(of("ly"), "ly", "left").select("a", "b", F.coalesce("n_lx", "lx").alias("x"), F.coalesce("n_ly", "ly").alias("y"), "differ")
+                rest = rest.where("x <> y").select("a", "b", F.least("x", "y").alias("lx"), F.greatest("x", "y").alias("ly"), "differ")
+            following = Written(rest, "near")
+            open_pairs.discard()
+            open_pairs, share = following, MORE * share
+        return found
+
     # the common part is at least t / (1 + t) of both sizes; before the first common shingle there is none
     p, q = least.numerator, least.denominator
     may = lambda x, y: F.least(x["n"] - x["at"], y["n"] - y["at"]).cast("long") * (p + q) >= (x["n"] + y["n"]).cast("long") * p
+    ordered = lambda x, y: (F.least(x, y), F.greatest(x, y))
     with tidy():
         keys = _keys(texts, words, least, _frequent(texts, words))
         of_key = Window.partitionBy("key")
         groups = keys.select("key", F.struct("node", "n", "at").alias("m")).withColumns({"r": F.min("m").over(of_key), "last": F.max("m.node").over(of_key)})
         members = Written(groups.where("r.node <> last").select("key", "m", "r").distinct(), "groups")
-        stars = members.df.where((F.col("m.node") != F.col("r.node")) & may(F.col("r"), F.col("m"))).select(F.col("r.node").alias("a"), F.col("m.node").alias("b"))
-        tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").union(stars).distinct()
-        found = verified(Written(_near(tried, sketches, least), "near").df)
-        labels = Written(components(found), "labels").df
-        flat = members.df.select("key", "m", F.col("m.node").alias("node")).join(labels, "node", "left")
-        flat = Written(flat.select("key", "m", F.coalesce("label", "node").alias("label")), "members").df
-        members.discard()
-        mixed = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        left = flat.join(mixed, "key", "left_semi")
-        x, y = (left.select("key", F.col("m").alias(m), F.col("label").alias(f"l{m}")) for m in "xy")
-        cross = x.join(y, "key").where((F.col("lx") < F.col("ly")) & may(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "lx", "ly").distinct()
-        open_pairs, share = Written(_near(cross, sketches, least), "near"), 1
-        while not open_pairs.df.isEmpty():
-            # of the candidates between two groups those that differ least, one of each of ``share`` parts
-            part = F.pmod(F.xxhash64("a", "b"), F.lit(share)).alias("part")
-            some = open_pairs.df.groupBy("lx", "ly", part).agg(F.min(F.struct("differ", "a", "b")).alias("m"))
-            some = Written(some.select("m.a", "m.b"), "some")
-            now = verified(some.df)
-            found = found.union(now)
-            if now.isEmpty():
-                rest = Written(open_pairs.df.join(some.df, ["a", "b"], "left_anti"), "near")
-                open_pairs.discard()
-                open_pairs, share = rest, MORE * share
-                continue
-            joined = components(now.join(open_pairs.df.select("a", "b", "lx", "ly"), ["a", "b"]).select(F.col("lx").alias("a"), F.col("ly").alias("b")))
-            joined = Written(joined, "labels")
-            of = lambda end: joined.df.select(F.col("node").alias(end), F.col("label").alias(f"n_{end}"))  # noqa: E731, B023
-            rest = open_pairs.df.join(some.df, ["a", "b"], "left_anti").join(of("lx"), "lx", "left").join(of("ly"), "ly", "left")
-            rest = rest.select("a", "b", F.coalesce("n_lx", "lx").alias("lx"), F.coalesce("n_ly", "ly").alias("ly"), "differ").where("lx <> ly")
-            following = Written(rest.select("a", "b", F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly"), "differ"), "near")
-            for table in (open_pairs, some, joined):
-                table.discard()
-            open_pairs, share = following, MORE * share
+        # each node tries the smallest one that leads one of its keys, and the smallest of the caller's
+        stars = members.df.where((F.col("m.node") != F.col("r.node")) & may(F.col("r"), F.col("m"))).groupBy(F.col("m.node").alias("b")).agg(F.min("r.node").alias("a"))
+        a, b = ordered("a", "b")
+        given = candidates.where("a <> b").select(a.alias("a"), b.alias("b")).groupBy("b").agg(F.min("a").alias("a"))
+        found = verified(Written(_near(given.union(stars).select("a", "b").distinct(), sketches, least), "near").df)
+
+        parities = sketches.select(F.col("node").alias("_node"), F.struct(*PARITY).alias("s"))
+
+        def mixed(found: DataFrame) -> DataFrame:
+            """(key, m, label, s) of keys with nodes of several groups; ``s`` has the folded sketch."""
+            labels = Written(components(found), "labels").df
+            flat = members.df.select("key", "m", F.col("m.node").alias("node")).join(labels, "node", "left").select("key", "m", F.coalesce("label", "node").alias("label"))
+            flat = Written(flat, "members").df
+            several = flat.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+            return Written(flat.join(several, "key", "left_semi").join(parities, F.col("m.node") == F.col("_node")).drop("_node"), "mixed").df
+
+        def between(x: DataFrame, y: DataFrame) -> DataFrame:
+            """Pairs of nodes x and y under a key that lie in different groups."""
+            lx, ly = ordered("lx", "ly")
+            differ = sum((F.bit_count(F.col(f"sx.{c}").bitwiseXOR(F.col(f"sy.{c}"))).cast("long") for c in PARITY), F.lit(0))
+            alike = differ * (p + q) <= (F.col("x.n") + F.col("y.n")).cast("long") * (q - p)
+            pairs = x.join(y, "key").where((F.col("lx") != F.col("ly")) & may(F.col("x"), F.col("y")) & alike)
+            a, b = ordered("x.node", "y.node")
+            return pairs.select(a.alias("a"), b.alias("b"), lx.alias("lx"), ly.alias("ly")).distinct()
+
+        left = mixed(found)
+        side = lambda df, n: df.select("key", F.col("m").alias(n), F.col("label").alias(f"l{n}"), F.col("s").alias(f"s{n}"))
+        leaders = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("m.node"), "m", "label", "s")).alias("r"))
+        leaders = leaders.select("key", F.col("r.m").alias("y"), F.col("r.label").alias("ly"), F.col("r.s").alias("sy"))
+        found = Written(settled(between(side(left, "x"), leaders), found), "links").df
+        left = mixed(found)
+        found = settled(between(side(left, "x"), side(left, "y")).where("a < b"), found)
         return Written(found, "links", keep=True).df

@@ -246,7 +246,7 @@ def keep_one_of_each(docs: DataFrame, words: int = neardup.WORDS, similarity: fl
         table = neardup.with_nodes(plain, words, text, node, "size", "parity", "fingerprint").withColumn(row, F.monotonically_increasing_id())
         table = Written(table, "documents", keep=True).df
         nodes = table.select(node, "fingerprint").distinct()
-        found = neardup.links(table.select(node, F.col(text).alias("text"), "size", "parity"), candidate_pairs(nodes, most_bits), words, similarity)
+        found = neardup.links(table.select(node, F.col(text).alias("text"), "size", "parity", *neardup.PARITY), candidate_pairs(nodes, most_bits), words, similarity)
         rows = table.select(F.col(id_column).alias("id"), node, F.col(row).alias("row"))
         best = F.min(F.struct(F.col("id").isNull(), "id", "row"))
         of_node = rows.groupBy(node).agg(best.alias("best")).join(components(found), node, "left").select(node, "best", F.coalesce("label", node).alias("label"))
