@@ -103,6 +103,34 @@ def test_licenses(spark, small):
 # op 3
 
 
+def test_licenses_are_found_under_edits():
+    """Recall of templates with changed words, wherever in a text; shares are counted by tuples of words, not by the module's shingles."""
+    draw, index = random.Random(4), licenses.Index(licenses.TEMPLATES)
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    fives = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    due = found = 0
+    for name, template in licenses.TEMPLATES.items():
+        for _ in range(60):
+            w = split(template)
+            for _ in range(draw.randint(0, max(1, len(w) // 25))):
+                w[draw.randrange(len(w))] = f"edit{draw.random()}"
+            before, after = ([f"w{draw.random()}" for _ in range(draw.randint(0, 400))] for _ in range(2))
+            share = len(fives(w) & fives(split(template))) / len(fives(split(template)))
+            hits = index.scan([" ".join([*before, *w, *after])])[0]
+            due += share >= 0.8
+            found += share >= 0.8 and name in hits
+            assert share >= 0.8 or name not in hits
+    assert due > 500 and found / due >= 0.99
+
+
+def test_licenses_of_odd_tables(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    df = documents(spark, [f"{mit} x " * 40, mit, mit, None, ""]).selectExpr("*", "'clash' licenses")
+    rows = licenses.scan(df, keep_text=True).orderBy("doc_id").collect()
+    assert [[m.license for m in r.licenses] for r in rows] == [["MIT"]] * 3 + [[], []] and rows[0].licenses[0].start == 0 and rows[1].text == mit
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 def brute_features(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
