@@ -63,9 +63,9 @@ def range_check(spark: SparkSession, d: str) -> DataFrame:
        FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3""",
 )
 def closed_ring(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("nds"))
-    first, last = F.element_at("nds", 1)["l_suppkey"], F.element_at("nds", -1)["l_suppkey"]
-    return refs.where(F.size("nds") >= 3).select("l_orderkey", F.size("nds").cast("long").alias("n_refs"), (first == last).alias("closed"))
+    order = F.struct("l_linenumber", "l_suppkey")
+    refs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_refs"), (F.min_by("l_suppkey", order) == F.max_by("l_suppkey", order)).alias("closed"))
+    return refs.where("n_refs >= 3")
 
 
 @query("count_by_level", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")

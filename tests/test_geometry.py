@@ -232,6 +232,31 @@ def test_drawings(spark):
     assert labels.pixel_texts(texts, bounds).count() == 1
 
 
+def test_inserts_of_any_depth(spark):
+    block = lambda name, inner: f"0\nBLOCK\n2\n{name}\n{inner}\n0\nENDBLK\n"
+    insert = lambda name: f"0\nINSERT\n8\n0\n2\n{name}\n10\n1\n20\n0\n41\n1\n42\n1\n50\n0"
+    blocks = "".join(block(f"B{i}", insert(f"B{i + 1}")) for i in range(9)) + block("B9", "0\nLINE\n8\n0\n10\n0\n20\n0\n11\n1\n21\n0")
+    cycle = block("C", insert("D")) + block("D", insert("C"))
+    text = f"0\nSECTION\n2\nBLOCKS\n{blocks}{cycle}0\nENDSEC\n0\nSECTION\n2\nENTITIES\n{insert('B0')}\n{insert('C')}\n0\nENDSEC\n0\nEOF\n"
+    drawn = dxf.exploded(dxf.read(spark.createDataFrame([("f", text.encode())], "file_id string, content binary")).cache()).collect()
+    assert [[(p.x, p.y) for p in r.pts] for r in drawn if r.etype == "LINE"] == [[(10.0, 0.0), (11.0, 0.0)]]
+    assert [r.name for r in drawn if r.etype == "INSERT"] == ["C"]
+
+
+def test_rings_that_overlap_are_united():
+    box = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+    area = lambda rings: sum(np.dot(r[:, 0], np.roll(r[:, 1], -1)) - np.dot(r[:, 1], np.roll(r[:, 0], -1)) for r in rings) / 2
+    assert area(kernels.ring_union([box(0, 0, 4, 4), box(2, 2, 4, 4)])) == pytest.approx(28)
+    assert area(kernels.ring_union([box(0, 0, 9, 9), box(2, 2, 3, 3)])) == pytest.approx(81)
+    frame = kernels.ring_union([box(0, 0, 9, 2), box(0, 7, 9, 2), box(0, 0, 2, 9), box(7, 0, 2, 9)])
+    assert area(frame) == pytest.approx(81 - 25) and len(frame) == 2 and kernels.polygon_area(kernels.largest(frame)) == pytest.approx(81)
+    draw = np.random.default_rng(8)
+    for _ in range(40):
+        boxes = [box(*draw.integers(0, 12, 2), *draw.integers(1, 8, 2)) for _ in range(5)]
+        grid = np.stack(np.meshgrid(np.arange(20) + 0.5, np.arange(20) + 0.5), axis=-1).reshape(-1, 2)
+        assert area(kernels.ring_union(boxes)) == pytest.approx(np.any([kernels.inside(grid, b) for b in boxes], axis=0).sum())
+
+
 def test_distances_do_not_stop_silently(spark):
     e = spark.createDataFrame([("m", i, f"n{i}", f"n{i + 1}", 1.0) for i in range(4)], "map_id string, edge_id long, a string, b string, length double")
     start = spark.createDataFrame([("m", "n0")], "map_id string, start string")
