@@ -303,3 +303,29 @@ def cut_by_rooms(edges: DataFrame, room_rings: DataFrame) -> DataFrame:
     placed = spans.withColumn("p", rings.point_at(F.col("path"), (F.col("span.s") + F.col("span.e")) / 2)).withColumn("ends", F.array(rings.point_at(F.col("path"), F.col("span.s")), rings.point_at(F.col("path"), F.col("span.e"))))
     held = placed.select("map_id", "edge_id", "piece", "p").join(near, ["map_id", "edge_id"]).where(rings.contains(F.col("ring"), F.col("p"))).groupBy("map_id", "edge_id", "piece").agg(F.min("room_id").alias("room_id"))
     return placed.join(held, ["map_id", "edge_id", "piece"], "left").select("map_id", "edge_id", "piece", F.col("ends").alias("path"), (F.col("span.e") - F.col("span.s")).alias("length"), "room_id")
+
+
+def exit_distances(edges: DataFrame, exits: DataFrame) -> DataFrame:
+    """(map_id, exit_id, other, distance, hops, nearest) between all exits (map_id, exit_id, node) of a map.
+
+    Exits that no path joins are left out; ``nearest`` marks the exit that comes next from each.
+    """
+    starts = exits.select("map_id", F.col("node").alias("start")).distinct()
+    far = distances_from(edges, starts)
+    there = exits.select("map_id", F.col("exit_id").alias("other"), F.col("node").alias("node"))
+    here = exits.select("map_id", "exit_id", F.col("node").alias("start"))
+    found = far.join(there, ["map_id", "node"]).join(here, ["map_id", "start"]).where("exit_id <> other")
+    first = found.groupBy("map_id", "exit_id").agg(F.min(F.struct("distance", "other")).alias("_f"))
+    marked = found.join(first, ["map_id", "exit_id"]).withColumn("nearest", F.col("other") == F.col("_f.other"))
+    return marked.select("map_id", "exit_id", "other", "distance", "hops", "nearest")
+
+
+def passage_edges(bridge: DataFrame, positions: DataFrame) -> DataFrame:
+    """(map_id, room_id, a, b, length): pairs of passages of one room, as far apart as they lie.
+
+    ``positions`` has (map_id, passage_id, x, y). A room has few passages.
+    """
+    placed = bridge.join(positions, ["map_id", "passage_id"])
+    of = lambda end: placed.select("map_id", "room_id", F.col("passage_id").alias(end), F.col("x").alias(f"x{end}"), F.col("y").alias(f"y{end}"))
+    pairs = of("a").join(of("b"), ["map_id", "room_id"]).where("a < b")
+    return pairs.select("map_id", "room_id", "a", "b", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("length"))

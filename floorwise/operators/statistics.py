@@ -27,6 +27,31 @@ def summary(df: DataFrame, value: str, by: list[str] = (), skip_largest: int = 0
     return df.groupBy(*by).agg(*of)
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles of all rows by linear interpolation, nulls left out.
+
+    Values are ranked over sorted range partitions; only the two rows around each quantile
+    come to the driver.
+    """
+    ranked = numbered(df.select(value).where(F.col(value).isNotNull()), [value], "rank")
+    n = ranked.count()
+    if not n:
+        return []
+    places = [share * (n - 1) for share in shares]
+    wanted = sorted({int(p) + k for p in places for k in (1, 2) if int(p) + k <= n})
+    found = {r["rank"]: float(r[value]) for r in ranked.where(F.col("rank").isin(wanted)).collect()}
+    return [found[int(p) + 1] + (p - int(p)) * (found.get(int(p) + 2, found[int(p) + 1]) - found[int(p) + 1]) for p in places]
+
+
+def trimmed(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Rows that lie within both percentiles on every axis, over the whole table."""
+    inside = df
+    for c in columns:
+        ends = quantiles(df, c, [low, high])
+        inside = inside.where(F.col(c).between(*ends) if ends else F.lit(False))
+    return inside
+
+
 def trimmed_bounds(df: DataFrame, columns: list[str], by: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Bounds of the points that lie within both percentiles on every axis (linear interpolation)."""
     cuts = df.groupBy(*by).agg(*(F.percentile(c, [low, high]).alias(f"_{c}") for c in columns))

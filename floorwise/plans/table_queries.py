@@ -213,9 +213,10 @@ def offset_sigma_weighted(spark: SparkSession, d: str) -> DataFrame:
        SELECT round(min(o_totalprice), 4) AS min_x, round(max(o_totalprice), 4) AS max_x, count(*) AS kept FROM orders, q WHERE o_totalprice BETWEEN lo AND hi""",
 )
 def percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select("o_totalprice")
-    low, high = orders.agg(F.percentile("o_totalprice", [0.005, 0.995])).first()[0] or (None, None)  # one row
-    return orders.where(F.col("o_totalprice").between(low, high)).agg(F.round(F.min("o_totalprice"), 4).alias("min_x"), F.round(F.max("o_totalprice"), 4).alias("max_x"), F.count("*").alias("kept"))
+    from floorwise.operators.statistics import trimmed
+
+    kept = trimmed(table(spark, d, "orders").select("o_totalprice"), ["o_totalprice"])
+    return kept.agg(F.round(F.min("o_totalprice"), 4).alias("min_x"), F.round(F.max("o_totalprice"), 4).alias("max_x"), F.count("*").alias("kept"))
 
 
 @query("bbox_centre", "SELECT user_id, round((min(value) + max(value)) / 2, 4) AS cx, round((min(event_id) + max(event_id)) / 2, 4) AS cy FROM events GROUP BY 1")

@@ -232,6 +232,20 @@ def test_drawings(spark):
     assert labels.pixel_texts(texts, bounds).count() == 1
 
 
+def test_exits_and_passages(spark):
+    e = spark.createDataFrame([("m", 1, "a", "b", 1.0), ("m", 2, "b", "c", 2.0), ("m", 3, "c", "d", 4.0), ("m", 4, "x", "y", 1.0)], "map_id string, edge_id long, a string, b string, length double")
+    exits = spark.createDataFrame([("m", 1, "a"), ("m", 2, "c"), ("m", 3, "d"), ("m", 4, "x")], "map_id string, exit_id int, node string")
+    got = {(r.exit_id, r.other): (r.distance, r.hops, r.nearest) for r in graph.exit_distances(e, exits).collect()}
+    assert got == {(1, 2): (3.0, 2, True), (1, 3): (7.0, 3, False), (2, 1): (3.0, 2, True), (2, 3): (4.0, 1, False), (3, 1): (7.0, 3, False), (3, 2): (4.0, 1, True)}
+    bridge = spark.createDataFrame([("m", "p", 1), ("m", "q", 1), ("m", "q", 2)], "map_id string, passage_id string, room_id int")
+    places = spark.createDataFrame([("m", "p", 0.0, 0.0), ("m", "q", 3.0, 4.0)], "map_id string, passage_id string, x double, y double")
+    assert [(r.room_id, r.a, r.b, r.length) for r in graph.passage_edges(bridge, places).collect()] == [(1, "p", "q", 5.0)]
+    values = spark.createDataFrame([(float(x * 37 % 101),) for x in range(100)] + [(None,)], "v double")
+    want = np.percentile([x * 37 % 101 for x in range(100)], [0, 0.5, 50, 99.5, 100])
+    assert statistics.quantiles(values, "v", [0, 0.005, 0.5, 0.995, 1]) == pytest.approx(list(want)) and statistics.quantiles(values.limit(0), "v", [0.5]) == []
+    assert [r[0] for r in spark.createDataFrame([(0.5,), (-0.5,), (1.4,)], "v double").select(scalars.nearest_int(F.col("v"))).collect()] == [1, 0, 1]
+
+
 def test_inserts_of_any_depth(spark):
     block = lambda name, inner: f"0\nBLOCK\n2\n{name}\n{inner}\n0\nENDBLK\n"
     insert = lambda name: f"0\nINSERT\n8\n0\n2\n{name}\n10\n1\n20\n0\n41\n1\n42\n1\n50\n0"
