@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorwise.llm import bpe, decontam, linededup, quality, simhash
-from floorwise.llm.shared import Written, fresh
+from floorwise.llm.shared import Written, fresh, tidy
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether decoding gives the text back."""
+    """Ids of every text, and whether decoding gives the text back; other columns than id, language and source go."""
     decoded = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return decoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
@@ -60,7 +60,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's own scratch tables go when it is written, and it goes when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = Written(stage(spark, docs, sf_dir), name).df
+        with tidy():
+            written = Written(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            before.discard()
+        docs, before = written.df, written
     return docs

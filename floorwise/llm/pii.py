@@ -175,7 +175,7 @@ def _drawn(entities: DataFrame, key: Column) -> DataFrame:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(type, entity, surrogate) of distinct entities, no two of a type with one surrogate."""
     secret = keyed(entities.sparkSession, key)
-    now = Written(_drawn(entities.select("type", "entity", F.lit(0).alias("attempt")), secret), "surrogates", keep=True)
+    now = Written(_drawn(entities.select("type", "entity", F.lit(0).alias("attempt")), secret), "surrogates")
     for attempt in count(1):
         first = now.df.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
         real = now.df.select("type", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -186,7 +186,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         joined = now.df.join(clashes.df, ["type", "surrogate"], "left").withColumn("again", F.col("clash").isNotNull() & ~F.col("entity").eqNullSafe(F.col("keeps")))
         again = _drawn(joined.where("again").select("type", "entity", F.lit(attempt).alias("attempt")), secret)
         columns = ["type", "entity", "attempt", "surrogate"]
-        following = Written(joined.where("not again").select(columns).unionByName(again.select(columns)), "surrogates", keep=True)
+        following = Written(joined.where("not again").select(columns).unionByName(again.select(columns)), "surrogates")
         now.discard()
         clashes.discard()
         now = following

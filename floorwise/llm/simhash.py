@@ -24,8 +24,10 @@ fingerprints differ in 10 bits on average, beyond any radius that keys can cover
 that the fingerprints give are verified first and ``neardup`` completes them.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; fewer
-words than a shingle are one shingle; repeated rows fall together; null ids are passed over
-when a component's smallest id is taken, unless it has no other.
+words than a shingle are one shingle; texts of any length count whole; repeated rows fall
+together; null ids are passed over when a component's smallest id is taken, unless it has no
+other; an empty table gives an empty one. ``near_duplicate_classes`` gives its own columns alone,
+``keep_one_of_each`` all columns of the documents whatever their names.
 """
 
 from __future__ import annotations

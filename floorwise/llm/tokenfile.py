@@ -11,7 +11,9 @@ orders the files. Texts are encoded by the tokenizers library, of which each dis
 pre-token is asked once while the worker's cache holds it.
 
 Defined results: a null text is an empty document, of the end id alone; null ids come
-first; rows of one id follow each other, ordered by text; an empty table gives no files.
+first; rows of one id follow each other, ordered by text; an empty table gives no files. A
+text of any length is written whole, in as many blocks as it takes. Files hold ids and lengths
+alone: other columns of the documents are not written, whatever their names.
 """
 
 from __future__ import annotations

@@ -349,6 +349,13 @@ def test_op7(spark, library, small):
         start += len(ids)
 
 
+def test_token_files_without_other_columns(spark, library, tmp_path):
+    df = documents(spark, ["b", "a", None]).selectExpr("*", "'x' payload", "'y' ids", "'z' start")
+    tokenfile.write(df, f"{tmp_path}/files", queries.TOKENIZER, end_id=0)
+    rows = tokenfile.documents(spark, f"{tmp_path}/files").orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [2, 2, 1] and [r.start for r in rows] == [0, 2, 4]
+
+
 def test_token_files_of_odd_documents(spark, library, monkeypatch):
     df = documents(spark, ODD).union(spark.createDataFrame([(None, "x", "", "", 1), (3, "again", "", "", 1)], SCHEMA))
     path = scratch_path(spark, "odd")
@@ -535,10 +542,11 @@ def test_stages_keep_columns_of_any_name(spark):
 
     good = " ".join(f"The item{i} and thing{i * 7} of place{i * 3} in year{i}." for i in range(30))
     df = documents(spark, [good, good, None, "", LONG]).selectExpr("*", "'a' kept", "'b' fingerprint", "'c' n_hit", "'d' removed_lines", "'e' component_id", "'f' row_number", "'g' posterior", "'h' T1")
-    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.line_dedup, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
         out = stage(spark, df, SMALL)
         assert out.columns == df.columns and out.count() >= 1
         assert tuple(out.select(df.columns[5:]).first()) == tuple("abcdefgh")
+    assert corpus_pipeline.bpe_ids(spark, df.selectExpr("*", "'x' ids", "'y' decoded"), SMALL).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
     assert linededup.without_boilerplate(df).columns == [*df.columns, "_removed_lines"]
     with_mentions = pii.replaced(df.withColumn("n_mentions", F.lit(1)), "k")
     assert with_mentions.columns[-1] == "_n_mentions"
