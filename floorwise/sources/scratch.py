@@ -67,7 +67,7 @@ def tidy() -> Iterator[None]:
         for table in stack.pop():
             if not table.kept:
                 table.discard()
-            elif stack:
+            elif stack:  # the block around this one has it now
                 table.kept = False
                 stack[-1].append(table)
 
