@@ -1,9 +1,12 @@
 """Table queries over whole tables, against brute force."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from floorwise.plans import table_queries
+import duckdb
+import pytest
+
+from floorwise.plans import map_queries, registry, shape_queries, table_queries  # noqa: F401  they register their queries
 from tests.conftest import SMALL
 
 
@@ -38,3 +41,15 @@ def test_copies_differ_in_the_middle(spark, tmp_path):
     rows = [(1, edge + " one " + edge), (2, edge + " two " + edge), (3, edge + " ONE " + edge)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.kept, r.copies) for r in table_queries.polygon_similarity_dedup(spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("name", ["map_findings", "map_fixes", "map_renumbered", "graph_chains", "name_repairs", "closed_ring"])
+def test_queries_equal_their_sql(spark, name):
+    frame = registry.QUERIES[name](spark, SMALL)
+    columns = sorted(frame.columns)
+    connection = duckdb.connect()
+    for table in ("nation", "customer", "orders", "lineitem"):
+        connection.execute(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
+    found = connection.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    rows = Counter(tuple(r) for r in frame.select(columns).collect())
+    assert rows == Counter(found) and rows
