@@ -28,6 +28,23 @@ def url_filter(rules: list, phrases: list[str]) -> str:
     FROM parts"""
 
 
+def license_scan(licenses) -> str:
+    """Every window of every template's size class, counted by a join on the shingles themselves."""
+    words = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    size = licenses.SHINGLE
+    shingles = lambda of, columns: f"SELECT {columns}, p, array_to_string(w[p + 1:p + {size}], ' ') AS shingle FROM (SELECT *, unnest(range(0, greatest(1, len(w) - {size - 1}))) AS p FROM {of} WHERE len(w) > 0)"
+    return f"""
+    WITH names AS (SELECT name, {words("text")} AS w FROM (VALUES {", ".join(f"({_text(n)}, {_text(t)})" for n, t in licenses.TEMPLATES.items())}) v(name, text)),
+    template AS (SELECT DISTINCT name, shingle FROM ({shingles("names", "name")})),
+    class AS (SELECT name, n, greatest({licenses.LEAST_CLASS}, CAST(2 ** ceil(log2(n)) AS BIGINT)) AS s FROM (SELECT name, count(*) AS n FROM template GROUP BY 1)),
+    docs AS (SELECT doc_id, {words("text")} AS w FROM documents),
+    hits AS (SELECT doc_id, name, shingle, p FROM ({shingles("docs", "doc_id")}) JOIN template USING (shingle)),
+    placed AS (SELECT doc_id, name, n, shingle, unnest([p // s, p // s - 1]) AS place FROM hits JOIN class USING (name)),
+    found AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, name, place FROM placed WHERE place >= 0 GROUP BY doc_id, name, n, place HAVING count(DISTINCT shingle) >= {licenses.CONTAINMENT} * n)),
+    listed AS (SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses FROM found GROUP BY 1)
+    SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN listed USING (doc_id)"""
+
+
 DECONTAMINATION = r"""
 WITH item_words AS (
     SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
