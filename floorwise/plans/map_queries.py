@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwise.operators import merge, repair, validate
+from floorwise.functions import rings
+from floorwise.operators import labels, merge, repair, rooms, validate
 from floorwise.plans.registry import query, table
 from floorwise.sources.osm_xml import Maps, elements_of
 from floorwise.sources.scratch import Written
@@ -364,3 +365,74 @@ def map_renderer_tags(spark: SparkSession, d: str) -> DataFrame:
 )
 def map_passage_errors(spark: SparkSession, d: str) -> DataFrame:
     return merge.passage_errors(made_maps(spark, d).ways)
+
+
+_RENAMES = "CASE WHEN k % 7 IN (0, 1, 2) AND k % 8 = 0 THEN 'New' || (k % 50) END"
+
+
+@query(
+    "map_renamed",
+    f"""{maps_sql()}, k AS (SELECT *, ord - 1000000 AS k FROM ways_raw), typed AS (SELECT *, {_RENAMES} AS renamed, coalesce("osmAG:type", '') AS kind, coalesce("name", '') AS nm, coalesce("osmAG:areaType", '') AS type FROM k),
+    rooms AS (SELECT * FROM typed WHERE kind = 'area' AND type <> 'structure' AND renamed IS NOT NULL),
+    changes AS (SELECT map_id, CASE WHEN nm <> '' THEN nm ELSE 'room_' || id END AS old, arg_max(renamed, ord) AS new FROM rooms GROUP BY ALL)
+    SELECT t.map_id, t.ord, CASE WHEN kind = 'area' AND type <> 'structure' AND renamed IS NOT NULL THEN renamed ELSE "name" END AS name, coalesce(x.new, "osmAG:from") AS start, coalesce(y.new, "osmAG:to") AS target
+    FROM typed t LEFT JOIN changes x ON kind = 'passage' AND x.map_id = t.map_id AND x.old = "osmAG:from" LEFT JOIN changes y ON kind = 'passage' AND y.map_id = t.map_id AND y.old = "osmAG:to" """,
+)
+def map_renamed(spark: SparkSession, d: str) -> DataFrame:
+    ways = made_maps(spark, d).ways
+    names = ways.withColumn("k", F.col("ord") - 1_000_000).select("map_id", "id", F.expr(_RENAMES).alias("new_name")).where("new_name is not null")
+    out = labels.renamed(ways, names)
+    of = lambda t: F.try_element_at("tags", F.lit(t))
+    return out.select("map_id", "ord", of("name").alias("name"), of("osmAG:from").alias("start"), of("osmAG:to").alias("target"))
+
+
+_TEXTS = """CASE p_partkey % 9 WHEN 0 THEN '防火' WHEN 1 THEN ' Room ' || p_size WHEN 2 THEN '送风机房' WHEN 3 THEN '   ' WHEN 4 THEN '会议室' WHEN 5 THEN '入口' ELSE p_name END"""
+
+
+@query(
+    "drawing_texts",
+    f"""WITH t AS (SELECT 'f' || (p_partkey % 3) AS file_id, p_partkey AS ord, trim({_TEXTS}) AS text, p_size % 2 = 0 AS attribute, p_size % 5 AS kind FROM part WHERE p_size % 3 > 0)
+    SELECT file_id, ord, text, CASE WHEN attribute THEN 'B' || kind END AS block_name, CASE WHEN attribute THEN 'NO' END AS attribute_tag, CASE WHEN NOT attribute THEN 'TEXT' END AS entity_type
+    FROM t WHERE text <> '' AND NOT ({" OR ".join(f"contains(text, '{w}')" for w in labels.BLACKLIST)})""",
+)
+def drawing_texts(spark: SparkSession, d: str) -> DataFrame:
+    entities = table(spark, d, "part").selectExpr(
+        "'f' || (p_partkey % 3) AS file_id", "p_partkey AS eid", f"{_TEXTS} AS text", "CASE WHEN p_size % 2 = 0 THEN 'ATTRIB' ELSE 'TEXT' END AS etype", "CASE WHEN p_size % 3 > 0 THEN 'names' ELSE 'other' END AS layer",
+        "'B' || (p_size % 5) AS block_name", "'NO' AS tag", "array(struct(CAST(p_size AS DOUBLE) AS x, 0D AS y)) AS pts",
+    )
+    return labels.extracted_texts(entities, "names").drop("insert_point")
+
+
+_AREAS = "CAST((k % 13 + 1) * (k % 7 + 2) AS DOUBLE)"
+
+
+@query(
+    "room_areas",
+    f"""WITH rooms AS (SELECT 'm' || (k % 6) AS map_id, k AS room_id, {_AREAS} AS area FROM (SELECT c_custkey AS k FROM customer)),
+    sized AS (SELECT map_id, room_id, round(area * 0.25, 2) AS area_m2 FROM rooms), kept AS (SELECT map_id, room_id FROM rooms WHERE area >= 10 / 0.25),
+    ends AS (SELECT 'm' || (o_custkey % 6) AS map_id, o_orderkey AS passage_id, o_custkey AS room_id FROM orders UNION ALL SELECT 'm' || (o_custkey % 6), o_orderkey, o_custkey + 6 FROM orders)
+    SELECT map_id, CAST(NULL AS BIGINT) AS passage_id, room_id, area_m2, repeat('#', CAST(floor(area_m2 / max(area_m2) OVER (PARTITION BY map_id) * 50) AS INT)) AS bar, room_id IN (SELECT room_id FROM kept) AS stays FROM sized
+    UNION ALL SELECT map_id, passage_id, room_id, NULL, NULL, true FROM ends WHERE NOT EXISTS (FROM ends e WHERE e.map_id = ends.map_id AND e.passage_id = ends.passage_id AND NOT EXISTS (FROM kept k WHERE k.map_id = e.map_id AND k.room_id = e.room_id))""",
+)
+def room_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles by customer, passages by order."""
+    w, h = F.col("k") % 13 + 1, F.col("k") % 7 + 2
+    ring = F.array(*(rings.point(x, y) for x, y in ((F.lit(0), F.lit(0)), (w, F.lit(0)), (w, h), (F.lit(0), h))))
+    shapes = table(spark, d, "customer").selectExpr("c_custkey AS k").select(F.concat(F.lit("m"), F.col("k") % 6).alias("map_id"), F.col("k").alias("room_id"), ring.alias("ring"))
+    orders = table(spark, d, "orders")
+    end = lambda e: orders.selectExpr("'m' || (o_custkey % 6) AS map_id", "o_orderkey AS passage_id", f"{e} AS room_id")
+    kept, bridge = rooms.large_enough(shapes, end("o_custkey").union(end("o_custkey + 6")), 10.0, 0.5)
+    stays = kept.select("map_id", "room_id", F.lit(True).alias("stays"))
+    report = rooms.area_report(shapes, 0.5).withColumn("room_id", F.regexp_extract("room", "[0-9]+", 0).cast("long"))
+    report = report.join(stays, ["map_id", "room_id"], "left").select("map_id", F.lit(None).cast("long").alias("passage_id"), "room_id", "area_m2", "bar", F.coalesce("stays", F.lit(False)).alias("stays"))
+    return report.unionByName(bridge.select("map_id", "passage_id", "room_id", F.lit(None).cast("double").alias("area_m2"), F.lit(None).cast("string").alias("bar"), F.lit(True).alias("stays")))
+
+
+@query(
+    "batch_summary",
+    f"""{_findings_sql("semantic")}, p AS (SELECT map_id, NOT EXISTS (FROM findings f WHERE f.map_id = docs.map_id AND level = 'ERROR') AS passed FROM docs)
+    SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, round(avg(CAST(passed AS INT)) * 100, 1) AS success_rate FROM p""",
+)
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    maps = made_maps(spark, d)
+    return validate.batch_summary(validate.summary(validate.findings(maps), maps.documents))
