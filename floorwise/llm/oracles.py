@@ -135,3 +135,70 @@ def quality_rules(quality) -> str:
     {", ".join(steps)},
     b AS (SELECT v.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed, 1 / (1 + exp(-({odds('o')}))) AS p FROM v, o{quality.ITERATIONS} o)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {quality.THRESHOLD} AS kept FROM b"""
+
+
+def crc32(value: str) -> str:
+    """CRC-32 of a text of ASCII characters, bit by bit."""
+    steps = f"list_concat([4294967295::BIGINT], flatten(list_transform(string_split({value}, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])))"
+    return f"xor(list_reduce({steps}, lambda c, x: xor(xor(c, x) >> 1, 3988292384::BIGINT * (xor(c, x) & 1))), 4294967295::BIGINT)"
+
+
+#: Pairs of equal words with their distance, islands of neighbouring pairs, the least distance of each stretch.
+PERIODIC_RUNS = rf"""
+WITH hashed AS (
+    SELECT doc_id, coalesce({crc32("doc_id::VARCHAR")}, 1) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+drawn AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS tail, h // 10 AS g FROM hashed),
+placed AS (SELECT *, CASE WHEN tail THEN g % n ELSE n END AS a FROM drawn),
+docs AS (
+    SELECT doc_id, n, CASE WHEN tail THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM placed),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM docs),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY 1, 2, 3),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+           min({{'l': -length, 's': start, 'p': period}}) AS best FROM runs GROUP BY 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words w WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.doc_id = w.doc_id AND d.i = w.i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period, (-best.l) * 1000 // best.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: Levels by recursion; ``g`` is a source's number, 0 the tree above all sources.
+MERKLE_MANIFEST = rf"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, {_leaf("text")} AS leaf,
+           CASE WHEN {crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claimed FROM documents),
+placed AS (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes AS (
+    SELECT g, 0 AS level, i, n, leaf AS h FROM placed
+    UNION ALL
+    SELECT g, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, level, i // 3, n),
+subroots AS (SELECT g, h FROM nodes WHERE n = 1),
+above AS (
+    SELECT 0 AS level, g - 1 AS i, (SELECT count(*) FROM subroots) AS n, h FROM subroots
+    UNION ALL
+    SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, i // 3, n),
+whole AS (SELECT h AS root FROM above WHERE n = 1),
+every AS (SELECT g, level, i, n, h FROM nodes UNION ALL SELECT 0, level, i, n, h FROM above),
+sides AS (
+    SELECT x.g, x.level, x.i, x.n, string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i) AS before, string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i) AS after
+    FROM every x JOIN every y ON x.g = y.g AND x.level = y.level AND x.i // 3 = y.i // 3 WHERE x.n > 1 GROUP BY 1, 2, 3, 4),
+paths AS (
+    SELECT doc_id, g, i AS leaf_i, g AS tree, i, n, 0 AS level, '' AS proof, claimed AS folded FROM placed
+    UNION ALL
+    SELECT p.doc_id, p.g, p.leaf_i, CASE WHEN p.n = 1 THEN 0 ELSE p.tree END, CASE WHEN p.n = 1 THEN p.g - 1 ELSE p.i // 3 END,
+           CASE WHEN p.n = 1 THEN (SELECT count(*) FROM subroots) ELSE (p.n + 2) // 3 END, CASE WHEN p.n = 1 THEN 0 ELSE p.level + 1 END,
+           p.proof || coalesce(s.before, '') || coalesce(s.after, ''),
+           CASE WHEN p.n = 1 THEN p.folded ELSE sha256(coalesce(s.before, '') || p.folded || coalesce(s.after, '')) END
+    FROM paths p LEFT JOIN sides s ON s.g = p.tree AND s.level = p.level AND s.i = p.i WHERE p.n > 1 OR p.tree > 0)
+SELECT p.doc_id, l.leaf, s.h AS subroot, w.root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root, p.folded = w.root AS verified
+FROM paths p JOIN placed l ON l.g = p.g AND l.i = p.leaf_i JOIN subroots s ON s.g = p.g CROSS JOIN whole w WHERE p.n = 1 AND p.tree = 0"""

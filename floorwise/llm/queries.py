@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorwise.llm import bpe, chat, decontam, licenses, linededup, oracles, pii, quality, simhash, tokenfile, urlfilter
+from floorwise.llm import bpe, chat, decontam, langid, licenses, linededup, merkle, oracles, periodic, pii, quality, simhash, tokenfile, urlfilter
 from floorwise.llm.shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,62 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conversation"), *columns], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return done.select("conversation", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out("doc_id")))
+    found = langid.identified(docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by id, with a tail that repeats a stretch of their own words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    n = F.size("_w").cast("long")
+    a, p = F.col("_g") % n, F.lit(1) + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))
+    marked = docs.select("doc_id", "text", g.alias("_g"), F.when(h % 10 == 0, words).alias("_w"))
+    placed = marked.withColumn("_a", F.when(n > 0, a)).withColumn("_p", p)
+    whole = lambda c: c.cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice("_w", whole(F.col("_a") + 1), whole(F.col("_p"))), whole(F.ceil((n - F.col("_a")) / F.col("_p")))))
+    changed = F.array_join(F.concat(F.slice("_w", F.lit(1), whole(F.col("_a"))), F.slice(repeated, F.lit(1), whole(n - F.col("_a")))), " ")
+    return placed.select("doc_id", F.when(F.size("_w") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", oracles.PERIODIC_RUNS)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(repeating(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = found.withColumn("_best", periodic.longest("runs"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_best.start",
+        "_best.length",
+        "_best.period",
+        F.expr("_best.length * 1000 div _best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_merkle_manifest", oracles.MERKLE_MANIFEST)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*columns)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claimed = docs.withColumn("tampered", changed).withColumn("claimed", F.unhex(merkle.leaf([*columns[:-1], "tampered"])))
+    found = merkle.manifest(claimed.select(*columns, "claimed"), columns, "source", "doc_id", carried=["claimed"])
+    lower = lambda c: F.lower(F.hex(c))
+    return merkle.verified(found, "claimed").select(
+        "doc_id",
+        lower("digest").alias("leaf"),
+        lower("subroot").alias("subroot"),
+        lower("root").alias("root"),
+        F.sha2(lower("proof").cast("binary"), 256).alias("proof_sha256"),
+        lower("folded_root").alias("folded_root"),
+        "verified",
+    )
