@@ -250,32 +250,32 @@ def clipped(edges: DataFrame, boundary: DataFrame) -> DataFrame:
     return marked.withColumn("length", F.when(F.col("_s") & F.col("_t"), F.col("length")).otherwise(-1.0)).select(edges.columns)
 
 
-def voronoi(sites: DataFrame) -> DataFrame:
+def voronoi(sites: DataFrame, rays: bool = False) -> DataFrame:
     """Voronoi edges (map_id, a, b, path, length, obstacle) of sites (map_id, x, y).
 
     The edges join the circumcentres of Delaunay triangles that share a side; ``obstacle``
-    is the distance to the nearest site at the middle. Triangulation takes a map as one group,
-    in time about proportional to its sites.
+    is the distance to the nearest site at the middle. With ``rays`` unbounded edges come too: their
+    ``b`` is null, ``length`` -1, the path's end a point of the ray, ``ray`` its number at its vertex; then edges also have
+    their sites, ``left`` and ``right``. Triangulation takes a map as one group, in time about proportional to its sites.
     """
     import numpy as np
     import pandas as pd
 
+    more = ["left", "right", "ray"] if rays else []
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         points = np.unique(group[["x", "y"]].to_numpy(dtype=float), axis=0)
-        triangles = kernels.delaunay(points)
-        centres, _ = kernels.circumcentres(points, triangles)
-        sides: dict = {}
-        for t, corners in enumerate(triangles.tolist()):
-            for k in range(3):
-                sides.setdefault(tuple(sorted((corners[k], corners[(k + 1) % 3]))), []).append(t)
         rows = []
-        for (p, _), ts in sides.items():
-            if len(ts) == 2 and np.isfinite(centres[ts]).all():
-                s, e = centres[ts[0]], centres[ts[1]]
-                rows.append((group.map_id.iloc[0], int(min(ts)), int(max(ts)), kernels.to_ring(np.stack([s, e])), float(np.hypot(*(e - s))), float(np.hypot(*((s + e) / 2 - points[p])))))
-        return pd.DataFrame(rows, columns=["map_id", "a", "b", "path", "length", "obstacle"])
+        for a, b, s, e, length, obstacle, left, right, ray in kernels.voronoi_edges(points):
+            if rays or b is not None:
+                path, = [kernels.to_ring(np.stack([s, e]))]
+                rows.append((group.map_id.iloc[0], a, b, path, length, obstacle, *((*kernels.to_ring(np.stack([left, right])), ray) if rays else ())))
+        found = pd.DataFrame(rows, columns=["map_id", "a", "b", "path", "length", "obstacle", *more])
+        return found.astype({"b": "Int64", **({"ray": "Int64"} if rays else {})})
 
-    return sites.select("map_id", "x", "y").groupBy("map_id").applyInPandas(run, "map_id string, a long, b long, path array<struct<x:double,y:double>>, length double, obstacle double")
+    point = "struct<x:double,y:double>"
+    schema = f"map_id string, a long, b long, path array<{point}>, length double, obstacle double" + (f", left {point}, right {point}, ray long" if rays else "")
+    return sites.select("map_id", "x", "y").groupBy("map_id").applyInPandas(run, schema)
 
 
 def away_from_obstacles(edges: DataFrame, least: float) -> DataFrame:
@@ -285,24 +285,23 @@ def away_from_obstacles(edges: DataFrame, least: float) -> DataFrame:
 def cut_by_rooms(edges: DataFrame, room_rings: DataFrame) -> DataFrame:
     """Edges (map_id, edge_id, a, b, path) cut where they cross rooms (map_id, room_id, ring).
 
-    Each piece (map_id, edge_id, piece, path, length, room_id) lies in one room or none.
-    Pairs of an edge and a room meet by bounding box over grid cells.
+    Each piece (map_id, edge_id, piece, path, length, room_id) lies in one room or none, and keeps the path's
+    vertices. Pairs of an edge and a room meet in the grid cells that the edge's legs and the room's box touch.
     """
     from floorwise.functions import rings
-    from floorwise.operators.spatial import points_by_rings
+    from floorwise.operators.spatial import paths_by_rings
 
     paths = Written(edges.select("map_id", "edge_id", "path"), "paths").df
-    vertices = paths.select("map_id", "edge_id", F.explode("path").alias("p"))
-    size = room_rings.select(F.avg(F.sqrt(rings.area(F.col("ring"))))).first()[0] or 1.0
-    near = points_by_rings(vertices, room_rings.select("map_id", "room_id", "ring"), size, 4 * size, ["map_id"]).select("map_id", "edge_id", "room_id", "ring").dropDuplicates(["map_id", "edge_id", "room_id"])
-    pairs = near.join(paths, ["map_id", "edge_id"])
-    marks = pairs.withColumn("cuts", kernels.crossings(F.col("path"), F.col("ring"))).groupBy("map_id", "edge_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
-    cut = paths.join(marks, ["map_id", "edge_id"], "left").withColumn("total", rings.length(F.col("path")))
-    stops = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array("total"))
-    spans = cut.withColumn("stops", stops).select("map_id", "edge_id", "path", F.posexplode(F.zip_with(F.slice("stops", F.lit(1), F.size("stops") - 1), F.slice("stops", F.lit(2), F.size("stops")), lambda s, e: F.struct(s.alias("s"), e.alias("e")))).alias("piece", "span"))
-    placed = spans.withColumn("p", rings.point_at(F.col("path"), (F.col("span.s") + F.col("span.e")) / 2)).withColumn("ends", F.array(rings.point_at(F.col("path"), F.col("span.s")), rings.point_at(F.col("path"), F.col("span.e"))))
-    held = placed.select("map_id", "edge_id", "piece", "p").join(near, ["map_id", "edge_id"]).where(rings.contains(F.col("ring"), F.col("p"))).groupBy("map_id", "edge_id", "piece").agg(F.min("room_id").alias("room_id"))
-    return placed.join(held, ["map_id", "edge_id", "piece"], "left").select("map_id", "edge_id", "piece", F.col("ends").alias("path"), (F.col("span.e") - F.col("span.s")).alias("length"), "room_id")
+    near = Written(paths_by_rings(paths, room_rings.select("map_id", "room_id", "ring"), ["map_id"], "edge_id"), "near").df
+    marks = near.withColumn("cuts", kernels.crossings(F.col("path"), F.col("ring"))).groupBy("map_id", "edge_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
+    stops = F.coalesce("cuts", F.array().cast("array<double>"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    split = kernels.split_path(F.col("path"), none, none, F.col("stops"))
+    cut = paths.join(marks, ["map_id", "edge_id"], "left").withColumn("stops", stops).select("map_id", "edge_id", F.posexplode(split).alias("piece", "p"))
+    placed = cut.select("map_id", "edge_id", "piece", "p.path").withColumn("length", rings.length(F.col("path"))).withColumn("p", rings.point_at(F.col("path"), F.col("length") / 2))
+    placed = Written(placed, "pieces").df
+    held = placed.select("map_id", "edge_id", "piece", "p").join(near.select("map_id", "edge_id", "room_id", "ring"), ["map_id", "edge_id"]).where(rings.contains(F.col("ring"), F.col("p"))).groupBy("map_id", "edge_id", "piece").agg(F.min("room_id").alias("room_id"))
+    return placed.join(held, ["map_id", "edge_id", "piece"], "left").select("map_id", "edge_id", "piece", "path", "length", "room_id")
 
 
 def exit_distances(edges: DataFrame, exits: DataFrame) -> DataFrame:
