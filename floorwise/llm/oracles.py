@@ -102,17 +102,17 @@ def quality_rules(quality) -> str:
     space = "'[^\\x20\\x09-\\x0D]"
     count = lambda characters: f"length(t) - length(translate(t, {_text(characters)}, ''))"
     n = len(quality.RULES)
-    votes = ", ".join(f"CASE WHEN {against} THEN -1 WHEN {in_favour} THEN 1 ELSE 0 END AS v{i}" for i, (_, against, in_favour) in enumerate(quality.RULES))
+    votes = ", ".join(f"CASE WHEN NOT ({(*about, 'true')[0]}) THEN NULL WHEN {against} THEN -1 WHEN {in_favour} THEN 1 ELSE 0 END AS v{i}" for i, (_, against, in_favour, *about) in enumerate(quality.RULES))
     names = ", ".join(f"v{i}" for i in range(n))
     sign = {"a": -1, "z": 0, "f": 1}
-    odds = lambda table: f"{table}.lp + " + " + ".join(f"CASE v{i} WHEN -1 THEN {table}.a{i} WHEN 1 THEN {table}.f{i} ELSE {table}.z{i} END" for i in range(n))
+    odds = lambda table: f"{table}.lp + " + " + ".join(f"CASE v{i} WHEN -1 THEN {table}.a{i} WHEN 1 THEN {table}.f{i} WHEN 0 THEN {table}.z{i} ELSE 0 END" for i in range(n))
     first = {"g": quality.PRIOR_DOCUMENTS * quality.PRIOR, "b": quality.PRIOR_DOCUMENTS * (1 - quality.PRIOR)}
     start = {"g": quality.ON_GOOD, "b": quality.ON_BAD}
     steps = []
     for k in range(1, quality.ITERATIONS + 1):
         sums = [f"{first[c]} + sum(n * {p}) AS {c}" for c, p in (("g", "p"), ("b", "(1 - p)"))]
         sums += [f"{first[c] * start[c][v]} + coalesce(sum(n * {p}) FILTER (WHERE v{i} = {v}), 0) AS {c}{w}{i}" for i in range(n) for w, v in sign.items() for c, p in (("g", "p"), ("b", "(1 - p)"))]
-        ratios = ", ".join(f"ln((g{w}{i} / g) / (b{w}{i} / b)) AS {w}{i}" for i in range(n) for w in sign)
+        ratios = ", ".join(f"ln((g{w}{i} / (ga{i} + gz{i} + gf{i})) / (b{w}{i} / (ba{i} + bz{i} + bf{i}))) AS {w}{i}" for i in range(n) for w in sign)
         steps.append(f"o{k} AS MATERIALIZED (SELECT ln(g / b) AS lp, {ratios} FROM (SELECT {', '.join(sums)} FROM (SELECT c.*, 1 / (1 + exp(-({odds('o')}))) AS p FROM c, o{k - 1} o)))")
     begin = ", ".join(f"ln({start['g'][v]} / {start['b'][v]}) AS {w}{i}" for i in range(n) for w, v in sign.items())
     words = "|".join(quality.FUNCTION_WORDS)
@@ -126,7 +126,7 @@ def quality_rules(quality) -> str:
     f AS MATERIALIZED (
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {count(quality.SYMBOLS)} AS n_symbols,
                CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines,
-               {count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")} AS n_upper, {count("!")} AS n_marks, {count(".?")} AS n_stops,
+               {count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")} AS n_upper, {count("!")} AS n_marks, {count(quality.STOPS)} AS n_stops, strlen(t) - length(t) AS n_wide,
                len(list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{Nd}}_]+'), lambda x: regexp_full_match(x, '{words}'))) AS n_function_words
         FROM t JOIN w USING (r) JOIN lines USING (r) LEFT JOIN covered USING (r)),
     v AS MATERIALIZED (SELECT *, {votes} FROM f),

@@ -1,7 +1,8 @@
 """Quality rules by weak supervision, with DataFrame functions alone.
 
-Each rule votes for a document, against it, or abstains. Documents are counted by their
-pattern of votes (at most 3 to the power of the number of rules), expectation-maximisation
+Each rule votes for a document, against it, or abstains; rules about words of languages in Latin letters
+say nothing of texts in other scripts, which then weigh by their other rules alone. Documents are counted by their
+pattern of votes (at most 4 to the power of the number of rules), expectation-maximisation
 over these counts estimates how often each rule votes for, votes against and abstains on good
 and on bad documents, and a document is kept if its posterior probability of being good is at
 least ``threshold``. Where estimation begins weighs as much as ``PRIOR_DOCUMENTS`` documents
@@ -37,9 +38,16 @@ SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = "the of and to in is that der die und das ist nicht le la et les des un une el los que del por para y en con su una al lo".split()
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_stops", "n_function_words")
+#: What ends a sentence (but for exclamation marks, which are counted by themselves) in Latin, Greek and
+#: Cyrillic, Han and kana, Arabic, Devanagari, Armenian, Ethiopic, Burmese, Khmer and Tibetan writing.
+STOPS = ".?;。？؟۔।॥։።၊။។།"
 
-#: Rules: name, the condition of a vote against, the condition of a vote for; else it abstains.
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_stops", "n_function_words", "n_wide")
+
+#: Latin letters have one byte, accented ones two; in other scripts all letters have two or more.
+LATIN = "2 * n_wide < word_chars"
+#: Rules: name, the condition of a vote against, the condition of a vote for; else it abstains. A fourth condition
+#: says which documents the rule is about at all.
 RULES = (
     ("symbols", "10 * n_symbols > n_words", "false"),
     ("symbol_share", "100 * n_symbols > 4 * word_chars", "false"),
@@ -47,8 +55,8 @@ RULES = (
     ("repeated_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines", "false"),
     ("upper_case", "10 * n_upper > 3 * word_chars", "false"),
     ("marks", "10 * n_marks > n_words", "false"),
-    ("function_words", "100 * n_function_words < 3 * n_words", "100 * n_function_words >= 12 * n_words"),
-    ("word_length", "word_chars > 12 * n_words or word_chars < 2 * n_words", "false"),
+    ("function_words", "100 * n_function_words < 3 * n_words", "100 * n_function_words >= 12 * n_words", LATIN),
+    ("word_length", "word_chars > 12 * n_words or word_chars < 2 * n_words", "false", LATIN),
     ("sentences", "200 * n_stops < n_words", "100 * n_stops between 2 * n_words and 25 * n_words"),
     ("length", "n_words < 20", "n_words >= 100"),
 )
@@ -97,22 +105,24 @@ def with_features(df: DataFrame, text: str = "text", keep_text: bool = True) ->
         F.size("_lines").cast("long").alias("n_lines"),
         count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         count("!").alias("n_marks"),
-        count(".?").alias("n_stops"),
+        count(STOPS).alias("n_stops"),
         F.regexp_count(F.lower(t), F.lit(r"\b(?:" + "|".join(FUNCTION_WORDS) + r")\b")).cast("long").alias("n_function_words"),
+        (F.octet_length(t) - F.length(t)).cast("long").alias("n_wide"),
     )
 
 
-def vote(rule: tuple[str, str, str]) -> Column:
-    """-1 against, 1 for, 0 abstains."""
-    return F.when(F.expr(rule[1]), -1).when(F.expr(rule[2]), 1).otherwise(0)
+def vote(rule: tuple[str, ...]) -> Column:
+    """-1 against, 1 for, 0 abstains; null where the rule is not about the document."""
+    said = F.when(F.expr(rule[1]), -1).when(F.expr(rule[2]), 1).otherwise(0)
+    return F.when(F.expr(rule[3]), said) if len(rule) > 3 else said
 
 
 def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words")
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
-    """The prior log-odds and each rule's log-odds by vote, from counts by pattern of votes."""
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rules: int, iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
+    """The prior log-odds and each rule's log-odds by vote, from counts by pattern of votes; a null vote counts nowhere."""
     log_prior = math.log(PRIOR / (1 - PRIOR))
     odds = [{v: math.log(ON_GOOD[v] / ON_BAD[v]) for v in ON_GOOD} for _ in range(rules)]
     first_good, first_bad = PRIOR_DOCUMENTS * PRIOR, PRIOR_DOCUMENTS * (1 - PRIOR)
@@ -121,14 +131,15 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, iterations
         bad = [{v: first_bad * x for v, x in ON_BAD.items()} for _ in range(rules)]
         all_good, all_bad = first_good, first_bad
         for votes, n in patterns:
-            p = 1 / (1 + math.exp(-(log_prior + sum(o[v] for o, v in zip(odds, votes)))))
+            p = 1 / (1 + math.exp(-(log_prior + sum(o[v] for o, v in zip(odds, votes) if v is not None))))
             all_good += n * p
             all_bad += n * (1 - p)
             for g, b, v in zip(good, bad, votes):
-                g[v] += n * p
-                b[v] += n * (1 - p)
+                if v is not None:
+                    g[v] += n * p
+                    b[v] += n * (1 - p)
         log_prior = math.log(all_good / all_bad)
-        odds = [{v: math.log((g[v] / all_good) / (b[v] / all_bad)) for v in g} for g, b in zip(good, bad)]
+        odds = [{v: math.log((g[v] / sum(g.values())) / (b[v] / sum(b.values()))) for v in g} for g, b in zip(good, bad)]
     return log_prior, odds
 
 
@@ -139,12 +150,13 @@ def scored(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, keep
     table = Written(featured, "quality").df  # read twice, so that texts are gone through once
     names = [f"v{i}" for i in range(len(RULES))]
     counts = table.select(*(vote(r).alias(n) for r, n in zip(RULES, names))).groupBy(*names).count()
-    patterns = sorted((tuple(r[n] for n in names), r["count"]) for r in counts.collect())  # at most 3 ** len(RULES) rows
+    found = [(tuple(r[n] for n in names), r["count"]) for r in counts.collect()]  # at most 4 ** len(RULES) rows
+    patterns = sorted(found, key=lambda c: tuple(-2 if v is None else v for v in c[0]))
     log_prior, odds = estimate(patterns, len(RULES))
     total = F.lit(log_prior)
     for rule, o in zip(RULES, odds):
         v = vote(rule)
-        total = total + F.when(v == -1, o[-1]).when(v == 1, o[1]).otherwise(o[0])
+        total = total + F.when(v.isNull(), 0.0).when(v == -1, o[-1]).when(v == 1, o[1]).otherwise(o[0])
     posterior = 1 / (1 + F.exp(-total))
     return table.select(*kept, *FEATURES, base_failed().alias("base_failed"), posterior.alias("posterior")).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 

@@ -157,6 +157,27 @@ def test_quality_agrees_with_labels(spark):
     assert sum(kept[r.doc_id] for r in good) / len(good) > 0.95
 
 
+PROSE = {
+    "hi": "गाँव के बाहर एक पुराना कुआँ था जिसके पास हर शाम लोग बैठकर बातें करते थे। बच्चे खेलते थे और बूढ़े अपने समय की कहानियाँ सुनाते थे। एक दिन वहाँ एक यात्री आया और उसने पानी माँगा। सबने उसे बैठाया और खाना भी दिया। उसने बदले में दूर देशों की बातें सुनाईं और सब लोग देर रात तक सुनते रहे।",
+    "ru": "За деревней стоял старый колодец, возле которого каждый вечер собирались люди. Дети играли, а старики рассказывали о прежних временах. Однажды туда пришёл путник и попросил воды. Его усадили за стол и накормили. В ответ он рассказал о далёких странах, и все слушали его до поздней ночи.",
+    "el": "Έξω από το χωριό υπήρχε ένα παλιό πηγάδι όπου κάθε βράδυ μαζεύονταν οι άνθρωποι. Τα παιδιά έπαιζαν και οι γέροι έλεγαν ιστορίες. Μια μέρα ήρθε ένας ταξιδιώτης και ζήτησε νερό. Τον κάθισαν στο τραπέζι και του έδωσαν φαγητό. Εκείνος τους μίλησε για μακρινές χώρες ως αργά τη νύχτα.",
+    "ar": "خارج القرية كانت هناك بئر قديمة يجتمع حولها الناس كل مساء. كان الأطفال يلعبون والشيوخ يروون حكايات الزمن القديم. وفي يوم من الأيام جاء مسافر وطلب الماء. أجلسوه وأطعموه، فحدثهم عن بلاد بعيدة. هل سمعتم بها؟ بقي الجميع يستمعون إليه حتى ساعة متأخرة من الليل.",
+    "pl": "Za wsią stała stara studnia, przy której co wieczór zbierali się ludzie. Dzieci bawiły się, a starcy opowiadali o dawnych czasach. Pewnego dnia przyszedł tam wędrowiec i poprosił o wodę. Posadzono go przy stole i nakarmiono. W zamian opowiadał o dalekich krajach, a wszyscy słuchali go do późnej nocy.",
+}
+
+
+def test_good_prose_of_any_script_stays(spark, small):
+    """Prose stays beside the corpus, whatever its script, and its junk goes."""
+    junk = {lang: f"{text.split()[0]} ### $$$ ! " * 30 for lang, text in PROSE.items()}
+    texts = [*small.values(), *PROSE.values(), *junk.values()]
+    rows = {r.doc_id: r for r in quality.scored(documents(spark, texts)).collect()}
+    first = len(small)
+    assert {lang: rows[first + i].kept for i, lang in enumerate(PROSE)} == dict.fromkeys(PROSE, True)
+    assert not any(rows[first + len(PROSE) + i].kept for i in range(len(junk)))
+    mixed = quality.scored(documents(spark, [*small.values(), *(f"{t} {i}" for i in range(40) for t in PROSE.values())])).where(F.col("doc_id") >= first)
+    assert mixed.where("kept").count() == 40 * len(PROSE)
+
+
 def test_estimation_finds_accurate_rules():
     draw = random.Random(5)
     votes = Counter()
@@ -169,6 +190,9 @@ def test_estimation_finds_accurate_rules():
         true = {-1: 0.02 / p, 0: 0.98 * 0.3 / ((1 - p) * 0.8), 1: 0.98 * 0.7 / ((1 - p) * 0.2)}
         assert all(abs(o[v] - math.log(x)) < 0.5 for v, x in true.items())
     assert quality.estimate([], 3)[1] == quality.estimate([], 3, 0)[1]
+    # a rule that is not about some documents learns from the others alone
+    apart = [(v, n) for v, n in sorted(votes.items())] + [((v[0], v[1], None), 3 * n) for v, n in sorted(votes.items())]
+    assert quality.estimate([(v, n) for v, n in apart if v[2] is not None], 3)[1][2] == pytest.approx(quality.estimate(apart, 3)[1][2], abs=0.3)
 
 
 # op 4
