@@ -637,6 +637,73 @@ def test_mentions_with_few_digits_are_found(spark):
     assert [r.n_mentions for r in rows] == [1, 1, 0] and "10.0.0.1" not in rows[0].text and secret not in rows[1].text
 
 
+def luhn(digits):
+    return sum(x if i % 2 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(digits)), 1)) % 10
+
+
+def personal(draw):
+    """(kind, text) of made personal data in every form, each by its own rules and not by the operator's."""
+    digits = lambda n: "".join(draw.choices("0123456789", k=n))
+    letters = lambda n: "".join(draw.choices("bcdfghklmnprstvwz", k=n))
+    name = lambda: letters(1).upper() + letters(draw.randint(3, 8))
+    kind = draw.choice(["email", "secret", "ip", "ipv6", "short6", "iban", "abroad", "national", "trunk", "card", "amex", "ssn", "titled", "particle", "double", "initial"])
+    card = lambda n: next(body + c for body in ["4" + digits(n - 2)] for c in "0123456789" if luhn(body + c) == 0)
+    hexes = lambda n: ":".join(f"{draw.randint(1, 65535):x}" for _ in range(n))
+    if kind == "iban":
+        body = f"{draw.choice(['', letters(4).upper()])}{digits(18)}"[:18]
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+        whole = f"DE{check:02d}{body}"
+        return kind, draw.choice([whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))])
+    made = {
+        "email": lambda: f"{letters(draw.randint(1, 90))}.{digits(2)}@{letters(draw.randint(2, 70))}.{letters(3)}.org",
+        "secret": lambda: "".join(draw.choices("0123456789abcdef", k=draw.randint(32, 128))),
+        "ip": lambda: ".".join(str(draw.randint(0, 255)) for _ in range(4)),
+        "ipv6": lambda: hexes(8),
+        "short6": lambda: f"{hexes(draw.randint(1, 4))}::{hexes(draw.randint(1, 3))}",
+        "abroad": lambda: f"+{draw.choice(['44 20 ' + digits(4) + ' ' + digits(4), '33 1 ' + ' '.join(digits(2) for _ in range(4)), '49 171 ' + digits(7), '1 (' + digits(3) + ') ' + digits(3) + '-' + digits(4), '4930' + digits(8)])}",
+        "national": lambda: draw.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"]),
+        "trunk": lambda: draw.choice([f"020 {digits(4)} {digits(4)}", f"0171/{digits(7)}", "01 " + " ".join(digits(2) for _ in range(4)), f"(030) {digits(8)}"]),
+        "card": lambda: card(draw.choice([13, 14, 15, 16, 17, 18, 19])),
+        "amex": lambda: (lambda c: f"{c[:4]} {c[4:10]} {c[10:]}")(card(15)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "titled": lambda: f"{draw.choice(['Mrs.', 'Mr', 'Dr.', 'Prof.', 'Herr', 'Señora'])} {name()} {name()}",
+        "particle": lambda: f"Mr. {draw.choice(['de la', 'van der', 'von', 'bin'])} {name()}",
+        "double": lambda: f"Mrs. {name()} {name()} {name()}-{name()}",
+        "initial": lambda: f"Ms. J. {name()}",
+    }
+    return kind, made[kind]()
+
+
+def test_every_form_is_found(spark):
+    """2,000 texts with one mention each, and 300 without any."""
+    draw = random.Random(9)
+    planted = [personal(draw) for _ in range(2000)]
+    texts = [f"before, {p} ; after" for _, p in planted]
+    clean = [f"On 0{draw.randint(1, 9)}-1{draw.randint(0, 2)}-2003 at 12:30:45 item {draw.randint(1, 99999)} of chapter 3.14 cost 1,250.00 for std::map and 2024-05-06, AB12 CDEF." for _ in range(300)]
+    rows = pii.replaced(documents(spark, texts + clean), "key").orderBy("doc_id").collect()
+    for (kind, p), r, text in zip(planted, rows, texts):
+        assert r.n_mentions == 1, (kind, text, r.text)
+        private = [w for w in re.findall(r"[^\W_]+(?:-[^\W_]+)?", p) if w[0].isupper() and w.split("-")[0] not in ("Mrs", "Mr", "Dr", "Prof", "Herr", "Señora", "Ms", "J")] if kind in ("titled", "particle", "double", "initial") else [p]
+        assert r.text.startswith("before, ") and r.text.endswith(" ; after") and not any(w in r.text for w in private), (kind, text, r.text)
+    assert all(r.n_mentions == 0 and r.text == t for r, t in zip(rows[2000:], clean))
+    by_kind = {}
+    for (kind, p), r in zip(planted, rows):
+        by_kind.setdefault(kind, []).append((p, r.text[8:-8]))
+    assert all(len(a) == len(b) and luhn(re.sub("[^0-9]", "", b)) == 0 for kind in ("card", "amex") for a, b in by_kind[kind])
+    rest = lambda b: int("".join(str(int(c, 36)) for c in b.replace(" ", "")[4:] + b[:4])) % 97
+    assert all(rest(b) == 1 and b[:2] == "DE" and len(a) == len(b) for a, b in by_kind["iban"])
+    assert all(re.sub("[0-9a-f]", "x", a) == re.sub("[0-9a-f]", "x", b) for kind in ("ipv6", "short6", "secret") for a, b in by_kind[kind])
+    assert all(re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for kind in ("national", "trunk", "abroad", "ssn") for a, b in by_kind[kind])
+    assert all(re.fullmatch(r"Mr\. (de la|van der|von|bin) [A-Z][a-z-]+", b) and a.split()[1] == b.split()[1] for a, b in by_kind["particle"])
+
+
+def test_names_keep_together(spark):
+    rows = pii.replaced(documents(spark, ["Dr. John Smith met Mrs. Mary Jane Watson-Parker. Later Mr. Smith wrote, and Smith and Watson-Parker answered Prof. Anna Lee."]), "key").collect()
+    got = re.fullmatch(r"Dr\. (\S+) (\S+) met Mrs\. (\S+) (\S+) (\S+)\. Later Mr\. (\S+) wrote, and (\S+) and (\S+) answered Prof\. (\S+) (\S+)\.", rows[0].text).groups()
+    assert got[1] == got[5] == got[6] and got[4] == got[7] and len(set(got)) == 7 and rows[0].n_mentions == 6
+    assert not {"John", "Smith", "Mary", "Jane", "Watson-Parker", "Anna", "Lee"} & set(got)
+
+
 def test_surrogates_outnumber_the_first_alphabet(spark, monkeypatch):
     few = {script: some[:2] for script, some in pii.SYLLABLES.items()}
     monkeypatch.setattr(pii, "SYLLABLES", few)
