@@ -5,7 +5,8 @@
     python -m floorwise.cli merge --reference FILE --target FILE... --output FOLDER [--min-matches N]
     python -m floorwise.cli concat PATH... --output FOLDER
 
-``validate`` ends with 1 if a map has errors, every command with 2 if there is nothing to read.
+``validate`` ends with 1 if a map has errors, every command with 2 if there is nothing to read, and ``merge``
+with 2 as well if its reference is not one map.
 """
 
 from __future__ import annotations
@@ -67,6 +68,15 @@ def validated(maps: Maps, args: argparse.Namespace) -> int:
     return int(summaries.where(~F.col("passed")).count() > 0)
 
 
+def reference_map(maps: Maps, path: str) -> str:
+    """The one map that was read from ``path``; an error if it is none or several."""
+    resolved = osm_xml.resolved(maps.elements.sparkSession, path)
+    found = [r.map_id for r in maps.documents.where((F.col("map_id") == resolved) | F.col("map_id").startswith(resolved.rstrip("/") + "/")).select("map_id").limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{path} is {'several maps' if found else 'no map'} of those that were read")
+    return found[0]
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
@@ -86,7 +96,11 @@ def main(argv: list[str] | None = None) -> int:
         osm_xml.write(done.maps.elements, args.output)
         return 0
     if args.command == "merge":
-        reference = maps.documents.where(F.col("map_id").endswith(args.reference.rpartition(":")[2].lstrip("."))).agg(F.min("map_id")).first()[0]
+        try:
+            reference = reference_map(maps, args.reference)
+        except ValueError as error:
+            print(error, file=sys.stderr)
+            return 2
         merged = merge.merge_floors(maps, reference, min_matches=args.min_matches)
     else:
         merged = merge.concat_maps(maps)

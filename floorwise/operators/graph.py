@@ -171,29 +171,58 @@ def contracted(edges: DataFrame, vertices: DataFrame, shorter_than: float) -> tu
     return left.select("map_id", "edge_id", F.col("ga").alias("a"), F.col("gb").alias("b"), "length"), groups.withColumnRenamed("group", "node")
 
 
-def distances_from(edges: DataFrame, starts: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def distances_from(edges: DataFrame, starts: DataFrame, most_rounds: int = 10_000, closed: DataFrame | None = None, predecessors: bool = False) -> DataFrame:
     """(map_id, start, node, distance, hops) of shortest paths from ``starts`` (map_id, start).
 
     Bellman-Ford: each round relaxes the edges of the vertices that got nearer in the last
     one, until none does. It is an error if some still do after ``most_rounds``.
+
+    ``starts`` may have (node, distance, hops, via) as well, if a path begins elsewhere than at a node that is
+    named by ``start``. Vertices of ``closed`` (map_id, start, node) are reached and not passed. With
+    ``predecessors`` there is also ``via``, the least of the vertices before the last on a shortest path.
     """
+    node_type = edges.schema["a"].dataType
     both = edges.select("map_id", "a", "b", "length").union(edges.select("map_id", "b", "a", "length")).where("length >= 0")
     both = Written(both.select("map_id", F.col("a").alias("node"), F.col("b").alias("to"), F.col("length").cast("double").alias("length")), "arcs").df
-    known = Written(starts.select("map_id", "start", F.col("start").alias("node"), F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.lit(True).alias("new")), "known")
+    given = lambda c, default: F.col(c) if c in starts.columns else default
+    first = starts.select("map_id", "start", given("node", F.col("start")).alias("node"), given("distance", F.lit(0.0)).alias("distance"), given("hops", F.lit(0)).alias("hops"), given("via", F.lit(None)).cast(node_type).alias("via"), F.lit(True).alias("new"))
+    known = Written(first, "known")
     for _ in range(most_rounds):
         fresh = known.df.where("new")
         if fresh.isEmpty():
             break
-        reached = fresh.join(both, ["map_id", "node"]).select("map_id", "start", F.col("to").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("new"))
+        if closed is not None:
+            fresh = fresh.join(closed.select("map_id", "start", "node"), ["map_id", "start", "node"], "left_anti")
+        reached = fresh.join(both, ["map_id", "node"]).select("map_id", "start", F.col("to").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("via"), F.lit(True).alias("new"))
         all_known = known.df.withColumn("new", F.lit(False)).unionByName(reached)
-        best = all_known.groupBy("map_id", "start", "node").agg(F.min(F.struct("distance", "hops", "new")).alias("b"))  # of equal ways the known one
-        following = Written(best.select("map_id", "start", "node", "b.distance", "b.hops", "b.new"), "known")
+        old = F.min(F.when(~F.col("new"), F.struct("distance", "hops")))
+        best = all_known.groupBy("map_id", "start", "node").agg(F.min(F.struct("distance", "hops", F.col("via").isNotNull().alias("later"), "via")).alias("b"), old.alias("old"))
+        new = F.coalesce(F.struct("b.distance", "b.hops") < F.col("old"), F.lit(True))  # of equal ways none is new
+        following = Written(best.select("map_id", "start", "node", "b.distance", "b.hops", "b.via", new.alias("new")), "known")
         known.discard()
         known = following
     else:
         if not known.df.where("new").isEmpty():
             raise ValueError(f"distances still change after {most_rounds} rounds")
-    return known.df.drop("new")
+    return known.df.drop("new", *([] if predecessors else ["via"]))
+
+
+def shortest_paths(reached: DataFrame) -> DataFrame:
+    """``reached`` of ``distances_from`` with predecessors, and ``path``: the vertices from the first to ``node``.
+
+    Every row's stretch of path is put before that of the row it leads on to, so stretches double in each round.
+    """
+    now = Written(reached.select("map_id", "start", "node", F.col("via").alias("head"), F.array("node").alias("path")), "stretches")
+    while not now.df.where("head is not null").isEmpty():
+        before = now.df.select("map_id", "start", F.col("node").alias("_at"), F.col("head").alias("_head"), F.col("path").alias("_path"))
+        met = now.df.alias("l").join(before.alias("r"), (F.col("l.map_id") == F.col("r.map_id")) & F.col("l.start").eqNullSafe(F.col("r.start")) & (F.col("head") == F.col("_at")), "left")
+        # where nothing is known of the head, as before the first edge of an exit, it begins the path itself
+        ended = F.col("head").isNotNull() & F.col("_at").isNull()
+        path = F.when(ended, F.concat(F.array("head"), "path")).when(F.col("_at").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+        following = Written(met.select("l.map_id", "l.start", "node", F.col("_head").alias("head"), path.alias("path")), "stretches")
+        now.discard()
+        now = following
+    return reached.join(now.df.drop("head"), ["map_id", "start", "node"])
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, through: DataFrame | None = None) -> DataFrame:
@@ -319,12 +348,53 @@ def exit_distances(edges: DataFrame, exits: DataFrame) -> DataFrame:
     return marked.select("map_id", "exit_id", "other", "distance", "hops", "nearest")
 
 
-def passage_edges(bridge: DataFrame, positions: DataFrame) -> DataFrame:
-    """(map_id, room_id, a, b, length): pairs of passages of one room, as far apart as they lie.
+def passage_edges(edges: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(map_id, room_id, a, b, cost, hops, path): the shortest way between two passages of a room along the room's own edges.
 
-    ``positions`` has (map_id, passage_id, x, y). A room has few passages.
+    ``edges`` have ``room_id``, ``bridge`` is (map_id, passage_id, room_id). The search stays in a room, which has few
+    passages; pairs that the room's edges don't join are left out.
+    """
+    inside = edges.where("room_id is not null").select(F.struct("map_id", "room_id").alias("map_id"), "a", "b", "length")
+    doors = bridge.select(F.struct("map_id", "room_id").alias("map_id"), F.col("passage_id").alias("start")).distinct()
+    far = distances_from(inside, doors, predecessors=True)
+    ends = doors.withColumnRenamed("start", "node")
+    found = shortest_paths(far).join(ends, ["map_id", "node"], "left_semi").where("start < node")
+    return found.select("map_id.map_id", "map_id.room_id", F.col("start").alias("a"), F.col("node").alias("b"), F.col("distance").alias("cost"), "hops", "path")
+
+
+def exit_searches(edges: DataFrame, features: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lies beyond every exit, an edge's end at a vertex, on ways that don't come through that vertex again.
+
+    Returns distances (map_id, exit_id, other, distance, hops); exits (map_id, exit_id, node, edge_id, loop,
+    loop_back, next_major, next_major_distance); and loops (map_id, node, first, second, distance, hops): the shortest way
+    out through one exit and back through another. ``loop``: beyond the exit some vertex is reached in two ways.
+    ``loop_back``: one of the ways leads back. The next major vertex is the nearest that has more than one exit and
+    is none of ``features`` (map_id, node). Rays and edges of one vertex are no exits. An exit is named by its edge and node.
     """
-    placed = bridge.join(positions, ["map_id", "passage_id"])
-    of = lambda end: placed.select("map_id", "room_id", F.col("passage_id").alias(end), F.col("x").alias(f"x{end}"), F.col("y").alias(f"y{end}"))
-    pairs = of("a").join(of("b"), ["map_id", "room_id"]).where("a < b")
-    return pairs.select("map_id", "room_id", "a", "b", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("length"))
+    plain = edges.where("length >= 0 and a <> b").select("map_id", "edge_id", "a", "b", F.col("length").cast("double").alias("length"))
+    plain = Written(plain, "edges").df
+    end = lambda s, t: F.struct(F.concat_ws("@", F.col("edge_id").cast("string"), F.col(s).cast("string")).alias("exit_id"), F.col(s).alias("node"), F.col(t).alias("other"))
+    exits = Written(plain.select("map_id", "edge_id", "length", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("map_id", "edge_id", "length", "e.*"), "exits").df
+    starts = exits.select("map_id", F.col("exit_id").alias("start"), F.col("other").alias("node"), F.col("length").alias("distance"), F.lit(1).alias("hops"))
+    home = exits.select("map_id", F.col("exit_id").alias("start"), "node")
+    far = Written(distances_from(plain, starts, closed=home), "beyond").df
+    reached = far.join(home, ["map_id", "start", "node"], "left_anti")  # the vertex itself is only come back to
+    # edges beyond an exit: both ends are reached there, and it isn't a tree if they are as many as its vertices
+    ends = plain.select("map_id", "edge_id", F.explode(F.array("a", "b")).alias("node"))
+    inner = reached.join(ends, ["map_id", "node"]).groupBy("map_id", "start", "edge_id").agg(F.count("*").alias("n")).where("n = 2").groupBy("map_id", "start").agg(F.count("*").alias("edges"))
+    sizes = reached.groupBy("map_id", "start").agg(F.count("*").alias("vertices"))
+    # ways back: an edge from a vertex that was reached to the exit's own vertex, by another exit
+    back = exits.select("map_id", F.col("exit_id").alias("second"), F.col("other").alias("node"), F.col("node").alias("home"), F.col("length").alias("last"))
+    ways = reached.join(exits.select("map_id", F.col("exit_id").alias("start"), F.col("node").alias("home")), ["map_id", "start"]).join(back, ["map_id", "node", "home"]).where("second <> start")
+    ways = Written(ways.select("map_id", "home", "start", "second", (F.col("distance") + F.col("last")).alias("distance"), (F.col("hops") + 1).alias("hops")), "loops").df
+    loops = ways.where("start < second").select("map_id", F.col("home").alias("node"), F.col("start").alias("first"), "second", "distance", "hops")
+    degree = exits.groupBy("map_id", "node").agg(F.count("*").alias("n")).where("n > 1")
+    major = degree if features is None else degree.join(features.select("map_id", "node"), ["map_id", "node"], "left_anti")
+    nearest = reached.join(major, ["map_id", "node"]).groupBy("map_id", "start").agg(F.min(F.struct("distance", "node")).alias("m"))
+    returns = ways.select("map_id", "start").distinct().withColumn("back", F.lit(True))
+    of = exits.select("map_id", "exit_id", "node", "edge_id", F.col("exit_id").alias("start"))
+    whole = of.join(sizes, ["map_id", "start"], "left").join(inner, ["map_id", "start"], "left").join(returns, ["map_id", "start"], "left").join(nearest, ["map_id", "start"], "left")
+    loop_back = F.coalesce("back", F.lit(False))
+    loop = loop_back | (F.coalesce("edges", F.lit(0)) >= F.coalesce("vertices", F.lit(1)))
+    found = whole.select("map_id", "exit_id", "node", "edge_id", loop.alias("loop"), loop_back.alias("loop_back"), F.col("m.node").alias("next_major"), F.col("m.distance").alias("next_major_distance"))
+    return reached.select("map_id", F.col("start").alias("exit_id"), F.col("node").alias("other"), "distance", "hops"), found, loops

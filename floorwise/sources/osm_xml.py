@@ -43,6 +43,12 @@ def discover(spark: SparkSession, paths: str | list[str], pattern: str = "*.osm"
     return files.dropDuplicates(["map_id"]) if len(several) > 1 and any(c in p for p in several for c in "*?[{") else files
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """A path as maps are named by it: absolute, with its store's scheme."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def _rows(map_id: str, content: bytes) -> Iterator[dict]:
     try:
         root = ET.fromstring(content)

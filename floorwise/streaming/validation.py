@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from floorwise.operators import validate
 from floorwise.sources.osm_xml import Maps, parse
+from floorwise.sources.scratch import Written, tidy
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -20,10 +21,12 @@ def arriving(spark: SparkSession, path: str, pattern: str = "*.osm", files_per_b
 
 def validate_arriving(spark: SparkSession, path: str, findings_path: str, checkpoint: str, dialect: str = "semantic", **trigger) -> StreamingQuery:
     """Append each micro-batch's findings as Parquet. A batch that runs again replaces its own
-    folder, so findings are written once."""
+    folder, so findings are written once. Its files are parsed once: the elements land in the shared folder
+    until the findings are written."""
 
     def batch(files: DataFrame, number: int) -> None:
-        maps = Maps(parse(files))
-        validate.findings(maps, dialect).write.mode("overwrite").parquet(f"{findings_path}/batch={number}")
+        with tidy():
+            maps = Maps(Written(parse(files), "arrived").df)
+            validate.findings(maps, dialect).write.mode("overwrite").parquet(f"{findings_path}/batch={number}")
 
     return arriving(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -25,3 +25,20 @@ def test_merging_by_command(spark, tmp_path):
     assert cli.main(["concat", str(tmp_path / "f0.osm"), str(tmp_path / "f1.osm"), "--output", str(tmp_path / "all")]) == 0
     merged, both = (Maps.read(spark, str(tmp_path / f), "*.txt") for f in ("out", "all"))
     assert merged.nodes.count() == 7 + 6 + 4 and both.nodes.count() == 14
+
+
+def test_the_reference_is_the_named_map(spark, tmp_path, capsys):
+    """A name that ends like another one's, a relative path, a folder of several maps."""
+    import os
+
+    made = floors(2)
+    (tmp_path / "f1.osm").write_bytes(made["f1"])
+    (tmp_path / "bf1.osm").write_bytes(made["f0"])
+    maps = Maps.read(spark, str(tmp_path))
+    assert cli.reference_map(maps, str(tmp_path / "f1.osm")).endswith("/f1.osm")
+    assert cli.reference_map(maps, str(tmp_path / "bf1.osm")).endswith("/bf1.osm")
+    assert cli.reference_map(maps, os.path.relpath(tmp_path / "f1.osm")).endswith("/f1.osm")
+    assert cli.reference_map(maps, f"file:{tmp_path}/f1.osm").endswith("/f1.osm")
+    command = ["merge", "--target", str(tmp_path / "bf1.osm"), "--output", str(tmp_path / "out"), "--reference"]
+    assert cli.main([*command, str(tmp_path)]) == 2 and "several maps" in capsys.readouterr().err
+    assert cli.main([*command, str(tmp_path / "f1.osm")]) == 0

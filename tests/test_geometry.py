@@ -238,8 +238,8 @@ def test_exits_and_passages(spark):
     got = {(r.exit_id, r.other): (r.distance, r.hops, r.nearest) for r in graph.exit_distances(e, exits).collect()}
     assert got == {(1, 2): (3.0, 2, True), (1, 3): (7.0, 3, False), (2, 1): (3.0, 2, True), (2, 3): (4.0, 1, False), (3, 1): (7.0, 3, False), (3, 2): (4.0, 1, True)}
     bridge = spark.createDataFrame([("m", "p", 1), ("m", "q", 1), ("m", "q", 2)], "map_id string, passage_id string, room_id int")
-    places = spark.createDataFrame([("m", "p", 0.0, 0.0), ("m", "q", 3.0, 4.0)], "map_id string, passage_id string, x double, y double")
-    assert [(r.room_id, r.a, r.b, r.length) for r in graph.passage_edges(bridge, places).collect()] == [(1, "p", "q", 5.0)]
+    ways = spark.createDataFrame([("m", 1, "p", "x", 2.0, 1), ("m", 2, "x", "q", 2.5, 1), ("m", 3, "p", "q", 9.0, 1), ("m", 4, "p", "q", 0.5, 2), ("m", 5, "q", "p", 0.1, None)], "map_id string, edge_id int, a string, b string, length double, room_id int")
+    assert [tuple(r) for r in graph.passage_edges(ways, bridge).collect()] == [("m", 1, "p", "q", 4.5, 2, ["p", "x", "q"])]
     values = spark.createDataFrame([(float(x * 37 % 101),) for x in range(100)] + [(None,)], "v double")
     want = np.percentile([x * 37 % 101 for x in range(100)], [0, 0.5, 50, 99.5, 100])
     assert statistics.quantiles(values, "v", [0, 0.005, 0.5, 0.995, 1]) == pytest.approx(list(want)) and statistics.quantiles(values.limit(0), "v", [0.5]) == []
@@ -277,3 +277,62 @@ def test_distances_do_not_stop_silently(spark):
     assert graph.distances_from(e, start, most_rounds=5).count() == 5
     with pytest.raises(ValueError):
         graph.distances_from(e, start, most_rounds=2)
+
+
+def random_graph(seed, nodes=14, edges=20):
+    draw = np.random.default_rng(seed)
+    pairs = {tuple(sorted(draw.choice(nodes, 2, replace=False).tolist())) for _ in range(edges)}
+    return [(f"m{seed}", i, f"n{a:02d}", f"n{b:02d}", float(draw.integers(1, 40)) / 4) for i, (a, b) in enumerate(sorted(pairs))]
+
+
+def all_ways(rows, start, home=None):
+    """{node: (distance, hops)} by relaxing until nothing changes; ``home`` is reached and not passed."""
+    best, moved = dict(start), True
+    while moved:
+        moved = False
+        for _, _, a, b, length in rows:
+            for u, v in ((a, b), (b, a)):
+                if u in best and u != home and (best[u][0] + length, best[u][1] + 1) < best.get(v, (math.inf, 0)):
+                    best[v], moved = (best[u][0] + length, best[u][1] + 1), True
+    return best
+
+
+def test_paths_between_all_vertices(spark):
+    rows = random_graph(1) + random_graph(2, 20, 26)
+    df = spark.createDataFrame(rows, "map_id string, edge_id int, a string, b string, length double")
+    starts = df.select("map_id", F.col("a").alias("start")).distinct()
+    found = graph.shortest_paths(graph.distances_from(df, starts, predecessors=True)).collect()
+    lengths = {(m, *e): x for m, _, a, b, x in rows for e in ((a, b), (b, a))}
+    for r in found:
+        best = all_ways([e for e in rows if e[0] == r.map_id], {r.start: (0.0, 0)})
+        assert (r.distance, r.hops) == best[r.node] and r.path[0] == r.start and r.path[-1] == r.node and len(r.path) == r.hops + 1
+        assert sum(lengths[r.map_id, a, b] for a, b in zip(r.path, r.path[1:])) == r.distance
+    assert len(found) == sum(len(all_ways([e for e in rows if e[0] == m], {s: (0.0, 0)})) for m, s in {(e[0], e[2]) for e in rows})
+
+
+def test_searches_from_exits(spark):
+    rows = random_graph(3, 12, 12) + random_graph(4, 16, 20)
+    df = spark.createDataFrame(rows, "map_id string, edge_id int, a string, b string, length double")
+    features = spark.createDataFrame([("m4", "n03"), ("m4", "n05")], "map_id string, node string")
+    far, exits, loops = graph.exit_searches(df, features)
+    distances = {(r.map_id, r.exit_id, r.other): (r.distance, r.hops) for r in far.collect()}
+    loops = {(r.map_id, r.node, r.first, r.second): (r.distance, r.hops) for r in loops.collect()}
+    expected, back = {}, {}
+    for r in exits.collect():
+        mine = [e for e in rows if e[0] == r.map_id]
+        _, _, a, b, length = next(e for e in mine if e[1] == r.edge_id)
+        other = b if r.node == a else a
+        best = all_ways(mine, {other: (length, 1)}, home=r.node)
+        best.pop(r.node, None)
+        expected |= {(r.map_id, r.exit_id, n): d for n, d in best.items()}
+        beyond = [e for e in mine if e[2] in best and e[3] in best]
+        leads_back = [(e, n) for e in mine if e[1] != r.edge_id and r.node in e[2:4] for n in e[2:4] if n != r.node and n in best]
+        assert r.loop_back == bool(leads_back) and r.loop == (bool(leads_back) or len(beyond) >= len(best))
+        for e, n in leads_back:
+            second = f"{e[1]}@{r.node}"
+            if r.exit_id < second:
+                back[r.map_id, r.node, r.exit_id, second] = (best[n][0] + e[4], best[n][1] + 1)
+        degree = lambda n: sum(n in e[2:4] for e in mine)
+        major = min(((d[0], n) for n, d in best.items() if degree(n) > 1 and (r.map_id, n) not in (("m4", "n03"), ("m4", "n05"))), default=(None, None))
+        assert (r.next_major_distance, r.next_major) == major
+    assert distances == expected and loops == back and back
