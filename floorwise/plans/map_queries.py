@@ -70,7 +70,7 @@ def _columns(dialect: str) -> dict[str, str]:
 
 def made_maps(spark: SparkSession, d: str, dialect: str = "semantic") -> Maps:
     """The maps, landed as parsed ones are."""
-    documents = table(spark, d, "nation").where("n_nationkey < 20").select(*(F.expr(e).alias(n) for n, e in DOCUMENT.items()))
+    documents = table(spark, d, "nation").select(*(F.expr(e).alias(n) for n, e in DOCUMENT.items()))
     nodes = table(spark, d, "customer").selectExpr("c_custkey AS k").select(*(F.expr(e).alias(n) for n, e in NODE.items()), F.create_map().cast("map<string,string>").alias("tags"))
     ways = table(spark, d, "orders").selectExpr("o_orderkey AS k").select("k", *(F.expr(e).alias(n) for n, e in _columns(dialect).items()))
     refs = F.transform(F.slice(F.array(*map(F.lit, range(6))), F.lit(1), F.col("n")), lambda i: F.concat(F.lit("-"), (F.col("k") % 1000 + 20 * i).cast("string")))
@@ -84,7 +84,7 @@ def maps_sql(dialect: str = "semantic") -> str:
     listed = lambda columns: ", ".join(f'{e} AS "{n}"' for n, e in columns.items())
     blank = ", ".join(f"coalesce(\"{t}\", '') AS {c}" for t, c in {"osmAG:type": "kind", "osmAG:areaType": "type", "level": "lvl", "name": "nm", "osmAG:parent": "parent", "osmAG:from": "f", "osmAG:to": "t"}.items())
     usable = "id IS NOT NULL" if dialect == "semantic" else "TRY_CAST(id AS BIGINT) IS NOT NULL"
-    return f"""WITH docs AS (SELECT {listed(DOCUMENT)} FROM nation WHERE n_nationkey < 20),
+    return f"""WITH docs AS (SELECT {listed(DOCUMENT)} FROM nation),
     nodes_raw AS (SELECT {listed(NODE)} FROM (SELECT c_custkey AS k FROM customer)),
     ways_cols AS (SELECT k, {listed(_columns(dialect))} FROM (SELECT o_orderkey AS k FROM orders)),
     ways_raw AS (SELECT * EXCLUDE (k, n, closed), CASE WHEN closed THEN list_concat(refs, refs[1:1]) ELSE refs END AS nds

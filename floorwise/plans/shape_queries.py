@@ -1,6 +1,6 @@
 """Graph, ring, layer, name, sweep and projection operators on the driver's tables, with the same in SQL.
 
-Graphs have parts and suppliers as vertices and what is supplied as edges, rings are users'
+Graphs have orders and parts as vertices and what is ordered as edges, rings are users'
 events, layers and names are put together from keys.
 """
 
@@ -16,16 +16,16 @@ from floorwise.sources.scratch import Written
 
 # graphs
 
-_EDGES = """WITH edges AS (SELECT 'g' || (l_suppkey % 5) AS map_id, CAST(l_partkey * 100000 + l_suppkey AS BIGINT) AS edge_id, 'p' || l_partkey AS a, 's' || l_suppkey AS b,
-        CAST(min(l_quantity) AS DOUBLE) AS length, min(l_discount) AS obstacle, CASE WHEN l_partkey % 7 > 1 THEN l_partkey % 7 END AS room_id
-        FROM lineitem WHERE l_partkey % 3 > 0 OR l_suppkey % 4 = 0 GROUP BY l_partkey, l_suppkey),
+_EDGES = """WITH edges AS (SELECT 'g' || (l_partkey % 5) AS map_id, CAST(l_orderkey * 1000000 + l_partkey AS BIGINT) AS edge_id, 'p' || l_orderkey AS a, 's' || l_partkey AS b,
+        CAST(min(l_quantity) AS DOUBLE) AS length, min(l_discount) AS obstacle, CASE WHEN l_orderkey % 7 > 1 THEN l_orderkey % 7 END AS room_id
+        FROM lineitem GROUP BY l_orderkey, l_partkey),
     ends AS (SELECT map_id, edge_id, a AS node, b AS other, length, obstacle, room_id FROM edges UNION ALL SELECT map_id, edge_id, b, a, length, obstacle, room_id FROM edges)"""
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_partkey % 3 > 0 or l_suppkey % 4 = 0").groupBy("l_partkey", "l_suppkey").agg(F.min("l_quantity").cast("double").alias("length"), F.min("l_discount").alias("obstacle"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_quantity").cast("double").alias("length"), F.min("l_discount").alias("obstacle"))
     return Written(
-        lines.selectExpr("'g' || (l_suppkey % 5) AS map_id", "CAST(l_partkey * 100000 + l_suppkey AS BIGINT) AS edge_id", "'p' || l_partkey AS a", "'s' || l_suppkey AS b", "length", "obstacle", "CASE WHEN l_partkey % 7 > 1 THEN l_partkey % 7 END AS room_id"),
+        lines.selectExpr("'g' || (l_partkey % 5) AS map_id", "CAST(l_orderkey * 1000000 + l_partkey AS BIGINT) AS edge_id", "'p' || l_orderkey AS a", "'s' || l_partkey AS b", "length", "obstacle", "CASE WHEN l_orderkey % 7 > 1 THEN l_orderkey % 7 END AS room_id"),
         "edges",
     ).df
 

@@ -386,13 +386,13 @@ def id_remap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "set_compare",
-    """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey = 1), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey = 2)
+    """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 2 = 1), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 2 = 0)
        SELECT 'both' AS side, k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'first', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'second', k FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""",
 )
 def set_compare(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_suppkey in (1, 2)").select(F.col("l_partkey").alias("k"), "l_suppkey").distinct()
-    sides = lines.groupBy("k").agg(F.sum("l_suppkey").alias("s"))  # 1, 2 or both: one shuffle for all three sets
-    return sides.select(F.when(F.col("s") == 3, "both").when(F.col("s") == 1, "first").otherwise("second").alias("side"), "k")
+    odd = F.col("l_suppkey") % 2 == 1
+    sides = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.bool_or(odd).alias("a"), F.bool_or(~odd).alias("b"))  # one shuffle for all three sets
+    return sides.select(F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "first").otherwise("second").alias("side"), "k")
 
 
 @query(
