@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from floorwise.operators.spatial import nearest
+from floorwise.sources.scratch import Written
+
 SCHEMA = "file string, width int, height int, pixels binary"
 
 
@@ -323,23 +326,61 @@ def sites(images: DataFrame, jitter: float = 0.0, below: int = 1) -> DataFrame:
     return placed.withColumn("d", F.explode(around)).select("file", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
 
 
-def without_outliers(points: DataFrame, neighbours: int = 18, percent: float = 1.5, cell: float = 8.0) -> DataFrame:
-    """Points (file, x, y) without the ``percent`` whose nearest neighbours lie farthest away.
+def without_outliers(points: DataFrame, neighbours: int = 18, percent: float = 1.5) -> DataFrame:
+    """Points (file, x, y) without the ``percent`` whose nearest neighbours lie farthest away on average."""
+    scored = Written(nearest(points.distinct().withColumn("id", F.struct("x", "y")), neighbours, ["file"]), "scored").df
+    cut = scored.groupBy("file").agg(F.percentile("mean", 1 - percent / 100).alias("cut"))
+    return scored.join(cut, "file").where(F.col("mean").isNull() | (F.col("mean") <= F.col("cut"))).select("file", "id.x", "id.y")
+
+
+def denoised(points: DataFrame, neighbours: int = 18, percent: float = 1.5) -> DataFrame:
+    """Outliers removed, and once more one percent of what is left if at least one percent went before."""
+    once = without_outliers(points, neighbours, percent)
+    return without_outliers(once, neighbours, 1.0) if percent >= 1 else once
 
-    Neighbours are looked for in the nine grid cells around a point; a point with fewer
-    counts the cell's size for each that is missing.
+
+def hough_lines(points: DataFrame, threshold: int = 30, apart: tuple[int, int] = (5, 5)) -> DataFrame:
+    """(file, theta, rho, votes) of lines x cos(theta) + y sin(theta) = rho that enough points (file, x, y) lie on.
+
+    Every point votes for one distance at each whole degree. Of lines within ``apart`` degrees and pixels of each
+    other the one with most votes stays, of equal ones the first; beyond 179 degrees distances change their sign.
     """
-    numbered = points.distinct().withColumn("id", F.struct("x", "y"))
-    c = lambda v: F.floor(F.col(v) / cell)
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    b = numbered.select("file", F.col("x").alias("bx"), F.col("y").alias("by_"), F.explode(around).alias("d"), c("x").alias("x0"), c("y").alias("y0")).select("file", "bx", "by_", (F.col("x0") + F.col("d.i")).alias("cx"), (F.col("y0") + F.col("d.j")).alias("cy"))
-    a = numbered.select("file", "x", "y", c("x").alias("cx"), c("y").alias("cy"))
-    away = a.join(b, ["file", "cx", "cy"]).withColumn("away", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_")))
-    nearest = away.groupBy("file", "x", "y").agg(F.slice(F.array_sort(F.collect_list("away")), 2, neighbours).alias("d"))  # the points of nine cells
-    mean = (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) + cell * (neighbours - F.size("d"))) / neighbours
-    scored = nearest.withColumn("mean", mean)
-    cut = scored.groupBy("file").agg(F.percentile("mean", 1 - percent / 100).alias("cut"))
-    return scored.join(cut, "file").where(F.col("mean") <= F.col("cut")).select("file", "x", "y")
+    votes = _votes(points).groupBy("file", "theta", "rho").agg(F.count("*").alias("votes")).where(F.col("votes") >= threshold)
+    votes = Written(votes, "votes").df
+    step = lambda n: F.sequence(F.lit(-n), F.lit(n))
+    around = votes.withColumn("_i", F.explode(step(apart[0]))).withColumn("_j", F.explode(step(apart[1])))
+    t = F.col("theta") + F.col("_i")
+    turned = (t < 0) | (t > 179)
+    rivals = around.select("file", F.pmod(t, F.lit(180)).alias("theta"), (F.when(turned, -F.col("rho")).otherwise(F.col("rho")) + F.col("_j")).alias("rho"), F.struct((-F.col("votes")).alias("v"), F.col("theta").alias("t"), F.col("rho").alias("r")).alias("_rival"))
+    best = rivals.groupBy("file", "theta", "rho").agg(F.min("_rival").alias("_best"))
+    return votes.join(best, ["file", "theta", "rho"]).where((F.col("_best.t") == F.col("theta")) & (F.col("_best.r") == F.col("rho"))).drop("_best")
+
+
+def _votes(points: DataFrame) -> DataFrame:
+    """Points with ``theta`` from 0 to 179 and the whole number ``rho`` nearest to their distance, halves upward."""
+    turned = points.select("file", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(179))).alias("theta"))
+    angle = F.radians(F.col("theta").cast("double"))
+    distance = F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle)
+    return turned.withColumn("rho", F.floor(distance + 0.5 + 1e-9).cast("int"))
+
+
+def hough_segments(points: DataFrame, threshold: int = 30, least_length: float = 20.0, most_gap: float = 10.0, apart: tuple[int, int] = (5, 5)) -> DataFrame:
+    """(file, theta, rho, x0, y0, x1, y1, points) of stretches of ``hough_lines`` whose points (file, x, y) follow each other closely.
+
+    A line takes the points whose distance differs from its own by one pixel at most. Along the line a gap of
+    more than ``most_gap`` divides; stretches under ``least_length`` are left out.
+    """
+    points = Written(points.select("file", "x", "y").distinct(), "points").df
+    lines = hough_lines(points, threshold, apart)
+    wide = lines.select("file", "theta", F.col("rho").alias("line"), F.explode(F.array(*(F.col("rho") + i for i in (-1, 0, 1)))).alias("rho"))
+    angle = F.radians(F.col("theta").cast("double"))
+    on = _votes(points).join(wide, ["file", "theta", "rho"]).withColumn("along", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
+    order = Window.partitionBy("file", "theta", "line").orderBy("along", "x", "y")  # as many as the line has pixels
+    opens = on.withColumn("opens", F.coalesce((F.col("along") - F.lag("along").over(order) > most_gap).cast("int"), F.lit(0)))
+    parts = opens.withColumn("part", F.sum("opens").over(order)).groupBy("file", "theta", "line", "part")
+    spot = F.struct("along", "x", "y")
+    found = parts.agg(F.min(spot).alias("s"), F.max(spot).alias("e"), F.count("*").alias("points")).where(F.col("e.along") - F.col("s.along") >= least_length)
+    return found.select("file", "theta", F.col("line").alias("rho"), F.col("s.x").alias("x0"), F.col("s.y").alias("y0"), F.col("e.x").alias("x1"), F.col("e.y").alias("y1"), "points")
 
 
 def pixel_shares(images: DataFrame) -> DataFrame:

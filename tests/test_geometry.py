@@ -336,3 +336,44 @@ def test_searches_from_exits(spark):
         major = min(((d[0], n) for n, d in best.items() if degree(n) > 1 and (r.map_id, n) not in (("m4", "n03"), ("m4", "n05"))), default=(None, None))
         assert (r.next_major_distance, r.next_major) == major
     assert distances == expected and loops == back and back
+
+
+def test_nearest_neighbours_are_exact(spark):
+    """Clusters of very different density, a far point, copies, a group of one, and groups smaller than k."""
+    from floorwise.operators import spatial
+
+    draw = np.random.default_rng(4)
+    rows = [("a", i, *map(float, draw.normal(0, 1, 2))) for i in range(80)] + [("a", 100 + i, *map(float, 500 + draw.normal(0, 60, 2))) for i in range(30)] + [("a", 900, 1e6, -1e6)]
+    rows += [("b", i, float(i % 3), 0.0) for i in range(9)] + [("c", 1, 5.0, 5.0)] + [("d", i, float(i), 2.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "map_id string, id int, x double, y double")
+    got = {(r.map_id, r.id): (r.found, r["mean"], r.kth) for r in spatial.nearest(df, 5, ["map_id"]).collect()}
+    assert len(got) == len(rows)
+    for m, i, x, y in rows:
+        away = sorted(math.dist((x, y), q[2:]) for q in rows if q[0] == m and q[1] != i)[:5]
+        found, mean, kth = got[m, i]
+        assert found == len(away) and (mean, kth) == (pytest.approx(np.mean(away)), pytest.approx(away[-1])) if away else (found, mean, kth) == (0, None, None)
+    alone = {r.id: r["mean"] for r in spatial.nearest(df.where("map_id = 'd'").drop("map_id"), 2, []).collect()}
+    assert alone == {0: 1.5, 1: 1.0, 2: 1.5}
+
+
+def test_slanted_lines(spark):
+    """Lines of several slopes are found within a pixel and a degree; a gap divides one."""
+    rows, lines = [], {}
+    for n, (degrees, length) in enumerate([(0, 60), (90, 50), (33, 70), (120, 64), (171, 80)]):
+        a = math.radians(degrees)
+        ends = ((100, 100), (100 + length * math.cos(a), 100 + length * math.sin(a)))
+        lines[f"i{n}"] = (degrees, ends)
+        rows += [(f"i{n}", float(round(100 + k / 4 * math.cos(a))), float(round(100 + k / 4 * math.sin(a)))) for k in range(4 * length + 1)]
+    rows += [("gap", float(x), 7.0) for x in [*range(40), *range(60, 110)]] + [("noise", float(37 * i % 101), float(53 * i % 89)) for i in range(60)]
+    df = spark.createDataFrame(rows, "file string, x double, y double")
+    found = raster.hough_segments(df).collect()
+    for file, (degrees, (p, q)) in lines.items():
+        s, = (r for r in found if r.file == file)
+        a, b = (s.x0, s.y0), (s.x1, s.y1)
+        away = min(max(math.dist(a, p), math.dist(b, q)), max(math.dist(a, q), math.dist(b, p)))
+        assert away <= 1.5 and abs((s.theta - 90 - degrees + 90) % 180 - 90) <= 1, (file, s)
+        normal = math.radians(s.theta)
+        assert all(abs(x * math.cos(normal) + y * math.sin(normal) - s.rho) <= 1.5 for x, y in (p, q))
+    assert sorted((r.x0, r.x1) if r.x0 < r.x1 else (r.x1, r.x0) for r in found if r.file == "gap") == [(0.0, 39.0), (60.0, 109.0)]
+    assert not [r for r in found if r.file == "noise"]
+    assert raster.hough_segments(df.limit(0)).count() == 0
