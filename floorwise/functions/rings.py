@@ -124,6 +124,13 @@ def same_point(p: Column, q: Column, epsilon: float = EPSILON) -> Column:
     return (F.abs(p["x"] - q["x"]) < epsilon) & (F.abs(p["y"] - q["y"]) < epsilon)
 
 
+def merged_points(a: Column, b: Column, epsilon: float = EPSILON) -> Column:
+    """The points of two rings by x and y, of which one goes that equals the last one kept."""
+    ordered = F.array_sort(F.concat(a, b))
+    kept = lambda acc, p: F.when((F.size(acc) > 0) & same_point(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(p)), -1), p, epsilon), acc).otherwise(F.concat(acc, F.array(p)))
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), kept)
+
+
 def turn_degrees(p: Column, q: Column, r: Column) -> Column:
     """The angle at ``q`` between ``p`` and ``r``, 0 to 180."""
     ux, uy, vx, vy = p["x"] - q["x"], p["y"] - q["y"], r["x"] - q["x"], r["y"] - q["y"]

@@ -112,7 +112,7 @@ def mapping_json(matched: DataFrame, texts: DataFrame) -> DataFrame:
     """(map_id, json): matches by room, unmatched texts and statistics."""
     rows = matched.groupBy("map_id", "room_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "pixel_point", "match_type", "score", "center_distance"))).alias("m"))
     by_map = rows.groupBy("map_id").agg(F.map_from_entries(F.collect_list(F.struct("room_id", "m"))).alias("matches"))
-    rest = unmatched(texts, matched).groupBy("map_id").agg(F.collect_list(F.struct("text", F.col("p").alias("pixel_point"), "reason")).alias("unmatched"))
+    rest = unmatched(texts, matched).groupBy("map_id").agg(F.collect_list(F.struct("text", F.col("p").alias("pixel_point"), "reason")).alias("unmatched_texts"))
     stats = match_statistics(texts, matched)
     joined = stats.join(by_map, "map_id", "left").join(rest, "map_id", "left")
-    return joined.select("map_id", F.to_json(F.struct("matches", "unmatched", F.struct(*(c for c in stats.columns if c != "map_id")).alias("match_statistics"))).alias("json"))
+    return joined.select("map_id", F.to_json(F.struct("matches", F.col("unmatched_texts").alias("unmatched"), F.struct(*(c for c in stats.columns if c != "map_id")).alias("match_statistics"))).alias("json"))

@@ -265,7 +265,10 @@ _FIXES = rf"""{maps_sql()},
 
 @query("map_fixes", f"{_FIXES} SELECT *, count(*) AS n FROM fixes GROUP BY ALL")
 def map_fixes(spark: SparkSession, d: str) -> DataFrame:
-    fixes = repair.repair(made_maps(spark, d), moderate=True).fixes
+    return _counted_fixes(repair.repair(made_maps(spark, d), moderate=True).fixes)
+
+
+def _counted_fixes(fixes: DataFrame) -> DataFrame:
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\[|\]$", ""), ", ", ",").alias(c)  # noqa: E731  rings as lists
     return fixes.select("map_id", "level", "category", "description", "element_id", plain("old_value"), plain("new_value")).groupBy("map_id", "level", "category", "description", "element_id", "old_value", "new_value").agg(F.count("*").alias("n"))
 
@@ -278,6 +281,26 @@ def map_fix_counts(spark: SparkSession, d: str) -> DataFrame:
     return repair.fix_counts(repair.repair(made_maps(spark, d), moderate=True).fixes)
 
 
+_ROOT_AND_NODES = _FIXES[_FIXES.index("SELECT map_id, 'SAFE' AS level, 'ROOT'") : _FIXES.index("UNION ALL SELECT map_id, 'SAFE', 'WAY'")]
+_FIXES_BY_ID = rf"""{maps_sql("fix_id")},
+    typed AS (SELECT * EXCLUDE (visible), visible AS vis, coalesce("osmAG:type", '') AS k0, coalesce("osmAG:areaType", '') AS t0, coalesce("level", '') AS l0, lower(coalesce("name", '')) AS n0 FROM ways_raw),
+    one AS (SELECT *, CASE WHEN k0 <> 'area' OR t0 <> '' THEN t0 WHEN regexp_matches(n0, 'corridor|hallway') THEN 'corridor' WHEN regexp_matches(n0, 'room|office|lab') THEN 'room' WHEN regexp_matches(n0, 'elevator|lift') THEN 'elevator'
+        WHEN regexp_matches(n0, 'stair|step') THEN '{validate.AREA_TYPES["fix_id"][-1]}' WHEN regexp_matches(n0, 'structure|building') THEN 'structure' ELSE 'room' END AS t1 FROM typed),
+    four AS (SELECT *, CASE WHEN k0 = 'area' AND t1 = 'hall' THEN 'corridor' ELSE t1 END AS t2, CASE WHEN k0 = 'area' AND l0 IN ('first', '99') THEN '1' ELSE l0 END AS l2 FROM one),
+    fixes AS ({_ROOT_AND_NODES}
+        UNION ALL SELECT map_id, 'SAFE', 'WAY', 'add an action', id, NULL, 'modify' FROM four WHERE action IS NULL
+        UNION ALL SELECT map_id, 'SAFE', 'WAY', 'add visible', id, NULL, 'true' FROM four WHERE vis IS NULL
+        UNION ALL SELECT map_id, 'SAFE', 'AREA', 'close the ring', id, array_to_string(nds, ','), array_to_string(list_concat(nds, nds[1:1]), ',') FROM four WHERE k0 = 'area' AND len(nds) >= 3 AND nds[1] <> nds[-1]
+        UNION ALL SELECT map_id, 'MODERATE', 'AREA', 'infer the type from the name', id, "osmAG:areaType", t1 FROM four WHERE t1 <> t0
+        UNION ALL SELECT map_id, 'SAFE', 'AREA', 'standardise the type', id, t1, t2 FROM four WHERE t2 <> t1
+        UNION ALL SELECT map_id, 'MODERATE', 'AREA', 'repair the level', id, l0, l2 FROM four WHERE l2 <> l0)"""
+
+
+@query("map_fixes_by_id", f"{_FIXES_BY_ID} SELECT *, count(*) AS n FROM fixes GROUP BY ALL")
+def map_fixes_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return _counted_fixes(repair.repair(made_maps(spark, d, "fix_id"), "fix_id", moderate=True).fixes)
+
+
 _RINGS = f"""{maps_sql()},
     places AS (SELECT w.map_id, w.ord, w.pos, TRY_CAST(n.lon AS DOUBLE) AS x, TRY_CAST(n.lat AS DOUBLE) AS y FROM (SELECT map_id, ord, unnest(nds) AS ref, generate_subscripts(nds, 1) AS pos FROM ways_raw) w JOIN nodes_raw n ON n.map_id = w.map_id AND n.id = w.ref),
     rings AS (SELECT map_id, ord, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys FROM places GROUP BY ALL),
@@ -436,3 +459,53 @@ def room_areas(spark: SparkSession, d: str) -> DataFrame:
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     maps = made_maps(spark, d)
     return validate.batch_summary(validate.summary(validate.findings(maps), maps.documents))
+
+
+#: Square rooms by customer in a grid of their map, and texts by order beside the lower left corner of a room.
+_MATCHING = """WITH rooms AS (SELECT 'm' || (k % 5) AS map_id, k AS room_ord, 'r' || k AS room_id, 10.0 * (1 + k % 3) AS side, 90.0 * (k // 5 % 12) AS x, 90.0 * (k // 60) AS y FROM (SELECT c_custkey AS k FROM customer)),
+    texts AS (SELECT 'm' || (o_custkey % 5) AS map_id, o_orderkey AS ord, 90.0 * (o_custkey // 5 % 12) + o_orderkey % 97 - 40 + 0.37 AS x, 90.0 * (o_custkey // 60) + o_orderkey * 7 % 89 - 35 + 0.61 AS y FROM orders),
+    near AS (SELECT t.map_id, t.ord, room_ord, room_id, side, sqrt(greatest(r.x - t.x, 0, t.x - r.x - side) ** 2 + greatest(r.y - t.y, 0, t.y - r.y - side) ** 2) AS away, sqrt((t.x - r.x - side / 2) ** 2 + (t.y - r.y - side / 2) ** 2) / sqrt(side * side / pi()) AS ratio
+        FROM texts t JOIN rooms r ON r.map_id = t.map_id AND t.x BETWEEN r.x - 50 AND r.x + side + 50 AND t.y BETWEEN r.y - 50 AND r.y + side + 50),
+    scored AS (SELECT *, CASE WHEN away > 0 THEN 40 + 30 / (1 + log10(1 + side * side / 10000)) + 20 * (1 - away / 50) WHEN ratio <= 0.7 THEN 100 - 50 * ratio ELSE 50 - 25 * (ratio - 0.7) END AS score FROM near WHERE away <= 50),
+    best AS (SELECT *, row_number() OVER (PARTITION BY map_id, ord ORDER BY score DESC, room_ord) AS n FROM scored)"""
+
+
+def _text_matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k, c = F.col("c_custkey"), F.col("o_custkey")
+    side = (1 + k % 3) * 10
+    corner = lambda dx, dy: rings.point(F.floor(k / 5) % 12 * 90 + dx, F.floor(k / 60) * 90 + dy)
+    ring = F.array(corner(F.lit(0), F.lit(0)), corner(side, F.lit(0)), corner(side, side), corner(F.lit(0), side))
+    rooms_ = table(spark, d, "customer").select(F.concat(F.lit("m"), k % 5).alias("map_id"), k.alias("ord"), F.concat(F.lit("r"), k).alias("id"), ring.alias("ring"))
+    o = F.col("o_orderkey")
+    at = rings.point(F.floor(c / 5) % 12 * 90 + o % 97 - 40 + 0.37, F.floor(c / 60) * 90 + o * 7 % 89 - 35 + 0.61)
+    texts = table(spark, d, "orders").select(F.concat(F.lit("m"), c % 5).alias("map_id"), o.alias("ord"), F.concat(F.lit("t"), o).alias("text"), at.alias("p"))
+    return texts, Written(labels.matches(texts, rooms_), "matches").df
+
+
+@query(
+    "text_matches",
+    f"""{_MATCHING} SELECT map_id, ord, room_id, CASE WHEN away > 0 THEN 'nearby' ELSE 'inside' END AS match_type, round(score, 5) AS score, CASE WHEN away > 0 THEN round(away, 5) END AS distance, CASE WHEN away = 0 THEN round(ratio, 5) END AS distance_ratio FROM best WHERE n = 1""",
+)
+def text_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's text goes to the room that holds it or lies nearest by score."""
+    _, found = _text_matches(spark, d)
+    return found.select("map_id", "ord", "room_id", "match_type", *(F.round(c, 5).alias(c) for c in ("score", "distance", "distance_ratio")))
+
+
+@query(
+    "text_match_statistics",
+    f"""{_MATCHING} SELECT map_id, count(*) AS total, count(score) AS matched, count(*) FILTER (score >= 70) AS high_quality, count(*) - count(score) AS unmatched, round(count(score) / count(*), 6) AS match_rate
+    FROM texts LEFT JOIN (FROM best WHERE n = 1) USING (map_id, ord) GROUP BY map_id""",
+)
+def text_match_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return labels.match_statistics(*_text_matches(spark, d)).withColumn("match_rate", F.round("match_rate", 6))
+
+
+@query(
+    "matched_names",
+    f"""{_MATCHING}, sure AS (SELECT *, 't' || ord AS text FROM best WHERE n = 1), inner_ AS (SELECT map_id, room_id, list(text ORDER BY score DESC, ord) AS l FROM sure WHERE away = 0 GROUP BY ALL), outer_ AS (SELECT map_id, room_id, min_by(text, (-score, ord)) AS t FROM sure WHERE away > 0 GROUP BY ALL)
+    SELECT coalesce(i.map_id, o.map_id) AS map_id, coalesce(i.room_id, o.room_id) AS id, coalesce(l[1], t) AS new_name FROM inner_ i FULL JOIN outer_ o ON i.map_id = o.map_id AND i.room_id = o.room_id""",
+)
+def matched_names(spark: SparkSession, d: str) -> DataFrame:
+    """The best text inside each room, or else the best one near it."""
+    return labels.new_names(_text_matches(spark, d)[1], first_only=True)

@@ -377,3 +377,19 @@ def test_slanted_lines(spark):
     assert sorted((r.x0, r.x1) if r.x0 < r.x1 else (r.x1, r.x0) for r in found if r.file == "gap") == [(0.0, 39.0), (60.0, 109.0)]
     assert not [r for r in found if r.file == "noise"]
     assert raster.hough_segments(df.limit(0)).count() == 0
+
+
+def test_points_of_two_rings_are_merged(spark):
+    """As sorting and dropping what equals the last one kept, also where equality is not transitive."""
+    draw = np.random.default_rng(6)
+    rows = []
+    for n in range(40):
+        made = [[(float(round(x)), float(round(y)) + float(draw.choice([0, 4e-7, 8e-7, 1.6e-6]))) for x, y in draw.uniform(0, 3, (int(draw.integers(0, 9)), 2))] for _ in range(2)]
+        rows.append((n, *(ring(m) for m in made)))
+    df = spark.createDataFrame(rows, "id int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    for r in df.withColumn("m", rings.merged_points(F.col("a"), F.col("b"))).collect():
+        kept = []
+        for p in sorted((q.x, q.y) for q in [*r.a, *r.b]):
+            if not kept or abs(p[0] - kept[-1][0]) >= 1e-6 or abs(p[1] - kept[-1][1]) >= 1e-6:
+                kept.append(p)
+        assert [(q.x, q.y) for q in r.m] == kept
