@@ -3,12 +3,12 @@
 Texts and templates become shingles of five words. For each size class s (the power of two
 at or above a template's number of shingles, 4 at least) windows of 2s shingles overlap by
 half, so a passage of a template lies whole in one of them. A window and a template of its
-class meet if they agree in at least one band of one row; with ``BANDS`` bands, windows
-that hold a template's shingles at the least Jaccard index possible for a match
-(``least_jaccard``) meet with a probability of over 0.999. Candidates are verified by
+class meet if they agree in at least one band of one row; with ``BANDS`` bands, or as many more as a lower
+containment needs (``bands_for``), windows that hold a template's shingles at the least Jaccard index possible
+for a match (``least_jaccard``) meet with a probability of over 0.999. Candidates are verified by
 the exact share of the template's shingles in the window.
 
-A window is aligned to its document, so results do not depend on batches. Word hashes are
+Windows are aligned to their document and end with it, so results do not depend on batches. Word hashes are
 only used to find candidates; containment compares the words themselves.
 
 Defined results: a null or empty text has no match; a text or template of under five words
@@ -119,6 +119,13 @@ def least_jaccard(shingles: int, containment: float = CONTAINMENT) -> float:
     return shared / (2 * size_class(shingles) + shingles - shared)
 
 
+def bands_for(templates: dict[str, str], containment: float = CONTAINMENT, miss: float = 0.001) -> int:
+    """So many bands that a match of any template meets it but for a probability of ``miss``; ``BANDS`` at least."""
+    sizes = {len(set(shingles_of(words_of(t)))) for t in templates.values() if words_of(t)}
+    least = min((least_jaccard(n, containment) for n in sizes), default=1.0)
+    return max(BANDS, int(np.ceil(np.log(miss) / np.log1p(-least))) if least < 1 else 1)
+
+
 class Index:
     """MinHash values of templates by size class and band."""
 
@@ -162,8 +169,8 @@ class Index:
     def permuted(self, hashes: np.ndarray, band: int) -> np.ndarray:
         return hashes * self.factors[band] + self.addends[band]
 
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, str]]:
-        """(class, number of the window, template) that agree in a band; lengths are padded to the largest class."""
+    def candidates(self, hashes: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, str]]:
+        """(class, number of the window, template) that agree in a band; documents, which end at ``ends``, are padded to the largest class."""
         found: set[tuple[int, int, str]] = set()
         for band in range(len(self.factors)):
             lows = self.permuted(hashes, band).reshape(-1, LEAST_CLASS).min(axis=1)
@@ -172,6 +179,8 @@ class Index:
                 if s in self.by_class:
                     windows = lows.copy()
                     np.minimum(windows[:-1], lows[1:], out=windows[:-1])
+                    last = ends // s - 1
+                    windows[last] = lows[last]  # the next document is no part of a window
                     table = self.values[s][band]
                     for w in np.flatnonzero(self.filters[s][band][windows & np.uint32(0xFFFF)]).tolist():
                         for name in table.get(int(windows[w]), ()):
@@ -196,7 +205,8 @@ class Index:
         if not parts:
             return found
         starts = np.array(firsts)
-        for s, window, name in sorted(self.candidates(np.concatenate(parts))):
+        ends = np.cumsum([len(p) for p in parts])
+        for s, window, name in sorted(self.candidates(np.concatenate(parts), ends)):
             place = window * s
             doc = int(np.searchsorted(starts, place, side="right")) - 1
             words, low = documents[doc], place - firsts[doc]
@@ -223,11 +233,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     if sum(map(len, known.values())) > 64 << 20:
         raise ValueError("templates of over 64 MB are not sent to executors; scan them in parts")
     shared = docs.sparkSession.sparkContext.broadcast(known)
+    bands = bands_for(known, containment)
     kept = [f for f in docs.schema.fields if f.name.lower() != out.lower() and (keep_text or f.name != text)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(shared.value, bands)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for start, end in slices(texts, 2 << 20):

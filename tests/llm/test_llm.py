@@ -113,7 +113,8 @@ def test_licenses_are_found_under_edits():
         for _ in range(60):
             w = split(template)
             for _ in range(draw.randint(0, max(1, len(w) // 25))):
-                w[draw.randrange(len(w))] = f"edit{draw.random()}"
+                at, kind = draw.randrange(len(w)), draw.choice(["changed", "inserted", "left out"])
+                w[at : at + (kind != "inserted")] = [] if kind == "left out" else [f"edit{draw.random()}"]
             before, after = ([f"w{draw.random()}" for _ in range(draw.randint(0, 400))] for _ in range(2))
             share = len(fives(w) & fives(split(template))) / len(fives(split(template)))
             hits = index.scan([" ".join([*before, *w, *after])])[0]
@@ -123,6 +124,23 @@ def test_licenses_are_found_under_edits():
     assert due > 500 and found / due >= 0.99
 
 
+def test_licenses_at_a_lower_containment(spark):
+    """A caller's containment sets the number of bands; what lies beside a document in its batch changes nothing."""
+    assert licenses.bands_for(licenses.TEMPLATES) == licenses.BANDS < licenses.bands_for(licenses.TEMPLATES, 0.3)
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())
+    draw, template = random.Random(8), split(licenses.TEMPLATES["MIT-text"])
+    texts = []
+    for _ in range(120):
+        n = int(0.42 * len(template))
+        at = draw.randrange(len(template) - n)
+        texts.append(" ".join([f"w{draw.random()}" for _ in range(draw.randint(0, 200))] + template[at : at + n]))
+    rows = licenses.scan(documents(spark, texts), {"MIT-text": licenses.TEMPLATES["MIT-text"]}, containment=0.4).collect()
+    assert sum(bool(r.licenses) for r in rows) >= 119
+    index = licenses.Index(licenses.TEMPLATES)
+    short = [licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"], *texts[:20], licenses.TEMPLATES["CC-BY-NC-4.0"]]
+    assert index.scan(short) == [index.scan([t])[0] for t in short]
+
+
 def test_licenses_of_odd_tables(spark):
     mit = licenses.TEMPLATES["MIT"]
     df = documents(spark, [f"{mit} x " * 40, mit, mit, None, ""]).selectExpr("*", "'clash' licenses")
