@@ -6,13 +6,15 @@ relational over all images and parameter settings.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorwise.functions import kernels, rings
-from floorwise.operators import graph, rooms
+from floorwise.operators import graph, halfedges, rooms
 from floorwise.operators.spatial import points_by_rings
 from floorwise.sources.osm_xml import Maps
 from floorwise.sources.scratch import Written
@@ -91,6 +93,43 @@ def segment(points: DataFrame, clear_of_walls: float = 3.0, alpha: float = 3600.
     return pieces, shapes.select("map_id", "room_id", "ring"), bridge
 
 
+@dataclass
+class AreaGraph:
+    """Half edges with their faces and rooms, the rooms' shapes, rooms as vertices, the edges between them, and what was cut when."""
+
+    halves: DataFrame
+    shapes: DataFrame
+    rooms: DataFrame
+    joints: DataFrame
+    rounds: DataFrame
+
+
+def area_graph(points: DataFrame, clear_of_walls: float = 3.0, alpha: float = 3600.0, dead_ends: tuple[float, ...] = DEAD_ENDS, short_dead_end: float = 20.0, cuts_in_round: int | None = 1, room_alpha: float | None = None) -> AreaGraph:
+    """The area graph of obstacle points (map_id, x, y) by half edges that keep their faces.
+
+    Voronoi edges clear of walls and inside the largest alpha polygon become paths; dead ends leave their
+    polygons to their neighbours; the largest component is cut at the rooms' boundaries until nothing crosses any more;
+    dead ends are merged in their rooms, and rooms become the vertices of a graph. Rooms are the alpha polygons of
+    the graph's own points, by ``room_alpha`` if it is another one.
+    """
+    landed = lambda df, name: Written(df, name).df
+    clear = halfedges.without_loops(halfedges.voronoi(points)).where(F.col("obstacle") > clear_of_walls).drop("obstacle")
+    boundary = landed(largest_polygon(alpha_polygons(points, alpha)), "boundary")
+    now = landed(halfedges.without_rays(halfedges.clipped(clear, boundary)), "clear")
+    paths = lambda df: landed(halfedges.joined(df, df.select("map_id", F.col("source").alias("node"))), "paths")
+    now = paths(now)
+    for shorter_than in dead_ends:
+        now = paths(landed(halfedges.without_dead_ends(now, shorter_than).drop("next"), "cleaned"))
+    edges = now.where("half_id < twin").select("map_id", "edge_id", F.col("source").alias("a"), F.col("target").alias("b"), rings.length(F.col("path")).alias("length"))
+    now = landed(now.join(graph.largest_component(edges).select("map_id", "edge_id"), ["map_id", "edge_id"], "left_semi"), "largest")
+    vertices = now.select("map_id", F.explode("path").alias("p")).select("map_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
+    shapes = landed(outermost(landed(alpha_polygons(vertices, alpha if room_alpha is None else room_alpha), "alpha")), "shapes").withColumnRenamed("polygon_id", "room_id").select("map_id", "room_id", "ring")
+    cut, rounds = halfedges.rooms_cut(now, shapes, cuts_in_round, short_dead_end)
+    merged = landed(halfedges.merged_dead_ends(halfedges.in_rooms(cut, shapes)), "merged")
+    found, joints = halfedges.quotient(merged)
+    return AreaGraph(halfedges.linked(merged), shapes, found, joints, rounds)
+
+
 def star_rooms(pieces: DataFrame, shapes: DataFrame) -> DataFrame:
     """Each room as a star: edges from its centre to the vertices where its passages are."""
     centres = shapes.select("map_id", "room_id", rings.centroid(F.col("ring")).alias("centre"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorwise.operators.ids import numbered
+from floorwise.sources.scratch import Written
 
 
 def knee(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -18,11 +21,29 @@ def knee(df: DataFrame, value: str, key: str) -> DataFrame:
     return ranked.select(key, value, "rank", away.alias("distance")).orderBy(F.desc("distance"), "rank").limit(1)
 
 
+def without_largest(df: DataFrame, value: str, n: int, by: list[str] = (), key: str | None = None) -> DataFrame:
+    """Rows without the ``n`` largest values of each group, of equal ones the first by ``key``.
+
+    Every task keeps its own ``n`` largest of a group, so no group is sorted as a whole.
+    """
+    if key is None:
+        key = "_row"
+        df = Written(df.withColumn(key, F.monotonically_increasing_id()), "rows").df
+    order = [F.desc(value), F.col(key)]
+    if by:
+        top = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n)
+    else:
+        top = df.orderBy(*order).limit(n)
+    columns = [*by, key]
+    gone = top.select(*(F.col(c).alias(f"_gone_{i}") for i, c in enumerate(columns)))
+    same = reduce(Column.__and__, (df[c].eqNullSafe(gone[f"_gone_{i}"]) for i, c in enumerate(columns)))
+    return df.join(gone, same, "left_anti").drop("_row")
+
+
 def summary(df: DataFrame, value: str, by: list[str] = (), skip_largest: int = 0, key: str | None = None) -> DataFrame:
     """Count, minimum, maximum, mean and median, without the ``skip_largest`` largest of each group."""
     if skip_largest:
-        order = Window.partitionBy(*by).orderBy(F.desc(value), *([key] if key else []))
-        df = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") > skip_largest)
+        df = without_largest(df, value, skip_largest, by, key)
     of = [F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median")]
     return df.groupBy(*by).agg(*of)
 

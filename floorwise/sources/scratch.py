@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Where the setting is absent, a local session takes a temporary folder and any other
+    That folder is taken as it is named. Where the setting is absent, a local session takes a temporary folder and any other
     takes the warehouse if that is shared; a folder of one machine is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
         return _local_root()
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if ":" not in warehouse or warehouse.startswith("file:"):

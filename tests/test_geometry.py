@@ -393,3 +393,11 @@ def test_points_of_two_rings_are_merged(spark):
             if not kept or abs(p[0] - kept[-1][0]) >= 1e-6 or abs(p[1] - kept[-1][1]) >= 1e-6:
                 kept.append(p)
         assert [(q.x, q.y) for q in r.m] == kept
+
+
+def test_summaries_without_the_largest(spark):
+    rows = [(g, k, float(v)) for g, values in ((None, [5, 5, 1]), ("a", [3, 9, 9, 9, 2]), ("b", [4])) for k, v in enumerate(values)] + [("a", 9, None)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {r.g: (r.n, r["min"], r["max"], r["median"]) for r in statistics.summary(df, "v", ["g"], 2, "k").collect()}
+    assert got == {None: (1, 1.0, 1.0, 1.0), "a": (4, 2.0, 9.0, 3.0)}
+    assert [tuple(r) for r in statistics.summary(df.where("g is not null").drop("g"), "v", [], 3).collect()] == [(4, 2.0, 4.0, pytest.approx(3.0), 3.0)]

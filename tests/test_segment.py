@@ -26,3 +26,23 @@ def test_projects(spark):
     table = projects.created(projects.created(projects.empty(spark), "a", "/a"), "a", "/b")
     assert [(r.name, r.path) for r in table.collect()] == [("a", "/a")]
     assert projects.with_status(table, "a", "dxf", "done").first().status == {"dxf": "done"}
+
+
+def test_an_area_graph_keeps_its_faces(spark):
+    from pyspark.sql import functions as F
+
+    from floorwise.functions import rings
+    from floorwise.operators import halfedges
+
+    points = [("m", float(x), float(y)) for x, y in segment.grid_sites(WALLS, 2.0)] + [("n", float(x) + 5, float(y)) for x, y in segment.grid_sites(WALLS, 2.0)]
+    found = segment.area_graph(spark.createDataFrame(points, "map_id string, x double, y double"), clear_of_walls=2.0, alpha=400.0, dead_ends=(3.0,), short_dead_end=3.0, room_alpha=20.0)
+    assert halfedges.inconsistencies(found.halves).count() == 0
+    rows = found.halves.where("half_id < twin").select("map_id", "room_id", rings.length(F.col("path")).alias("l")).collect()
+    assert {r.map_id for r in rows} == {"m", "n"} and sum(r.room_id is not None for r in rows) >= 2
+    lengths = {m: round(sum(r.l for r in rows if r.map_id == m), 3) for m in "mn"}
+    assert lengths["m"] == lengths["n"] > 30  # a shifted map has the same graph
+    assert found.rooms.where("area > 0").count() >= 4
+    crossing = {m: [r.crossing for r in found.rounds.where(F.col("map_id") == m).orderBy("round").collect()] for m in "mn"}
+    assert 1 < len(crossing["m"]) < 8 and crossing["m"][-1] < crossing["m"][0]  # it ends, though rooms' boundaries lie along the paths
+    joints = found.joints.where("map_id = 'm'").collect()
+    assert joints and all(r.a < r.b and r.length >= 0 for r in joints)
