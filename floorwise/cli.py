@@ -177,7 +177,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "match":
         return matched(args)
     if args.command in ("segment", "sweep"):
-        files = _files(args.paths, "*.{png,PNG}").select(F.col("map_id").alias("file"), "content")
+        files = _files(args.paths, "*.{png,PNG,bmp,BMP,pbm,pgm,ppm,pnm}").select(F.col("map_id").alias("file"), "content")
         if files.isEmpty():
             print("no image was found", file=sys.stderr)
             return 2

@@ -6,6 +6,7 @@ one image at a time in Arrow batches; statistics over components are relational.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,30 +23,35 @@ SCHEMA = "file string, width int, height int, pixels binary"
 
 
 def decode_png(content: bytes) -> np.ndarray:
-    """A PNG without interlacing and of 8 bits a channel as (height, width, channels)."""
+    """A PNG without interlacing as (height, width, channels) of 8 bits; palettes become colours."""
     if content[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
-    at, data, width, height, colour = 8, [], 0, 0, 0
+    at, data, width, height, colour, depth, palette, clear = 8, [], 0, 0, 0, 8, b"", b""
     while at < len(content):
         size, kind = struct.unpack(">I4s", content[at : at + 8])
         body = content[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or interlace or colour == 3:
-                raise ValueError("only plain 8-bit grey and colour PNGs are read")
+            if interlace:
+                raise ValueError("interlaced PNGs are not read")
+        elif kind == b"PLTE":
+            palette = body
+        elif kind == b"tRNS":
+            clear = body
         elif kind == b"IDAT":
             data.append(body)
         at += 12 + size
-    n = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height, width * n), np.uint8)
-    above = np.zeros(width * n, np.int64)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    n, line = max(1, channels * depth // 8), -(-width * channels * depth // 8)  # bytes of a pixel and of a row
+    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + line)
+    out = np.zeros((height, line), np.uint8)
+    above = np.zeros(line, np.int64)
     for y in range(height):
         kind, row = int(raw[y, 0]), raw[y, 1:].astype(np.int64)
         if kind == 2:
             row = row + above & 255
         elif kind:
-            for x in range(width * n):
+            for x in range(line):
                 left = row[x - n] if x >= n else 0
                 corner = above[x - n] if x >= n else 0
                 if kind == 1:
@@ -57,7 +63,86 @@ def decode_png(content: bytes) -> np.ndarray:
                     guess = min((left, above[x], corner), key=lambda v: abs(p - v))
                 row[x] = row[x] + guess & 255
         out[y] = above = row
-    return out.reshape(height, width, n)
+    if depth == 16:
+        values = out[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(out, axis=1)[:, : width * depth].reshape(height, width, depth)
+        values = bits @ (1 << np.arange(depth)[::-1])
+        values = values if colour == 3 else values * 255 // ((1 << depth) - 1)
+    else:
+        values = out
+    image = np.asarray(values, np.uint8).reshape(height, width, channels)
+    if colour != 3:
+        return image
+    colours = np.frombuffer(palette, np.uint8).reshape(-1, 3)[image[..., 0]]
+    if not clear:
+        return colours
+    alpha = np.full(len(palette) // 3, 255, np.uint8)
+    alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
+    return np.dstack([colours, alpha[image[..., 0]]])
+
+
+def decode_bmp(content: bytes) -> np.ndarray:
+    """An uncompressed bitmap of 8, 24 or 32 bits a pixel as (height, width, 3)."""
+    start, head, width, height, _, bits, packed = struct.unpack("<I", content[10:14]) + struct.unpack("<IiiHHI", content[14:34])
+    if bits not in (8, 24, 32) or packed not in (0, 3):
+        raise ValueError("only uncompressed bitmaps of 8, 24 and 32 bits are read")
+    line = (width * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(content, np.uint8, line * abs(height), start).reshape(abs(height), line)[:, : width * bits // 8]
+    rows = rows[::-1] if height > 0 else rows
+    if bits == 8:
+        used = struct.unpack("<I", content[46:50])[0] or 256
+        return np.frombuffer(content, np.uint8, 4 * used, 14 + head).reshape(-1, 4)[rows][..., 2::-1]
+    return rows.reshape(abs(height), width, bits // 8)[..., 2::-1]
+
+
+def decode_pnm(content: bytes) -> np.ndarray:
+    """A portable bitmap, grey map or pixel map, plain or raw, as (height, width, channels)."""
+    fields, at = [], 2
+    plain, kind = content[1:2] in b"123", int(content[1:2]) % 3  # 1: bits, 2: grey, 0: colours
+    while len(fields) < (2 if kind == 1 else 3):
+        found = re.match(rb"(?:\s|#[^\n]*\n)*(\d+)", content[at:])
+        fields.append(int(found[1]))
+        at += found.end()
+    width, height, most, channels = fields[0], fields[1], fields[2] if kind != 1 else 1, 3 if kind == 0 else 1
+    if plain:
+        body = re.sub(rb"#[^\n]*", b"", content[at:])
+        values = np.array(re.findall(rb"[01]" if kind == 1 else rb"\d+", body)[: width * height * channels], int)
+    elif kind == 1:
+        line = -(-width // 8)
+        values = np.unpackbits(np.frombuffer(content, np.uint8, line * height, at + 1).reshape(height, line), axis=1)[:, :width].astype(int)
+    else:
+        values = np.frombuffer(content, ">u2" if most > 255 else np.uint8, width * height * channels, at + 1).astype(int)
+    image = (values * 255 // most).astype(np.uint8).reshape(height, width, channels)
+    return 255 - image if kind == 1 else image  # a set bit is black
+
+
+def decode(content: bytes) -> np.ndarray:
+    """An image of any of the formats above."""
+    if content[:2] == b"BM":
+        return decode_bmp(content)
+    return decode_pnm(content) if re.match(rb"P[1-6]\s", content) else decode_png(content)
+
+
+def resized(image: np.ndarray, width: int, height: int, lobes: int = 3) -> np.ndarray:
+    """A grey image in another size, each axis weighted by Lanczos' kernel, which widens when the image shrinks."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        scale = old / new
+        wide = max(scale, 1.0)
+        away = (np.arange(old)[None, :] + 0.5 - (np.arange(new)[:, None] + 0.5) * scale) / wide
+        w = np.where(np.abs(away) < lobes, np.sinc(away) * np.sinc(away / lobes), 0.0)
+        return w / w.sum(1, keepdims=True)
+
+    across = image.astype(float) @ weights(image.shape[1], width).T
+    return np.clip(np.rint(weights(image.shape[0], height) @ across), 0, 255).astype(np.uint8)
+
+
+def fitted(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A grey image as large as fits in a frame, with its own proportions."""
+    wide = image.shape[1] / image.shape[0] > width / height
+    share = image.shape[1] / image.shape[0]
+    return resized(image, width, max(1, int(width / share))) if wide else resized(image, max(1, int(height * share)), height)
 
 
 def encode_png(grey: np.ndarray, level: int = 0) -> bytes:
@@ -85,12 +170,12 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """Grey images of PNG files (file, content)."""
+    """Grey images of PNG, BMP and portable map files (file, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                image = grey(decode_png(row.content))
+                image = grey(decode(row.content))
                 yield pd.DataFrame([(row.file, image.shape[1], image.shape[0], image.tobytes())], columns=["file", "width", "height", "pixels"])
 
     return files.select("file", "content").mapInPandas(run, SCHEMA)

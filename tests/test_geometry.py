@@ -401,3 +401,57 @@ def test_summaries_without_the_largest(spark):
     got = {r.g: (r.n, r["min"], r["max"], r["median"]) for r in statistics.summary(df, "v", ["g"], 2, "k").collect()}
     assert got == {None: (1, 1.0, 1.0, 1.0), "a": (4, 2.0, 9.0, 3.0)}
     assert [tuple(r) for r in statistics.summary(df.where("g is not null").drop("g"), "v", [], 3).collect()] == [(4, 2.0, 4.0, pytest.approx(3.0), 3.0)]
+
+
+def test_image_formats(spark):
+    """The same picture in every format that is read."""
+    import struct
+    import zlib
+
+    draw = np.random.default_rng(2)
+    grey = draw.integers(0, 256, (5, 7)).astype(np.uint8)
+    colour = np.repeat(grey[..., None], 3, axis=2)
+
+    def png(depth, kind, rows, *chunks):
+        chunk = lambda k, body: struct.pack(">I", len(body)) + k + body + struct.pack(">I", zlib.crc32(k + body))
+        head = chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, depth, kind, 0, 0, 0))
+        return b"\x89PNG\r\n\x1a\n" + head + b"".join(chunk(*c) for c in chunks) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+
+    palette = b"".join(bytes([v] * 3) for v in range(256))
+    bmp = lambda bits, rows, table=b"": b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + len(table)) + struct.pack("<IiiHHIIiiII", 40, 7, 5, 1, bits, 0, 0, 0, 0, 0, 0) + table + b"".join(r + b"\0" * (-len(r) % 4) for r in rows)
+    files = {
+        "grey.png": raster.encode_png(grey),
+        "palette.png": png(8, 3, [r.tobytes() for r in grey], (b"PLTE", palette)),
+        "clear.png": png(8, 3, [r.tobytes() for r in grey], (b"PLTE", palette), (b"tRNS", b"\xff" * 9)),
+        "deep.png": png(16, 0, [b"".join(bytes([v, 9]) for v in r.tolist()) for r in grey]),
+        "24.bmp": bmp(24, [r.tobytes() for r in colour[::-1]]),
+        "32.bmp": bmp(32, [np.dstack([colour, grey[..., None] * 0])[y].tobytes() for y in range(4, -1, -1)]),
+        "8.bmp": bmp(8, [r.tobytes() for r in grey[::-1]], b"".join(bytes([v, v, v, 0]) for v in range(256))),
+        "raw.pgm": b"P5 # a map\n7 5\n255\n" + grey.tobytes(),
+        "plain.pgm": b"P2\n7 5\n255\n" + " ".join(map(str, grey.ravel().tolist())).encode(),
+        "raw.ppm": b"P6\n7 5\n255\n" + colour.tobytes(),
+        "plain.ppm": b"P3\n7 5\n255\n" + " ".join(map(str, colour.ravel().tolist())).encode(),
+    }
+    rows = raster.read(spark.createDataFrame(list(files.items()), "file string, content binary")).collect()
+    assert len(rows) == len(files)
+    for r in rows:
+        assert (r.width, r.height) == (7, 5) and bytes(r.pixels) == grey.tobytes(), r.file
+    bits = grey < 128
+    two = np.where(bits, 0, 255).astype(np.uint8)
+    packed = [np.packbits(b).tobytes() for b in bits]
+    assert (raster.grey(raster.decode(b"P4\n7 5\n" + b"".join(packed))) == two).all()
+    assert (raster.grey(raster.decode(b"P1\n7 5\n" + "".join(str(int(v)) for v in bits.ravel()).encode())) == two).all()
+    assert (raster.grey(raster.decode(png(1, 0, [np.packbits(~b).tobytes() for b in bits]))) == two).all()
+    with pytest.raises(ValueError):
+        raster.decode(b"GIF89a")
+
+
+def test_resizing():
+    flat = np.full((9, 13), 77, np.uint8)
+    assert (raster.resized(flat, 31, 4) == 77).all() and raster.resized(flat, 31, 4).shape == (4, 31)
+    image = np.random.default_rng(3).integers(0, 256, (12, 8)).astype(np.uint8)
+    assert (raster.resized(image, 8, 12) == image).all()  # the kernel is one at its own pixel and zero at all others
+    ramp = np.tile(np.arange(0, 240, 2, dtype=np.uint8), (6, 1))
+    half = raster.resized(ramp, 60, 6).astype(int)
+    assert np.abs(half[0, 5:-5] - (ramp[0, 10:-10:2].astype(int) + 1)).max() <= 1
+    assert raster.fitted(image, 100, 30).shape == (30, 20) and raster.fitted(image.T, 100, 300).shape == (66, 100)
