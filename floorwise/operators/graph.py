@@ -322,7 +322,7 @@ def cut_by_rooms(edges: DataFrame, room_rings: DataFrame) -> DataFrame:
 
     paths = Written(edges.select("map_id", "edge_id", "path"), "paths").df
     near = Written(paths_by_rings(paths, room_rings.select("map_id", "room_id", "ring"), ["map_id"], "edge_id"), "near").df
-    marks = near.withColumn("cuts", kernels.crossings(F.col("path"), F.col("ring"))).groupBy("map_id", "edge_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
+    marks = near.withColumn("cuts", kernels.exact_crossings(F.col("path"), F.col("ring"), F.lit(1e-6))).groupBy("map_id", "edge_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
     stops = F.coalesce("cuts", F.array().cast("array<double>"))
     none = F.array().cast("array<struct<x:double,y:double>>")
     split = kernels.split_path(F.col("path"), none, none, F.col("stops"))
