@@ -7,25 +7,29 @@
     python -m floorwise.cli outline PATH... --output FOLDER [--method boundary|convex_hull|alpha_shape]
     python -m floorwise.cli direction PATH... --output FOLDER
     python -m floorwise.cli match --drawing FILE... --map FILE... --layer NAME --output FOLDER [--renamed FOLDER] [--nearby N]
+    python -m floorwise.cli preprocess PATH... --output FOLDER [--converter COMMAND] [--skip-steps N,N] [--layers FILE] [--size N --thickness N --gap SIZE]
+    python -m floorwise.cli layers PATH... --output FOLDER
+    python -m floorwise.cli flatten PATH... --output FOLDER
     python -m floorwise.cli segment IMAGE... --output FOLDER [--resolution R --alpha A --clear D --dead-ends D... ...]
     python -m floorwise.cli sweep IMAGE... --output FOLDER [--alpha-values LIST --filter WORD... --skip WORD... --dry-run]
 
-``validate`` ends with 1 if a map has errors, every command with 2 if there is nothing to read, and ``merge``
+``validate`` ends with 1 if a map has errors, ``preprocess`` if a file failed, every command with 2 if there is nothing to read, and ``merge``
 with 2 as well if its reference is not one map.
 """
 
 from __future__ import annotations
 
 import argparse
+import shlex
 import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorwise.functions import projection, scalars
-from floorwise.operators import labels, merge, raster, repair, rooms, segment, sweep, validate
+from floorwise.operators import drawings, labels, merge, raster, repair, rooms, segment, sweep, validate
 from floorwise.session import session
-from floorwise.sources import dxf, osm_xml
+from floorwise.sources import dxf, files, osm_xml
 from floorwise.sources.osm_xml import Maps
 from floorwise.sources.package import ship
 from floorwise.sources.scratch import Written
@@ -67,6 +71,16 @@ def parser() -> argparse.ArgumentParser:
     match.add_argument("--nearby", type=float, default=labels.NEARBY)
     match.add_argument("--renamed", help="folder for the maps with their new names")
     match.add_argument("--output", required=True, help="folder for the matches as JSON")
+    prepare = command("preprocess")
+    prepare.add_argument("--converter", help="of DWG files, with {input} and {output}")
+    prepare.add_argument("--skip-steps", default="", help="numbers: " + ", ".join(f"{n} {s}" for n, s in drawings.STEPS.items()))
+    prepare.add_argument("--layers", help="a file with a layer to keep in each line, instead of the rules")
+    prepare.add_argument("--size", type=int, default=4000)
+    prepare.add_argument("--thickness", type=int, default=1)
+    prepare.add_argument("--gap", choices=[*raster.GAPS, "none"], default="medium")
+    prepare.add_argument("--output", required=True)
+    command("layers").add_argument("--output", required=True)
+    command("flatten").add_argument("--output", required=True)
     one = command("segment")
     _segmenting(one)
     many = command("sweep")
@@ -109,12 +123,12 @@ def _files(paths: list[str], pattern: str) -> DataFrame:
 
 def matched(args: argparse.Namespace) -> int:
     """Texts of drawings to the rooms of the maps of the same name."""
-    files, maps = _files(args.drawing, "*.{dxf,DXF}"), Maps.read(session(), args.map)
-    pairs = files.select("stem", F.col("map_id").alias("file_id")).join(maps.documents.select("map_id", scalars.file_stem(F.col("map_id")).alias("stem")), "stem").select("file_id", "map_id")
+    plans, maps = _files(args.drawing, "*.{dxf,DXF}"), Maps.read(session(), args.map)
+    pairs = plans.select("stem", F.col("map_id").alias("file_id")).join(maps.documents.select("map_id", scalars.file_stem(F.col("map_id")).alias("stem")), "stem").select("file_id", "map_id")
     if pairs.isEmpty():
         print("no drawing has a map of its name", file=sys.stderr)
         return 2
-    found = Written(dxf.read(files.select(F.col("map_id").alias("file_id"), "content")), "drawings").df
+    found = Written(dxf.read(plans.select(F.col("map_id").alias("file_id"), "content")), "drawings").df
     points = dxf.bound_points(dxf.exploded(found))
     bounds = points.groupBy("file_id").agg(projection.padded_bounds(F.min("x"), F.min("y"), F.max("x"), F.max("y")).alias("b")).select("file_id", "b.*")
     texts = labels.pixel_texts(labels.extracted_texts(dxf.entities(found), args.layer), bounds).join(pairs, "file_id")
@@ -128,6 +142,25 @@ def matched(args: argparse.Namespace) -> int:
     return 0
 
 
+def prepared(plans: DataFrame, args: argparse.Namespace) -> int:
+    """Drawings through the steps of pre-processing; a folder for what each of them makes."""
+    skip = tuple(int(n) for n in args.skip_steps.split(",") if n.strip().isdigit())
+    names = files.text_lines(session(), args.layers).where("trim(layer) <> ''") if args.layers else None
+    made = drawings.preprocessed(plans, shlex.split(args.converter) if args.converter else None, skip, names, args.size, args.thickness, None if args.gap == "none" else args.gap)
+    if made.kept is not None:
+        files.write_texts(dxf.to_dxf(made.drawings), f"{args.output}/dxf", "file_id", "dxf")
+        files.write_texts(drawings.filter_logs(dxf.layers(made.found), made.kept, dxf.entities(made.found)), f"{args.output}/logs", "file_id", "text")
+    if made.svgs is not None:
+        files.write_texts(made.svgs, f"{args.output}/svg", "file_id", "svg")
+    if made.bounds is not None:
+        files.write_json(made.bounds, f"{args.output}/bounds", ["file_id"])
+    if made.images is not None:
+        drawings.pngs(made.images).write.mode("overwrite").parquet(f"{args.output}/png")
+    _shown(made.log)
+    _shown(made.errors.orderBy("file_id"))
+    return int(not made.errors.isEmpty())
+
+
 def _obstacles(images: DataFrame, noise_percent: float) -> DataFrame:
     """(map_id, x, y) of dark pixels without outliers."""
     import numpy as np
@@ -176,12 +209,23 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     if args.command == "match":
         return matched(args)
+    if args.command in ("preprocess", "layers", "flatten"):
+        plans = _files(args.paths, "*.{dxf,DXF,dwg,DWG}" if args.command == "preprocess" else "*.{dxf,DXF}").select(F.col("map_id").alias("file_id"), "content")
+        if plans.isEmpty():
+            print("no drawing was found", file=sys.stderr)
+            return 2
+        if args.command == "preprocess":
+            return prepared(plans, args)
+        found = Written(dxf.read(plans), "drawings").df
+        made = drawings.layer_reports(dxf.layers(found)) if args.command == "layers" else dxf.to_dxf(drawings.flattened(found)).withColumnRenamed("dxf", "text")
+        files.write_texts(made, args.output, "file_id", "text")
+        return 0
     if args.command in ("segment", "sweep"):
-        files = _files(args.paths, "*.{png,PNG,bmp,BMP,pbm,pgm,ppm,pnm}").select(F.col("map_id").alias("file"), "content")
-        if files.isEmpty():
+        found = _files(args.paths, "*.{png,PNG,bmp,BMP,pbm,pgm,ppm,pnm}").select(F.col("map_id").alias("file"), "content")
+        if found.isEmpty():
             print("no image was found", file=sys.stderr)
             return 2
-        images = Written(raster.read(files), "images").df
+        images = Written(raster.read(found), "images").df
         if args.command == "sweep":
             return swept(images, args)
         segmented(images, vars(args), args.output)

@@ -402,9 +402,15 @@ def black_threshold(image: np.ndarray, most_black: float = 0.3) -> int:
 
 def sites(images: DataFrame, jitter: float = 0.0, below: int = 1) -> DataFrame:
     """(file, x, y) of obstacle pixels; with ``jitter`` four points around each."""
-    at = F.posexplode(F.split(F.hex("pixels"), "(?<=\\G..)"))
-    pixels = images.select("file", "width", at.alias("i", "v")).where("v <> ''").where(F.conv("v", 16, 10).cast("int") < below)
-    placed = pixels.select("file", (F.col("i") % F.col("width")).cast("double").alias("x"), F.floor(F.col("i") / F.col("width")).cast("double").alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                at = np.flatnonzero(np.frombuffer(row.pixels, np.uint8) < below)
+                for some in np.array_split(at, len(at) // (1 << 20) + 1):
+                    yield pd.DataFrame({"file": row.file, "x": (some % row.width).astype(float), "y": (some // row.width).astype(float)})
+
+    placed = images.select("file", "width", "pixels").mapInPandas(run, "file string, x double, y double")
     if not jitter:
         return placed
     around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-jitter, jitter) for dy in (-jitter, jitter)))
