@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from floorwise.plans import map_queries, registry, shape_queries, table_queries  # noqa: F401  they register their queries
+from floorwise.plans import drawing_queries, file_queries, map_queries, registry, shape_queries, table_queries  # noqa: F401  they register their queries
 from tests.conftest import SMALL
 
 
@@ -43,12 +43,12 @@ def test_copies_differ_in_the_middle(spark, tmp_path):
     assert {(r.kept, r.copies) for r in table_queries.polygon_similarity_dedup(spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
 
 
-@pytest.mark.parametrize("name", ["map_findings", "map_fixes", "map_renumbered", "graph_chains", "name_repairs", "closed_ring"])
+@pytest.mark.parametrize("name", ["map_findings", "map_fixes", "map_renumbered", "graph_chains", "name_repairs", "closed_ring", "drawing_runs", "drawing_images", "drawing_filter_logs", "drawing_file_entities", "map_file_ways", "map_file_order", "file_room_areas", "file_layer_lists"])
 def test_queries_equal_their_sql(spark, name):
     frame = registry.QUERIES[name](spark, SMALL)
     columns = sorted(frame.columns)
     connection = duckdb.connect()
-    for table in ("nation", "customer", "orders", "lineitem"):
+    for table in ("nation", "customer", "orders", "lineitem", "part"):
         connection.execute(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
     found = connection.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").fetchall()
     rows = Counter(tuple(r) for r in frame.select(columns).collect())
