@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 
+from floorwise.operators import merge
 from floorwise.plans import halfedge_queries, shape_queries  # noqa: F401  they register their queries
 from floorwise.plans.registry import ORACLES, QUERIES
 
@@ -34,3 +35,20 @@ def test_a_point_on_the_boundary(spark, tmp_path):
     events = [(48, 1, 25.0), (49, 1, 26.0), (97, 1, 40.0), (0, 2, 0.0), (48, 2, 25.25), (49, 2, 26.25), (194, 2, 40.0)]
     found = equals_sql(spark, tmp_path, "ring_points", events=(events, "event_id long, user_id long, value double"))
     assert {away for away, _, user in found if user == 2} == {0.0}
+
+
+def test_equal_anchors_are_paired_once(spark):
+    ring = lambda x: [{"x": float(x + i), "y": float(x * i)} for i in range(3)]
+    anchors = [("a", i, f"L{i % 2}", str(i % 3), ring(i % 4), "elevator") for i in range(240)] + [("b", i, f"L{i % 2}", str(i % 3), ring(i % 5), "elevator") for i in range(150)]
+    found = spark.createDataFrame(anchors, "map_id string, ord int, name string, level string, ring array<struct<x:double,y:double>>, type string")
+    details = merge.offset_details(found.where("map_id = 'a'"), found.where("map_id = 'b'"))
+    pairs = [(r, t) for r in anchors if r[0] == "a" for t in anchors if t[0] == "b" and t[2] == r[2] and t[3] != r[3]]
+    rows = details.collect()
+    assert sum(r.pairs for r in rows) == len(pairs) and len(rows) < 250 < len(pairs)
+    want = Counter((t[2], round(sum(p["y"] - q["y"] for p, q in zip(r[4], t[4])) / 3, 6)) for r, t in pairs)
+    got = Counter()
+    for r in rows:
+        got[r.name, round(r.lat_offset, 6)] += r.pairs
+    assert got == want
+    mean = sum(sum(n * v for (name, v), n in want.items() if name == x) / sum(n for (name, _), n in want.items() if name == x) for x in ("L0", "L1")) / 2
+    assert abs(merge.offsets(details).first().lat_offset - mean) < 1e-9
