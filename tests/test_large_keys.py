@@ -1,10 +1,11 @@
 """Queries on rows that only larger tables have, against their SQL."""
 
+import random
 from collections import Counter
 
 import duckdb
 
-from floorwise.operators import merge
+from floorwise.operators import graph, merge
 from floorwise.plans import halfedge_queries, shape_queries  # noqa: F401  they register their queries
 from floorwise.plans.registry import ORACLES, QUERIES
 
@@ -52,3 +53,23 @@ def test_equal_anchors_are_paired_once(spark):
     assert got == want
     mean = sum(sum(n * v for (name, v), n in want.items() if name == x) / sum(n for (name, _), n in want.items() if name == x) for x in ("L0", "L1")) / 2
     assert abs(merge.offsets(details).first().lat_offset - mean) < 1e-9
+
+
+def test_small_maps_are_searched_in_one_row(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(f"m{m}", i, f"v{draw.randrange(9)}", f"v{draw.randrange(9)}", float(draw.randrange(-1, 4))) for m in range(12) for i in range(m)] + [("m3", 99, None, "v1", 1.0)]
+    edges = spark.createDataFrame(rows, "map_id string, edge_id int, a string, b string, length double")
+    starts = edges.where("edge_id < 3").selectExpr("map_id", "a AS start").distinct().unionByName(spark.createDataFrame([("alone", "v0")], "map_id string, start string"))
+    closed = starts.selectExpr("map_id", "start", "'v4' AS node")
+    doors = edges.selectExpr("map_id", "a AS passage_id", "edge_id % 2 AS room_id")
+    rooms = edges.selectExpr("map_id", "a", "b", "length", "edge_id % 2 AS room_id")
+
+    def every():
+        far = [graph.distances_from(edges, starts, closed=c, predecessors=True).collect() for c in (None, closed)]
+        ways = graph.passage_edges(rooms, doors).collect()
+        searched = [part.collect() for part in graph.exit_searches(edges.where("a is not null"))]
+        return [Counter(str(sorted(r.asDict().items())) for r in part) for part in (*far, ways, *searched)]
+
+    small = every()
+    monkeypatch.setattr(graph, "FEW_ARCS", 0)
+    assert small == every() and all(small)
