@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorwise.operators.spatial import nearest
@@ -437,19 +437,19 @@ def hough_lines(points: DataFrame, threshold: int = 30, apart: tuple[int, int] =
     other the one with most votes stays, of equal ones the first; beyond 179 degrees distances change their sign.
     """
     votes = _votes(points).groupBy("file", "theta", "rho").agg(F.count("*").alias("votes")).where(F.col("votes") >= threshold)
-    votes = Written(votes, "votes").df
     step = lambda n: F.sequence(F.lit(-n), F.lit(n))
     around = votes.withColumn("_i", F.explode(step(apart[0]))).withColumn("_j", F.explode(step(apart[1])))
     t = F.col("theta") + F.col("_i")
     turned = (t < 0) | (t > 179)
     rivals = around.select("file", F.pmod(t, F.lit(180)).alias("theta"), (F.when(turned, -F.col("rho")).otherwise(F.col("rho")) + F.col("_j")).alias("rho"), F.struct((-F.col("votes")).alias("v"), F.col("theta").alias("t"), F.col("rho").alias("r")).alias("_rival"))
     best = rivals.groupBy("file", "theta", "rho").agg(F.min("_rival").alias("_best"))
-    return votes.join(best, ["file", "theta", "rho"]).where((F.col("_best.t") == F.col("theta")) & (F.col("_best.r") == F.col("rho"))).drop("_best")
+    # a line is its own rival, so where it is the best one its votes are there as well
+    return best.where((F.col("_best.t") == F.col("theta")) & (F.col("_best.r") == F.col("rho"))).select("file", "theta", "rho", (-F.col("_best.v")).alias("votes"))
 
 
-def _votes(points: DataFrame) -> DataFrame:
-    """Points with ``theta`` from 0 to 179 and the whole number ``rho`` nearest to their distance, halves upward."""
-    turned = points.select("file", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(179))).alias("theta"))
+def _votes(points: DataFrame, thetas: Column | None = None) -> DataFrame:
+    """Points with ``theta`` from 0 to 179, or of an array of degrees, and the whole number ``rho`` nearest to their distance, halves upward."""
+    turned = points.select("file", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(179)) if thetas is None else thetas).alias("theta"))
     angle = F.radians(F.col("theta").cast("double"))
     distance = F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle)
     return turned.withColumn("rho", F.floor(distance + 0.5 + 1e-9).cast("int"))
@@ -462,10 +462,12 @@ def hough_segments(points: DataFrame, threshold: int = 30, least_length: float =
     more than ``most_gap`` divides; stretches under ``least_length`` are left out.
     """
     points = Written(points.select("file", "x", "y").distinct(), "points").df
-    lines = hough_lines(points, threshold, apart)
+    lines = Written(hough_lines(points, threshold, apart), "lines").df
+    used = lines.groupBy("file").agg(F.collect_set("theta").alias("thetas"))  # at most 180 of a file
+    turned = _votes(points.join(used.hint("merge"), "file"), F.col("thetas"))
     wide = lines.select("file", "theta", F.col("rho").alias("line"), F.explode(F.array(*(F.col("rho") + i for i in (-1, 0, 1)))).alias("rho"))
     angle = F.radians(F.col("theta").cast("double"))
-    on = _votes(points).join(wide, ["file", "theta", "rho"]).withColumn("along", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
+    on = turned.join(wide.hint("merge"), ["file", "theta", "rho"]).withColumn("along", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
     order = Window.partitionBy("file", "theta", "line").orderBy("along", "x", "y")  # as many as the line has pixels
     opens = on.withColumn("opens", F.coalesce((F.col("along") - F.lag("along").over(order) > most_gap).cast("int"), F.lit(0)))
     parts = opens.withColumn("part", F.sum("opens").over(order)).groupBy("file", "theta", "line", "part")

@@ -455,3 +455,13 @@ def test_resizing():
     half = raster.resized(ramp, 60, 6).astype(int)
     assert np.abs(half[0, 5:-5] - (ramp[0, 10:-10:2].astype(int) + 1)).max() <= 1
     assert raster.fitted(image, 100, 30).shape == (30, 20) and raster.fitted(image.T, 100, 300).shape == (66, 100)
+
+
+def test_votes_are_not_joined(spark):
+    """Lines come from one aggregate of votes, so no table of votes can be sent to the driver."""
+    rows = [(f"f{n}", float(x), float((n * x) // 4)) for n in range(4) for x in range(50)]
+    lines = raster.hough_lines(spark.createDataFrame(rows, "file string, x double, y double"))
+    assert "Join" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    found = lines.collect()
+    assert {r.file for r in found} == {"f0", "f1", "f2", "f3"} and all(r.votes >= 30 for r in found)
+    assert [(r.theta, r.rho, r.votes) for r in found if r.file == "f0"] == [(90, 0, 50)]
