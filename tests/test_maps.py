@@ -206,3 +206,15 @@ def test_winding_is_set_once(spark, tmp_path):
     maps = read(spark, tmp_path, m=M.osm(M.GRID, ways))
     turned = {r.id: r.nds for r in merge.winding(maps).collect()}
     assert turned["-10"] == [str(x) for x in M.RING_A] and turned["-11"] == [str(x) for x in M.RING_B[::-1]] and turned["-12"] == ["-1", "-2", "-3"]
+
+
+def test_elements_are_not_dealt_out_by_map(spark):
+    """The elements of a large map don't meet in one task because their map's document is looked up."""
+    nodes = spark.createDataFrame([("a", i, f"n{i}", "1", "2") for i in range(9)] + [("b", 1, "n1", "1", None)], "map_id string, ord int, id string, lat string, lon string")
+    ways = spark.createDataFrame([("a", 20, "w", ["n1", "n2"], {"osmAG:type": "passage"})], "map_id string, ord int, id string, nds array<string>, tags map<string,string>")
+    documents = spark.createDataFrame([("a", "osm", "0.6", "g", None), ("b", "gpx", "0.6", "g", None)], "map_id string, root_tag string, version string, generator string, parse_error string")
+    maps = Maps(osm_xml.elements_of(nodes, ways, documents))  # Spark doesn't know its size
+    v = validate.views(maps)
+    plan = v.ways._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(map_id" not in plan
+    assert v.ways.count() == 1 and v.nodes.count() == 9 and v.good.collect() == [("a",)]
