@@ -158,7 +158,8 @@ def adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
 )
 def adjacent_band(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    bands = parts.select(F.col("p_partkey").alias("other"), "p_brand", "p_type", F.explode(F.array(F.col("p_size") - 1, F.col("p_size") + 1)).alias("p_size"))
+    first = parts.groupBy("p_brand", "p_type", "p_size").agg(F.min("p_partkey").alias("other"))
+    bands = first.select("other", "p_brand", "p_type", F.explode(F.array(F.col("p_size") - 1, F.col("p_size") + 1)).alias("p_size"))
     return parts.join(bands, ["p_brand", "p_type", "p_size"]).groupBy("p_partkey").agg(F.min("other").alias("first_neighbour"))
 
 

@@ -43,6 +43,16 @@ def test_copies_differ_in_the_middle(spark, tmp_path):
     assert {(r.kept, r.copies) for r in table_queries.polygon_similarity_dedup(spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
 
 
+def test_neighbouring_sizes_meet_as_groups(spark, tmp_path):
+    rows = [(i, "b", "t" if i % 5 else "u", i * i % 7) for i in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    frame = table_queries.adjacent_band(spark, str(tmp_path))
+    want = {a[0]: min(b[0] for b in rows if a[2] == b[2] and abs(a[3] - b[3]) == 1) for a in rows if any(a[2] == b[2] and abs(a[3] - b[3]) == 1 for b in rows)}
+    assert {r.p_partkey: r.first_neighbour for r in frame.collect()} == want
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]  # one row of each size is joined, not all of its parts
+
+
 @pytest.mark.parametrize("name", ["map_findings", "map_fixes", "map_renumbered", "graph_chains", "name_repairs", "closed_ring", "drawing_runs", "drawing_images", "drawing_filter_logs", "drawing_file_entities", "map_file_ways", "map_file_order", "file_room_areas", "file_layer_lists"])
 def test_queries_equal_their_sql(spark, name):
     frame = registry.QUERIES[name](spark, SMALL)
