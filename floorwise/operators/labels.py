@@ -60,9 +60,10 @@ def matches(texts: DataFrame, rooms: DataFrame, nearby: float = NEARBY, centre_r
     """
     shaped = rooms.withColumn("ring", rings.closed(F.col("ring"))).where("ring is not null")
     shaped = shaped.withColumns({"area": rings.area(F.col("ring")), "centre": kernels.inscribed_centre(F.col("ring"))}).select("map_id", F.col("ord").alias("room_ord"), F.col("id").alias("room_id"), "ring", "area", "centre")
-    pairs = points_by_rings(texts, shaped, nearby, 4 * nearby, ["map_id"])
-    p = F.col("p")
-    measured = pairs.withColumns({"inside": rings.contains(F.col("ring"), p), "distance": rings.polygon_distance(p, F.col("ring")), "center_distance": rings.distance(p, F.col("centre"))}).where(F.col("distance") <= nearby)
+    pairs = points_by_rings(texts, shaped, nearby, 2 * nearby, ["map_id"])
+    met = pairs.withColumns({"_met": kernels.against_ring("ring", "p"), "center_distance": rings.distance(F.col("p"), F.col("centre"))}).drop("ring", "centre")
+    measured = met.withColumn("inside", F.col("_met.odd") & (F.col("_met.away") > 1e-12))
+    measured = measured.withColumn("distance", F.when(F.col("inside"), 0.0).otherwise(F.col("_met.away"))).where(F.col("distance") <= nearby)
     ratio = F.col("center_distance") / F.sqrt(F.col("area") / 3.141592653589793)
     of_inside = F.when(ratio <= centre_ratio, 100 - 50 * ratio).otherwise(50 - 25 * (ratio - centre_ratio))
     size = 1 / (1 + F.log10(1 + F.col("area") / 10000))

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from floorwise.functions import kernels, rings
 from floorwise.operators import labels, rooms
 from floorwise.sources import files
 from floorwise.sources.osm_xml import Maps, parse
@@ -96,3 +98,19 @@ def test_entry_registers_matching_names(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 2
+
+
+def test_rooms_and_texts_are_measured_many_at_once(spark):
+    """Inscribed centres equal those of single rings to the last bit; texts lie in and near rooms as the folds over rings say."""
+    r = np.random.default_rng(7)
+    for n in (3, 4, 7):
+        turns = np.sort(r.uniform(0, 6.28, (30, n)), axis=1)[:, :, None]
+        made = np.concatenate([np.cos(turns), np.sin(turns)], axis=2) * r.choice([0.5, 20, 300], (30, 1, 1)) + r.uniform(-1000, 1000, (30, 1, 2))
+        assert (kernels.inscribed_many(made) == [kernels.inscribed(ring) for ring in made]).all()
+    xy = lambda p: {"x": float(p[0]), "y": float(p[1])}
+    shapes = [[], [(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(0, 0), (6, 0), (3, 3), (6, 6), (0, 6)], None]
+    rows = [(None if s is None else [xy(p) for p in s], xy(p)) for s in shapes for p in [(1, 2), (4, 2), (5, 3), (-1, -1), (3, 4)]]
+    df = spark.createDataFrame(rows, "ring array<struct<x double, y double>>, p struct<x double, y double>")
+    ring, p, met = F.col("ring"), F.col("p"), kernels.against_ring("ring", "p")
+    got = df.select(met["odd"].alias("odd"), F.coalesce(rings.odd_crossings(ring, p), F.lit(False)).alias("o"), met["away"].alias("away"), rings.boundary_distance(p, ring).alias("a")).collect()
+    assert len(got) == 25 and all(x.odd == x.o and (x.away == x.a or abs(x.away - x.a) < 1e-12) for x in got)
