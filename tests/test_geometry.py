@@ -506,3 +506,19 @@ def test_components_within_a_block_need_no_rounds(spark, monkeypatch):
         assert labels(chain, "long", 2000) == {n: 0 for n in range(1001)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_chained_paths_of_a_whole_batch(spark):
+    assert kernels.chained([(4, "b", "c"), (5, "b", "a"), (6, "c", "d")], "a") == [(5, True), (4, False), (6, False)]
+    p = lambda *xs: [{"x": float(x), "y": 0.0} for x in xs]
+    leg = lambda a, b, *xs: {"a": a, "b": b, "path": p(*xs)}
+    chains = [
+        ([leg("b", "c", 2, 2.5, 3), leg("b", "a", 2, 1), leg("c", "d", 3, 4)], "a", [1, 2, 2.5, 3, 4]),
+        ([leg("x", "y", 7, 8)], "y", [8, 7]),
+        ([], "z", []),
+        ([leg("u", "u", 1, 5, 1)], "u", [1, 5, 1]),
+        ([leg("e", "f"), leg("f", "g", 3, 4), leg("g", "h"), leg("h", "i", 4, 9)], "e", [3, 4, 9]),  # nothing is dropped behind no points
+    ]
+    df = spark.createDataFrame([(n, legs, start) for n, (legs, start, _) in enumerate(chains)], "n int, legs array<struct<a string, b string, path array<struct<x double, y double>>>>, start string").coalesce(1)
+    got = {r.n: [q.x for q in r.path] for r in df.select("n", kernels.chained_path("legs", "start").alias("path")).collect()}
+    assert got == {n: xs for n, (_, _, xs) in enumerate(chains)}
