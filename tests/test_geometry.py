@@ -522,3 +522,15 @@ def test_chained_paths_of_a_whole_batch(spark):
     df = spark.createDataFrame([(n, legs, start) for n, (legs, start, _) in enumerate(chains)], "n int, legs array<struct<a string, b string, path array<struct<x double, y double>>>>, start string").coalesce(1)
     got = {r.n: [q.x for q in r.path] for r in df.select("n", kernels.chained_path("legs", "start").alias("path")).collect()}
     assert got == {n: xs for n, (_, _, xs) in enumerate(chains)}
+
+
+def test_distances_by_rounds_put_their_logs_together(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_ARCS", 0)
+    monkeypatch.setattr(graph, "MOST_LOGS", 2)
+    edges = spark.createDataFrame([("m", 1, 1, 2, 1.0), ("m", 2, 2, 3, 1.0), ("m", 3, 1, 3, 5.0), ("m", 4, 3, 4, 1.0), ("m", 5, 4, 5, 0.0), ("m", 6, 1, 6, 2.0), ("m", 7, 6, 3, 0.0), ("n", 1, 1, 2, 1.0)], "map_id string, edge_id int, a int, b int, length double")
+    starts = spark.createDataFrame([("m", 1), ("m", 4)], "map_id string, start int")
+    got = {(r.start, r.node): (r.distance, r.hops, r.via) for r in graph.distances_from(edges, starts, predecessors=True).collect()}
+    assert got == {
+        (1, 1): (0, 0, None), (1, 2): (1, 1, 1), (1, 3): (2, 2, 2), (1, 4): (3, 3, 3), (1, 5): (3, 4, 4), (1, 6): (2, 1, 1),
+        (4, 4): (0, 0, None), (4, 5): (0, 1, 4), (4, 3): (1, 1, 4), (4, 6): (1, 2, 3), (4, 2): (2, 2, 3), (4, 1): (3, 3, 2),
+    }
