@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -430,13 +432,23 @@ def denoised(points: DataFrame, neighbours: int = 18, percent: float = 1.5) -> D
     return without_outliers(once, neighbours, 1.0) if percent >= 1 else once
 
 
+#: Points of a file that one task may take.
+FEW_POINTS = 200_000
+#: Points of a task, and votes that are counted at once.
+PART_POINTS, VOTES = 20_000, 4_000_000
+
+
 def hough_lines(points: DataFrame, threshold: int = 30, apart: tuple[int, int] = (5, 5)) -> DataFrame:
     """(file, theta, rho, votes) of lines x cos(theta) + y sin(theta) = rho that enough points (file, x, y) lie on.
 
     Every point votes for one distance at each whole degree. Of lines within ``apart`` degrees and pixels of each
     other the one with most votes stays, of equal ones the first; beyond 179 degrees distances change their sign.
     """
-    votes = _votes(points).groupBy("file", "theta", "rho").agg(F.count("*").alias("votes")).where(F.col("votes") >= threshold)
+    votes = _votes(points).groupBy("file", "theta", "rho").agg(F.count("*").alias("votes"))
+    return _best_lines(votes.where(F.col("votes") >= threshold), apart)
+
+
+def _best_lines(votes: DataFrame, apart: tuple[int, int]) -> DataFrame:
     step = lambda n: F.sequence(F.lit(-n), F.lit(n))
     around = votes.withColumn("_i", F.explode(step(apart[0]))).withColumn("_j", F.explode(step(apart[1])))
     t = F.col("theta") + F.col("_i")
@@ -451,8 +463,59 @@ def _votes(points: DataFrame, thetas: Column | None = None) -> DataFrame:
     """Points with ``theta`` from 0 to 179, or of an array of degrees, and the whole number ``rho`` nearest to their distance, halves upward."""
     turned = points.select("file", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(179)) if thetas is None else thetas).alias("theta"))
     angle = F.radians(F.col("theta").cast("double"))
-    distance = F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle)
-    return turned.withColumn("rho", F.floor(distance + 0.5 + 1e-9).cast("int"))
+    return turned.withColumn("rho", _rho(F.col("x"), F.col("y"), angle))
+
+
+def _counted(points: DataFrame, threshold: int) -> DataFrame:
+    """(file, theta, rho, votes) of at least ``threshold`` votes; all points of a file lie in one partition."""
+    angles = np.radians(np.arange(180.0))
+    cos, sin = np.cos(angles), np.sin(angles)
+
+    def votes(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        step = max(1, VOTES // len(x))
+        for i in range(0, 180, step):
+            rho = np.floor(x[:, None] * cos[i : i + step] + y[:, None] * sin[i : i + step] + 0.5 + 1e-9).astype(np.int64)
+            low = rho.min()
+            span = rho.max() - low + 1
+            place = (np.arange(rho.shape[1]) * span + rho - low).ravel()
+            if span * rho.shape[1] <= 16 * len(place):
+                count = np.bincount(place)
+                found = np.flatnonzero(count >= threshold)
+                count = count[found]
+            else:
+                found, count = np.unique(place, return_counts=True)
+                found, count = found[count >= threshold], count[count >= threshold]
+            yield i + found // span, low + found % span, count
+
+    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        files = table.column("file").combine_chunks()
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        ends = np.flatnonzero(pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)) + 1
+        for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(files)]):
+            theta, rho, count = (np.concatenate(c) for c in zip(*votes(x[i:j], y[i:j])))
+            if len(count):
+                yield pa.RecordBatch.from_arrays([files.take(pa.array(np.full(len(count), i))), pa.array(theta.astype(np.int32)), pa.array(rho.astype(np.int32)), pa.array(count.astype(np.int64))], ["file", "theta", "rho", "votes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # a file goes on as long as its name does
+            last = int(pc.index(batch.column("file"), batch.column("file")[-1]).as_py()) if batch.num_rows else 0
+            if held and (last or batch.num_rows and batch.column("file")[0] != held[-1].column("file")[-1]):
+                yield from of(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = [batch.slice(last)]
+            elif batch.num_rows:
+                if last:
+                    yield from of(pa.Table.from_batches([batch.slice(0, last)]))
+                held.append(batch.slice(last))
+        if held:
+            yield from of(pa.Table.from_batches(held))
+
+    sorted_points = points.where("file is not null and x is not null and y is not null").select("file", "x", "y").sortWithinPartitions("file")
+    return sorted_points.mapInArrow(run, "file string, theta int, rho int, votes long")
+
+
+def _rho(x: Column, y: Column, angle: Column) -> Column:
+    return F.floor(x * F.cos(angle) + y * F.sin(angle) + 0.5 + 1e-9).cast("int")
 
 
 def hough_segments(points: DataFrame, threshold: int = 30, least_length: float = 20.0, most_gap: float = 10.0, apart: tuple[int, int] = (5, 5)) -> DataFrame:
@@ -460,14 +523,35 @@ def hough_segments(points: DataFrame, threshold: int = 30, least_length: float =
 
     A line takes the points whose distance differs from its own by one pixel at most. Along the line a gap of
     more than ``most_gap`` divides; stretches under ``least_length`` are left out.
+
+    Points of files that have at most ``FEW_POINTS`` are dealt out by file, so that neither their votes nor what lies on a line has to move;
+    those of larger files are not gathered.
     """
     points = Written(points.select("file", "x", "y").distinct(), "points").df
-    lines = Written(hough_lines(points, threshold, apart), "lines").df
+    sizes = Written(points.groupBy("file").agg(F.count("*").alias("_n")), "sizes").df
+    large = sizes.where(F.col("_n") > FEW_POINTS).select("file").hint("merge")
+    parts = 1 + (sizes.agg(F.sum("_n")).first()[0] or 0) // PART_POINTS
+    lesser = (points if large.isEmpty() else points.join(large, "file", "left_anti")).repartition(parts, "file")
+    lines = Written(_best_lines(_counted(lesser, threshold), apart), "lines").df.select("file", "theta", F.col("rho").alias("line"))
+    listed = lines.groupBy("file").agg(F.collect_list(F.struct("theta", "line")).alias("_l")).hint("merge")  # at most as many as the votes allow
+    angle = lambda theta: F.radians(theta.cast("double"))
+    near = lambda m: F.abs(_rho(F.col("x"), F.col("y"), angle(m["theta"])) - m["line"]) <= 1
+    on = lesser.join(listed, "file").select("file", "x", "y", F.explode(F.filter("_l", near)).alias("_m")).select("file", "x", "y", "_m.*")
+    found = _along(on, least_length, most_gap)
+    if large.isEmpty():
+        return found
+    many = points.join(large, "file", "left_semi")
+    lines = Written(hough_lines(many, threshold, apart), "lines").df
     used = lines.groupBy("file").agg(F.collect_set("theta").alias("thetas"))  # at most 180 of a file
-    turned = _votes(points.join(used.hint("merge"), "file"), F.col("thetas"))
+    turned = _votes(many.join(used.hint("merge"), "file"), F.col("thetas"))
     wide = lines.select("file", "theta", F.col("rho").alias("line"), F.explode(F.array(*(F.col("rho") + i for i in (-1, 0, 1)))).alias("rho"))
+    return found.unionByName(_along(turned.join(wide.hint("merge"), ["file", "theta", "rho"]), least_length, most_gap))
+
+
+def _along(on: DataFrame, least_length: float, most_gap: float) -> DataFrame:
+    """Stretches of the points (file, theta, line, x, y) of lines."""
     angle = F.radians(F.col("theta").cast("double"))
-    on = turned.join(wide.hint("merge"), ["file", "theta", "rho"]).withColumn("along", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
+    on = on.withColumn("along", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
     order = Window.partitionBy("file", "theta", "line").orderBy("along", "x", "y")  # as many as the line has pixels
     opens = on.withColumn("opens", F.coalesce((F.col("along") - F.lag("along").over(order) > most_gap).cast("int"), F.lit(0)))
     parts = opens.withColumn("part", F.sum("opens").over(order)).groupBy("file", "theta", "line", "part")

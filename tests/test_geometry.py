@@ -534,3 +534,19 @@ def test_distances_by_rounds_put_their_logs_together(spark, monkeypatch):
         (1, 1): (0, 0, None), (1, 2): (1, 1, 1), (1, 3): (2, 2, 2), (1, 4): (3, 3, 3), (1, 5): (3, 4, 4), (1, 6): (2, 1, 1),
         (4, 4): (0, 0, None), (4, 5): (0, 1, 4), (4, 3): (1, 1, 4), (4, 6): (1, 2, 3), (4, 2): (2, 2, 3), (4, 1): (3, 3, 2),
     }
+
+
+def test_votes_of_small_files_do_not_move(spark, monkeypatch):
+    rows = [(f"f{n}", float(x), float((n * x) // 4)) for n in range(5) for x in range(50 + n) if not 20 < x < 36] + [("f9", float(x * 7919 % 100_003), float(x)) for x in range(40)]
+    points = spark.createDataFrame(rows, "file string, x double, y double")
+    votes = {(r.file, r.theta, r.rho, r.votes) for r in raster._votes(points).groupBy("file", "theta", "rho").count().withColumnRenamed("count", "votes").where("votes >= 12").collect()}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for batch in ("7", before):
+        spark.conf.set(name, batch)
+        assert {tuple(r) for r in raster._counted(points.repartition(2, "file"), 12).collect()} == votes and votes
+    spark.conf.set(name, before)
+    found = [sorted(map(tuple, raster.hough_segments(points, 20, 5.0).collect()))]
+    monkeypatch.setattr(raster, "FEW_POINTS", 45)
+    found.append(sorted(map(tuple, raster.hough_segments(points, 20, 5.0).collect())))
+    assert found[0] == found[1] and len(found[0]) >= 5
