@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 
 from floorwise.operators import graph, merge
 from floorwise.plans import halfedge_queries, shape_queries  # noqa: F401  they register their queries
@@ -73,3 +74,27 @@ def test_small_maps_are_searched_in_one_row(spark, monkeypatch):
     small = every()
     monkeypatch.setattr(graph, "FEW_ARCS", 0)
     assert small == every() and all(small)
+
+
+def test_many_small_maps_are_searched_at_once(monkeypatch):
+    draw, maps = random.Random(5), []
+    for _ in range(40):
+        nodes = [f"v{i}" for i in range(draw.randrange(1, 8))] + [None]
+        arcs = [(draw.choice(nodes), draw.choice(nodes), float(draw.randrange(4)) / 3) for _ in range(draw.randrange(1, 20))]
+        maps.append(([(s, s, 0.0, 0, None) for s in nodes[:3]] + [("v0", "v1", 0.5, 1, "v0")], arcs, [("v0", draw.choice(nodes[:-1]))]))
+    listed = lambda i, *kinds: pa.array([[dict(zip("abcde", row)) for row in m[i]] for m in maps], pa.list_(pa.struct(list(zip("abcde", kinds)))))
+    text, number = pa.string(), pa.float64()
+    columns = graph._from_starts(listed(0, text, text, number, pa.int32(), text), listed(1, text, text, number), listed(2, text, text), False)
+    found = {(m, s, n): (d, h, v) for m, s, n, d, h, v in zip(*(c.to_pylist() for c in columns))}
+    want = {}
+    for m, (starts, arcs, closed) in enumerate(maps):
+        for s in {row[0] for row in starts}:
+            best = {}
+            todo = [(d, h, v is not None, v, n) for a, n, d, h, v in starts if a == s]
+            while todo:  # every label is tried until none gets better
+                d, h, later, v, n = todo.pop()
+                if n not in best or (d, h, later, v or "") < best[n]:
+                    best[n] = (d, h, later, v or "")
+                    todo += [(d + x, h + 1, True, n, b) for a, b, x in arcs if a == n and n is not None and (s, n) not in closed]
+            want |= {(m, s, n): (d, h, v if later else None) for n, (d, h, later, v) in best.items()}
+    assert found == want and len(found) == len(columns[0]) > 200
