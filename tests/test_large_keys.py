@@ -98,3 +98,12 @@ def test_many_small_maps_are_searched_at_once(monkeypatch):
                     todo += [(d + x, h + 1, True, n, b) for a, b, x in arcs if a == n and n is not None and (s, n) not in closed]
             want |= {(m, s, n): (d, h, v if later else None) for n, (d, h, later, v) in best.items()}
     assert found == want and len(found) == len(columns[0]) > 200
+
+
+def test_what_exits_reach_is_landed_once_with_their_vertex(spark, monkeypatch):
+    landed, written = {}, graph.Written
+    monkeypatch.setattr(graph, "Written", lambda df, name, *keep: landed.setdefault(name, df.columns) and written(df, name, *keep))
+    edges = spark.createDataFrame([("m", i, i, (i + 1) % 5, 1.0) for i in range(5)], "map_id string, edge_id int, a int, b int, length double")
+    far, exits, loops = graph.exit_searches(edges)
+    assert "home" in landed["beyond"] and {"inner", "sizes", "nearest"} <= set(landed)
+    assert far.count() == 40 and exits.where("loop_back and next_major_distance = 1").count() == 10 and {(r.distance, r.hops) for r in loops.collect()} == {(5.0, 5)}
